@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratafold.llm import decontaminate, license_scan, mixing
+from stratafold.llm import decontaminate, gif_media, license_scan, line_dedup, mixing, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -17,13 +17,25 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_gif_media(spark, sf_dir):
+    return gif_media.read_back(gif_media.store(_table(spark, sf_dir, "documents")))
+
+
+def op7_warc(spark, sf_dir):
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", "text")
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op7_warc, op8_line_dedup, op10_mix_sources)}
 
 
 def oracle_sql():
-    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_warc": warc.oracle()}
