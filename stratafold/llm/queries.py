@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratafold.llm import decontaminate, gif_media, license_scan, line_dedup, mixing, warc
+from stratafold.llm import decontaminate, gif_media, license_scan, line_dedup, mixing, ngram_join, toxicity, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -21,6 +21,14 @@ def op3_gif_media(spark, sf_dir):
     return gif_media.read_back(gif_media.store(_table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.components(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark, sf_dir):
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
@@ -34,7 +42,7 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op7_warc, op8_line_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op10_mix_sources)}
 
 
 def oracle_sql():
