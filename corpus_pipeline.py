@@ -1,0 +1,70 @@
+"""The corpus pipeline: five stages over whole documents, each written before the next reads it."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratafold.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from stratafold.scratch import shared_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score from nearest labelled examples is 0.5 or more go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_below(docs.select(*COLUMNS), model, 0.5)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks that an earlier document holds leave the later one; what is left without a word goes."""
+    rows = line_dedup.dedup(docs.select(*COLUMNS))
+    rows = rows.filter((F.col("n_deleted") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return rows.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    gone = ngram_join.components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(docs, items).filter("contaminated").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each kept document the mix takes."""
+    return mixing.mix(docs)
+
+
+#: In this order; each works on all that the one before kept.
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", ngram_join_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("mixing sources to target weights", mix_stage),
+]
+
+#: Nearest labelled examples, alignment and the link graph have no SQL form; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents; every stage's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if number == len(STAGES) - 1:
+            return out
+        path = f"{shared_dir(spark)}/stratafold/pipeline-{number}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratafold.llm import decontaminate, gif_media, license_scan, line_dedup, mixing, ngram_join, toxicity, warc
+from stratafold.llm import decontaminate, gif_media, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, toxicity, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -21,6 +21,10 @@ def op3_gif_media(spark, sf_dir):
     return gif_media.read_back(gif_media.store(_table(spark, sf_dir, "documents")))
 
 
+def op4_language_id(spark, sf_dir):
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark, sf_dir):
     return ngram_join.components(_table(spark, sf_dir, "documents"))
 
@@ -37,12 +41,22 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", "text")
 
 
+def op9_html_extract(spark, sf_dir):
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, pipeline)}
 
 
 def oracle_sql():

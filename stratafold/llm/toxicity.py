@@ -259,3 +259,15 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.select(
         "doc_id", held_out_fifth(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence"
     )
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose score is below the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            keep = [model.score((t.as_py() or "").encode("utf-8", "surrogatepass"))[0] < threshold for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
