@@ -20,6 +20,8 @@ from stratafold.scratch import materialize
 
 #: Edges that a task contracts at once.
 CHUNK = 200_000
+#: Tasks at least over which the edges of one node are spread.
+SALTS = 8
 
 
 def contract(edges: list[tuple]) -> list[tuple]:
@@ -52,19 +54,25 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(contract(held), columns=["a", "b"])
 
 
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (a, b) with m of their a; salted, so that the rows of one a are spread over tasks."""
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links the larger neighbours of every node to the node's smallest neighbour."""
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = edges.select(ends.alias("e")).select("e.a", "e.b")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every node and its smaller neighbours to the smallest of these (edges have a > b)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     # The node's own link stands at its smallest neighbour, those of the others lead from them.
-    rows = edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    rows = _with_least(edges, least).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
     return rows.distinct()
 
 
