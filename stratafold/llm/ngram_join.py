@@ -8,7 +8,7 @@ Jaccard distance is a metric, and two documents link when it is at most 1 - thre
    replicated into the regions of its next rarest ones as long as a linked document could
    differ in all before (n - ceil(threshold * n) + 1 of them). Linked documents then meet in
    a region. Whole documents would not do as pivots here: nearly all distances to them are
-   exactly 1. Rarity is counted over all documents on a fixed quarter of the hash space,
+   exactly 1. Rarity is counted over all documents on a fixed third of the hash space,
    which is enough to rank; the few documents with too few shingles there fill up by hash.
 2. Regions that share documents form cells. A cell too large for one task is split around
    document pivots: all distances to them are computed row by row, what lies within the
@@ -20,7 +20,7 @@ Jaccard distance is a metric, and two documents link when it is at most 1 - thre
 
 Shingles are 64-bit hashes; candidates are compared by their full sets of these.
 
-Scale: one shuffle of a quarter of the shingles as (hash, doc_id), which is counted with
+Scale: one shuffle of a third of the shingles as (hash, doc_id), which is counted with
 map-side partial aggregation and joined back, so no common shingle ends in one task. Text
 is only shuffled for documents that share rare shingles. Equal sets are joined once.
 
@@ -42,7 +42,7 @@ from stratafold.operators.components import connected_components
 from stratafold.scratch import materialize
 
 #: Share of the hash space in which rarity is counted.
-SAMPLE = 0.25
+SAMPLE = 0.35
 #: Shingles that one task may join, and documents up to which a side is broadcast.
 BLOCK_SHINGLES = 1_500_000
 BROADCAST_DOCS = 1_000_000
@@ -129,25 +129,20 @@ def _over_texts(df: DataFrame, f, schema: str, names: list[str], types: list) ->
 
 
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, m (pivot shingles) and a 128-bit signature of the set."""
+    """doc_id, n, a 128-bit signature of the set, and the pivot shingles hs, in one pass over the texts."""
 
     def row(doc, text):
         s = shingle_set(text, size)
         one, two = _mix(s ^ np.uint64(_BASE)).sum(dtype=np.uint64), _mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        return doc, len(s), len(pivot_shingles(s, percent)), int(one.astype(np.int64)), int(two.astype(np.int64))
+        return doc, len(s), int(one.astype(np.int64)), int(two.astype(np.int64)), pivot_shingles(s, percent).view(np.int64)
 
-    names = ["doc_id", "n", "m", "s1", "s2"]
-    return _over_texts(docs, row, ", ".join(f"{x} long" for x in names), names, [pa.int64()] * 5)
+    names = ["doc_id", "n", "s1", "s2", "hs"]
+    return _over_texts(docs, row, "doc_id long, n long, s1 long, s2 long, hs array<long>", names, [pa.int64()] * 4 + [pa.list_(pa.int64())])
 
 
-def rare_regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> DataFrame:
-    """(h, doc_id): the regions that at least two different sets enter."""
-
-    def row(doc, text):
-        return doc, pivot_shingles(shingle_set(text, size), percent).view(np.int64)
-
-    arrays = _over_texts(docs, row, "doc_id long, hs array<long>", ["doc_id", "hs"], [pa.int64(), pa.list_(pa.int64())])
-    rows = arrays.select(F.explode("hs").alias("h"), "doc_id")
+def rare_regions(raw: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """(h, doc_id, first): the regions that at least two different sets enter."""
+    rows = raw.select(F.explode("hs").alias("h"), "doc_id")
     counts = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     held = materialize(rows.join(counts, "h"), "shared")
     own = profile.filter("doc_id = rep and n > 0").select("doc_id", "n", "m").distinct()
@@ -326,8 +321,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     raw = materialize(profiles(docs, size, percent), "profiles")
     reps = raw.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    profile = materialize(raw.join(reps, ["s1", "s2", "n"], "left").select("doc_id", "n", "m", F.coalesce("rep", "doc_id").alias("rep")), "profiles")
-    regions = materialize(rare_regions(docs, profile, size, percent), "regions")
+    profile = materialize(raw.join(reps, ["s1", "s2", "n"], "left").select(
+        "doc_id", "n", F.size("hs").alias("m"), F.coalesce("rep", "doc_id").alias("rep")
+    ), "profiles")
+    regions = materialize(rare_regions(raw, profile, percent), "regions")
     cells = connected_components(regions.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     members = materialize(
         cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")).join(profile.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id"), "members"
