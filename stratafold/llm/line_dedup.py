@@ -1,52 +1,82 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed (128 bits). Every line that two documents hold names its first holder, the
-smallest doc_id; a later document is paired with the first holders of its lines. A line
-held by n documents so gives n - 1 pairs, not all of them, and no line is too common to be
-followed. Each pair is aligned with patience diff: lines that are unique in both are
-matched in a longest increasing order, matches grow over equal neighbours, and what is left
-is aligned again, so moved passages are found too. An aligned block of at least
-``min_words`` words is deleted from the later document. A line's first holder keeps it.
-
-Scale: what is paired are hashes and places of shared lines. Joins on a common line or a
-common first holder are plain equi-joins that Spark may split.
+Lines with words are hashed (128 bits). From every line starts a unit, the shortest run of
+such lines with at least ``min_words`` words; a block of lines that stands in two documents
+and has that many words starts with a unit of both. Every unit names its first holder, the
+smallest doc_id, and a later document is paired with the first holders of its units: most
+units are rare, and one held by n documents gives n - 1 pairs, not all of them, so none is
+too common to be followed. Each pair is aligned with patience diff over the line hashes:
+lines that are unique in both are matched in a longest increasing order, matches grow over
+equal neighbours, and what is left is aligned again, so moved passages are found too.
+Aligned blocks of at least ``min_words`` words leave the later document, as does every unit
+that an earlier document holds, should an alignment have torn it. First holders keep theirs.
+
+Scale: hashes and places are written once; joins on a common unit, line or first holder are
+plain equi-joins that Spark may split. A document's own lines are the largest thing a task
+holds.
 
 Defined results: null and empty text stays as it is; documents that repeat a doc_id are
-treated as one for the deletions, each row losing the lines; lines within one document are
+treated as one, each row losing the lines at the same places; lines within one document are
 never compared; an empty table gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.text import BLANK
 from stratafold.scratch import materialize
 
-LINES = "array<struct<rank:int,pos:int,h1:bigint,h2:bigint,words:int>>"
+LINES = "doc_id long, rank int, pos int, h1 long, h2 long, words int, r1 long, r2 long, run int"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, rank among lines with words, pos among all lines, two hashes, number of words."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
-    rows = docs.select("doc_id", F.posexplode(F.filter(lines, lambda s: s["line"] != "")).alias("rank", "s"))
-    line = F.col("s.line")
-    return rows.select(
-        "doc_id", "rank", F.col("s.pos").alias("pos"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
-        F.size(F.array_remove(F.split(line, BLANK), "")).alias("words"),
-    )
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def lines_of(text: str | None, min_words: int) -> list[tuple]:
+    """(rank, pos, h1, h2, words, r1, r2, run) of every line with words; r and run are null where no unit starts."""
+    rows, digests = [], []
+    for pos, line in enumerate((text or "").split("\n")):
+        if words := len(line.split()):
+            digests.append(hashlib.md5(line.strip().encode("utf-8", "surrogatepass")).digest())
+            rows.append((pos, words))
+    out, end, total = [], 0, 0
+    for i, (pos, words) in enumerate(rows):
+        while end < len(rows) and total < min_words:
+            total += rows[end][1]
+            end += 1
+        unit = (None, None, None)
+        if total >= min_words:
+            unit = (*(_halves(digests[i]) if end == i + 1 else _halves(hashlib.md5(b"".join(digests[i:end])).digest())), end - i)
+        out.append((i, pos, *_halves(digests[i]), words, *unit))
+        total -= words
+    return out
 
 
-def shared_lines(docs: DataFrame) -> DataFrame:
-    """The lines that at least two documents hold, with their first holder."""
-    lines = line_table(docs)
-    held = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return lines.join(held.filter("first < last").drop("last"), ["h1", "h2"])
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """The rows of LINES of all documents."""
+    names = [x.split()[0] for x in LINES.split(", ")]
+    types = [pa.int64() if "long" in x else pa.int32() for x in LINES.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            held: list[tuple] = []
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                held += [(doc.as_py(), *row) for row in lines_of(text.as_py(), min_words)]
+                if len(held) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LINES)
 
 
 def _increasing(places: list[int]) -> list[int]:
@@ -103,24 +133,31 @@ def align(later: list[tuple], first: list[tuple]) -> list[list[int]]:
 
 def deletions(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """doc_id, gone: the places of the lines that leave each later document, where there are any."""
-    shared = materialize(shared_lines(docs), "lines")
-    pairs = shared.filter("first <> doc_id").select("doc_id", "first").distinct()
-    one = F.struct("rank", "pos", "h1", "h2", "words")
-    held = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("lines"))
+    lines = materialize(line_table(docs, min_words), "lines")
+    units = lines.filter("run is not null").select("doc_id", "rank", "run", "r1", "r2")
+    firsts = units.groupBy("r1", "r2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    later = units.join(firsts.drop("last"), ["r1", "r2"]).filter("first <> doc_id")
+    pairs = materialize(later.groupBy("doc_id", "first").agg(F.collect_set(F.struct("rank", "run")).alias("units")), "pairs")
+    shared = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h1", "h2")
+    paired = pairs.select("doc_id").union(pairs.select("first")).distinct()
+    held = lines.join(paired, "doc_id", "left_semi").join(shared, ["h1", "h2"]).groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.struct("rank", "pos", "h1", "h2", "words"))).alias("lines")
+    )
     both = pairs.join(held, "doc_id").join(held.select(F.col("doc_id").alias("first"), F.col("lines").alias("theirs")), "first")
 
     def work(batches):
         for pdf in batches:
             out = []
-            for doc, mine, theirs in zip(pdf["doc_id"], pdf["lines"], pdf["theirs"]):
+            for doc, units, mine, theirs in zip(pdf["doc_id"], pdf["units"], pdf["lines"], pdf["theirs"]):
                 rows = [(x["rank"], x["pos"], x["h1"], x["h2"], x["words"]) for x in mine]
                 other = [(x["rank"], x["pos"], x["h1"], x["h2"], x["words"]) for x in theirs]
-                gone = [rows[i][1] for block in align(rows, other) if sum(rows[i][4] for i in block) >= min_words for i in block]
-                if gone:
-                    out.append((doc, gone))
+                gone = {rows[i][1] for block in align(rows, other) if sum(rows[i][4] for i in block) >= min_words for i in block}
+                place = {x[0]: x[1] for x in rows}
+                gone.update(place[k] for u in units for k in range(u["rank"], u["rank"] + u["run"]))
+                out.append((doc, sorted(gone)))
             yield pd.DataFrame(out, columns=["doc_id", "gone"])
 
-    found = both.select("doc_id", "lines", "theirs").mapInPandas(work, "doc_id long, gone array<int>")
+    found = both.select("doc_id", "units", "lines", "theirs").mapInPandas(work, "doc_id long, gone array<int>")
     return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
