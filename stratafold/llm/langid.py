@@ -155,15 +155,26 @@ def held_out_third(doc_id):
 def fit(docs: DataFrame, sample: int = 3000, windows_per_doc: int = 3) -> Network:
     known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out_third(F.col("doc_id")))
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` ids: a broadcast of proven size.
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").collect()
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows if _LETTER.search(r["text"]))
+    # At most ``sample`` ids: a broadcast of proven size. Only windows of fixed length reach the driver.
+    texts = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            out = [
+                (doc, lang, row.tobytes())
+                for doc, lang, text in zip(*[c.to_pylist() for c in batch.columns]) if _LETTER.search(text)
+                for row in windows(text.encode("utf-8", "surrogatepass"), windows_per_doc)
+            ]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "window"])
+
+    chosen = texts.join(F.broadcast(ids.distinct()), "doc_id").select(F.col("doc_id").cast("long"), "lang", "text")
+    rows = sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(run, "doc_id long, lang string, window binary").collect())
     langs = sorted({lang for _, lang, _ in rows})
     network = Network.fresh(langs)
     if len(langs) > 1:
-        parts = [windows(text.encode("utf-8", "surrogatepass"), windows_per_doc) for _, _, text in rows]
-        y = np.repeat([langs.index(lang) for _, lang, _ in rows], [len(p) for p in parts])
-        network.train(np.concatenate(parts), y)
+        x = np.frombuffer(b"".join(w for _, _, w in rows), np.uint8).reshape(len(rows), WINDOW + REACH)
+        network.train(x, np.array([langs.index(lang) for _, lang, _ in rows]))
     network.fold()
     return network
 
