@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 The features of a text are its words and the beginnings of its words. Features that stand
-in toxic examples much more often than in clean ones make the vocabulary; document
+in toxic examples much more often than in clean ones make the vocabulary, with terms that
+say how many words of the text hold one, which a cosine would else not see; document
 frequencies for the TF-IDF weights are counted over all documents. Each document is scored
 against its nearest labelled examples by exact cosine, found with a block-max inverted
 index: examples lie in blocks, every term keeps its largest weight per block, and blocks
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 STARTS = range(4, 10)
+#: Terms of their own: whether at least so many words of a text hold a feature.
+AMOUNTS = (2, 3, 4, 6, 9, 14, 25)
 BLOCK = 32
 
 
@@ -127,14 +130,20 @@ class Model:
         """How often each feature of the vocabulary stands in a whole text."""
         out: dict[int, int] = {}
         memo, vocabulary = self.memo, self.vocabulary
+        hits = 0
         for word, n in text_words(text).items():
             ids = memo.get(word)
             if ids is None:
                 if len(memo) > 200_000:
                     memo.clear()
                 ids = memo[word] = tuple(vocabulary[f] for f in word_features(word) if f in vocabulary)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
+            if ids:
+                hits += n
+                for i in ids:
+                    out[i] = out.get(i, 0) + n
+        for k, amount in enumerate(AMOUNTS):
+            if hits >= amount:
+                out[len(vocabulary) + k] = 1
         return out
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
@@ -171,8 +180,8 @@ def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most
         b = held[0][f]
         odds = math.log((a + 0.5) / (total[1] + 1)) - math.log((b + 0.5) / (total[0] + 1))
         error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= least and odds - 1.5 * error > 0.7:
-            scored.append((-(odds - 1.5 * error), f))
+        if a >= least and odds - 2.5 * error > 1.0:
+            scored.append((-(odds - 2.5 * error), f))
     return {f: i for i, (_, f) in enumerate(sorted(scored)[:most])}
 
 
@@ -194,7 +203,7 @@ def held_out_fifth(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class: int = 2000, k: int = 15, least: int = 3, most: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class: int = 2000, k: int = 15, least: int = 4, most: int = 4000) -> Model:
     rows, totals = training_rows(docs, labels, held_out, per_class)
     examples = [(doc, text_words(text), y) for doc, text, y in rows]
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -203,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class:
     if not model.vocabulary or not seen[0] or not seen[1]:
         return model
     n, df = document_frequencies(docs, model)
-    model.idf = [math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(model.vocabulary))]
+    model.idf = [math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(model.vocabulary) + len(AMOUNTS))]
     model.weights = (totals[0] / seen[0], totals[1] / seen[1])
     scale = sum(model.weights) / 2
     model.weights = (model.weights[0] / scale, model.weights[1] / scale)
