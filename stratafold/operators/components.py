@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.scratch import materialize
+from stratafold.scratch import discard, materialize
 
 #: Edges that a task contracts at once.
 CHUNK = 200_000
@@ -89,7 +89,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         if (found := mark(now)) == seen or not found[0]:
             break
         seen = found

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where materialised tables lie, by identity of their frame.
+_PATHS: dict[int, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Only where none is set (tests) a local one is made."""
@@ -25,4 +30,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratafold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = path
+    weakref.finalize(table, _PATHS.pop, id(table), None)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more, and frees shuffle files of finished steps.
+
+    Call it only when what was derived from the tables has been materialised itself.
+    """
+    for table in tables:
+        if path := _PATHS.pop(id(table), None):
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
