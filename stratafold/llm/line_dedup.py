@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.scratch import materialize
+from stratafold.scratch import discard, materialize
 
 LINES = "doc_id long, rank int, pos int, h1 long, h2 long, words int, r1 long, r2 long, run int"
 
@@ -158,7 +158,9 @@ def deletions(docs: DataFrame, min_words: int = 20) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "gone"])
 
     found = both.select("doc_id", "units", "lines", "theirs").mapInPandas(work, "doc_id long, gone array<int>")
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = materialize(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    discard(lines, pairs)
+    return gone
 
 
 def dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:

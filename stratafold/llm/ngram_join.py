@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.operators.components import connected_components
-from stratafold.scratch import materialize
+from stratafold.scratch import discard, materialize
 
 #: Share of the hash space in which rarity is counted.
 SAMPLE = 0.35
@@ -144,16 +144,18 @@ def rare_regions(raw: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """(h, doc_id, first): the regions that at least two different sets enter."""
     rows = raw.select(F.explode("hs").alias("h"), "doc_id")
     counts = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    held = materialize(rows.join(counts, "h"), "shared")
+    shared = materialize(rows.join(counts, "h"), "shared")
     own = profile.filter("doc_id = rep and n > 0").select("doc_id", "n", "m").distinct()
-    held = held.join(own, "doc_id")
+    held = shared.join(own, "doc_id")
     by_doc = W.partitionBy("doc_id")
     need = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     free = need - (F.col("m") - F.count("*").over(by_doc))
-    near = held.withColumn("free", free).filter("free > 0").withColumn("place", F.row_number().over(by_doc.orderBy("df", "h")))
-    near = materialize(near.filter("place <= free").select("h", "doc_id").distinct(), "regions")
+    ranked = held.withColumn("free", free).filter("free > 0").withColumn("place", F.row_number().over(by_doc.orderBy("df", "h")))
+    near = materialize(ranked.filter("place <= free").select("h", "doc_id").distinct(), "regions")
     ends = near.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return near.join(ends, "h").select("h", "doc_id", "first")
+    regions = materialize(near.join(ends, "h").select("h", "doc_id", "first"), "regions")
+    discard(shared, near)
+    return regions
 
 
 class _Forest:
@@ -324,12 +326,15 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     profile = materialize(raw.join(reps, ["s1", "s2", "n"], "left").select(
         "doc_id", "n", F.size("hs").alias("m"), F.coalesce("rep", "doc_id").alias("rep")
     ), "profiles")
-    regions = materialize(rare_regions(raw, profile, percent), "regions")
+    regions = rare_regions(raw, profile, percent)
+    discard(raw)
     cells = connected_components(regions.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     members = materialize(
         cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")).join(profile.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id"), "members"
     )
+    discard(regions)
     links = materialize(cell_links(members, docs, size, percent), "links")
+    discard(members)
     found = connected_components(links.select("a", "b"))
     return profile.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
