@@ -45,9 +45,25 @@ def size_of(text: Column) -> Column:
     return F.when(number != "", F.floor(number.try_cast("double") * factor))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Decimal text of a non-negative double, correctly rounded from its binary value, ties to even.
+
+    The part of x * 10**digits that a double product loses is recovered by splitting x.
+    """
+    scale = F.lit(10.0**digits)
+    product = x * scale
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    lost = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    over = (product - whole - F.lit(0.5)) + lost
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    return F.format_string(f"%.{digits}f", (whole + F.when(up, 1).otherwise(0)) / scale)
+
+
 def human(size: Column) -> Column:
-    """GB, MB or KB with one decimal; ties go to the even digit."""
-    scaled = lambda unit, by: F.format_string(f"%.1f {unit}", F.bround(size / F.lit(float(by)), 1))
+    """GB, MB or KB with one decimal."""
+    scaled = lambda unit, by: F.concat(fixed(size / F.lit(float(by)), 1), F.lit(f" {unit}"))
     return F.when(size >= 1024**3, scaled("GB", 1024**3)).when(size >= 1024**2, scaled("MB", 1024**2)).otherwise(scaled("KB", 1024))
 
 

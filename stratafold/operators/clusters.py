@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions import paths
+from stratafold.functions.sizes import fixed, human
 from stratafold.operators import tree
 from stratafold.operators.components import connected_components
 
@@ -78,12 +79,10 @@ def next_master(mastered: DataFrame) -> DataFrame:
 
 def labels(mastered: DataFrame, scores: DataFrame) -> DataFrame:
     """cluster_id, label: one line per cluster for lists."""
-    from stratafold.functions.sizes import human
-
     per = mastered.groupBy("cluster_id").agg(
         F.sum("total_bytes").alias("bytes"), F.max(F.when(F.col("is_master"), F.col("path"))).alias("master")
     ).join(scores, "cluster_id")
     return per.select(
         "cluster_id",
-        F.format_string("· [%.2f] %-22s %8s", "min_score", F.substring(paths.name(F.col("master")), 1, 22), human(F.col("bytes"))).alias("label"),
+        F.format_string("· [%s] %-22s %8s", fixed(F.col("min_score"), 2), F.substring(paths.name(F.col("master")), 1, 22), human(F.col("bytes"))).alias("label"),
     )

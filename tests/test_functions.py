@@ -60,3 +60,9 @@ def test_hashes(spark, tmp_path):
     assert quick["b"]["digest"] == quick["c"]["digest"] != quick["a"]["digest"]
     assert full["b"]["digest"] != full["c"]["digest"]
     assert quick["z"]["digest"] is None and quick["z"]["error"]
+
+
+def test_fixed_rounds_like_python(spark):
+    values = [0.825, 0.835, 0.875, 0.125, 0.375, 1.25, 1.35, 0.0, 0.005, 0.015, 0.995, 2.675, 123456.785] + [i / 997 for i in range(1, 200)] + [i / 1000 for i in range(200)]
+    for digits in (1, 2):
+        assert column(spark, values, lambda c: sizes.fixed(c, digits), "double") == [f"{v:.{digits}f}" for v in values]
