@@ -99,7 +99,8 @@ def slot_draws(chunks: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     counts = even.union(drawn).groupBy("skey", "shard").agg(F.sum("c").alias("c"))
     upto = W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     counts = counts.withColumn("k0", F.sum("c").over(upto) - F.col("c")).filter("c > 0")
-    slots = counts.select("skey", "shard", F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("c") - 1)).alias("k")).join(per, "skey")
+    # The join comes first: a side that is exploded later is many times larger than its estimate.
+    slots = counts.join(per, "skey").withColumn("k", F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("c") - 1)))
     step = F.coalesce(*[F.when(F.col("n") % p != 0, F.lit(p)) for p in PRIMES])
     shift = F.pmod(F.xxhash64(F.lit(seed), "skey"), F.col("n"))
     index = F.pmod(F.pmod(F.col("k"), F.col("n")) * F.pmod(step, F.col("n")) + shift, F.col("n"))
