@@ -1,20 +1,22 @@
 """Toxicity by nearest labelled examples.
 
-The features of a text are its words and the beginnings of its words. Features that stand
-in toxic examples much more often than in clean ones make the vocabulary, with terms that
-say how many words of the text hold one, which a cosine would else not see; document
-frequencies for the TF-IDF weights are counted over all documents. Each document is scored
+A text is its whole TF-IDF vector over all words. Words that stand in toxic examples much
+more often than in clean ones are telling: they weigh more, and telling beginnings of words
+and terms that say how many words of the text are telling come beside them; no word is left
+out. Document frequencies are counted over all documents; a word that no example holds
+counts in the length of the vector as one that no document holds. Each document is scored
 against its nearest labelled examples by exact cosine, found with a block-max inverted
-index: examples lie in blocks, every term keeps its largest weight per block, and blocks
-are visited by falling bound until no block can hold a nearer example. Distance-weighted
-votes, corrected for the share of each class in the sample, pass through an isotonic
-calibration that was fitted leaving each example out. The nearest examples are the evidence.
+index: examples lie in blocks, every term keeps its largest weight per block, the blocks of
+the highest bounds are visited first, then all whose bound allows a nearer example.
+Distance-weighted votes, corrected for the share of each class in the sample, pass through
+an isotonic calibration that was fitted leaving each example out. The nearest examples, all
+k of them, are the evidence.
 
 Bound: at most ``per_class`` examples of each label are fitted, taken by hash of doc_id;
 the labels' prior and the document frequencies cover everything.
 
-Defined results: null or empty text, and text without any feature, get the share of toxic
-examples among those without features; conflicting labels of one doc_id count as toxic;
+Defined results: null or empty text, and text that shares no word with an example, get the
+share of toxic examples among those without words; conflicting labels of one doc_id count as toxic;
 null labels are ignored; without examples of both labels all scores are the prior (0 with
 no labels); repeated rows are scored alike; an empty table gives no rows; other columns of
 the documents are ignored.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +40,10 @@ STARTS = range(4, 10)
 #: Terms of their own: whether at least so many words of a text hold a feature.
 AMOUNTS = (2, 3, 4, 6, 9, 14, 25)
 BLOCK = 32
+#: Place of the words that no example holds.
+OTHER = -2
+#: How much more a telling feature weighs than another of the same frequency.
+FAVOUR = 3.0
 
 
 def word_features(word: bytes) -> list[bytes]:
@@ -55,43 +61,97 @@ class Index:
 
     vectors: list[dict[int, float]]
     ids: list[int]
-    postings: dict[int, list[tuple[int, list[tuple[int, float]]]]] = field(default_factory=dict)
-    bounds: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self):
         # Examples whose heaviest terms agree lie together, so that bounds are tight.
         order = sorted(range(len(self.ids)), key=lambda i: (max(self.vectors[i].items(), key=lambda x: (x[1], -x[0]))[0], self.ids[i]))
-        self.vectors, self.ids = [self.vectors[i] for i in order], [self.ids[i] for i in order]
+        vectors, self.ids = [self.vectors[i] for i in order], [self.ids[i] for i in order]
         self.blocks = -(-len(self.ids) // BLOCK)
-        parts: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for i, v in enumerate(self.vectors):
-            for t, w in v.items():
-                parts[t][i // BLOCK].append((i, w))
-        for t, by_block in parts.items():
-            self.postings[t] = by_block = dict(by_block)
-            self.bounds[t] = np.zeros(self.blocks)
-            for b, rows in by_block.items():
-                self.bounds[t][b] = max(w for _, w in rows)
+        # Rows: the terms and weights of each example; columns: the examples and weights of each term.
+        self.ends = np.cumsum([0] + [len(v) for v in vectors])
+        self.terms = np.array([t for v in vectors for t in v], np.int32)
+        self.weights = np.array([w for v in vectors for w in v.values()], float)
+        place = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(self.ends))
+        by_term = np.lexsort((place, self.terms))
+        self.width = int(self.terms.max()) + 1 if len(self.terms) else 0
+        self.column_ends = np.searchsorted(self.terms[by_term], np.arange(self.width + 1))
+        self.places, self.column_weights = place[by_term], self.weights[by_term]
+        # The largest weight of every term in every block that holds it.
+        key = self.terms[by_term].astype(np.int64) * max(1, self.blocks) + self.places // BLOCK
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        self.most = np.maximum.reduceat(self.column_weights, starts) if len(key) else np.zeros(0)
+        self.most_blocks = (key[starts] % max(1, self.blocks)).astype(np.int32)
+        self.most_ends = np.searchsorted(key[starts] // max(1, self.blocks), np.arange(self.width + 1))
+        self.vectors = _Rows(self)
+        self.dense = np.zeros(self.width)
+
+    @staticmethod
+    def _gathered(terms, query, ends, *columns):
+        """The entries of the terms' slices of each column, and the weight in the query of each entry."""
+        lo, n = ends[terms], ends[terms + 1] - ends[terms]
+        at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+        return np.repeat(query, n), *(c[at] for c in columns)
+
+    def _sums(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the examples of some blocks and their sums with ``dense``."""
+        places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        places = places[places < len(self.ids)]
+        one, terms, weights = self._gathered(places, np.arange(len(places)), self.ends, self.terms, self.weights)
+        return places, np.bincount(one, self.dense[terms] * weights, len(places))
+
+    @staticmethod
+    def _best(places, sums, k, leave):
+        sums = np.round(sums, 12)
+        keep = sums > 0 if leave is None else (sums > 0) & (places != leave)
+        places, sums = places[keep], sums[keep]
+        if len(sums) > k:
+            keep = sums >= np.partition(sums, -k)[-k]
+            places, sums = places[keep], sums[keep]
+        return sorted(((float(s), -int(i)) for s, i in zip(sums, places)), reverse=True)[:k]
 
     def nearest(self, query: dict[int, float], k: int, leave: int | None = None) -> list[tuple[float, int]]:
         """The k largest (cosine, -place) above 0, ties to the earlier place; ``leave`` is left out."""
-        terms = [(t, w) for t, w in query.items() if t in self.bounds]
-        if not terms:
+        known = [(t, w) for t, w in query.items() if t < self.width]
+        if not known:
             return []
-        bound = sum(w * self.bounds[t] for t, w in terms)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            sums: dict[int, float] = defaultdict(float)
-            for t, w in terms:
-                for i, x in self.postings[t].get(int(b), ()):
-                    sums[i] += w * x
-            best += [(round(s, 12), -i) for i, s in sums.items() if i != leave]
-            best = sorted(best, reverse=True)[:k]
+        terms, w = np.array([t for t, _ in known]), np.array([x for _, x in known])
+        each, blocks, most = self._gathered(terms, w, self.most_ends, self.most_blocks, self.most)
+        bound = np.bincount(blocks, each * most, self.blocks)
+        self.dense[terms] = w
+        order = np.argsort(-bound, kind="stable")
+        first = order[: -(-(k + 1) // BLOCK) + 1]
+        best = self._best(*self._sums(first), k, leave)
+        # No other block whose bound is lower can hold a nearer example.
+        least = best[-1][0] - 1e-11 if len(best) == k else 0.0
+        rest = order[len(first) :]
+        rest = rest[(bound[rest] >= least) & (bound[rest] > 0)]
+        if len(rest):
+            cost = (self.column_ends[terms + 1] - self.column_ends[terms]).sum()
+            if len(rest) * BLOCK * len(self.terms) > 2 * cost * len(self.ids):
+                each, places, weights = self._gathered(terms, w, self.column_ends, self.places, self.column_weights)
+                best = self._best(np.arange(len(self.ids)), np.bincount(places, each * weights, len(self.ids)), k, leave)
+            else:
+                best = self._best(*self._sums(np.r_[first, rest]), k, leave)
+        self.dense[terms] = 0.0
         return best
 
 
+class _Rows:
+    """The example vectors of an index as dictionaries, made when asked for."""
+
+    def __init__(self, index: Index):
+        self.index = index
+
+    def __len__(self):
+        return len(self.index.ids)
+
+    def __getitem__(self, i: int) -> dict[int, float]:
+        if i >= len(self):
+            raise IndexError(i)
+        part = slice(self.index.ends[i], self.index.ends[i + 1])
+        return dict(zip(self.index.terms[part].tolist(), self.index.weights[part].tolist()))
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the weighted non-decreasing least-squares fit (pool adjacent violators)."""
     pools: list[list[float]] = []  # value, weight, least x, largest x
@@ -111,6 +171,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 @dataclass
 class Model:
     vocabulary: dict[bytes, int]
+    #: Of the vocabulary, those that toxic examples hold clearly more often.
+    telling: frozenset[int]
     k: int
     prior: float
     idf: list[float] = field(default_factory=list)
@@ -121,34 +183,44 @@ class Model:
     knots: tuple = ((0.0,), (0.0,))
 
     def __post_init__(self):
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[bytes, tuple[tuple[int, ...], bool]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
-    def counts(self, text: bytes | None) -> dict[int, int]:
-        """How often each feature of the vocabulary stands in a whole text."""
-        out: dict[int, int] = {}
+    def counts(self, text: bytes | None) -> dict[int, float]:
+        """How often each feature of the vocabulary stands in a whole text.
+
+        Words that no example holds come as one sum of squares under OTHER.
+        """
+        out: dict[int, float] = {}
         memo, vocabulary = self.memo, self.vocabulary
-        hits = 0
+        hits, other = 0, 0.0
         for word, n in text_words(text).items():
-            ids = memo.get(word)
-            if ids is None:
+            found = memo.get(word)
+            if found is None:
                 if len(memo) > 200_000:
                     memo.clear()
-                ids = memo[word] = tuple(vocabulary[f] for f in word_features(word) if f in vocabulary)
-            if ids:
+                ids = tuple(vocabulary[f] for f in word_features(word) if f in vocabulary)
+                found = memo[word] = ids, word in vocabulary, any(i in self.telling for i in ids)
+            ids, held, tells = found
+            if tells:
                 hits += n
-                for i in ids:
-                    out[i] = out.get(i, 0) + n
+            if not held:
+                other += (1 + math.log(n)) ** 2
+            for i in ids:
+                out[i] = out.get(i, 0) + n
         for k, amount in enumerate(AMOUNTS):
             if hits >= amount:
                 out[len(vocabulary) + k] = 1
+        if other:
+            out[OTHER] = other
         return out
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
+    def vector(self, counts: dict[int, float]) -> dict[int, float]:
+        idf = self.idf
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items() if t != OTHER}
+        norm = math.sqrt(sum(x * x for x in v.values()) + counts.get(OTHER, 0.0) * idf[-1] ** 2)
         return {t: x / norm for t, x in v.items()} if norm else {}
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -161,19 +233,24 @@ class Model:
         return mass[0] / mass[1]
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        v = self.vector(self.counts(text))
-        near = self.index.nearest(v, self.k) if v and self.index else []
+        near = self.index.nearest(self.vector(self.counts(text)), self.k) if self.index else []
         if not near:
             return self.bare, []
         return float(np.interp(self.vote(near), *self.knots)), [(s, self.index.ids[-i]) for s, i in near]
 
 
-def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most: int) -> dict[bytes, int]:
-    """Features that toxic examples hold clearly more often than clean ones, strongest first."""
+def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most: int) -> tuple[dict[bytes, int], frozenset[int]]:
+    """Every word of the examples, and the telling features.
+
+    Telling are those that toxic examples hold clearly more often than clean ones, at most
+    ``most``, strongest first; beginnings of words are features only where they are telling.
+    """
     held = (Counter(), Counter())
     total = [0, 0]
+    every: set[bytes] = set()
     for _, words, y in examples:
         total[y] += 1
+        every.update(words)
         held[y].update({f for w in words for f in word_features(w)})
     scored = []
     for f, a in held[1].items():
@@ -182,7 +259,9 @@ def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most
         error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if a >= least and odds - 2.5 * error > 1.0:
             scored.append((-(odds - 2.5 * error), f))
-    return {f: i for i, (_, f) in enumerate(sorted(scored)[:most])}
+    telling = [f for _, f in sorted(scored)[:most]]
+    vocabulary = {f: i for i, f in enumerate(telling + sorted(every.difference(telling)))}
+    return vocabulary, frozenset(range(len(telling)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int):
@@ -207,15 +286,19 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class:
     rows, totals = training_rows(docs, labels, held_out, per_class)
     examples = [(doc, text_words(text), y) for doc, text, y in rows]
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    model = Model(choose_vocabulary(examples, least, most), k, prior, bare=prior)
+    model = Model(*choose_vocabulary(examples, least, most), k, prior, bare=prior)
     seen = Counter(y for _, _, y in examples)
     if not model.vocabulary or not seen[0] or not seen[1]:
         return model
     n, df = document_frequencies(docs, model)
-    model.idf = [math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(model.vocabulary) + len(AMOUNTS))]
+    favoured = len(model.vocabulary)
+    model.idf = [
+        (math.log((n + 1) / (df.get(i, 0) + 1)) + 1) * (FAVOUR if i in model.telling or i >= favoured else 1.0) for i in range(favoured + len(AMOUNTS))
+    ] + [math.log(n + 1) + 1]
     model.weights = (totals[0] / seen[0], totals[1] / seen[1])
     scale = sum(model.weights) / 2
     model.weights = (model.weights[0] / scale, model.weights[1] / scale)
+    # The words of each example are all in the vocabulary, its own rare ones too.
     vectors = [(doc, model.vector(model.counts(text)), y) for doc, text, y in rows]
     full = [(doc, v, y) for doc, v, y in vectors if v]
     if full:
@@ -253,7 +336,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [model.score(text.as_py()) for text in batch.column(1)]
-            evidence = [",".join(f"{i}:{s:.4f}" for s, i in near[:5]) for _, near in out]
+            evidence = [",".join(f"{i}:{s:.4f}" for s, i in near) for _, near in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"]
             )

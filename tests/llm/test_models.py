@@ -84,6 +84,20 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert toxicity.classify(odd_docs, known).count() == odd_docs.count() and toxicity.classify(no_docs, known).count() == 0
 
 
+def test_every_word_of_every_example_is_indexed(spark):
+    words = lambda i, n: " ".join(f"w{(7 * i + k) % 400}" for k in range(n))
+    docs = [(i, words(i, 30) + (" vile" if i % 4 == 0 else "")) for i in range(60)] + [(100, words(3, 30)), (101, "none known")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, held_out=lambda c: c < 0)
+    assert len(model.index.ids) == 60 and {b"vile", *(f"w{k}".encode() for k in range(400))} <= set(model.vocabulary)
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, model).collect()}
+    # A clean text without any telling word has neighbours too, all k of them.
+    assert got[100].startswith("3:1.0000,") and len(got[100].split(",")) > 5 and got[101] == ""
+    v = model.index.vectors[model.index.ids.index(3)]
+    assert len(v) == 30
+
+
 def test_extraction_of_unseen_layouts_and_the_table(spark):
     field, rng = html_extract.train(), random.Random(77)
     right = total = 0
