@@ -5,7 +5,10 @@ come from an exact set-similarity join: the tokens of all templates are put in o
 order, rarest in the documents first; a block (a line) that holds at least ``threshold``
 of a template's tokens must hold one of the template's first few tokens (prefix filter),
 be long enough (length filter), and have enough tokens left after the first match in both
-orders (positional filter). What passes is verified by the full intersection.
+orders (positional filter). What passes is verified by the full intersection. A notice that
+is wrapped over lines is found by a second kind of block: every window of words, whatever
+lines they stand on, a quarter longer than the template. Such a window too must hold one of
+the template's first few tokens, so only the words around those places are looked at.
 DataFrame functions only; templates are a fixed, small table, so only they are broadcast.
 
 Defined results: null and empty text have no words and no labels ('' and score 0);
@@ -21,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.text import GAP, WORD, lower_ascii
+from stratafold.llm.text import ASCII_LOWER, GAP, WORD, lower_ascii
 
 #: Phrases of the base scan, by label.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -67,8 +70,11 @@ def ranked_templates(docs: DataFrame, templates, threshold: float) -> list[dict]
     df = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
     rank = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (df.get(t, 0), t)))}
     return [
-        {"id": k, "label": label, "tokens": sorted(tokens, key=rank.get), "need": math.ceil(threshold * len(tokens) - 1e-9)}
-        for k, ((label, _), tokens) in enumerate(zip(templates, sets, strict=True))
+        {
+            "id": k, "label": label, "tokens": sorted(tokens, key=rank.get), "need": math.ceil(threshold * len(tokens) - 1e-9),
+            "window": math.ceil(1.25 * len(WORD.findall(text.translate(ASCII_LOWER)))),
+        }
+        for k, ((label, text), tokens) in enumerate(zip(templates, sets, strict=True))
     ]
 
 
@@ -76,20 +82,47 @@ def _literal(values) -> str:
     return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def containment_join(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """doc_id, line number, template, label and containment of every line that meets the threshold."""
-    spark = docs.sparkSession
-    ranked = ranked_templates(docs, templates, threshold)
-    order: dict[str, None] = {}
-    for token in sorted({t for x in ranked for t in x["tokens"]}, key=lambda t: min(x["tokens"].index(t) for x in ranked if t in x["tokens"])):
-        order[token] = None
+def prefix_table(spark, ranked: list[dict]) -> tuple[DataFrame, list[str]]:
+    """The prefix tokens of the templates with what their blocks are verified by, and the distinct tokens."""
     prefix = [(t, x, i) for x in ranked for i, t in enumerate(x["tokens"][: len(x["tokens"]) - x["need"] + 1])]
     table = spark.sql(
         "select * from values "
-        + ", ".join(f"('{t}', {x['id']}, '{x['label']}', {x['need']}, {i}, {_literal(x['tokens'])})" for t, x, i in prefix)
-        + " as t(token, template, label, need, place, tokens)"
+        + ", ".join(f"('{t}', {x['id']}, '{x['label']}', {x['need']}, {i}, {x['window']}, {_literal(x['tokens'])})" for t, x, i in prefix)
+        + " as t(token, template, label, need, place, window, tokens)"
+    )
+    return table, sorted({t for t, _, _ in prefix})
+
+
+def window_join(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """doc_id, template, label and containment of every template with a window of words that meets the threshold."""
+    ranked = ranked_templates(docs, templates, threshold)
+    table, tokens = prefix_table(docs.sparkSession, ranked)
+    firsts, reach = F.array(*map(F.lit, tokens)), max(x["window"] for x in ranked)
+    rows = docs.select("doc_id", F.array_remove(F.split(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), GAP), "").alias("w"))
+    rows = rows.filter(F.size("w") >= min(x["need"] for x in ranked)).filter(F.arrays_overlap("w", firsts))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(firsts, F.get("w", i)))
+    rows = rows.select("doc_id", F.explode(F.transform(at, lambda i: F.struct(
+        F.get("w", i).alias("token"), F.least(i, F.lit(reach - 1)).alias("mid"),
+        F.slice("w", F.greatest(i - (reach - 1), F.lit(0)) + 1, F.least(i, F.lit(reach - 1)) + reach).alias("near"),
+    ))).alias("x")).select("doc_id", "x.*")
+    found = rows.join(F.broadcast(table), "token")
+    # Windows that hold the place start up to window - 1 words before it.
+    low = F.greatest(F.col("mid") - F.col("window") + 1, F.lit(0))
+    found = found.withColumn("near", F.slice("near", low + 1, F.col("mid") - low + F.col("window"))).withColumn("mid", F.col("mid") - low)
+    found = found.filter(F.size(F.array_intersect("tokens", "near")) >= F.col("need"))
+    held = F.transform(
+        F.sequence(F.lit(0), F.col("mid")), lambda i: F.size(F.array_intersect(F.col("tokens"), F.slice("near", i + 1, F.col("window"))))
     )
-    firsts = F.array(*[F.lit(t) for t in sorted({t for t, _, _ in prefix})])
+    found = found.withColumn("overlap", F.array_max(held)).filter("overlap >= need")
+    return found.groupBy("doc_id", "template", "label").agg(F.max(F.col("overlap") / F.size("tokens")).alias("containment"))
+
+
+def containment_join(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """doc_id, line number, template, label and containment of every line that meets the threshold."""
+    spark = docs.sparkSession
+    ranked = ranked_templates(docs, templates, threshold)
+    table, tokens = prefix_table(spark, ranked)
+    firsts = F.array(*map(F.lit, tokens))
     shortest = min(x["need"] for x in ranked)
     lines = docs.select("doc_id", F.posexplode(F.split(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), "\n")).alias("line", "block"))
     lines = lines.select("doc_id", "line", F.array_distinct(F.array_remove(F.split("block", GAP), "")).alias("held"))
@@ -107,7 +140,9 @@ def containment_join(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per document."""
-    joined = containment_join(docs, templates, threshold).groupBy("doc_id").agg(
+    found = containment_join(docs, templates, threshold).select("doc_id", "label", "containment")
+    found = found.union(window_join(docs, templates, threshold).select("doc_id", "label", "containment"))
+    joined = found.groupBy("doc_id").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
     rows = docs.select("doc_id", lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("t"))

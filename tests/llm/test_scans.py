@@ -26,6 +26,32 @@ def test_license_templates_without_phrases(spark):
     assert got == {1: ("", "mit"), 2: ("", "cc-by-nc"), 3: ("mit", "mit"), 4: ("", "")}
 
 
+def test_wrapped_notices(spark):
+    mit = "x\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\n\nconditions are met"
+    far = " filler" * 60
+    rows = [(1, mit), (2, bsd), (3, "word " * 900 + bsd + far), (4, bsd.replace("binary", "binary" + "\nx" * 40)), (5, "licensed\nunder cc\nby nc\n4 0")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("bsd", 1.0), 4: ("", 0.0), 5: ("cc-by-nc", 1.0)}
+
+
+def test_windows_against_brute_force(spark):
+    rng = random.Random(4)
+    templates = [("a", "p q r s t"), ("b", "q q u v w x y")]
+    docs = [(i, "".join(rng.choice("pqrstuvwxyz") + rng.choice("  \n") for _ in range(rng.randint(0, 50)))) for i in range(60)]
+    want = {}
+    for doc, text in docs:
+        w = text.split()
+        for k, (_, t) in enumerate(templates):
+            t = t.split()
+            n, size = len(set(t)), -(-5 * len(t) // 4)
+            best = max((len(set(t) & set(w[i : i + size])) for i in range(len(w))), default=0)
+            if best >= 0.8 * n - 1e-9:
+                want[doc, k] = best / n
+    found = license_scan.window_join(spark.createDataFrame(docs, "doc_id long, text string"), templates)
+    assert want and {(r["doc_id"], r["template"]): r["containment"] for r in found.collect()} == want
+
+
 def by_hand(docs, items, window=10):
     split = lambda t: WORD.findall((t or "").translate(ASCII_LOWER))
     wins = [(i, tuple(w[k : k + window]) if len(w) >= window else tuple(w)) for i, t in items for w in [split(t)] if w for k in range(max(1, len(w) - window + 1))]
