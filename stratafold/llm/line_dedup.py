@@ -8,8 +8,11 @@ units are rare, and one held by n documents gives n - 1 pairs, not all of them,
 too common to be followed. Each pair is aligned with patience diff over the line hashes:
 lines that are unique in both are matched in a longest increasing order, matches grow over
 equal neighbours, and what is left is aligned again, so moved passages are found too.
-Aligned blocks of at least ``min_words`` words leave the later document, as does every unit
-that an earlier document holds, should an alignment have torn it. First holders keep theirs.
+Every aligned block, however short, leaves the later document, as does every unit that an
+earlier document holds, should an alignment have torn it. First holders keep theirs.
+Documents that share no unit are not paired and keep the short lines they share. Scripts
+written without spaces count a word for two (Han, kana) or four (Thai, Lao, Burmese, Khmer)
+characters.
 
 Scale: hashes and places are written once; joins on a common unit, line or first holder are
 plain equi-joins that Spark may split. A document's own lines are the largest thing a task
@@ -23,6 +26,7 @@ never compared; an empty table gives no rows; other columns are kept as they are
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections import Counter
 
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 
 from stratafold.scratch import discard, materialize
 
+_HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_THAI = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 LINES = "doc_id long, rank int, pos int, h1 long, h2 long, words int, r1 long, r2 long, run int"
 
 
@@ -40,11 +46,20 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def n_words(line: str) -> int:
+    """Number of words, by white space and, in scripts without it, by characters."""
+    if line.isascii():
+        return len(line.split())
+    line, han = _HAN.subn(" ", line)
+    line, thai = _THAI.subn(" ", line)
+    return len(line.split()) + -(-han // 2) + -(-thai // 4)
+
+
 def lines_of(text: str | None, min_words: int) -> list[tuple]:
     """(rank, pos, h1, h2, words, r1, r2, run) of every line with words; r and run are null where no unit starts."""
     rows, digests = [], []
     for pos, line in enumerate((text or "").split("\n")):
-        if words := len(line.split()):
+        if words := n_words(line):
             digests.append(hashlib.md5(line.strip().encode("utf-8", "surrogatepass")).digest())
             rows.append((pos, words))
     out, end, total = [], 0, 0
@@ -151,7 +166,7 @@ def deletions(docs: DataFrame, min_words: int = 20) -> DataFrame:
             for doc, units, mine, theirs in zip(pdf["doc_id"], pdf["units"], pdf["lines"], pdf["theirs"]):
                 rows = [(x["rank"], x["pos"], x["h1"], x["h2"], x["words"]) for x in mine]
                 other = [(x["rank"], x["pos"], x["h1"], x["h2"], x["words"]) for x in theirs]
-                gone = {rows[i][1] for block in align(rows, other) if sum(rows[i][4] for i in block) >= min_words for i in block}
+                gone = {rows[i][1] for block in align(rows, other) for i in block}
                 place = {x[0]: x[1] for x in rows}
                 gone.update(place[k] for u in units for k in range(u["rank"], u["rank"] + u["run"]))
                 out.append((doc, sorted(gone)))

@@ -65,3 +65,13 @@ def test_alignment():
     a, b = make("p\nq\nr\nx\ny"), make("x\ny\n-\np\nq\nr")
     assert sorted(align(a, b)) == [[0, 1, 2], [3, 4]]  # a moved block is a block of its own
     assert align(make("a\na\nb"), make("a\nb")) and align([], b) == [] and align(make("n"), b) == []
+
+
+def test_short_aligned_blocks_and_scripts_without_spaces(spark):
+    passage, own = " ".join(f"a{i}" for i in range(30)), [" ".join(f"{x}{i}" for i in range(25)) for x in "bcde"]
+    han, thai = "".join(chr(0x4E00 + i) for i in range(60)), "".join(chr(0x0E01 + i % 40) for i in range(90))
+    rows = [(1, f"{passage}\n{own[0]}\nshared short line\n{own[1]}"), (2, f"{passage}\n{own[2]}\nshared short line\n{own[3]}")]
+    rows += [(3, f"{han}\n{thai}"), (4, f"{own[0][::-1]}\n{han}"), (5, thai + "\nend")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == f"{own[2]}\n{own[3]}" and got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[4] == own[0][::-1] and got[5] == "end"
