@@ -3,7 +3,8 @@
 The tokens of a source are packed into fixed-length blocks. Each output shard gets a
 multinomial draw of how many of its slots every source fills, slots map to blocks through
 a pseudorandom permutation of the source's block indexes, and blocks join by index.
-DataFrame functions only.
+``mixed`` gives the tokens of every slot of every shard; ``mix`` counts per document what
+the same join takes. DataFrame functions only.
 
 Scale: documents are packed within chunks of a few thousand documents of one source, so
 no source, however hot, is ordered in one task. Joins against per-source rows are salted.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratafold.llm.text import n_blank_words
+from stratafold.llm.text import BLANK, n_blank_words
 
 #: Multipliers of the index permutations; the first that does not divide the block count is used.
 PRIMES = (1000003, 1000033, 1000037, 1000039)
@@ -27,11 +28,11 @@ SALTS = 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and a non-null key of the source."""
+    """doc_id, source, size, text and a non-null key of the source."""
     return docs.select(
         "doc_id", "source", n_blank_words(F.col("text")).alias("size"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
-        F.xxhash64("text").alias("tie"),
+        F.xxhash64("text").alias("tie"), "text",
     )
 
 
@@ -108,26 +109,53 @@ def slot_draws(chunks: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     return slots.select("skey", "shard", "k", index.alias("block"), share.alias("share"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes of each document, repeats counted)."""
+def taken_pieces(docs: DataFrame, weights, cap, block_tokens: int, shard_slots: int, chunk_docs: int, seed: int) -> DataFrame:
+    """The documents' tokens cut at block ends, joined to the slots by source and block index.
+
+    One row per piece and slot, ``tokens`` being what the slot takes of the piece, parted by
+    spaces; a piece without a slot, and a document without tokens, has one row without shard.
+    """
     sizes = sized(docs)
     targets = source_targets(sizes, weights, cap)
     rows, chunks = packed(sizes, targets, block_tokens, chunk_docs)
-    used = slot_draws(chunks, shard_slots, seed).groupBy("skey", "block").agg(
-        F.sum(F.when(F.col("share") >= 1 - 1e-9, 1).otherwise(0)).alias("times"),
-        F.max(F.when(F.col("share") < 1 - 1e-9, F.col("share"))).alias("part"),
-    )
     size = F.lit(block_tokens)
-    spans = rows.join(chunks.select("skey", "chunk", "base", "tokens"), ["skey", "chunk"]).withColumn(
-        "local",
-        F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"off div {block_tokens}"), F.expr(f"(off + size - 1) div {block_tokens}")))),
+    rows = rows.select("skey", "source", "chunk", "rn", "doc_id", "size", "off", "text", "source_size", "target")
+    rows = rows.join(chunks.select("skey", "chunk", "base", F.col("tokens").alias("in_chunk")), ["skey", "chunk"])
+    rows = rows.withColumn("words", F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANK), "")).drop("text")
+
+    def piece(block):
+        lo = F.greatest(F.col("off"), block * size)
+        n = F.least(F.col("off") + F.col("size"), (block + 1) * size) - lo
+        words = F.slice("words", (lo - F.col("off") + 1).cast("int"), n.cast("int"))
+        return F.struct(
+            (F.col("base") + block).alias("block"), F.least(F.col("in_chunk") - block * size, size).alias("length"),
+            (lo - block * size).alias("at"), n.alias("n"), F.array_join(words, " ").alias("tokens"),
+        )
+
+    blocks = F.sequence(F.expr(f"off div {block_tokens}"), F.expr(f"(off + size - 1) div {block_tokens}"))
+    # The words are named twice, so that they are split once per document and not once per block.
+    pieces = rows.withColumn("piece", F.explode_outer(F.when((F.col("size") > 0) & (F.size("words") > 0), F.transform(blocks, piece))))
+    pieces = pieces.select("skey", "source", "chunk", "rn", "doc_id", "size", "source_size", "target", "piece.*")
+    # Exploded slots are many times larger than their estimate: they must not be broadcast.
+    out = pieces.join(slot_draws(chunks, shard_slots, seed).hint("merge"), ["skey", "block"], "left")
+    part = F.floor(F.col("share") * F.col("length")) - F.col("at")
+    n = F.when(F.col("share") >= 1 - 1e-9, F.col("n")).when(F.col("share").isNotNull(), F.greatest(F.least(part, F.col("n")), F.lit(0)))
+    out = out.withColumn("n", F.coalesce(n, F.lit(0)).cast("int"))
+    return out.withColumn("tokens", F.when(F.col("n") > 0, F.expr("substring_index(tokens, ' ', n)")))
+
+
+def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
+    """shard, source, slot (its number within the source), block, n_tokens, tokens (parted by spaces) of the mix."""
+    pieces = taken_pieces(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed).filter("n > 0")
+    slots = pieces.groupBy("shard", "skey", F.col("k").alias("slot"), "block").agg(
+        F.first("source").alias("source"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("parts")
     )
-    spans = spans.withColumn("block", F.col("base") + F.col("local")).withColumn("lo", F.greatest("off", F.col("local") * size))
-    spans = spans.join(used, ["skey", "block"], "left")
-    length = F.least(F.col("tokens") - F.col("local") * size, size)
-    whole = F.least(F.col("off") + F.col("size"), (F.col("local") + 1) * size) - F.col("lo")
-    part_end = F.least(F.col("off") + F.col("size"), F.col("local") * size + F.floor(F.coalesce(F.col("part"), F.lit(0.0)) * length))
-    words = whole * F.coalesce("times", F.lit(0)) + F.greatest(part_end - F.col("lo"), F.lit(0))
-    return spans.groupBy("skey", "chunk", "rn", "doc_id", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")
+    return slots.select("shard", "source", "slot", "block", "n_tokens", F.array_join("parts.tokens", " ").alias("tokens"))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes of each document, repeats counted)."""
+    pieces = taken_pieces(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed)
+    return pieces.groupBy("skey", "chunk", "rn", "doc_id", "size", "source_size", "target").agg(
+        F.coalesce(F.sum(F.size(F.split("tokens", " "))), F.lit(0)).cast("long").alias("taken")
     ).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")

@@ -52,3 +52,18 @@ def test_odd_rows(odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count() and mixing.mix(no_docs).count() == 0
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
+
+
+def test_shards_hold_the_tokens_that_are_counted(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(37 * i % 400)), "ab"[i % 2]) for i in range(60)] + [(100, None, "a"), (101, "one", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slots = mixing.mixed(docs, block_tokens=16, shard_slots=50).collect()
+    held, source = {}, {w: s for _, t, s in rows for w in (t or "").split()}
+    for r in slots:
+        words = r["tokens"].split(" ")
+        assert len(words) == r["n_tokens"] <= 16 and {source[w] for w in words} == {r["source"]}
+        for w in words:
+            held[w] = held.get(w, 0) + 1
+    assert len({r["shard"] for r in slots}) > 3 and len({(r["source"], r["slot"]) for r in slots}) == len(slots)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_tokens=16, shard_slots=50).collect()}
+    assert got == {i: sum(held.get(w, 0) for w in (t or "").split()) for i, t, _ in rows} and sum(got.values()) > 5000
