@@ -1,13 +1,19 @@
 """Mixing sources to target weights.
 
-The tokens of a source are packed into fixed-length blocks. Each output shard gets a
-multinomial draw of how many of its slots every source fills, slots map to blocks through
-a pseudorandom permutation of the source's block indexes, and blocks join by index.
-``mixed`` gives the tokens of every slot of every shard; ``mix`` counts per document what
-the same join takes. DataFrame functions only.
-
-Scale: documents are packed within chunks of a few thousand documents of one source, so
-no source, however hot, is ordered in one task. Joins against per-source rows are salted.
+The tokens of a source are packed into fixed-length blocks, numbered through all sources.
+A source fills as many slots as its target has blocks. Each slot draws its output shard
+from all shards alike, so the counts of a source over the shards are a multinomial draw
+whose total is held: without that a source would miss its target, and one at its cap would
+exceed it. The number of a slot within its source goes through a keyed permutation of the
+source's block indexes (a four-round Feistel walk), and blocks join by index. ``mixed``
+gives the tokens of every slot of every shard; ``mix`` counts per document what the same
+join takes. DataFrame functions only.
+
+Scale: sizes are counted once and written without the text. Documents are packed within
+chunks of a few thousand documents of one source, so no source, however hot, is ordered in
+one task; sources and chunks are numbered range by range. The table of sources is broadcast
+only when it is counted to be small, else the joins with it are salted; all sides that grow
+with the documents are merge-joined. ``mixed`` shuffles the texts, ``mix`` does not.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of
 its own and ranks last; repeated rows are rows of their own; an empty table gives no rows.
@@ -16,23 +22,27 @@ Columns beside doc_id, text and source are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.llm.text import BLANK, n_blank_words
+from stratafold.operators.ordering import with_running
+from stratafold.scratch import materialize
 
-#: Multipliers of the index permutations; the first that does not divide the block count is used.
-PRIMES = (1000003, 1000033, 1000037, 1000039)
 SALTS = 64
+#: Sources, and bytes of their names, up to which the table of sources is broadcast.
+FEW_SOURCES, FEW_BYTES = 100_000, 8 << 20
+ROUNDS = 4
+#: Steps of a walk. Fewer than one step in sqrt(n) leaves the n indexes, so none needs nearly as many.
+WALK = 24
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, text and a non-null key of the source."""
+    """doc_id, source, size, a non-null key of the source, and a hash of the text."""
     return docs.select(
         "doc_id", "source", n_blank_words(F.col("text")).alias("size"),
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
-        F.xxhash64("text").alias("tie"), "text",
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.xxhash64("text").alias("tie"),
     )
 
 
@@ -42,112 +52,126 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> Dat
     Water filling in closed form: with the sources in order of cap * size / weight, the
     first at which the level of what is left reaches no cap fixes the level of all others.
     """
-    per = sizes.groupBy("skey").agg(
-        F.first("source").alias("source"), F.count("*").alias("n_docs"), F.sum("size").alias("source_size")
-    )
-    by_rank = W.orderBy(F.col("source").asc_nulls_last())
+    per = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("rank", F.row_number().over(by_rank)).withColumn(
-        "w", F.element_at(cycle, F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1)
-    )
+    per = with_running(per, [F.col("source").asc_nulls_last()]).withColumnRenamed("place", "rank")
+    per = per.withColumn("w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
     per = per.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("w"))
-    order = W.orderBy("ratio", "rank")
-    before, whole = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    )
-    per = per.withColumn("place", F.row_number().over(order)).withColumn("level", level)
-    fixed = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(whole)["level"]
-    per = per.withColumn("fixed", F.coalesce(fixed, F.max("ratio").over(whole)))
-    return per.select("skey", "n_docs", "source_size", F.least(F.col("fixed") * F.col("w"), F.col("most")).alias("target"))
-
-
-def packed(sizes: DataFrame, targets: DataFrame, block_tokens: int, chunk_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in the token stream of their chunk, and chunks with their first block."""
-    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["skey", "salt"])
-    chunks_of = F.ceil(F.col("n_docs") / F.lit(chunk_docs))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(17)), chunks_of))
-    inside = W.partitionBy("skey", "chunk").orderBy("doc_id", "size", "tie")
-    rows = rows.withColumn("rn", F.row_number().over(inside)).withColumn(
-        "off", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    )
-    per = rows.groupBy("skey", "chunk").agg(F.sum("size").alias("tokens"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    per = per.withColumn("blocks", F.ceil(F.col("tokens") / F.lit(block_tokens)))
-    source = W.partitionBy("skey")
-    per = per.withColumn(
-        "base", F.sum("blocks").over(source.orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("blocks")
-    ).withColumn("n_blocks", F.sum("blocks").over(source))
-    return rows, per
-
+    filled = with_running(per, ["ratio", "rank"], {"most_before": "most", "w_before": "w"})
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w"), F.max("ratio").alias("ratio")).first()
+    level = (F.lit(whole["size"] or 0) - F.col("most_before")) / (F.lit(whole["w"] or 1.0) - F.col("w_before"))
+    first = filled.withColumn("level", level).filter("level <= ratio").agg(F.min(F.struct("place", "level")).alias("m")).first()["m"]
+    fixed = F.lit(first["level"] if first else whole["ratio"] or 0.0)
+    return filled.select("skey", "n_docs", "source_size", F.least(fixed * F.col("w"), F.col("most")).alias("target"))
+
+
+def with_source(rows: DataFrame, sources: DataFrame, few: bool, salt_by: list[str]) -> DataFrame:
+    """``rows`` with the columns of their source; a hot source is spread over tasks where the table is not small."""
+    if few:
+        return rows.join(F.broadcast(sources), "skey")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
+    return rows.join(salted.hint("merge"), ["skey", "salt"]).drop("salt")
+
+
+def permuted(j: Column, n: Column, key: list[Column]) -> Column:
+    """The place of index j under a keyed permutation of 0 .. n - 1: a Feistel walk on a grid just larger than n."""
+    a = F.ceil(F.sqrt(n)).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def step(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
+        for r in range(ROUNDS):
+            if r % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(*key, F.lit(r), left), b), b)
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(*key, F.lit(r), right), a), a)
+        return left * b + right
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(j), lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    return F.when(at < n, at).otherwise(F.raise_error(F.lit("the walk did not end")).cast("long"))
+
+
+class Plan:
+    """Which tokens of which document fill which slot of which shard."""
+
+    def __init__(self, docs: DataFrame, weights, cap: float, block_tokens: int, shard_slots: int, chunk_docs: int, seed: int):
+        self.docs, self.block_tokens, self.seed = docs, block_tokens, seed
+        sizes = materialize(sized(docs), "sizes")
+        targets = materialize(source_targets(sizes, weights, cap), "targets")
+        n, width = targets.agg(F.count("*"), F.sum(F.octet_length("skey"))).first()
+        self.few = n <= FEW_SOURCES and (width or 0) <= FEW_BYTES
+        rows = with_source(sizes, targets, self.few, ["doc_id"])
+        self.rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("n_docs") / F.lit(chunk_docs))))
+        chunks = self.rows.groupBy("skey", "chunk").agg(F.sum("size").alias("in_chunk"))
+        chunks = chunks.withColumn("blocks", F.ceil(F.col("in_chunk") / F.lit(block_tokens)))
+        self.chunks = materialize(with_running(chunks, ["skey", "chunk"], {"base": "blocks"}).drop("place"), "chunks")
+        sources = self.chunks.groupBy("skey").agg(F.min("base").alias("start"), F.sum("blocks").alias("n"))
+        sources = sources.join(targets, "skey").filter("source_size > 0").withColumn("x", F.col("target") * F.col("n") / F.col("source_size"))
+        self.sources = sources.select("skey", "start", "n", "x", F.ceil(F.col("x") - F.lit(1e-9)).alias("m"))
+        self.shards = max(1, -(-int(self.sources.agg(F.sum("m")).first()[0] or 0) // shard_slots))
+
+    def slots(self) -> DataFrame:
+        """One row per slot: block, source, number k within the source, shard, share of the block taken."""
+        rows = with_source(self.chunks.filter("blocks > 0"), self.sources, self.few, ["chunk"])
+        first = F.col("base") - F.col("start")
+        rows = rows.withColumn("j", F.explode(F.sequence(first, first + F.col("blocks") - 1)))
+        rows = rows.withColumn("times", F.floor(F.col("m") / F.col("n")) + (F.col("j") < F.col("m") % F.col("n")).cast("long")).filter("times > 0")
+        rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("k", F.col("pass") * F.col("n") + F.col("j"))
+        key = [F.lit(self.seed), F.col("skey")]
+        share = F.when(F.col("k") == F.col("m") - 1, F.col("x") - F.col("k")).otherwise(F.lit(1.0))
+        return rows.select(
+            (F.col("start") + permuted(F.col("j"), F.col("n"), key)).alias("block"), F.col("skey").alias("slot_source"), "k",
+            F.pmod(F.xxhash64(*key, F.col("k")), F.lit(self.shards)).alias("shard"), share.alias("share"),
+        )
 
-def slot_draws(chunks: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """One row per slot: skey, shard, slot number k of its source, block index, share of the block taken.
+    def pieces(self) -> DataFrame:
+        """The documents' tokens cut at block ends, joined to the slots by block index.
 
-    Every source spreads its slots evenly over the shards; what is left over after the even
-    part falls on shards by a multinomial draw from hashes, so reruns agree.
-    """
-    per = chunks.groupBy("skey").agg(
-        F.first("n_blocks").alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
-    ).filter("source_size > 0")
-    per = per.withColumn("x", F.col("target") * F.col("n") / F.col("source_size"))
-    per = per.withColumn("m", F.ceil(F.col("x") - F.lit(1e-9)))
-    per = per.withColumn("shards", F.ceil(F.sum("m").over(W.partitionBy(F.lit(0))) / F.lit(shard_slots)))
-    even = per.select("skey", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.floor(F.col("m") / F.col("shards")).alias("c"))
-    drawn = per.filter("m % shards > 0").select(
-        "skey", "shards", F.explode(F.sequence(F.lit(1), F.expr("m % shards"))).alias("j")
-    ).select("skey", F.pmod(F.xxhash64(F.lit(seed), "skey", "j"), F.col("shards")).alias("shard"), F.lit(1).cast("long").alias("c"))
-    counts = even.union(drawn).groupBy("skey", "shard").agg(F.sum("c").alias("c"))
-    upto = W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("k0", F.sum("c").over(upto) - F.col("c")).filter("c > 0")
-    # The join comes first: a side that is exploded later is many times larger than its estimate.
-    slots = counts.join(per, "skey").withColumn("k", F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("c") - 1)))
-    step = F.coalesce(*[F.when(F.col("n") % p != 0, F.lit(p)) for p in PRIMES])
-    shift = F.pmod(F.xxhash64(F.lit(seed), "skey"), F.col("n"))
-    index = F.pmod(F.pmod(F.col("k"), F.col("n")) * F.pmod(step, F.col("n")) + shift, F.col("n"))
-    share = F.when(F.col("k") == F.col("m") - 1, F.col("x") - F.col("k")).otherwise(F.lit(1.0))
-    return slots.select("skey", "shard", "k", index.alias("block"), share.alias("share"))
-
-
-def taken_pieces(docs: DataFrame, weights, cap, block_tokens: int, shard_slots: int, chunk_docs: int, seed: int) -> DataFrame:
-    """The documents' tokens cut at block ends, joined to the slots by source and block index.
-
-    One row per piece and slot, ``tokens`` being what the slot takes of the piece, parted by
-    spaces; a piece without a slot, and a document without tokens, has one row without shard.
-    """
-    sizes = sized(docs)
-    targets = source_targets(sizes, weights, cap)
-    rows, chunks = packed(sizes, targets, block_tokens, chunk_docs)
-    size = F.lit(block_tokens)
-    rows = rows.select("skey", "source", "chunk", "rn", "doc_id", "size", "off", "text", "source_size", "target")
-    rows = rows.join(chunks.select("skey", "chunk", "base", F.col("tokens").alias("in_chunk")), ["skey", "chunk"])
-    rows = rows.withColumn("words", F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANK), "")).drop("text")
-
-    def piece(block):
-        lo = F.greatest(F.col("off"), block * size)
-        n = F.least(F.col("off") + F.col("size"), (block + 1) * size) - lo
-        words = F.slice("words", (lo - F.col("off") + 1).cast("int"), n.cast("int"))
-        return F.struct(
-            (F.col("base") + block).alias("block"), F.least(F.col("in_chunk") - block * size, size).alias("length"),
-            (lo - block * size).alias("at"), n.alias("n"), F.array_join(words, " ").alias("tokens"),
+        One row per piece and slot: ``n`` tokens from place ``lo`` of the document stand at
+        ``at`` in the slot's block. A piece without a slot, and a document without tokens,
+        has one row without shard and n = 0.
+        """
+        inside = W.partitionBy("skey", "chunk").orderBy("doc_id", "size", "tie")
+        rows = self.rows.withColumn("rn", F.row_number().over(inside)).withColumn(
+            "off", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
         )
-
-    blocks = F.sequence(F.expr(f"off div {block_tokens}"), F.expr(f"(off + size - 1) div {block_tokens}"))
-    # The words are named twice, so that they are split once per document and not once per block.
-    pieces = rows.withColumn("piece", F.explode_outer(F.when((F.col("size") > 0) & (F.size("words") > 0), F.transform(blocks, piece))))
-    pieces = pieces.select("skey", "source", "chunk", "rn", "doc_id", "size", "source_size", "target", "piece.*")
-    # Exploded slots are many times larger than their estimate: they must not be broadcast.
-    out = pieces.join(slot_draws(chunks, shard_slots, seed).hint("merge"), ["skey", "block"], "left")
-    part = F.floor(F.col("share") * F.col("length")) - F.col("at")
-    n = F.when(F.col("share") >= 1 - 1e-9, F.col("n")).when(F.col("share").isNotNull(), F.greatest(F.least(part, F.col("n")), F.lit(0)))
-    out = out.withColumn("n", F.coalesce(n, F.lit(0)).cast("int"))
-    return out.withColumn("tokens", F.when(F.col("n") > 0, F.expr("substring_index(tokens, ' ', n)")))
+        rows = rows.join(self.chunks.select("skey", "chunk", "base", "in_chunk").hint("merge"), ["skey", "chunk"])
+        size = F.lit(self.block_tokens)
+
+        def piece(block):
+            lo = F.greatest(F.col("off"), block * size)
+            return F.struct(
+                (F.col("base") + block).alias("block"), F.least(F.col("in_chunk") - block * size, size).alias("length"),
+                (lo - block * size).alias("at"), (lo - F.col("off")).alias("lo"), (F.least(F.col("off") + F.col("size"), (block + 1) * size) - lo).alias("n"),
+            )
+
+        blocks = F.sequence(F.expr(f"off div {self.block_tokens}"), F.expr(f"(off + size - 1) div {self.block_tokens}"))
+        rows = rows.withColumn("piece", F.explode_outer(F.when(F.col("size") > 0, F.transform(blocks, piece))))
+        rows = rows.select("skey", "source", "chunk", "rn", "doc_id", "tie", "size", "source_size", "target", "piece.*")
+        # Slots are many times more than their estimate: they must not be broadcast.
+        out = rows.join(self.slots().hint("merge"), "block", "left")
+        part = F.floor(F.col("share") * F.col("length")) - F.col("at")
+        n = F.when(F.col("share") >= 1 - 1e-9, F.col("n")).when(F.col("share").isNotNull(), F.greatest(F.least(part, F.col("n")), F.lit(0)))
+        return out.withColumn("n", F.coalesce(n, F.lit(0)).cast("long"))
 
 
 def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
     """shard, source, slot (its number within the source), block, n_tokens, tokens (parted by spaces) of the mix."""
-    pieces = taken_pieces(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed).filter("n > 0")
-    slots = pieces.groupBy("shard", "skey", F.col("k").alias("slot"), "block").agg(
+    plan = Plan(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed)
+    row = ["doc_id", "skey", "tie"]
+    took = plan.pieces().filter("n > 0").groupBy(*row, "chunk", "rn", "source").agg(F.collect_list(F.struct("shard", "k", "block", "at", "lo", "n")).alias("parts"))
+    texts = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.xxhash64("text").alias("tie"), "text")
+    # Rows that agree in all three hold the same text: one of them serves all.
+    texts = texts.groupBy(*row).agg(F.first("text").alias("text"))
+    same = took["doc_id"].eqNullSafe(texts["doc_id"]) & (took["skey"] == texts["skey"]) & (took["tie"] == texts["tie"])
+    rows = took.join(texts.hint("merge"), same).select("source", took["skey"], "parts", F.array_remove(F.split("text", BLANK), "").alias("words"))
+    cut = F.transform("parts", lambda p: F.struct(
+        p["shard"].alias("shard"), p["k"].alias("slot"), p["block"].alias("block"), p["at"].alias("at"), p["n"].alias("n"),
+        F.array_join(F.slice("words", (p["lo"] + 1).cast("int"), p["n"].cast("int")), " ").alias("tokens"),
+    ))
+    rows = rows.select("source", "skey", F.explode(F.when(F.size("words") > 0, cut)).alias("p")).select("source", "skey", "p.*")
+    slots = rows.groupBy("shard", "skey", "slot", "block").agg(
         F.first("source").alias("source"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("parts")
     )
     return slots.select("shard", "source", "slot", "block", "n_tokens", F.array_join("parts.tokens", " ").alias("tokens"))
@@ -155,7 +179,7 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: in
 
 def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of each document, repeats counted)."""
-    pieces = taken_pieces(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed)
-    return pieces.groupBy("skey", "chunk", "rn", "doc_id", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(F.size(F.split("tokens", " "))), F.lit(0)).cast("long").alias("taken")
-    ).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    pieces = Plan(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed).pieces()
+    return pieces.groupBy("skey", "chunk", "rn", "doc_id", "size", "source_size", "target").agg(F.sum("n").alias("taken")).select(
+        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken"
+    )

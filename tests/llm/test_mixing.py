@@ -1,4 +1,9 @@
+import math
+import struct
+
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from stratafold.llm import mixing
 
@@ -67,3 +72,80 @@ def test_shards_hold_the_tokens_that_are_counted(spark):
     assert len({r["shard"] for r in slots}) > 3 and len({(r["source"], r["slot"]) for r in slots}) == len(slots)
     got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_tokens=16, shard_slots=50).collect()}
     assert got == {i: sum(held.get(w, 0) for w in (t or "").split()) for i, t, _ in rows} and sum(got.values()) > 5000
+
+
+def hashed(*values):
+    """Spark's xxhash64 of ints (as LiteralInt), longs and strings."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def literal(v):
+    return struct.pack("<i", v)
+
+
+def walked(j, n, key):
+    a = math.ceil(math.sqrt(n))
+    b = -(-n // a)
+    while True:
+        left, right = divmod(j, b)
+        for r in range(mixing.ROUNDS):
+            if r % 2:
+                right = (right + hashed(*key, literal(r), left) % b) % b
+            else:
+                left = (left + hashed(*key, literal(r), right) % a) % a
+        j = left * b + right
+        if j < n:
+            return j
+
+
+def taken_by_brute_force(rows, block, chunk_docs, seed, cap=3.0):
+    """taken of every row (doc_id, text, source), slot by slot and token by token."""
+    sized = [(d, len((t or "").split()), hashed(t), s) for d, t, s in rows]
+    sizes, docs = {}, {}
+    for _, n, _, s in sized:
+        sizes[s], docs[s] = sizes.get(s, 0) + n, docs.get(s, 0) + 1
+    target, out = fill(sizes, cap=cap), []
+    for s in sizes:
+        key, chunks = ("s" + s if s is not None else "n"), {}
+        for row in sorted((x for x in sized if x[3] == s), key=lambda x: x[:3]):
+            chunks.setdefault(hashed(row[0], literal(17)) % math.ceil(docs[s] / chunk_docs), []).append(row)
+        blocks = []
+        for c in sorted(chunks):
+            stream = [(c, i) for i, row in enumerate(chunks[c]) for _ in range(row[1])]
+            blocks += [stream[i : i + block] for i in range(0, len(stream), block)]
+        took = dict.fromkeys(((c, i) for c in chunks for i in range(len(chunks[c]))), 0)
+        if blocks:
+            n = len(blocks)
+            x = target[s] * n / sizes[s]
+            for k in range(math.ceil(x - 1e-9)):
+                held = blocks[walked(k % n, n, (literal(seed), key))]
+                share = x - k if k == math.ceil(x - 1e-9) - 1 else 1.0
+                for token in held if share >= 1 - 1e-9 else held[: math.floor(share * len(held))]:
+                    took[token] += 1
+        out += [(chunks[c][i][0], chunks[c][i][1], n) for (c, i), n in took.items()]
+    return sorted(out)
+
+
+def test_taken_against_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in table.collect()]
+    odd = [(10**6 + i, "w " * (7 * i % 60), "ab"[i % 2]) for i in range(90)] + [(5, "x y z", None), (5, "x y z", None), (6, None, "b"), (7, "", "c")]
+    for some, block, chunk_docs in ((rows, 128, 2048), (rows + odd, 16, 20), (odd, 7, 5)):
+        docs = spark.createDataFrame(some, "doc_id long, text string, source string")
+        got = mixing.mix(docs, block_tokens=block, chunk_docs=chunk_docs).collect()
+        assert sorted((r["doc_id"], r["size"], r["taken"]) for r in got) == taken_by_brute_force(some, block, chunk_docs, 7)
+
+
+def test_permutation_and_many_sources(spark, monkeypatch):
+    for n in (1, 2, 3, 7, 16, 17, 100, 289, 1000):
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), [F.lit(3), F.lit("s")]).alias("p")).collect()
+        assert sorted(r["p"] for r in got) == list(range(n)) and (n < 50 or [r["p"] for r in got] != list(range(n)))
+    docs = spark.createDataFrame([(i, "w " * (i % 40), f"src{i % 30}") for i in range(300)], "doc_id long, text string, source string")
+    few = sorted(map(tuple, mixing.mix(docs, block_tokens=8).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix(docs, block_tokens=8).collect())) == few
