@@ -1,26 +1,30 @@
 """Line dedup by pairwise alignment.
 
-Lines with words are hashed (128 bits). From every line starts a unit, the shortest run of
-such lines with at least ``min_words`` words; a block of lines that stands in two documents
-and has that many words starts with a unit of both. Every unit names its first holder, the
-smallest doc_id, and a later document is paired with the first holders of its units: most
-units are rare, and one held by n documents gives n - 1 pairs, not all of them, so none is
-too common to be followed. Each pair is aligned with patience diff over the line hashes:
-lines that are unique in both are matched in a longest increasing order, matches grow over
-equal neighbours, and what is left is aligned again, so moved passages are found too.
-Every aligned block, however short, leaves the later document, as does every unit that an
-earlier document holds, should an alignment have torn it. First holders keep theirs.
-Documents that share no unit are not paired and keep the short lines they share. Scripts
-written without spaces count a word for two (Han, kana) or four (Thai, Lao, Burmese, Khmer)
-characters.
-
-Scale: hashes and places are written once; joins on a common unit, line or first holder are
-plain equi-joins that Spark may split. A document's own lines are the largest thing a task
-holds.
-
-Defined results: null and empty text stays as it is; documents that repeat a doc_id are
-treated as one, each row losing the lines at the same places; lines within one document are
-never compared; an empty table gives no rows; other columns are kept as they are.
+Lines with words are hashed (128 bits). A unit is a shortest run of such lines with at
+least ``min_words`` words: mostly a single line, a few lines where lines are short. From
+every line a unit starts, and at every line one ends, so that a block of lines with that
+many words is made of units. Every unit names its first holder, the smallest doc_id, and a
+later document is paired with the first holders of its units. Most units are rare; one held
+by n documents gives n - 1 pairs, not all of them, so none is too common to be followed.
+
+Each pair is aligned with patience diff over the lines of the units it shares: lines that
+are unique in both are matched in a longest increasing order, matches grow over equal
+neighbours, and the gaps between are aligned in the same way (where no line is unique, by
+the longest common run). Every aligned block leaves the later document, and so do further
+copies of an aligned line in it. Shared lines out of that order are moved text: a run of them
+leaves if it has at least ``moved_words`` words and stays otherwise. First holders keep
+theirs. Runs of fewer than ``min_words`` words never pair documents. Scripts written without
+spaces count a word for two (Han, kana) or four (Thai, Lao, Burmese, Khmer) characters.
+
+Scale: units are written once. A pair is made of the places of its units only: neither the
+lines of a popular first holder nor any text goes to its pairs. The join on units broadcasts
+the few that hold more than a thousandth of all places. A document's own lines are the
+largest thing a task holds. The text is shuffled once, in the last join, whatever its size.
+
+Defined results: null and empty text stays as it is, as does a row without doc_id; rows that
+repeat a doc_id are never compared with each other; lines within one document are never
+compared; an empty table gives no rows; other columns are kept as they are, but for
+n_deleted, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.operators.skew import heavy_join
 from stratafold.scratch import discard, materialize
 
 _HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _THAI = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
-LINES = "doc_id long, rank int, pos int, h1 long, h2 long, words int, r1 long, r2 long, run int"
+UNITS = "doc_id long, tie long, rank int, r1 long, r2 long, pos array<int>, words array<int>"
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
@@ -55,43 +60,52 @@ def n_words(line: str) -> int:
     return len(line.split()) + -(-han // 2) + -(-thai // 4)
 
 
-def lines_of(text: str | None, min_words: int) -> list[tuple]:
-    """(rank, pos, h1, h2, words, r1, r2, run) of every line with words; r and run are null where no unit starts."""
-    rows, digests = [], []
-    for pos, line in enumerate((text or "").split("\n")):
-        if words := n_words(line):
-            digests.append(hashlib.md5(line.strip().encode("utf-8", "surrogatepass")).digest())
-            rows.append((pos, words))
-    out, end, total = [], 0, 0
-    for i, (pos, words) in enumerate(rows):
-        while end < len(rows) and total < min_words:
-            total += rows[end][1]
+def units_of(text: str | None, min_words: int) -> list[tuple]:
+    """(rank, r1, r2, pos, words) of every unit: rank counts the lines with words, pos all lines."""
+    lines = [(pos, words, line) for pos, line in enumerate((text or "").split("\n")) if (words := n_words(line))]
+    digests = [hashlib.md5(line.strip().encode("utf-8", "surrogatepass")).digest() for _, _, line in lines]
+    spans, end, total = set(), 0, 0
+    for start in range(len(lines)):  # shortest runs from every line on
+        while end < len(lines) and total < min_words:
+            total += lines[end][1]
             end += 1
-        unit = (None, None, None)
+        if total < min_words:
+            break
+        spans.add((start, end))
+        total -= lines[start][1]
+    start, total = 0, 0
+    for end in range(1, len(lines) + 1):  # shortest runs up to every line
+        total += lines[end - 1][1]
+        while total - lines[start][1] >= min_words:
+            total -= lines[start][1]
+            start += 1
         if total >= min_words:
-            unit = (*(_halves(digests[i]) if end == i + 1 else _halves(hashlib.md5(b"".join(digests[i:end])).digest())), end - i)
-        out.append((i, pos, *_halves(digests[i]), words, *unit))
-        total -= words
+            spans.add((start, end))
+    out = []
+    for a, b in sorted(spans):
+        digest = digests[a] if b == a + 1 else hashlib.md5(b"".join(digests[a:b])).digest()
+        out.append((a, *_halves(digest), [x[0] for x in lines[a:b]], [x[1] for x in lines[a:b]]))
     return out
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """The rows of LINES of all documents."""
-    names = [x.split()[0] for x in LINES.split(", ")]
-    types = [pa.int64() if "long" in x else pa.int32() for x in LINES.split(", ")]
+def unit_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """The rows of UNITS of all documents; ``tie`` tells texts of one doc_id apart."""
+    names = [x.split()[0] for x in UNITS.split(", ")]
+    types = [pa.list_(pa.int32()) if "array" in x else pa.int64() if "long" in x else pa.int32() for x in UNITS.split(", ")]
 
     def run(batches):
         for batch in batches:
             held: list[tuple] = []
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                held += [(doc.as_py(), *row) for row in lines_of(text.as_py(), min_words)]
+            for doc, tie, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                held += [(doc.as_py(), tie.as_py(), *row) for row in units_of(text.as_py(), min_words)]
                 if len(held) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
                     held = []
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LINES)
+    rows = docs.filter("doc_id is not null and text is not null")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, UNITS)
 
 
 def _increasing(places: list[int]) -> list[int]:
@@ -112,77 +126,103 @@ def _increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(later: list[tuple], first: list[tuple]) -> list[list[int]]:
-    """Blocks of indexes into ``later``; both are lists of (rank, pos, h1, h2, words) by rank.
-
-    A block runs over neighbouring lines (ranks one apart) in both documents.
-    """
-    where: dict[tuple, list[int]] = {}
-    for j, x in enumerate(first):
-        where.setdefault(x[2:4], []).append(j)
-    left = [i for i, x in enumerate(later) if x[2:4] in where]
-    free, blocks = set(left), []
-    while left:
-        counts = Counter(later[i][2:4] for i in left)
-        anchors = [(i, where[later[i][2:4]][0]) for i in left if counts[later[i][2:4]] == 1 == len(where[later[i][2:4]])]
-        if not anchors:
-            seen: set = set()
-            anchors = [(i, where[later[i][2:4]][0]) for i in left if not (later[i][2:4] in seen or seen.add(later[i][2:4]))]
-        for i, j in [anchors[k] for k in _increasing([j for _, j in anchors])]:
-            if i not in free:
+def _run_from(x: tuple[int, int], pairs: set[tuple[int, int]]) -> int:
+    n = 1
+    while (x[0] + n, x[1] + n) in pairs:
+        n += 1
+    return n
+
+
+def align(pairs: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Blocks (i, j, length) of a patience diff; pairs are the places (i, j) at which the two documents hold the same line."""
+    blocks, todo = [], [sorted(pairs)] if pairs else []
+    while todo:
+        part = todo.pop()
+        held = set(part)
+        mine, theirs = Counter(i for i, _ in part), Counter(j for _, j in part)
+        anchors = [(i, j) for i, j in part if mine[i] == theirs[j] == 1]
+        if anchors:
+            anchors = [anchors[k] for k in _increasing([j for _, j in anchors])]
+        else:
+            heads = [x for x in part if (x[0] - 1, x[1] - 1) not in held]
+            anchors = [min(heads, key=lambda x: (-_run_from(x, held), x))]
+        found: list[tuple[int, int, int]] = []
+        for i, j in anchors:
+            end_i, end_j = (found[-1][0] + found[-1][2], found[-1][1] + found[-1][2]) if found else (0, 0)
+            if i < end_i or j < end_j:
                 continue
-            block = [i]
-            for step in (-1, 1):
-                a, b = i + step, j + step
-                while (
-                    a in free and 0 <= b < len(first) and later[a][2:4] == first[b][2:4]
-                    and later[a][0] == later[a - step][0] + step and first[b][0] == first[b - step][0] + step
-                ):
-                    block.append(a)
-                    a, b = a + step, b + step
-            free.difference_update(block)
-            blocks.append(sorted(block))
-        left = [i for i in left if i in free]
-    return blocks
-
-
-def deletions(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """doc_id, gone: the places of the lines that leave each later document, where there are any."""
-    lines = materialize(line_table(docs, min_words), "lines")
-    units = lines.filter("run is not null").select("doc_id", "rank", "run", "r1", "r2")
-    firsts = units.groupBy("r1", "r2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = units.join(firsts.drop("last"), ["r1", "r2"]).filter("first <> doc_id")
-    pairs = materialize(later.groupBy("doc_id", "first").agg(F.collect_set(F.struct("rank", "run")).alias("units")), "pairs")
-    shared = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h1", "h2")
-    paired = pairs.select("doc_id").union(pairs.select("first")).distinct()
-    held = lines.join(paired, "doc_id", "left_semi").join(shared, ["h1", "h2"]).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("rank", "pos", "h1", "h2", "words"))).alias("lines")
-    )
-    both = pairs.join(held, "doc_id").join(held.select(F.col("doc_id").alias("first"), F.col("lines").alias("theirs")), "first")
+            n = _run_from((i, j), held)
+            while i > end_i and j > end_j and (i - 1, j - 1) in held:
+                i, j, n = i - 1, j - 1, n + 1
+            found.append((i, j, n))
+        blocks += found
+        # The gaps before, between and after the blocks; what lies out of order is left.
+        starts = [0] + [i + n for i, _, n in found]
+        gaps: list[list[tuple[int, int]]] = [[] for _ in starts]
+        bounds = [(-1, -1, 0), *found, (1 << 60, 1 << 60, 0)]
+        k = 0
+        for i, j in part:
+            while k + 1 < len(starts) and i >= starts[k + 1]:
+                k += 1
+            if bounds[k][1] + bounds[k][2] <= j < bounds[k + 1][1] and i < bounds[k + 1][0]:
+                gaps[k].append((i, j))
+        todo += [g for g in gaps if g]
+    return sorted(blocks)
+
+
+def leaving(pairs: set[tuple[int, int]], words: dict[int, int], moved_words: int) -> set[int]:
+    """The lines i of the later document that leave it, of those it shares with the first holder."""
+    blocks = align(pairs)
+    gone = {i + k for i, _, n in blocks for k in range(n)}
+    kept = {j + k for _, j, n in blocks for k in range(n)}
+    rest = {(i, j) for i, j in pairs if i not in gone}
+    for i, j in rest:
+        if j in kept:
+            gone.add(i)  # another copy of an aligned line
+        if (i - 1, j - 1) not in rest:
+            run = range(i, i + _run_from((i, j), rest))
+            if sum(words[k] for k in run) >= moved_words:
+                gone.update(run)
+    return gone
+
+
+def deletions(docs: DataFrame, min_words: int = 5, moved_words: int = 20) -> DataFrame:
+    """doc_id, tie (hash of the text), gone: the places of the lines that leave each later document, where there are any."""
+    units = materialize(unit_table(docs, min_words), "units")
+    firsts = units.groupBy("r1", "r2").agg(
+        F.min(F.struct("doc_id", "tie", "rank")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("held")
+    ).filter("f.doc_id < last")
+    shared = materialize(firsts.select("r1", "r2", "held", F.col("f.doc_id").alias("first"), F.col("f.tie").alias("first_tie"), F.col("f.rank").alias("place")), "shared")
+    later = heavy_join(units, shared, ["r1", "r2"], "held", units.count()).filter("doc_id > first")
+    pairs = later.groupBy("doc_id", "tie", "first", "first_tie").agg(F.collect_set(F.struct("rank", "place", "pos", "words")).alias("units"))
 
     def work(batches):
         for pdf in batches:
             out = []
-            for doc, units, mine, theirs in zip(pdf["doc_id"], pdf["units"], pdf["lines"], pdf["theirs"]):
-                rows = [(x["rank"], x["pos"], x["h1"], x["h2"], x["words"]) for x in mine]
-                other = [(x["rank"], x["pos"], x["h1"], x["h2"], x["words"]) for x in theirs]
-                gone = {rows[i][1] for block in align(rows, other) for i in block}
-                place = {x[0]: x[1] for x in rows}
-                gone.update(place[k] for u in units for k in range(u["rank"], u["rank"] + u["run"]))
-                out.append((doc, sorted(gone)))
-            yield pd.DataFrame(out, columns=["doc_id", "gone"])
-
-    found = both.select("doc_id", "units", "lines", "theirs").mapInPandas(work, "doc_id long, gone array<int>")
-    gone = materialize(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
-    discard(lines, pairs)
+            for doc, tie, units in zip(pdf["doc_id"], pdf["tie"], pdf["units"]):
+                places, words, same = {}, {}, set()
+                for u in units:
+                    for k, (p, w) in enumerate(zip(u["pos"], u["words"])):
+                        i = int(u["rank"]) + k
+                        places[i], words[i] = int(p), int(w)
+                        same.add((i, int(u["place"]) + k))
+                out.append((doc, tie, sorted(places[i] for i in leaving(same, words, moved_words))))
+            yield pd.DataFrame(out, columns=["doc_id", "tie", "gone"])
+
+    found = pairs.select("doc_id", "tie", "units").mapInPandas(work, "doc_id long, tie long, gone array<int>")
+    gone = found.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = materialize(gone.filter(F.size("gone") > 0), "gone")
+    discard(units, shared)
     return gone
 
 
-def dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 5, moved_words: int = 20) -> DataFrame:
     """The documents with the aligned blocks deleted, and n_deleted, the number of deleted lines."""
-    gone = deletions(docs, min_words).withColumnRenamed("gone", "__gone")
-    rows = docs.join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).withColumn(
-        "n_deleted", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long")
-    ).drop("__gone")
+    gone = deletions(docs, min_words, moved_words).hint("merge")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (rows["row.doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(rows["row.text"]) == gone["tie"])
+    rows = rows.join(gone, same, "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    columns = [text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_deleted"]
+    return rows.select(*columns, F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_deleted"))
