@@ -2,19 +2,24 @@
 
 An archive is a table of byte chunks: archive, seq, record, chunk, last, bytes. The bytes of
 one archive in order of seq are a WARC/1.1 file; a record's first chunk starts with its
-header. Payloads are cut into chunks before they leave the JVM and digests are carried from
-chunk to chunk, so neither writer nor reader holds a whole record.
+header. Payloads are cut into chunks before anything else touches them: a first pass carries
+SHA-1 digests from chunk to chunk and keeps only lengths and digests, the second shuffles
+the chunks to their headers, the reader carries digests again. None holds a whole record.
 
 Of records with equal payloads the one with the smallest page_id is a response, the others
-are revisits that name it. Payload digests meet in a partially aggregated group and in a
-join that Spark may split, so a payload shared by a third of all pages is no hot spot.
+are revisits that name it. Payload digests meet in a partially aggregated group; digests
+that very many pages share are joined by broadcast, so they are no hot spot. Both passes
+name a row by page_id, length and a 64-bit hash of its payload; each row is a record of its
+own, under a number given in the second pass.
 
 The reader runs over the archive files as they lie. A record whose chunks lie in two read
 tasks is noticed and read again by a shuffle of its own chunks only.
 
-Defined results: null html is an empty payload; repeated page_ids with equal payload are
-all responses; payloads below ``least_bytes`` are always responses; an empty table gives no
-rows; columns beside page_id, url and html are ignored.
+Defined results: null html is an empty payload; a page_id may stand in several rows, each
+is judged by its own payload: those that hold the payload's smallest page_id are all
+responses; a null page_id is kept, is never a revisit and never referred to; payloads below
+``least_bytes`` are always responses; an empty table gives no rows; columns beside page_id,
+url and html are ignored.
 """
 
 from __future__ import annotations
@@ -23,31 +28,15 @@ import base64
 import hashlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.scratch import materialize
+from stratafold.operators.skew import heavy_join
+from stratafold.scratch import discard, materialize
 
 CHUNK = 256 << 10
 DATE = "2000-01-01T00:00:00Z"
-ARCHIVE = "archive int, seq long, record long, chunk int, last boolean, bytes binary"
-
-
-def base32_of_hex(digest: str) -> str:
-    return base64.b32encode(bytes.fromhex(digest)).decode()
-
-
-def header(kind: str, record: int, url: str | None, length: int, digest: str, refers_to: int | None) -> bytes:
-    """The header of a record, with the empty line after it."""
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{record}>"), ("WARC-Date", DATE)]
-    if url is not None:
-        fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    if refers_to is not None:
-        fields.append(("WARC-Refers-To", f"<urn:page:{refers_to}>"))
-        fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(length))]
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
+KEY = ["page_id", "n", "tie"]
 
 
 def parse_header(head: bytes) -> dict[str, str]:
@@ -57,60 +46,97 @@ def parse_header(head: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) for x in lines[1:] if x)
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, refers_to for the pages that become revisits."""
-    digests = pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    digests = digests.filter(F.col("n") >= least_bytes)
-    first = digests.groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).filter("most > refers_to")
-    return digests.join(first.drop("most"), ["sha", "n"]).filter("page_id > refers_to").select("page_id", "refers_to").distinct()
-
-
-def write_chunks(pages: DataFrame, revisits: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The archive table: one archive per partition."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    rows = rows.join(revisits, "page_id", "left").withColumn("sha", F.sha1("payload"))
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+def chunked(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """record, page_id, url, n, tie, chunk, chunks, part: payloads cut up where they are read; the chunks of a row follow each other."""
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), "url",
+        F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("tie"),
+    )
     rows = rows.withColumn("n", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("chunks", F.greatest(F.ceil(F.col("n") / F.lit(chunk)), F.lit(1)).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select(
-        "page_id", "url", "refers_to", "sha", "n", "chunk", "chunks", F.substr("payload", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("part")
-    )
-    names = ["archive", "seq", "record", "chunk", "last", "bytes"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    return rows.select("record", "page_id", "url", "n", "tie", "chunk", "chunks", F.substr("payload", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("part"))
+
 
-    def write(batches):
-        archive, seq, digest = TaskContext.get().partitionId(), 0, None
+def payload_digests(chunks: DataFrame) -> DataFrame:
+    """page_id, n, tie and digest (base 32) of every different row."""
+    names, types = ["page_id", "n", "tie", "digest"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def carry(batches):
+        digest = None
         for batch in batches:
             out = []
-            for page, url, refers, sha, n, k, of, part in zip(*[batch.column(i).to_pylist() for i in range(8)]):
-                digest = hashlib.sha1() if k == 0 else digest
-                digest.update(part)
-                last = k == of - 1
-                if last and refers is None and digest.hexdigest() != sha:
-                    raise ValueError(f"the chunks of page {page} are not its payload")
-                head = header("response" if refers is None else "revisit", page, url, n, base32_of_hex(sha), refers) if k == 0 else b""
-                out.append((archive, seq, page, k, last, head + part + (b"\r\n\r\n" if last else b"")))
-                seq += 1
+            for page, n, tie, k, of, part in zip(*batch.columns):
+                digest = hashlib.sha1() if k.as_py() == 0 else digest
+                digest.update(part.as_buffer())
+                if k.as_py() == of.as_py() - 1:
+                    out.append((page.as_py(), n.as_py(), tie.as_py(), base64.b32encode(digest.digest()).decode()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return rows.mapInArrow(write, ARCHIVE)
+    rows = chunks.select(*KEY, "chunk", "chunks", "part").mapInArrow(carry, "page_id long, n long, tie long, digest string")
+    return rows.dropDuplicates(KEY)
+
+
+def plan_records(digests: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """The digests with refers_to, the page that holds the payload first, where that is another one."""
+    digests = materialize(digests, "digests")
+    first = digests.filter(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("held"))
+    first = materialize(first.filter("held > 1"), "firsts")
+    later = heavy_join(digests, first, ["digest", "n"], "held", digests.count()).filter("page_id > first")
+    refers = later.select(*KEY, F.col("first").alias("refers_to"))
+    planned = digests.join(refers.hint("merge"), KEY, "left")
+    return planned.select(*KEY, "digest", "refers_to")
+
+
+def header(kind, page, record, url, length, digest, refers_to):
+    """The header of a record, with the empty line after it, as a string column; empty fields are left out."""
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
+    page_of = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
+    uri = F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+    profile = F.when(refers_to.isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+    name = F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), record.cast("string"), F.lit(">"))
+    return F.concat_ws(
+        "", F.lit("WARC/1.1\r\n"), field("WARC-Type", kind), field("WARC-Record-ID", name), field("WARC-Date", F.lit(DATE)),
+        field("WARC-Target-URI", uri), field("WARC-Refers-To", page_of(refers_to)), field("WARC-Profile", profile),
+        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), field("Content-Type", F.lit("text/html; charset=utf-8")),
+        field("Content-Length", length), F.lit("\r\n"),
+    )
+
+
+def write_chunks(chunks: DataFrame, plan: DataFrame) -> DataFrame:
+    """The archive table: one archive per partition. The chunks of a record stay together and in order."""
+    same = chunks["page_id"].eqNullSafe(plan["page_id"]) & (chunks["n"] == plan["n"]) & (chunks["tie"] == plan["tie"])
+    rows = chunks.join(plan.hint("merge"), same).select(chunks["*"], "digest", "refers_to")
+    rows = rows.filter("refers_to is null or chunk = 0").sortWithinPartitions("record", "chunk")
+    whole = F.col("refers_to").isNull()
+    kind = F.when(whole, F.lit("response")).otherwise(F.lit("revisit"))
+    last = ~whole | (F.col("chunk") == F.col("chunks") - 1)
+    length = F.when(whole, F.col("n")).otherwise(F.lit(0))
+    head = F.when(F.col("chunk") == 0, F.encode(header(kind, F.col("page_id"), F.col("record"), F.col("url"), length, F.col("digest"), F.col("refers_to")), "utf-8"))
+    part = F.when(whole, F.col("part")).otherwise(F.lit(b""))
+    end = F.when(last, F.lit(b"\r\n\r\n")).otherwise(F.lit(b""))
+    return rows.select(
+        F.spark_partition_id().alias("archive"), F.monotonically_increasing_id().alias("seq"), "record", "chunk", last.alias("last"),
+        F.concat(F.coalesce(head, F.lit(b"")), part, end).alias("bytes"),
+    )
 
 
-READ = "page_id long, kind string, payload_bytes long, payload_digest string, refers_to long, whole boolean"
+READ = "record long, page_id long, kind string, payload_bytes long, payload_digest string, refers_to long, whole boolean"
 
 
 def _read(batches):
     """Rows of READ from chunks in order; ``whole`` is false for records of which chunks are missing here."""
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
     names = [x.split()[0] for x in READ.split(", ")]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    torn = lambda record: (record, None, None, None, None, None, False)
     record, after, head, digest, size, want, broken = None, 0, {}, None, 0, 0, False
     for batch in batches:
         out = []
         for rec, chunk, last, data in zip(*[batch.column(n).to_pylist() for n in ("record", "chunk", "last", "bytes")]):
             if record is not None and (chunk == 0 or rec != record or chunk != after):
-                out.append((record, None, None, None, None, False))
+                out.append(torn(record))
                 record, broken = None, False
             if chunk == 0:
                 end = data.index(b"\r\n\r\n") + 4
@@ -125,44 +151,54 @@ def _read(batches):
                 size += len(part)
             if last:
                 if broken:
-                    out.append((rec, None, None, None, None, False))
+                    out.append(torn(rec))
                 else:
                     named = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     found = base64.b32encode(digest.digest()).decode()
                     if size != want or head["WARC-Type"] == "response" and found != named:
                         raise ValueError(f"record {rec} is damaged")
-                    refers = head.get("WARC-Refers-To")
-                    out.append((rec, head["WARC-Type"], size, named, int(refers[10:-1]) if refers else None, True))
+                    page, refers = head["WARC-Record-ID"][10:].split(":")[0], head.get("WARC-Refers-To")
+                    out.append((rec, int(page) if page else None, head["WARC-Type"], size, named, int(refers[10:-1]) if refers else None, True))
                 record, broken = None, False
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            yield table(out)
     if record is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((record, None, None, None, None, False), types)], names=names)
+        yield table([torn(record)])
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """page_id, kind, payload_bytes, payload_digest, refers_to of every record of a stored archive table."""
+    """record, page_id, kind, payload_bytes, payload_digest, refers_to of every record of a stored archive table."""
     found = materialize(archives.select("record", "chunk", "last", "bytes").mapInArrow(_read, READ), "warc-read")
-    torn = found.filter("not whole").select(F.col("page_id").alias("record")).distinct()
+    torn = found.filter("not whole").select("record").distinct()
     good = found.filter("whole").drop("whole")
     if torn.isEmpty():
         return good
-    again = archives.select("archive", "seq", "record", "chunk", "last", "bytes").join(torn, "record", "left_semi")
+    again = archives.select("archive", "seq", "record", "chunk", "last", "bytes").join(torn.hint("merge"), "record", "left_semi")
     again = again.repartition("record").sortWithinPartitions("record", "archive", "seq")
-    good = good.join(torn.select(F.col("record").alias("page_id")), "page_id", "left_anti")
+    good = good.join(torn, "record", "left_anti")
     return good.union(again.select("record", "chunk", "last", "bytes").mapInArrow(_read, READ).drop("whole"))
 
 
+def archive(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The stored archive table of the pages."""
+    chunks = chunked(pages, chunk)
+    plan = materialize(plan_records(payload_digests(chunks), least_bytes), "plan")
+    stored = materialize(write_chunks(chunks, plan), "warc")
+    discard(plan)
+    return stored
+
+
 def archive_and_read(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to per page, as read back."""
-    archives = materialize(write_chunks(pages, plan_records(pages, least_bytes)), "warc")
-    records = read_records(archives)
-    whole = records.filter("kind = 'response'").groupBy("page_id").agg(F.max("payload_bytes").alias("n"), F.max("payload_digest").alias("d"))
-    revisits = records.filter("kind = 'revisit'").join(whole.select(F.col("page_id").alias("refers_to"), "n", "d"), "refers_to")
-    revisits = revisits.filter(F.col("d") == F.col("payload_digest"))
-    return records.filter("kind = 'response'").select(
-        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"
-    ).union(revisits.select("page_id", F.col("n"), "payload_digest", "kind", "refers_to"))
+    records = read_records(archive(pages, least_bytes))
+    # A revisit's length is that of the response it names: payloads of one digest are one payload.
+    lengths = records.filter("kind = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("n"))
+    held = records.filter("kind = 'revisit'").groupBy("payload_digest").agg(F.count("*").alias("held"))
+    named = materialize(lengths.join(held.hint("merge"), "payload_digest"), "named")
+    revisits = records.filter("kind = 'revisit'")
+    revisits = heavy_join(revisits, named, ["payload_digest"], "held", named.agg(F.sum("held")).first()[0] or 0)
+    columns = ["page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"]
+    return records.filter("kind = 'response'").select(*columns).union(revisits.withColumn("payload_bytes", F.col("n")).select(*columns))
 
 
 def oracle() -> str:
