@@ -33,8 +33,10 @@ from stratafold.scratch import materialize
 SALTS = 64
 #: Sources, and bytes of their names, up to which the table of sources is broadcast.
 FEW_SOURCES, FEW_BYTES = 100_000, 8 << 20
+#: Slots that one task makes: the chunks they are made from are a far smaller table, of few tasks.
+SLOTS_A_TASK = 50_000
 ROUNDS = 4
-#: Steps of a walk. Fewer than one step in sqrt(n) leaves the n indexes, so none needs nearly as many.
+#: Steps of a walk. Fewer than one step in sqrt(n) leaves the n indexes, so none needs as many.
 WALK = 24
 
 
@@ -109,11 +111,12 @@ class Plan:
         sources = self.chunks.groupBy("skey").agg(F.min("base").alias("start"), F.sum("blocks").alias("n"))
         sources = sources.join(targets, "skey").filter("source_size > 0").withColumn("x", F.col("target") * F.col("n") / F.col("source_size"))
         self.sources = sources.select("skey", "start", "n", "x", F.ceil(F.col("x") - F.lit(1e-9)).alias("m"))
-        self.shards = max(1, -(-int(self.sources.agg(F.sum("m")).first()[0] or 0) // shard_slots))
+        slots = int(self.sources.agg(F.sum("m")).first()[0] or 0)
+        self.shards, self.slot_tasks = max(1, -(-slots // shard_slots)), max(1, -(-slots // SLOTS_A_TASK))
 
     def slots(self) -> DataFrame:
         """One row per slot: block, source, number k within the source, shard, share of the block taken."""
-        rows = with_source(self.chunks.filter("blocks > 0"), self.sources, self.few, ["chunk"])
+        rows = with_source(self.chunks.filter("blocks > 0"), self.sources, self.few, ["chunk"]).repartition(self.slot_tasks, "skey", "chunk")
         first = F.col("base") - F.col("start")
         rows = rows.withColumn("j", F.explode(F.sequence(first, first + F.col("blocks") - 1)))
         rows = rows.withColumn("times", F.floor(F.col("m") / F.col("n")) + (F.col("j") < F.col("m") % F.col("n")).cast("long")).filter("times > 0")
