@@ -6,14 +6,15 @@ and terms that say how many words of the text are telling come beside them; no w
 out. Document frequencies are counted over all documents; a word that no example holds
 counts in the length of the vector as one that no document holds. Each document is scored
 against its nearest labelled examples by exact cosine, found with a block-max inverted
-index: examples lie in blocks, every term keeps its largest weight per block, the blocks of
+index: examples lie in blocks, terms have lists and largest weights per block, the blocks of
 the highest bounds are visited first, then all whose bound allows a nearer example.
 Distance-weighted votes, corrected for the share of each class in the sample, pass through
 an isotonic calibration that was fitted leaving each example out. The nearest examples, all
 k of them, are the evidence.
 
 Bound: at most ``per_class`` examples of each label are fitted, taken by hash of doc_id;
-the labels' prior and the document frequencies cover everything.
+the labels' prior and the document frequencies cover everything. The driver gets the words
+of the examples with their counts, the tasks the fitted model as one broadcast variable.
 
 Defined results: null or empty text, and text that shares no word with an example, get the
 share of toxic examples among those without words; conflicting labels of one doc_id count as toxic;
@@ -25,7 +26,6 @@ the documents are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -34,122 +34,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Lower-cases A-Z; a byte that no word holds becomes a space.
+_TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 STARTS = range(4, 10)
-#: Terms of their own: whether at least so many words of a text hold a feature.
+#: Terms of their own: whether at least so many words of a text hold a telling feature.
 AMOUNTS = (2, 3, 4, 6, 9, 14, 25)
 BLOCK = 32
-#: Place of the words that no example holds.
-OTHER = -2
+#: Terms that most examples hold, kept as dense rows of the blocks instead of lists.
+HEAD = 256
+#: Texts that are scored together.
+BATCH = 64
 #: How much more a telling feature weighs than another of the same frequency.
-FAVOUR = 3.0
+FAVOUR = 4.0
 
 
-def word_features(word: bytes) -> list[bytes]:
-    """The word itself and its beginnings, in bytes; a beginning ends in a zero byte."""
-    return [word] + [word[:n] + b"\0" for n in STARTS if n < len(word)]
+def beginnings(word: bytes) -> list[bytes]:
+    """The beginnings of a word in bytes, each ending in a zero byte, which no word holds."""
+    return [word[:n] + b"\0" for n in STARTS if n < len(word)]
 
 
-def text_words(text: bytes | None) -> Counter:
-    return Counter(_WORD.findall((text or b"").translate(_LOWER)))
+def text_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_TABLE).split()
+
+
+Vector = tuple[np.ndarray, np.ndarray]  # terms and their weights
 
 
-@dataclass
 class Index:
-    """Unit vectors of examples by block, for exact nearest neighbours by cosine."""
+    """Unit vectors of examples by block, for exact nearest neighbours by cosine.
 
-    vectors: list[dict[int, float]]
-    ids: list[int]
+    Terms have inverted lists, but for the ``HEAD`` commonest, which are dense rows. The
+    bound of a block is the largest sum of the lists in it plus, for the dense terms, the
+    sum of their largest weights in the block; only blocks whose bound reaches the k-th best
+    cosine known have their dense part computed.
+    """
 
-    def __post_init__(self):
+    def __init__(self, vectors: list[Vector], ids: list[int]):
         # Examples whose heaviest terms agree lie together, so that bounds are tight.
-        order = sorted(range(len(self.ids)), key=lambda i: (max(self.vectors[i].items(), key=lambda x: (x[1], -x[0]))[0], self.ids[i]))
-        vectors, self.ids = [self.vectors[i] for i in order], [self.ids[i] for i in order]
-        self.blocks = -(-len(self.ids) // BLOCK)
-        # Rows: the terms and weights of each example; columns: the examples and weights of each term.
-        self.ends = np.cumsum([0] + [len(v) for v in vectors])
-        self.terms = np.array([t for v in vectors for t in v], np.int32)
-        self.weights = np.array([w for v in vectors for w in v.values()], float)
-        place = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(self.ends))
-        by_term = np.lexsort((place, self.terms))
-        self.width = int(self.terms.max()) + 1 if len(self.terms) else 0
-        self.column_ends = np.searchsorted(self.terms[by_term], np.arange(self.width + 1))
-        self.places, self.column_weights = place[by_term], self.weights[by_term]
-        # The largest weight of every term in every block that holds it.
-        key = self.terms[by_term].astype(np.int64) * max(1, self.blocks) + self.places // BLOCK
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        self.most = np.maximum.reduceat(self.column_weights, starts) if len(key) else np.zeros(0)
-        self.most_blocks = (key[starts] % max(1, self.blocks)).astype(np.int32)
-        self.most_ends = np.searchsorted(key[starts] // max(1, self.blocks), np.arange(self.width + 1))
-        self.vectors = _Rows(self)
-        self.dense = np.zeros(self.width)
-
-    @staticmethod
-    def _gathered(terms, query, ends, *columns):
-        """The entries of the terms' slices of each column, and the weight in the query of each entry."""
-        lo, n = ends[terms], ends[terms + 1] - ends[terms]
-        at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
-        return np.repeat(query, n), *(c[at] for c in columns)
-
-    def _sums(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the examples of some blocks and their sums with ``dense``."""
-        places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        places = places[places < len(self.ids)]
-        one, terms, weights = self._gathered(places, np.arange(len(places)), self.ends, self.terms, self.weights)
-        return places, np.bincount(one, self.dense[terms] * weights, len(places))
-
-    @staticmethod
-    def _best(places, sums, k, leave):
-        sums = np.round(sums, 12)
-        keep = sums > 0 if leave is None else (sums > 0) & (places != leave)
-        places, sums = places[keep], sums[keep]
-        if len(sums) > k:
-            keep = sums >= np.partition(sums, -k)[-k]
-            places, sums = places[keep], sums[keep]
-        return sorted(((float(s), -int(i)) for s, i in zip(sums, places)), reverse=True)[:k]
-
-    def nearest(self, query: dict[int, float], k: int, leave: int | None = None) -> list[tuple[float, int]]:
-        """The k largest (cosine, -place) above 0, ties to the earlier place; ``leave`` is left out."""
-        known = [(t, w) for t, w in query.items() if t < self.width]
-        if not known:
-            return []
-        terms, w = np.array([t for t, _ in known]), np.array([x for _, x in known])
-        each, blocks, most = self._gathered(terms, w, self.most_ends, self.most_blocks, self.most)
-        bound = np.bincount(blocks, each * most, self.blocks)
-        self.dense[terms] = w
-        order = np.argsort(-bound, kind="stable")
-        first = order[: -(-(k + 1) // BLOCK) + 1]
-        best = self._best(*self._sums(first), k, leave)
+        heaviest = [int(t[np.lexsort((t, -w))[0]]) for t, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
+        self.ids, self.vectors = [ids[i] for i in order], [vectors[i] for i in order]
+        self.blocks = -(-len(ids) // BLOCK)
+        terms, weights = (np.concatenate([v[k] for v in self.vectors]) if ids else np.zeros(0, int) for k in (0, 1))
+        place = np.repeat(np.arange(len(ids)), [len(t) for t, _ in self.vectors])
+        self.width = int(terms.max()) + 1 if len(terms) else 0
+        held = np.bincount(terms, minlength=self.width)
+        head = np.argsort(-held, kind="stable")[:HEAD]
+        self.head_of = np.full(self.width, -1)
+        self.head_of[head] = np.arange(len(head))
+        dense = self.head_of[terms] >= 0
+        self.dense = np.zeros((len(head), self.blocks * BLOCK))
+        self.dense[self.head_of[terms[dense]], place[dense]] = weights[dense]
+        self.most = self.dense.reshape(len(head), self.blocks, BLOCK).max(2) if ids else np.zeros((0, 0))
+        terms, weights, place = terms[~dense], weights[~dense], place[~dense]
+        by_term = np.lexsort((place, terms))
+        self.ends = np.searchsorted(terms[by_term], np.arange(self.width + 1))
+        self.places, self.weights = place[by_term], weights[by_term]
+
+    def nearest(self, queries: list[Vector], k: int, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k largest (cosine, -place) above 0, ties to the earlier place; ``leave`` names a place to leave out."""
+        count, blocks = len(queries), self.blocks
+        if not count or not blocks:
+            return [[] for _ in queries]
+        owner = np.repeat(np.arange(count), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        keep = terms < self.width
+        owner, terms, weights = owner[keep], terms[keep].astype(np.int64), weights[keep]
+        head = self.head_of[terms]
+        dense = head >= 0
+        query = np.zeros((count, len(self.dense)))
+        query[owner[dense], head[dense]] = weights[dense]
+        owner, terms, weights = owner[~dense], terms[~dense], weights[~dense]
+        n = self.ends[terms + 1] - self.ends[terms]
+        at = np.arange(n.sum()) + np.repeat(self.ends[terms] - np.cumsum(n) + n, n)
+        key = np.repeat(owner * (blocks * BLOCK), n) + self.places[at]
+        sums = np.bincount(key, np.repeat(weights, n) * self.weights[at], count * blocks * BLOCK).astype(float).reshape(count, blocks, BLOCK)
+        bound = query @ self.most + sums.max(2)
+        seen = np.zeros((count, blocks), bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                rows = np.flatnonzero(wanted[:, b])
+                sums[rows, b] += query[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            seen[wanted] = True
+
+        first = np.argsort(-bound, axis=1, kind="stable")[:, : -(-(k + 1) // BLOCK) + 1]
+        wanted = seen.copy()
+        np.put_along_axis(wanted, first, True, 1)
+        visit(wanted & (bound > 0))
+        known = np.where(seen[:, :, None], sums, 0.0)
+        if leave is not None:
+            known.reshape(count, -1)[np.arange(count), leave] = 0.0
+        known = np.take_along_axis(known, first[:, :, None], 1).reshape(count, -1)
+        least = np.partition(known, -k, 1)[:, -k] - 1e-11 if known.shape[1] >= k else np.zeros(count)
         # No other block whose bound is lower can hold a nearer example.
-        least = best[-1][0] - 1e-11 if len(best) == k else 0.0
-        rest = order[len(first) :]
-        rest = rest[(bound[rest] >= least) & (bound[rest] > 0)]
-        if len(rest):
-            cost = (self.column_ends[terms + 1] - self.column_ends[terms]).sum()
-            if len(rest) * BLOCK * len(self.terms) > 2 * cost * len(self.ids):
-                each, places, weights = self._gathered(terms, w, self.column_ends, self.places, self.column_weights)
-                best = self._best(np.arange(len(self.ids)), np.bincount(places, each * weights, len(self.ids)), k, leave)
-            else:
-                best = self._best(*self._sums(np.r_[first, rest]), k, leave)
-        self.dense[terms] = 0.0
-        return best
-
-
-class _Rows:
-    """The example vectors of an index as dictionaries, made when asked for."""
-
-    def __init__(self, index: Index):
-        self.index = index
-
-    def __len__(self):
-        return len(self.index.ids)
-
-    def __getitem__(self, i: int) -> dict[int, float]:
-        if i >= len(self):
-            raise IndexError(i)
-        part = slice(self.index.ends[i], self.index.ends[i + 1])
-        return dict(zip(self.index.terms[part].tolist(), self.index.weights[part].tolist()))
+        visit(~seen & (bound > 0) & (bound >= least[:, None]))
+        out = []
+        for i in range(count):
+            row = np.round(np.where(seen[i][:, None], sums[i], 0.0).ravel(), 12)
+            if leave is not None:
+                row[leave[i]] = 0.0
+            places = np.flatnonzero(row > max(0.0, least[i]))
+            order = np.lexsort((places, -row[places]))[:k]
+            out.append([(float(row[p]), -int(p)) for p in places[order]])
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +156,19 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([z for p in pools for z in (p[2], p[3])]), np.array([p[0] for p in pools for _ in range(2)])
 
 
+class Codes(dict):
+    """Words to terms. A word that no example holds is -2 if it begins with a telling beginning, else -1."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__(vocabulary)
+        self.starts = {f[: STARTS[0]] for f in vocabulary if f.endswith(b"\0")}
+
+    def of_beginnings(self, word: bytes) -> int:
+        return -2 if word[: STARTS[0]] in self.starts and any(f in self for f in beginnings(word)) else -1
+
+    __missing__ = of_beginnings
+
+
 @dataclass
 class Model:
     vocabulary: dict[bytes, int]
@@ -175,7 +176,7 @@ class Model:
     telling: frozenset[int]
     k: int
     prior: float
-    idf: list[float] = field(default_factory=list)
+    idf: np.ndarray | None = None
     index: Index | None = None
     labels: list[int] = field(default_factory=list)
     weights: tuple[float, float] = (1.0, 1.0)
@@ -183,45 +184,49 @@ class Model:
     knots: tuple = ((0.0,), (0.0,))
 
     def __post_init__(self):
-        self.memo: dict[bytes, tuple[tuple[int, ...], bool]] = {}
+        self.codes = Codes(self.vocabulary)
+        #: By code, also from the end: whether a word is telling or has a telling beginning.
+        self.tells = np.zeros(len(self.vocabulary) + 2, bool)
+        self.tells[-2] = True
+        for word, i in self.vocabulary.items():
+            self.tells[i] = i in self.telling or self.codes.of_beginnings(word) < -1
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
-
-    def counts(self, text: bytes | None) -> dict[int, float]:
-        """How often each feature of the vocabulary stands in a whole text.
-
-        Words that no example holds come as one sum of squares under OTHER.
-        """
-        out: dict[int, float] = {}
-        memo, vocabulary = self.memo, self.vocabulary
-        hits, other = 0, 0.0
-        for word, n in text_words(text).items():
-            found = memo.get(word)
-            if found is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                ids = tuple(vocabulary[f] for f in word_features(word) if f in vocabulary)
-                found = memo[word] = ids, word in vocabulary, any(i in self.telling for i in ids)
-            ids, held, tells = found
-            if tells:
-                hits += n
-            if not held:
-                other += (1 + math.log(n)) ** 2
-            for i in ids:
-                out[i] = out.get(i, 0) + n
+        return {k: v for k, v in self.__dict__.items() if k != "codes"}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {"codes": Codes(state["vocabulary"])}
+
+    def coded(self, words) -> np.ndarray:
+        """The code of every word: its term, or what ``Codes`` says of one that no example holds."""
+        return np.array(list(map(self.codes.__getitem__, words)), np.int64)
+
+    def features(self, telling: list[tuple[bytes, int]]) -> Counter:
+        """The telling beginnings and the amounts that go with a text's telling words and their counts."""
+        out: Counter = Counter()
+        for word, n in telling:
+            for f in beginnings(word):
+                if f in self.vocabulary:
+                    out[self.vocabulary[f]] += n
+        hits = sum(n for _, n in telling)
         for k, amount in enumerate(AMOUNTS):
             if hits >= amount:
-                out[len(vocabulary) + k] = 1
-        if other:
-            out[OTHER] = other
+                out[len(self.vocabulary) + k] = 1
         return out
 
-    def vector(self, counts: dict[int, float]) -> dict[int, float]:
-        idf = self.idf
-        v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items() if t != OTHER}
-        norm = math.sqrt(sum(x * x for x in v.values()) + counts.get(OTHER, 0.0) * idf[-1] ** 2)
-        return {t: x / norm for t, x in v.items()} if norm else {}
+    def vector(self, words: dict[bytes, int]) -> Vector:
+        """The unit vector of a text; words that no example holds count in its length only."""
+        codes, counts = self.coded(words), np.fromiter(words.values(), float, len(words))
+        terms = np.maximum(codes, -1)
+        told = np.flatnonzero(self.tells[codes])
+        if len(told):
+            every = list(words)
+            extra = self.features([(every[i], int(counts[i])) for i in told])
+            terms, counts = np.r_[terms, list(extra)].astype(np.int64), np.r_[counts, list(extra.values())]
+        weights = (1 + np.log(counts)) * self.idf[terms]  # place -1 holds the weight of a word that no document holds
+        norm = math.sqrt((weights * weights).sum())
+        known = terms >= 0
+        return terms[known], weights[known] / norm if norm else weights[known]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic votes; each counts by its cosine and its class, with one vote for the prior."""
@@ -232,14 +237,21 @@ class Model:
             mass[1] += s * self.weights[y]
         return mass[0] / mass[1]
 
-    def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(self.counts(text)), self.k) if self.index else []
-        if not near:
-            return self.bare, []
-        return float(np.interp(self.vote(near), *self.knots)), [(s, self.index.ids[-i]) for s, i in near]
+    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Score and evidence (cosine, doc_id) of whole texts."""
+        out = []
+        for at in range(0, len(texts), BATCH):
+            part = texts[at : at + BATCH]
+            if self.index is None:
+                out += [(self.bare, [])] * len(part)
+                continue
+            for near in self.index.nearest([self.vector(Counter(text_words(t))) for t in part], self.k):
+                score = float(np.interp(self.vote(near), *self.knots)) if near else self.bare
+                out.append((score, [(s, self.index.ids[-i]) for s, i in near]))
+        return out
 
 
-def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most: int) -> tuple[dict[bytes, int], frozenset[int]]:
+def choose_vocabulary(examples: list[tuple[int, dict[bytes, int], int]], least: int, most: int) -> tuple[dict[bytes, int], frozenset[int]]:
     """Every word of the examples, and the telling features.
 
     Telling are those that toxic examples hold clearly more often than clean ones, at most
@@ -251,7 +263,7 @@ def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most
     for _, words, y in examples:
         total[y] += 1
         every.update(words)
-        held[y].update({f for w in words for f in word_features(w)})
+        held[y].update({f for w in words for f in (w, *beginnings(w))})
     scored = []
     for f, a in held[1].items():
         b = held[0][f]
@@ -265,7 +277,11 @@ def choose_vocabulary(examples: list[tuple[int, Counter, int]], least: int, most
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int):
-    """Sample of (doc_id, text, toxic) and the number of training labels by class, over all labels."""
+    """Sample of (doc_id, words with counts, toxic) and the number of training labels by class, over all labels.
+
+    Texts are counted where they lie; the driver gets the distinct words of at most
+    2 * per_class examples.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).filter("toxic in (0, 1)")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -274,8 +290,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int):
         part = known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         pick = part if pick is None else pick.union(part)
     # At most 2 * per_class rows: a broadcast of proven size.
-    rows = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).join(F.broadcast(pick), "doc_id").collect()
-    return sorted((r["doc_id"], bytes(r["text"] or b""), r["toxic"]) for r in rows), totals
+    rows = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).join(F.broadcast(pick), "doc_id")
+
+    def count(batches):
+        for batch in batches:
+            words = [Counter(text_words(t.as_py())) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([list(c) for c in words], pa.list_(pa.binary())), pa.array([list(c.values()) for c in words], pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "counts", "toxic"])
+
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(count, "doc_id long, words array<binary>, counts array<long>, toxic int").collect()
+    rows = [(r["doc_id"], sorted(zip(map(bytes, r["words"]), r["counts"])), r["toxic"]) for r in found]
+    return [(doc, dict(words), y) for doc, words, y in sorted(rows)], totals
 
 
 def held_out_fifth(doc_id):
@@ -283,59 +308,80 @@ def held_out_fifth(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class: int = 2000, k: int = 15, least: int = 4, most: int = 4000) -> Model:
-    rows, totals = training_rows(docs, labels, held_out, per_class)
-    examples = [(doc, text_words(text), y) for doc, text, y in rows]
+    examples, totals = training_rows(docs, labels, held_out, per_class)
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     model = Model(*choose_vocabulary(examples, least, most), k, prior, bare=prior)
     seen = Counter(y for _, _, y in examples)
     if not model.vocabulary or not seen[0] or not seen[1]:
         return model
     n, df = document_frequencies(docs, model)
+    learn(model, examples, totals, n, df)
+    return model
+
+
+def learn(model: Model, examples: list[tuple[int, dict[bytes, int], int]], totals: dict[int, int], n: int, df: dict[int, int]) -> None:
+    """Weights, index and calibration from the examples and the document frequencies."""
+    seen = Counter(y for _, _, y in examples)
     favoured = len(model.vocabulary)
-    model.idf = [
-        (math.log((n + 1) / (df.get(i, 0) + 1)) + 1) * (FAVOUR if i in model.telling or i >= favoured else 1.0) for i in range(favoured + len(AMOUNTS))
-    ] + [math.log(n + 1) + 1]
-    model.weights = (totals[0] / seen[0], totals[1] / seen[1])
-    scale = sum(model.weights) / 2
-    model.weights = (model.weights[0] / scale, model.weights[1] / scale)
+    favour = [FAVOUR if i in model.telling or i >= favoured else 1.0 for i in range(favoured + len(AMOUNTS))]
+    idf = [(math.log((n + 1) / (df.get(i, 0) + 1)) + 1) * x for i, x in enumerate(favour)]
+    model.idf = np.array([*idf, math.log(n + 1) + 1])
+    weights = (totals[0] / seen[0], totals[1] / seen[1])
+    model.weights = tuple(w / (sum(weights) / 2) for w in weights)
     # The words of each example are all in the vocabulary, its own rare ones too.
-    vectors = [(doc, model.vector(model.counts(text)), y) for doc, text, y in rows]
-    full = [(doc, v, y) for doc, v, y in vectors if v]
+    vectors = [(doc, model.vector(words), y) for doc, words, y in examples]
+    full = [(doc, v, y) for doc, v, y in vectors if len(v[0])]
     if full:
         model.index = Index([v for _, v, _ in full], [doc for doc, _, _ in full])
         of = {doc: y for doc, _, y in full}
         model.labels = [of[doc] for doc in model.index.ids]
-        raw = np.array([model.vote(model.index.nearest(v, k, leave=i)) for i, v in enumerate(model.index.vectors)])
+        places, votes = list(range(len(full))), []
+        for at in range(0, len(full), BATCH):
+            part = places[at : at + BATCH]
+            votes += map(model.vote, model.index.nearest([model.index.vectors[i] for i in part], model.k, leave=part))
         y = np.array(model.labels, float)
-        model.knots = isotonic(raw, y, np.array([model.weights[int(t)] for t in y]))
-    bare = [model.weights[y] * np.array([y, 1.0]) for _, v, y in vectors if not v]
-    model.bare = float(sum(bare)[0] / sum(bare)[1]) if bare else prior
-    return model
+        model.knots = isotonic(np.array(votes), y, np.array([model.weights[int(t)] for t in y]))
+    bare = [model.weights[y] * np.array([y, 1.0]) for _, v, y in vectors if not len(v[0])]
+    model.bare = float(sum(bare)[0] / sum(bare)[1]) if bare else model.prior
 
 
 def document_frequencies(docs: DataFrame, model: Model) -> tuple[int, dict[int, int]]:
     """Number of documents, and of those that hold each feature, over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        df: Counter = Counter()
+        model, n = shared.value, 0
+        held = np.zeros(len(model.vocabulary) + len(AMOUNTS), np.int64)
         for batch in batches:
+            found = [np.zeros(0, np.int64)]
             for text in batch.column(0):
-                df.update(model.counts(text.as_py()).keys())
-                df[-1] += 1
-        if df:
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["f", "n"])
+                words = Counter(text_words(text.as_py()))
+                codes = model.coded(words)
+                found.append(codes)
+                told = np.flatnonzero(model.tells[codes])
+                if len(told):
+                    every = list(words.items())
+                    found.append(np.array(list(model.features([every[i] for i in told])), np.int64))
+            found = np.concatenate(found)
+            held += np.bincount(found[found >= 0], minlength=len(held))
+            n += batch.num_rows
+        if n:
+            f = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[f, -1]), pa.array(np.r_[held[f], n])], names=["f", "n"])
 
     found = docs.select(F.encode("text", "utf-8")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
     counts = {r["f"]: r["n"] for r in found}
     return counts.pop(-1, 0), counts
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (nearest examples as id:cosine) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            out = [model.score(text.as_py()) for text in batch.column(1)]
+            out = shared.value.scores(batch.column(1).to_pylist())
             evidence = [",".join(f"{i}:{s:.4f}" for s, i in near) for _, near in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"]
@@ -355,11 +401,12 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of ``docs`` with all their columns whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            keep = [model.score((t.as_py() or "").encode("utf-8", "surrogatepass"))[0] < threshold for t in batch.column(at)]
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keep = [s < threshold for s, _ in shared.value.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,8 @@
 import math
 import random
+import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -53,15 +55,73 @@ def test_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(g[name][at], abs=1e-5)
 
 
-def test_block_max_neighbours_are_exact():
+def test_block_max_neighbours_are_exact(monkeypatch):
     rng = random.Random(3)
     unit = lambda v: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()}
+    pair = lambda v: (np.array(list(v)), np.array(list(v.values())))
     vectors = [unit({rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randint(1, 6))}) for _ in range(500)]
-    index = toxicity.Index(vectors, list(range(500)))
-    for _ in range(40):
-        q = unit({rng.randrange(35): rng.random() + 0.1 for _ in range(4)})
-        every = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 12), -i) for i, v in enumerate(index.vectors)), reverse=True)
-        assert index.nearest(q, 10) == [x for x in every if x[0] > 0][:10]
+    queries = [unit({rng.randrange(35): rng.random() + 0.1 for _ in range(4)}) for _ in range(40)] + [{}, {34: 1.0}]
+    for head in (0, 7, 256):
+        monkeypatch.setattr(toxicity, "HEAD", head)
+        index = toxicity.Index([pair(v) for v in vectors], list(range(500)))
+        placed = [dict(zip(*v)) for v in index.vectors]
+        got = index.nearest([pair(q) if q else (np.zeros(0, int), np.zeros(0)) for q in queries], 10)
+        mine = index.nearest([index.vectors[i] for i in range(50)], 10, leave=list(range(50)))
+        for i, q in enumerate(queries + placed[:50]):
+            every = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 12), -j) for j, v in enumerate(placed) if j != i - len(queries)), reverse=True)
+            near = (got + mine)[i]
+            assert [x[0] for x in near] == pytest.approx([x[0] for x in every if x[0] > 0][:10], abs=1e-11)
+            assert all(abs(s - sum(w * placed[-j].get(t, 0) for t, w in q.items())) < 1e-11 and -j != i - len(queries) for s, j in near)
+    assert toxicity.Index([], []).nearest([pair({1: 1.0})], 3) == [[]]
+
+
+def test_toxicity_at_a_larger_scale(spark):
+    """Recall and precision on the held-out fifth, as README states them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in toxicity.classify(docs, labels).filter("held_out").collect() if truth.get(r["doc_id"]) is not None]
+    found = sum(y and p for y, p in held)
+    assert found >= 0.9 * sum(y for y, _ in held) and found >= 0.97 * sum(p for _, p in held)
+
+
+def test_scores_against_brute_force(spark):
+    """The query's scores, from vectors over plain dictionaries and cosines with all examples."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    words = {d: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for d, t in texts.items()}
+    known, telling = model.vocabulary, {w for w, i in model.vocabulary.items() if i in model.telling}
+    starts = lambda w: [w[:n] + b"\0" for n in toxicity.STARTS if n < len(w) and w[:n] + b"\0" in telling]
+
+    def counted(d):
+        c = Counter(w for w in words[d])
+        c.update(f for w in words[d] for f in starts(w))
+        hits = sum(w in telling or bool(starts(w)) for w in words[d])
+        return c, [k for k, n in enumerate(toxicity.AMOUNTS) if hits >= n]
+
+    all_counts = {d: counted(d) for d in words}
+    df = Counter(f for c, amounts in all_counts.values() for f in [*c, *amounts])
+    n = len(words)
+
+    def vector(d):
+        c, amounts = all_counts[d]
+        idf = lambda f: math.log((n + 1) / ((df[f] if f in known or isinstance(f, int) else 0) + 1)) + 1
+        v = {f: (1 + math.log(k)) * idf(f) * (toxicity.FAVOUR if f in telling else 1) for f, k in c.items()} | {a: idf(a) * toxicity.FAVOUR for a in amounts}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items() if f in known or isinstance(f, int)}
+
+    vectors = {d: vector(d) for d in words}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert set(got) == set(texts) and len(model.index.ids) > 20
+    for d, v in vectors.items():
+        near = sorted(((sum(w * vectors[e].get(f, 0) for f, w in v.items()), e) for e in model.index.ids), reverse=True)[: model.k]
+        said = [tuple(x.split(":")) for x in got[d]["evidence"].split(",") if x]
+        assert [float(s) for _, s in said] == pytest.approx([s for s, _ in near if s > 1e-12], abs=1e-4)
+        place = {e: i for i, e in enumerate(model.index.ids)}
+        mass = [(s * model.weights[model.labels[place[e]]], model.labels[place[e]]) for s, e in near if s > 1e-12]
+        if mass and len({round(s, 9) for s, _ in near}) == len(near):
+            vote = (model.prior + sum(m * y for m, y in mass)) / (1 + sum(m for m, _ in mass))
+            assert got[d]["score"] == pytest.approx(float(np.interp(vote, *model.knots)), abs=1e-6)
 
 
 def test_isotonic_is_monotone_and_pools():
@@ -94,8 +154,7 @@ def test_every_word_of_every_example_is_indexed(spark):
     got = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, model).collect()}
     # A clean text without any telling word has neighbours too, all k of them.
     assert got[100].startswith("3:1.0000,") and len(got[100].split(",")) > 5 and got[101] == ""
-    v = model.index.vectors[model.index.ids.index(3)]
-    assert len(v) == 30
+    assert len(model.index.vectors[model.index.ids.index(3)][0]) == 30
 
 
 def test_extraction_of_unseen_layouts_and_the_table(spark):
