@@ -48,10 +48,30 @@ def test_windows_against_brute_force(spark):
             best = max((len(set(t) & set(w[i : i + size])) for i in range(len(w))), default=0)
             if best >= 0.8 * n - 1e-9:
                 want[doc, k] = best / n
-    found = license_scan.window_join(spark.createDataFrame(docs, "doc_id long, text string"), templates)
+    found = license_scan.containment_join(spark.createDataFrame(docs, "doc_id long, text string"), templates)
     assert want and {(r["doc_id"], r["template"]): r["containment"] for r in found.collect()} == want
 
 
+def test_filters_prune(spark):
+    """Of 200 texts with stray words of the notices the positional filter drops nearly all that the prefix filter reaches."""
+    rng = random.Random(8)
+    stray = sorted({w for _, t in license_scan.TEMPLATES for w in WORD.findall(t.translate(ASCII_LOWER))})
+    texts = [" ".join(rng.choice(stray) if rng.random() < 0.1 else f"w{rng.randrange(500)}" for _ in range(300)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, license_scan.TEMPLATES[1][1])], "doc_id long, text string")
+    found = license_scan.places(docs, license_scan.ranked_templates(docs, license_scan.TEMPLATES, 0.8))
+    reached, left = found.count(), found.filter("left >= need").select("doc_id").collect()
+    assert reached > 1000 and len(left) < reached / 5 and 900 in {r["doc_id"] for r in left}
+    assert {(r["doc_id"], r["label"]) for r in license_scan.containment_join(docs).collect()} == {(900, "mit")}
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    notice = "Licensed under CC BY-NC 4.0."
+    rows = [(1, notice), (1, "nothing here to see"), (None, notice), (None, None), (2, "licensed " + "x " * 30 + "under cc by nc 4 0")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"]) for r in got) == [(0, ""), (0, "cc-by-nc"), (1, ""), (1, "cc-by-nc"), (2, "cc-by-nc")]
+    assert [r["score"] for r in got if r["doc_id"] == 2] == [pytest.approx(6 / 7)]
+
+
 def by_hand(docs, items, window=10):
     split = lambda t: WORD.findall((t or "").translate(ASCII_LOWER))
     wins = [(i, tuple(w[k : k + window]) if len(w) >= window else tuple(w)) for i, t in items for w in [split(t)] if w for k in range(max(1, len(w) - window + 1))]
