@@ -251,33 +251,52 @@ class Model:
         return out
 
 
-def choose_vocabulary(examples: list[tuple[int, dict[bytes, int], int]], least: int, most: int) -> tuple[dict[bytes, int], frozenset[int]]:
+@dataclass
+class Examples:
+    """Labelled texts as counts of words; texts that share a word share its number."""
+
+    words: list[bytes]
+    ids: list[int]
+    #: Per example the numbers of its words and how often they stand.
+    held: list[np.ndarray]
+    counts: list[np.ndarray]
+    labels: list[int]
+
+    def of(self, i: int) -> dict[bytes, int]:
+        return {self.words[w]: c for w, c in zip(self.held[i].tolist(), self.counts[i].tolist())}
+
+
+def choose_vocabulary(examples: Examples, least: int, most: int) -> tuple[dict[bytes, int], frozenset[int]]:
     """Every word of the examples, and the telling features.
 
     Telling are those that toxic examples hold clearly more often than clean ones, at most
     ``most``, strongest first; beginnings of words are features only where they are telling.
     """
-    held = (Counter(), Counter())
-    total = [0, 0]
-    every: set[bytes] = set()
-    for _, words, y in examples:
-        total[y] += 1
-        every.update(words)
-        held[y].update({f for w in words for f in (w, *beginnings(w))})
+    total = Counter(examples.labels)
     scored = []
-    for f, a in held[1].items():
-        b = held[0][f]
-        odds = math.log((a + 0.5) / (total[1] + 1)) - math.log((b + 0.5) / (total[0] + 1))
-        error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= least and odds - 2.5 * error > 1.0:
-            scored.append((-(odds - 2.5 * error), f))
+    for n in (0, *STARTS):  # whole words, then beginnings of one length after the other
+        feature = [w if not n else w[:n] + b"\0" if n < len(w) else None for w in examples.words]
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        for y in (1, 0):
+            for ids, label in zip(examples.held, examples.labels):
+                if label == y:
+                    found = {feature[i] for i in ids.tolist()}
+                    held[y].update(found if y else found & held[1].keys())
+        for f, a in held[1].items():
+            if f is None or a < least:
+                continue
+            b = held[0][f]
+            odds = math.log((a + 0.5) / (total[1] + 1)) - math.log((b + 0.5) / (total[0] + 1))
+            error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            if odds - 2.5 * error > 1.0:
+                scored.append((-(odds - 2.5 * error), f))
     telling = [f for _, f in sorted(scored)[:most]]
-    vocabulary = {f: i for i, f in enumerate(telling + sorted(every.difference(telling)))}
+    vocabulary = {f: i for i, f in enumerate(telling + sorted(set(examples.words).difference(telling)))}
     return vocabulary, frozenset(range(len(telling)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int):
-    """Sample of (doc_id, words with counts, toxic) and the number of training labels by class, over all labels.
+def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int) -> tuple[Examples, dict[int, int]]:
+    """A sample of the labelled documents and the number of training labels by class, over all labels.
 
     Texts are counted where they lie; the driver gets the distinct words of at most
     2 * per_class examples.
@@ -294,13 +313,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int):
 
     def count(batches):
         for batch in batches:
-            words = [Counter(text_words(t.as_py())) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([list(c) for c in words], pa.list_(pa.binary())), pa.array([list(c.values()) for c in words], pa.list_(pa.int64())), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "counts", "toxic"])
-
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(count, "doc_id long, words array<binary>, counts array<long>, toxic int").collect()
-    rows = [(r["doc_id"], sorted(zip(map(bytes, r["words"]), r["counts"])), r["toxic"]) for r in found]
-    return [(doc, dict(words), y) for doc, words, y in sorted(rows)], totals
+            words = [sorted(Counter(text_words(t.as_py())).items()) for t in batch.column(1)]
+            spaced = pa.array([b" ".join(w for w, _ in c) for c in words], pa.binary())
+            counts = pa.array([[n for _, n in c] for c in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spaced, counts, batch.column(2)], names=["doc_id", "words", "counts", "toxic"])
+
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(count, "doc_id long, words binary, counts array<long>, toxic int").toArrow()
+    numbers: dict[bytes, int] = {}
+    out = Examples([], [], [], [], [])
+    # Rows of one doc_id come in the order of their words, so that reruns agree.
+    for doc, words, counts, y in sorted(zip(*[found.column(i).to_pylist() for i in range(4)])):
+        out.ids.append(doc)
+        out.held.append(np.array([numbers.setdefault(w, len(numbers)) for w in words.split()], np.int32))
+        out.counts.append(np.array(counts, np.int32))
+        out.labels.append(y)
+    out.words = list(numbers)
+    return out, totals
 
 
 def held_out_fifth(doc_id):
@@ -311,25 +339,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class:
     examples, totals = training_rows(docs, labels, held_out, per_class)
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     model = Model(*choose_vocabulary(examples, least, most), k, prior, bare=prior)
-    seen = Counter(y for _, _, y in examples)
-    if not model.vocabulary or not seen[0] or not seen[1]:
+    if not model.vocabulary or len(set(examples.labels)) < 2:
         return model
     n, df = document_frequencies(docs, model)
     learn(model, examples, totals, n, df)
     return model
 
 
-def learn(model: Model, examples: list[tuple[int, dict[bytes, int], int]], totals: dict[int, int], n: int, df: dict[int, int]) -> None:
+def learn(model: Model, examples: Examples, totals: dict[int, int], n: int, df: np.ndarray) -> None:
     """Weights, index and calibration from the examples and the document frequencies."""
-    seen = Counter(y for _, _, y in examples)
+    seen = Counter(examples.labels)
     favoured = len(model.vocabulary)
-    favour = [FAVOUR if i in model.telling or i >= favoured else 1.0 for i in range(favoured + len(AMOUNTS))]
-    idf = [(math.log((n + 1) / (df.get(i, 0) + 1)) + 1) * x for i, x in enumerate(favour)]
-    model.idf = np.array([*idf, math.log(n + 1) + 1])
+    favour = np.ones(favoured + len(AMOUNTS))
+    favour[[*model.telling, *range(favoured, len(favour))]] = FAVOUR
+    model.idf = np.append((np.log((n + 1) / (df + 1)) + 1) * favour, math.log(n + 1) + 1)
     weights = (totals[0] / seen[0], totals[1] / seen[1])
     model.weights = tuple(w / (sum(weights) / 2) for w in weights)
     # The words of each example are all in the vocabulary, its own rare ones too.
-    vectors = [(doc, model.vector(words), y) for doc, words, y in examples]
+    vectors = [(doc, model.vector(examples.of(i)), y) for i, (doc, y) in enumerate(zip(examples.ids, examples.labels))]
     full = [(doc, v, y) for doc, v, y in vectors if len(v[0])]
     if full:
         model.index = Index([v for _, v, _ in full], [doc for doc, _, _ in full])
@@ -345,8 +372,8 @@ def learn(model: Model, examples: list[tuple[int, dict[bytes, int], int]], total
     model.bare = float(sum(bare)[0] / sum(bare)[1]) if bare else model.prior
 
 
-def document_frequencies(docs: DataFrame, model: Model) -> tuple[int, dict[int, int]]:
-    """Number of documents, and of those that hold each feature, over all documents."""
+def document_frequencies(docs: DataFrame, model: Model) -> tuple[int, np.ndarray]:
+    """Number of documents, and by term of those that hold it, over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -369,10 +396,11 @@ def document_frequencies(docs: DataFrame, model: Model) -> tuple[int, dict[int,
             f = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[f, -1]), pa.array(np.r_[held[f], n])], names=["f", "n"])
 
-    found = docs.select(F.encode("text", "utf-8")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.encode("text", "utf-8")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
-    counts = {r["f"]: r["n"] for r in found}
-    return counts.pop(-1, 0), counts
+    df = np.zeros(len(model.vocabulary) + len(AMOUNTS) + 1, np.int64)
+    df[found.column("f").to_numpy()] = found.column("n").to_numpy()
+    return int(df[-1]), df[:-1]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
