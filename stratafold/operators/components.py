@@ -1,11 +1,12 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step keeps, for every node, edges to the smallest node it knows; the steps alternate
-until every node has one edge, to a node that has none. Before the first round every task contracts the edges it happens to
-hold, chunk by chunk, to trees of depth one, which saves rounds. A node's smallest
-neighbour comes from a partially aggregated group and a join that Spark may split, so a
-node with very many neighbours is no hot spot. Every round is written to the shared folder:
-the plan stays short and a lost executor repeats one round only.
+until every node has one edge, to a node that has none. Before the first round every task
+contracts the edges it happens to hold, chunk by chunk, to trees of depth one, which saves
+rounds; where that leaves few edges, one more such task ends it. A node's smallest neighbour
+comes from a partially aggregated group; the few nodes that hold more than a thousandth of
+all edges are joined by broadcast, so none is a hot spot. Every round is written to the
+shared folder: the plan stays short and a lost executor repeats one round only.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.operators.skew import heavy_join
 from stratafold.scratch import discard, materialize
 
 #: Edges that a task contracts at once.
 CHUNK = 200_000
-#: Tasks at least over which the edges of one node are spread.
-SALTS = 8
+#: Edges that one task ends alone.
+FEW = 20_000
 
 
 def contract(edges: list[tuple]) -> list[tuple]:
@@ -54,25 +56,21 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(contract(held), columns=["a", "b"])
 
 
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """rows (a, b) with m of their a; salted, so that the rows of one a are spread over tasks."""
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"])
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links the larger neighbours of every node to the node's smallest neighbour."""
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = edges.select(ends.alias("e")).select("e.a", "e.b")
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("held"))
+    rows = heavy_join(both.filter("b > a"), least, ["a"], "held", 2 * total)
+    return rows.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links every node and its smaller neighbours to the smallest of these (edges have a > b)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("held"))
     # The node's own link stands at its smallest neighbour, those of the others lead from them.
-    rows = _with_least(edges, least).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    rows = heavy_join(edges, least, ["a"], "held", total)
+    rows = rows.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
     return rows.distinct()
 
 
@@ -91,10 +89,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b")
     now = materialize(pairs.mapInPandas(_contracted, pairs.schema), "edges")
     for _ in range(max_rounds):
+        if (total := now.count()) <= FEW:
+            before, now = now, materialize(now.coalesce(1).mapInPandas(_contracted, pairs.schema), "edges")
+            discard(before)
+            break
         if _settled(now):
             break
-        before, now = now, materialize(_small_star(_large_star(now)), "edges")
-        discard(before)
+        larger = materialize(_large_star(now, total), "edges")
+        before, now = now, materialize(_small_star(larger, larger.count()), "edges")
+        discard(before, larger)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()

@@ -2,9 +2,17 @@ import random
 
 import pytest
 
+from stratafold.operators import components
 from stratafold.operators.components import connected_components, contract
 
 
+@pytest.fixture(autouse=True, params=[components.FEW, 0])
+def few(request, monkeypatch):
+    """Both ways: ended by one task, and by rounds only."""
+    monkeypatch.setattr(components, "FEW", request.param)
+    monkeypatch.setattr(components, "CHUNK", 200_000 if request.param else 7)
+
+
 def by_hand(edges):
     label = {}
     for a, b in edges:
