@@ -1,6 +1,6 @@
 """Exact Jaccard join of documents on word shingles, by pivots in a metric space.
 
-Jaccard distance is a metric, and two documents link when it is at most 1 - threshold.
+Jaccard distance is a metric, and two documents link when it is at most r = 1 - threshold.
 
 1. Element pivots. A single shingle is a pivot at distance 1 - 1/n of every document that
    holds it and at distance 1 of all others, so a document is equally near to all its own
@@ -11,22 +11,32 @@ Jaccard distance is a metric, and two documents link when it is at most 1 - thre
    exactly 1. Rarity is counted over all documents on a fixed third of the hash space,
    which is enough to rank; the few documents with too few shingles there fill up by hash.
 2. Regions that share documents form cells. A cell too large for one task is split around
-   document pivots: all distances to them are computed row by row, what lies within the
-   link radius of a pivot is linked through it and needs no comparison among itself, and
-   only pairs with a document outside are compared, in blocks of bounded size.
-3. Inside a block the join goes on recursively by pivots: the distances of one document to
-   all others decide all its pairs, documents already linked are skipped, and a pair is
-   skipped when its distances to some earlier pivot differ by more than the radius.
-
-Shingles are 64-bit hashes; candidates are compared by their full sets of these.
-
-Scale: one shuffle of a third of the shingles as (hash, doc_id), which is counted with
-map-side partial aggregation and joined back, so no common shingle ends in one task. Text
-is only shuffled for documents that share rare shingles. Equal sets are joined once.
+   document pivots of its own. Each document goes to the Voronoi region of the nearest pivot
+   if that is within ``NEAR``, and is replicated into region j when the triangle inequality
+   lets it have a link there: its distance to pivot j is at most that of the farthest
+   document of the region plus r, and at most its own nearest distance plus 2 r. Documents
+   near no pivot are left; if they still are too many for one task, they are joined region
+   by region of their shingles (step 1), so a cell that chance has strung together costs no
+   more than its regions. Documents within r of a pivot are linked through it.
+3. A region too large for one task is joined in blocks of bounded size, only for pairs with a
+   document outside its largest linked part. Inside a block the join goes on recursively by
+   pivots: the distances of one document to all others decide all its pairs, documents
+   already linked are skipped, and a pair is skipped when its distances to some earlier
+   pivot differ by more than r.
+
+Shingles are 64-bit hashes; candidates are compared by their full sets of these, sets are
+told apart by 128 bits.
+
+Scale: one shuffle of a third of the shingles as (hash, document), which is counted with
+map-side partial aggregation and joined back; hashes, sets and nodes that hold more than a
+thousandth of the rows are joined by broadcast, so none ends in one task. The text is
+shuffled once, for the documents that share rare shingles, by a merge join at every size.
+Equal sets are joined once. Pivot texts are broadcast only when their bytes are few.
 
 Defined results: null, empty and blank text has 0 shingles and is its own component; fewer
 than ``size`` words make one shingle of all of them; rows that repeat a doc_id are one node
-of the link graph; an empty table gives no rows; columns beside doc_id and text are ignored.
+of the link graph, with the links of all their texts; a null doc_id takes part only as a
+copy of others; an empty table gives no rows; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,15 +49,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.operators.components import connected_components
+from stratafold.operators.skew import heavy_join
 from stratafold.scratch import discard, materialize
 
 #: Share of the hash space in which rarity is counted.
 SAMPLE = 0.35
-#: Shingles that one task may join, and documents up to which a side is broadcast.
+#: Shingles that one task may join.
 BLOCK_SHINGLES = 1_500_000
-BROADCAST_DOCS = 1_000_000
-BIG_CELLS = 2_000
-PIVOTS = 4
+#: Document pivots of a large cell, and bytes of their texts up to which they are broadcast.
+PIVOTS, PIVOT_BYTES = 8, 8 << 20
+#: Large cells up to whose number tables of one short row each are broadcast.
+FEW_CELLS = 20_000
+#: Documents farther than this from all pivots belong to no pivot's region; pivots this near each other count once.
+NEAR, APART = 0.5, 0.8
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _BLANK = np.zeros(256, bool)
@@ -128,33 +142,38 @@ def _over_texts(df: DataFrame, f, schema: str, names: list[str], types: list) ->
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text")).mapInArrow(run, schema)
 
 
+def signature(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    one, two = _mix(shingles ^ np.uint64(_BASE)).sum(dtype=np.uint64), _mix(shingles + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(one.astype(np.int64)), int(two.astype(np.int64))
+
+
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, a 128-bit signature of the set, and the pivot shingles hs, in one pass over the texts."""
 
     def row(doc, text):
         s = shingle_set(text, size)
-        one, two = _mix(s ^ np.uint64(_BASE)).sum(dtype=np.uint64), _mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        return doc, len(s), int(one.astype(np.int64)), int(two.astype(np.int64)), pivot_shingles(s, percent).view(np.int64)
+        return doc, len(s), *signature(s), pivot_shingles(s, percent).view(np.int64)
 
     names = ["doc_id", "n", "s1", "s2", "hs"]
     return _over_texts(docs, row, "doc_id long, n long, s1 long, s2 long, hs array<long>", names, [pa.int64()] * 4 + [pa.list_(pa.int64())])
 
 
-def rare_regions(raw: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """(h, doc_id, first): the regions that at least two different sets enter."""
-    rows = raw.select(F.explode("hs").alias("h"), "doc_id")
-    counts = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = materialize(rows.join(counts, "h"), "shared")
-    own = profile.filter("doc_id = rep and n > 0").select("doc_id", "n", "m").distinct()
-    held = shared.join(own, "doc_id")
-    by_doc = W.partitionBy("doc_id")
+def rare_regions(raw: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(h, doc_id, s1, first): the regions that at least two different sets enter; own: doc_id, s1, n, m of the sets to be joined."""
+    rows = raw.select(F.explode("hs").alias("h"), "doc_id", "s1")
+    counts = materialize(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").withColumn("held", F.col("df")), "counts")
+    total = raw.agg(F.sum(F.size("hs"))).first()[0] or 0
+    shared = materialize(heavy_join(rows, counts, ["h"], "held", total), "shared")
+    held = shared.join(own.hint("merge"), ["doc_id", "s1"])
+    by_doc = W.partitionBy("doc_id", "s1")
     need = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     free = need - (F.col("m") - F.count("*").over(by_doc))
     ranked = held.withColumn("free", free).filter("free > 0").withColumn("place", F.row_number().over(by_doc.orderBy("df", "h")))
-    near = materialize(ranked.filter("place <= free").select("h", "doc_id").distinct(), "regions")
-    ends = near.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    regions = materialize(near.join(ends, "h").select("h", "doc_id", "first"), "regions")
-    discard(shared, near)
+    near = materialize(ranked.filter("place <= free").select("h", "doc_id", "s1").distinct(), "regions")
+    ends = near.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("held")).filter("first < last").drop("last")
+    regions = materialize(heavy_join(near, ends, ["h"], "held", near.count()), "regions")
+    discard(counts, shared, near)
     return regions
 
 
@@ -230,58 +249,119 @@ def block_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     return links
 
 
-def cell_links(members: DataFrame, docs: DataFrame, size: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b) links that connect what is connected in each cell; members: doc_id, cell, n."""
-    weights = members.groupBy("cell").agg(F.sum("n").alias("weight"), F.count("*").alias("count"))
-    few = members.count() <= BROADCAST_DOCS
+def _by_cell(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins a table of one short row per large cell: by broadcast where the cells are counted to be few, so that a cell stays spread."""
+    few = table.count() <= FEW_CELLS
+    return rows.join(F.broadcast(table) if few else table.hint("merge"), "cell", how)
+
+
+def weighed(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (cell, n, ...) of cells that fit one task, and of those that do not."""
+    weights = rows.groupBy("cell").agg(F.sum("n").alias("weight"))
+    large = materialize(weights.filter(F.col("weight") > block).select("cell"), "heavy")
+    return _by_cell(rows, large, "left_anti"), _by_cell(rows, large, "left_semi")
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """Cells as groups of one task each."""
+    return rows.select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "seed", "doc_id", "s1", "text")
+
+
+def blocks_of(rows: DataFrame, block: int) -> DataFrame:
+    """Large cells as groups (cell, i, j) of bounded size, in which every pair with a document outside the largest linked part meets."""
+    sizes = rows.groupBy("cell", "seed").agg(F.count("*").alias("c"))
+    core = sizes.groupBy("cell").agg(F.max(F.struct("c", "seed")).alias("m")).select("cell", F.col("m.seed").alias("core"))
+    rows = _by_cell(rows, core).withColumn("side", F.when(F.col("seed") == F.col("core"), 0).otherwise(1))
+    shares = rows.groupBy("cell", "side").agg(F.ceil(2 * F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    shares = shares.groupBy("cell").pivot("side", [0, 1]).agg(F.first("blocks")).select(
+        "cell", F.coalesce("0", F.lit(0)).alias("nb0"), F.coalesce("1", F.lit(0)).alias("nb1")
+    )
+    rows = _by_cell(rows, shares)
+    at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.when(F.col("side") == 0, F.col("nb0")).otherwise(F.col("nb1"))).cast("int")
+    rows = rows.withColumn("at", at).filter("nb1 > 0")
+    # Core blocks meet every outer block; outer blocks meet each other and themselves.
+    inner = rows.filter("side = 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb1") - 1))).select(
+        "cell", (-1 - F.col("at")).alias("i"), "j", F.lit(0).alias("side"), "seed", "doc_id", "s1", "text"
+    )
+    outer = rows.filter("side = 1 and nb0 > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("nb0")))).select(
+        "cell", (-F.col("i")).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "seed", "doc_id", "s1", "text"
+    )
+    pairs = rows.filter("side = 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb1") - 1))).select(
+        "cell", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"),
+        F.when(F.col("at") == F.col("k"), -1).when(F.col("at") < F.col("k"), 0).otherwise(1).alias("side"), "seed", "doc_id", "s1", "text"
+    )
+    return inner.union(outer).union(pairs)
+
+
+def voronoi(near: DataFrame, percent: int) -> DataFrame:
+    """(cell, doc_id, s1, pivot): the regions of every document, its own and those it is replicated into; pivot is null for none.
+
+    near: cell, doc_id, s1, pivot, d, the distances of all documents to the pivots of their cell.
+    """
+    radius = 1 - percent / 100 + 1e-9
+    # Of pivots close to each other the one with the smallest doc_id counts.
+    twins = near.filter((F.col("d") <= APART) & (F.col("pivot") < F.col("doc_id"))).select("cell", F.col("doc_id").alias("pivot")).distinct()
+    apart = near.join(twins.hint("merge"), ["cell", "pivot"], "left_anti")
+    # The nearest pivot, with the pivots' distances beside it: as many as a cell has pivots.
+    home = near.select("cell", "doc_id", "s1").distinct().join(
+        apart.groupBy("cell", "doc_id", "s1").agg(F.min(F.struct("d", "pivot")).alias("own"), F.collect_list(F.struct("pivot", "d")).alias("all")).hint("merge"),
+        ["cell", "doc_id", "s1"], "left",
+    )
+    home = home.withColumn("own", F.when(F.col("own.d") <= NEAR, F.col("own")))
+    cover = home.filter("own is not null").groupBy("cell", F.col("own.pivot").alias("pivot")).agg(F.max("own.d").alias("cover"))
+    cover = cover.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "cover"))).alias("covers"))
+    home = home.join(cover.hint("merge"), "cell", "left")
+    reached = F.filter("all", lambda x: (x["pivot"] == F.col("own.pivot")) | (
+        (x["d"] <= F.try_element_at("covers", x["pivot"]) + radius) & (F.col("own").isNull() | (x["d"] <= F.col("own.d") + 2 * radius))
+    ))
+    pivots = F.transform(F.filter(reached, lambda x: x.isNotNull()), lambda x: x["pivot"])
+    none = F.when(F.col("own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return home.select("cell", "doc_id", "s1", F.explode(F.concat(F.coalesce(pivots, F.array().cast("array<long>")), none)).alias("pivot"))
+
+
+def cell_links(members: DataFrame, regions: DataFrame, docs: DataFrame, size: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) links that connect what is connected in each cell; members: doc_id, s1, cell, n."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(members) if few else members, "doc_id")
-    texts = texts.groupBy("doc_id", "cell", "n").agg(F.min("text").alias("text")) if _repeats(docs) else texts
-    small = texts.join(weights.filter(F.col("weight") <= block), "cell")
-    small = small.select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("doc_id").alias("seed"), "doc_id", "text")
-    groups = small
-    big = weights.filter(F.col("weight") > block)
-    if n_big := big.count():
-        large = materialize(texts.join(F.broadcast(big) if n_big <= BIG_CELLS else big, "cell"), "cells")
-        pivots = materialize(_first_by_hash(large, PIVOTS).select("cell", F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivots")
-        near = large.select("cell", "doc_id", "text").join(F.broadcast(pivots) if n_big <= BIG_CELLS else pivots, "cell")
-        balls = materialize(_within(near, size, percent), "balls")
-        parts = connected_components(balls.select("a", "b"))
-        large = large.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        large = large.withColumn("seed", F.coalesce("component", "doc_id"))
-        sizes = large.groupBy("cell", "seed").agg(F.count("*").alias("c"))
-        core = sizes.groupBy("cell").agg(F.max(F.struct("c", "seed")).alias("m")).select("cell", F.col("m.seed").alias("core"))
-        large = large.join(core, "cell").withColumn("side", F.when(F.col("seed") == F.col("core"), 0).otherwise(1))
-        shares = large.groupBy("cell", "side").agg(F.ceil(2 * F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
-        shares = shares.groupBy("cell").pivot("side", [0, 1]).agg(F.first("blocks")).select(
-            "cell", F.coalesce("0", F.lit(0)).alias("nb0"), F.coalesce("1", F.lit(0)).alias("nb1")
-        )
-        large = large.join(shares, "cell")
-        at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.when(F.col("side") == 0, F.col("nb0")).otherwise(F.col("nb1"))).cast("int")
-        large = large.withColumn("at", at).filter("nb1 > 0")
-        # Core blocks meet every outer block; outer blocks meet each other and themselves.
-        inner = large.filter("side = 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb1") - 1))).select(
-            "cell", (-1 - F.col("at")).alias("i"), "j", F.lit(0).alias("side"), "seed", "doc_id", "text"
-        )
-        outer = large.filter("side = 1 and nb0 > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("nb0")))).select(
-            "cell", (-F.col("i")).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "seed", "doc_id", "text"
-        )
-        pairs = large.filter("side = 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb1") - 1))).select(
-            "cell", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"),
-            F.when(F.col("at") == F.col("k"), -1).when(F.col("at") < F.col("k"), 0).otherwise(1).alias("side"), "seed", "doc_id", "text"
-        )
-        groups = small.union(inner).union(outer).union(pairs)
+    if _repeats(docs):
+        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.first("text").alias("text")).drop("tie")
+    # Where a doc_id has several texts, each set meets all of them here; the join drops those that are not its own.
+    rows = materialize(texts.join(members.hint("merge"), "doc_id"), "cells")
+    small, large = weighed(rows, block)
+    groups, balls = whole(small.withColumn("seed", F.col("doc_id"))), None
+    if not large.isEmpty():
+        large = materialize(large, "large")
+        near = materialize(distances(large, size, percent), "near")
+        balls = near.filter(F.col("d") <= 1 - percent / 100 + 1e-9).filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+        parts = connected_components(balls)
+        large = large.join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("seed", F.coalesce("component", "doc_id")).drop("component")
+        placed = materialize(voronoi(near, percent), "voronoi")
+        key = ["cell", "doc_id", "s1"]
+        inside = large.join(placed.filter("pivot is not null").hint("merge"), key).withColumn("cell", F.xxhash64("cell", "pivot")).drop("pivot")
+        left_small, left_large = weighed(large.join(placed.filter("pivot is null").drop("pivot").hint("merge"), key), block)
+        strung = left_large.drop("cell").join(regions.select(F.col("h").alias("cell"), "doc_id", "s1").hint("merge"), ["doc_id", "s1"])
+        columns = ["cell", "doc_id", "s1", "n", "seed", "text"]
+        split = inside.select(columns).union(left_small.select(columns)).union(strung.select(columns))
+        fit, over = weighed(materialize(split, "split"), block)
+        groups = groups.union(whole(fit)).union(blocks_of(over, block))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        side = pdf["side"].to_numpy()
+        pdf = pdf.sort_values(["doc_id", "s1"], kind="stable")
+        kept, sets, met = [], [], set()
+        for i, (doc, s1, text) in enumerate(zip(pdf["doc_id"], pdf["s1"], pdf["text"])):
+            if (doc, s1) not in met and signature(found := shingle_set(text, size))[0] == s1:
+                met.add((doc, s1))
+                kept.append(i)
+                sets.append(found)
+        if len(sets) < 2:
+            return pd.DataFrame([], columns=["a", "b"])
+        pdf = pdf.iloc[kept]
+        side, ids = pdf["side"].to_numpy(), pdf["doc_id"].to_numpy()
         split = len(set(side.tolist())) > 1
-        ids = pdf["doc_id"].to_numpy()
-        found = block_links([shingle_set(t, size) for t in pdf["text"]], percent, side if split else None, pdf["seed"].to_numpy())
+        found = block_links(sets, percent, side if split else None, pdf["seed"].to_numpy())
         return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"])
 
     links = groups.groupBy("cell", "i", "j").applyInPandas(join, "a long, b long")
-    return links.union(balls.select("a", "b")) if n_big else links
+    return links if balls is None else links.union(balls)
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -289,53 +369,62 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 and doc_id is not null").isEmpty()
 
 
-def _first_by_hash(large: DataFrame, count: int) -> DataFrame:
-    """Up to ``count`` rows of every cell, picked by hash with partial aggregation."""
-    key = F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "text")
-    tops = large.groupBy("cell", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(count)).alias("k")).agg(F.min(key).alias("m"))
-    return tops.select("cell", "m.doc_id", "m.text")
-
-
-def _within(near: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) for the documents within the link radius of a pivot of their cell."""
+def distances(large: DataFrame, size: int, percent: int) -> DataFrame:
+    """cell, doc_id, s1, pivot, d: the distances of the documents to up to PIVOTS documents of their cell, picked by hash."""
+    key = F.struct(F.xxhash64("doc_id", "s1").alias("x"), "doc_id", "s1", "text")
+    tops = large.groupBy("cell", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PIVOTS)).alias("k")).agg(F.min(key).alias("m"))
+    pivots = materialize(tops.select("cell", F.col("m.doc_id").alias("pivot"), F.col("m.s1").alias("pivot_s1"), F.col("m.text").alias("pivot_text")), "pivots")
+    bytes_ = pivots.agg(F.sum(F.octet_length("pivot_text"))).first()[0] or 0
+    pairs = large.select("cell", "doc_id", "s1", "text").join(F.broadcast(pivots) if bytes_ <= PIVOT_BYTES else pivots.hint("merge"), "cell")
 
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             out, last, own = [], None, None
-            for doc, text, pivot, pivot_text in zip(pdf["doc_id"], pdf["text"], pdf["pivot"], pdf["pivot_text"]):
-                if doc != last:
-                    last, own = doc, shingle_set(text, size)
-                if pivot not in sets:
+            for cell, doc, s1, text, pivot, pivot_s1, pivot_text in pdf[["cell", "doc_id", "s1", "text", "pivot", "pivot_s1", "pivot_text"]].itertuples(index=False):
+                if (doc, s1, text) != last:
+                    last, own = (doc, s1, text), shingle_set(text, size)
+                    own = own if signature(own)[0] == s1 else None
+                if own is None:
+                    continue
+                if (pivot, pivot_s1) not in sets:
                     if len(sets) > 64:
                         sets.clear()
-                    sets[pivot] = shingle_set(pivot_text, size)
-                common = len(np.intersect1d(own, sets[pivot], assume_unique=True))
-                if doc != pivot and 100 * common >= percent * (len(own) + len(sets[pivot]) - common):
-                    out.append((doc, pivot))
-            yield pd.DataFrame(out, columns=["a", "b"])
+                    sets[pivot, pivot_s1] = shingle_set(pivot_text, size)
+                theirs = sets[pivot, pivot_s1]
+                common = len(np.intersect1d(own, theirs, assume_unique=True))
+                out.append((cell, doc, s1, pivot, 1 - common / (len(own) + len(theirs) - common)))
+            yield pd.DataFrame(out, columns=["cell", "doc_id", "s1", "pivot", "d"])
 
-    return near.select("doc_id", "text", "pivot", "pivot_text").mapInPandas(run, "a long, b long")
+    return pairs.mapInPandas(run, "cell long, doc_id long, s1 long, pivot long, d double")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select("doc_id", "text")
     raw = materialize(profiles(docs, size, percent), "profiles")
-    reps = raw.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    profile = materialize(raw.join(reps, ["s1", "s2", "n"], "left").select(
-        "doc_id", "n", F.size("hs").alias("m"), F.coalesce("rep", "doc_id").alias("rep")
-    ), "profiles")
-    regions = rare_regions(raw, profile, percent)
-    discard(raw)
+    some = raw.filter("n > 0").select("doc_id", "n", "s1", "s2", F.size("hs").alias("m"))
+    reps = materialize(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "reps")
+    profile = heavy_join(some, reps, ["s1", "s2", "n"], "held", raw.count()).select("doc_id", "n", "s1", "m", "rep")
+    none = raw.filter("n = 0").select("doc_id", "n", "s1", F.lit(0).alias("m"), F.col("doc_id").alias("rep"))
+    profile = materialize(profile.union(none), "profiles")
+    own = profile.filter("doc_id = rep and n > 0").select("doc_id", "s1", "n", "m").distinct()
+    regions = rare_regions(raw, own, percent)
+    discard(raw, reps)
     cells = connected_components(regions.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     members = materialize(
-        cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")).join(profile.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id"), "members"
-    )
-    discard(regions)
-    links = materialize(cell_links(members, docs, size, percent), "links")
-    discard(members)
-    found = connected_components(links.select("a", "b"))
-    return profile.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+        cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")).join(own.drop("m").hint("merge"), "doc_id"), "members"
     )
+    links = materialize(cell_links(members, regions, docs, size, percent), "links")
+    discard(regions, members)
+    # All sets of one doc_id belong together.
+    several = profile.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b < hi").drop("hi")
+    same = profile.select("doc_id", F.col("rep").alias("a")).join(several.hint("merge"), "doc_id").select("a", "b")
+    found = materialize(connected_components(links.select("a", "b").union(same)), "components")
+    discard(links)
+    nodes = profile.filter("rep is not null").groupBy("rep").agg(F.count("*").alias("held"))
+    nodes = nodes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    nodes = materialize(nodes, "components")
+    named = heavy_join(profile, nodes, ["rep"], "held", profile.count()).select("doc_id", "n", "component")
+    lost = profile.filter("rep is null").select("doc_id", "n", F.col("rep").alias("component"))
+    return named.union(lost).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -11,24 +11,26 @@ from stratafold.llm.text import ASCII_LOWER
 
 
 def by_hand(rows, percent=80):
-    sets, inverted = {}, defaultdict(set)
-    for doc, text in rows:
+    """(doc_id, n_shingles, component_id) of every row; rows of one doc_id are one node."""
+    sets, inverted = [], defaultdict(set)
+    for i, (_, text) in enumerate(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
-        sets[doc] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        for s in sets[doc]:
-            inverted[s].add(doc)
-    label = {d: {d} for d in sets}
-    for d, s in sets.items():
-        for e, n in Counter(e for x in s for e in inverted[x]).items():
-            if e != d and 100 * n >= percent * (len(s) + len(sets[e]) - n) and label[d] is not label[e]:
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+        for s in sets[i]:
+            inverted[s].add(i)
+    label = {d: {d} for d, _ in rows}
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in inverted[x]).items():
+            d, e = rows[i][0], rows[j][0]
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n) and label[d] is not label[e]:
                 whole = label[d] | label[e]
                 for x in whole:
                     label[x] = whole
-    return {d: (len(sets[d]), min(label[d])) for d in sets}
+    return sorted((d, len(s), min(label[d])) for (d, _), s in zip(rows, sets))
 
 
 def found(docs):
-    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs).collect()}
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs).collect())
 
 
 def near_copies(seed, groups, size, edits):
@@ -48,6 +50,50 @@ def test_whole_table(spark):
     assert found(docs) == by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_repeated_doc_ids_keep_the_links_of_all_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (5, a + " z"), (5, b), (7, b + " z"), (9, "one"), (9, "two three"), (11, "two three"), (11, None), (12, "one"), (13, ""), (5, b), (5, b)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == by_hand(rows) and {c for d, _, c in got if d in (1, 5, 7)} == {1} and {c for d, _, c in got if d in (9, 11, 12)} == {9}
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), t) for _, t in near_copies(2, 12, 8, 6)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+
+
+def test_cells_strung_together_by_chance(spark, monkeypatch):
+    """Families of near copies and unrelated texts, each of which shares a rare passage with the next, form one cell."""
+    rng = random.Random(9)
+    rows = near_copies(11, 5, 25, 5)
+    chain = [" ".join(f"c{k}x{i}" for i in range(9)) for k in range(len(rows) + 60)]
+    rows = [(d, f"{t} {chain[d]} {chain[d + 1]}") for d, t in rows]
+    rows += [(d, " ".join([*(f"u{d}y{i}" for i in range(30)), chain[d], chain[d + 1]])) for d in range(len(rows), len(rows) + 50)]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(ngram_join.cell_links, "__defaults__", (700,))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+
+
+def test_voronoi_regions_hold_every_link(spark):
+    """Any two documents within the radius meet in a region or are both left, with fewer copies than documents times pivots."""
+    rng = random.Random(1)
+    sets = []
+    for f in range(6):
+        base = [f * 1000 + i for i in range(60)]
+        for _ in range(30):
+            share = rng.random() * 0.5  # some close to their family, some far from it
+            sets.append(frozenset(rng.randrange(10**6) if rng.random() < share else x for x in base))
+    d = lambda x, y: 1 - len(x & y) / len(x | y)
+    pivots = range(0, 180, 23)
+    near = [(1, i, i, p, d(sets[i], sets[p])) for i in range(len(sets)) for p in pivots]
+    got = ngram_join.voronoi(spark.createDataFrame(near, "cell long, doc_id long, s1 long, pivot long, d double"), 80).collect()
+    where = defaultdict(set)
+    for r in got:
+        where[r["doc_id"]].add(r["pivot"])
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if d(sets[i], sets[j]) <= 0.2]
+    assert len(links) > 50 and all(where[i] & where[j] for i, j in links) and len(where) == len(sets)
+    assert len(got) < len(sets) * len(pivots) / 2 and len({p for x in where.values() for p in x}) > 3
+
+
 @pytest.mark.parametrize("block", [1_500_000, 900])
 def test_groups_of_near_copies_in_small_and_split_cells(spark, monkeypatch, block):
     rows = near_copies(4, 8, 20, 4)
@@ -56,7 +102,7 @@ def test_groups_of_near_copies_in_small_and_split_cells(spark, monkeypatch, bloc
 
 
 def test_odd_rows(odd_docs, no_docs):
-    rows = [r for r in ngram_join.components(odd_docs).collect()]
+    rows = ngram_join.components(odd_docs).collect()
     assert len(rows) == odd_docs.count() and ngram_join.components(no_docs).count() == 0
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
     assert (got[1], got[2], got[3]) == ((0, 1), (0, 2), (0, 3)) and got[4] == (1, 4) and got[5] == (1, 4) and got[7][1] == 6 and got[8][1] == 8
