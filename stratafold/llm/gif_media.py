@@ -4,12 +4,19 @@ The decoder reads any GIF87a/89a stream: global and local palettes, sub-blocks,
 of growing width with clear and end codes, interlacing, transparency, and disposal (keep,
 restore to background, restore previous). Frames are composed on the logical screen.
 
-The writer stores bytes losslessly as 8-bit grey indexes, ``WIDTH`` to a row. It emits
-literal codes only and clears the table before codes widen, which every decoder accepts;
-streams of that shape are unpacked in bulk, all others code by code.
+The writer stores bytes losslessly as 8-bit indexes, ``WIDTH`` to a row and ``FRAME_ROWS``
+rows to a frame, in LZW codes. Byte v has the colour v, 255 - v, v ^ 0x5A, so the red
+channel of the composed screen is the payload. Every second frame has a palette of its own,
+in the other order; the frames take turns in how they are disposed of; what the screen
+shows already is written as the transparent index. That index stands for byte 0xC0, which
+no UTF-8 text holds; a frame that does hold it has none.
 
-Per document memory: the payload, its stored form and one composed frame of at most
-``FRAME_ROWS`` rows. Rows are handled one by one inside Arrow batches, nothing is shuffled.
+An entry of the LZW table is a piece of what was decoded before it, so the decoder keeps
+only where each code's output starts. Codes are cut out of the bits in bulk, from one clear
+code to the next.
+
+Per document memory: the payload, its stored form and one composed frame. Rows are handled
+one by one inside Arrow batches, nothing is shuffled.
 
 Defined results: null and empty text is one row of padding; repeated rows give repeated
 rows; an empty table gives no rows; columns beside doc_id and text are ignored. A stream
@@ -23,6 +30,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +38,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 576
-FRAME_ROWS = 4096
+FRAME_ROWS = 16
 DELAY_CS = 10
-RUN = 254  # literals between clear codes: the table stays below 512 entries, codes at 9 bits
+#: The byte whose index is transparent.
+HOLE = 0xC0
+DISPOSALS = (1, 2, 3)  # keep, restore to background, restore previous
 OUT_BYTES = 8 << 20
 
+_BYTES = np.arange(256, dtype=np.uint8)
+_COLOURS = np.stack([_BYTES, 255 - _BYTES, _BYTES ^ 0x5A], axis=1)
+
+
+@lru_cache
+def _all_widths(bits: int) -> np.ndarray:
+    entries = (1 << bits) + 2 + np.maximum(np.arange(4096) - 1, 0)
+    return bits + 1 + (entries[:, None] >= 1 << np.arange(bits + 1, 12)).sum(1)
+
+
+def _widths(bits: int, start: int, count: int) -> np.ndarray:
+    """Bits of the codes number ``start`` and on after a clear code: as many as the table so far needs, 12 at most."""
+    known = _all_widths(bits)[start : start + count]
+    return known if len(known) == count else np.concatenate([known, np.full(count - len(known), 12)])
+
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """Codes of 9 bits, lowest bit first: eight codes to nine bytes."""
-    n = len(codes)
-    c = np.zeros((n + 7) // 8 * 8, np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 0xFF
-    for j in range(1, 8):
-        out[:, j] = ((c[:, j] << j) | (c[:, j - 1] >> (9 - j))) & 0xFF
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: (n * 9 + 7) // 8]
+def lzw_encode(data: bytes, bits: int = 8) -> bytes:
+    """The LZW stream of ``bits``-bit symbols; the table is cleared when it is full."""
+    clear = 1 << bits
+    codes, table, free = [clear], {}, clear + 2
+    append = codes.append
+    symbols = iter(data)
+    now = next(symbols)
+    for c in symbols:
+        key = now << 8 | c
+        if found := table.get(key):
+            now = found
+        else:
+            append(now)
+            table[key] = free
+            free += 1
+            now = c
+            if free == 4096:
+                append(clear)
+                table, free = {}, clear + 2
+    codes += [now, clear + 1]
+    values = np.array(codes, np.uint16)
+    starts = np.flatnonzero(values == clear)
+    ends = np.append(starts[1:] + 1, len(values))
+    widths = np.concatenate([[bits + 1], *[_widths(bits, 0, b - a - 1) for a, b in zip(starts, ends)]]).astype(np.uint16)
+    places = np.arange(12, dtype=np.uint16)
+    return np.packbits(((values[:, None] >> places) & 1)[places < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
+
+
+def _expand(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The symbols of the codes between two clear codes, ``most`` at most.
+
+    Table entry j is the output of code j with the first symbol after it, so a code that
+    names it repeats the output from where code j began. Lengths, then symbols, follow these
+    references to literals; every pass halves the way that is left.
+    """
+    place = np.arange(len(codes))
+    entry = codes >= clear
+    of = np.where(entry, codes.astype(np.int64) - clear - 2, place)
+    if (of[entry] >= place[entry]).any():
+        raise ValueError("impossible code")
+    length, up = entry.astype(np.int64), of
+    while (more := length[up]).any():
+        length, up = length + more, up[up]
+    ends = np.cumsum(length + 1)
+    kept = int(np.searchsorted(ends, most)) + 1
+    length, ends, of = length[:kept] + 1, ends[:kept], of[:kept]
+    starts = ends - length
+    owner = np.repeat(np.arange(len(starts)), length)
+    source = np.arange(len(owner)) - np.repeat(starts - starts[of], length)
+    while not np.array_equal(further := source[source], source):
+        source = further
+    return codes[owner[source]].astype(np.uint8)[:most]
 
 
-def _unpack9(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // 9
-    b = np.zeros((n + 7) // 8 * 9 + 9, np.uint8)
-    b[: len(data)] = np.frombuffer(data, np.uint8)[: len(b)]
-    b = b[: (n + 7) // 8 * 9].reshape(-1, 9).astype(np.uint16)
-    out = np.empty((len(b), 8), np.uint16)
-    for i in range(8):
-        out[:, i] = ((b[:, i] >> i) | (b[:, i + 1] << (8 - i))) & 0x1FF
-    return out.reshape(-1)[:n]
+def lzw_decode(data: bytes, bits: int, count: int) -> np.ndarray:
+    """``count`` pixel indexes of an LZW stream with ``bits``-bit symbols."""
+    clear = 1 << bits
+    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint32)
+    out, size, at, ended, held = [], 0, 0, False, []
+    while size < count and not ended:
+        # The next codes, up to a clear or end code; held are those since the last clear code.
+        nth = sum(map(len, held))
+        widths = _widths(bits, nth, min(4096, (8 * len(data) - at) // (bits + 1) + 1))
+        offsets = at + np.cumsum(widths) - widths
+        n = int(np.searchsorted(offsets + widths, 8 * len(data), "right"))
+        offsets, widths = offsets[:n], widths[:n]
+        byte = offsets >> 3
+        codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (offsets & 7)) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        taken = int(stops[0]) if len(stops) else n
+        held.append(codes[:taken])
+        at = int(offsets[n - 1] + widths[n - 1]) if n else at
+        if len(stops) or n < 4096:
+            part = _expand(np.concatenate(held), clear, count - size)
+            out.append(part)
+            size, held = size + len(part), []
+            ended = not len(stops) or codes[taken] == clear + 1
+            at = int(offsets[taken] + widths[taken]) if len(stops) else at
+    if size < count:
+        raise ValueError("the code stream ends early")
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
 
 def _blocks(data: bytes) -> bytes:
@@ -71,84 +154,29 @@ def _blocks(data: bytes) -> bytes:
     return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def literal_codes(pixels: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit pixels without table matches: a clear code before every run."""
-    runs = -(-len(pixels) // RUN)
-    codes = np.zeros((runs, RUN + 1), np.uint16)
-    codes[:, 0] = 256
-    body = np.zeros(runs * RUN, np.uint16)
-    body[: len(pixels)] = pixels
-    codes[:, 1:] = body.reshape(runs, RUN)
-    flat = codes.reshape(-1)[: len(pixels) + runs]
-    return _pack9(np.append(flat, np.uint16(257)))
-
-
 def encode(payload: bytes) -> bytes:
     """The GIF that stores a payload of a multiple of WIDTH bytes."""
     rows = len(payload) // WIDTH
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), grey]
-    pixels = np.frombuffer(payload, np.uint8)
-    for top in range(0, rows, FRAME_ROWS):
-        n = min(FRAME_ROWS, rows - top)
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY_CS, 0, 0))
-        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, n, 0) + b"\x08")
-        out.append(_blocks(literal_codes(pixels[top * WIDTH : (top + n) * WIDTH])))
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), _COLOURS.tobytes()]
+    pixels = np.frombuffer(payload, np.uint8).reshape(rows, WIDTH)
+    screen = np.zeros((min(rows, FRAME_ROWS), WIDTH), np.uint8)
+    for number, top in enumerate(range(0, rows, FRAME_ROWS)):
+        part = pixels[top : top + FRAME_ROWS]
+        n, disposal, own = len(part), DISPOSALS[number % len(DISPOSALS)], number % 2 == 1
+        holes = not (part == HOLE).any()
+        index = np.where(part == screen[:n], HOLE, part).astype(np.uint8) if holes else part
+        index = 255 - index if own else index
+        hole = 255 - HOLE if own else HOLE
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | holes, DELAY_CS, hole, 0))
+        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, n, 0x87 if own else 0) + (_COLOURS[::-1].tobytes() if own else b"") + b"\x08")
+        out.append(_blocks(lzw_encode(index.tobytes())))
+        if disposal == 1:
+            screen[:n] = part
+        elif disposal == 2:
+            screen[:n] = 0
     return b"".join(out) + b"\x3b"
 
 
-def _literal_pixels(data: bytes, count: int) -> np.ndarray | None:
-    """The pixels of a stream of 9-bit literals between clear codes; None if it is another kind."""
-    codes = _unpack9(data)
-    ends = np.flatnonzero(codes == 257)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == 256)
-    if not len(clears) or clears[0] or codes.max() > 257 or np.diff(np.append(clears, len(codes))).max() > RUN + 1:
-        return None
-    pixels = codes[codes < 256].astype(np.uint8)
-    return pixels if len(pixels) >= count else None
-
-
-def lzw_decode(data: bytes, bits: int, count: int) -> np.ndarray:
-    """``count`` pixel indexes of an LZW stream with ``bits``-bit symbols."""
-    if bits == 8 and (found := _literal_pixels(data, count)) is not None:
-        return found[:count]
-    clear, end = 1 << bits, (1 << bits) + 1
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, prev = list(base), bits + 1, b""
-    out, size, acc, have, at = [], 0, 0, 0, 0
-    while size < count:
-        while have < width:
-            if at >= len(data):
-                raise ValueError("the code stream ends early")
-            acc |= data[at] << have
-            at, have = at + 1, have + 8
-        code, acc, have = acc & ((1 << width) - 1), acc >> width, have - width
-        if code == clear:
-            table, width, prev = list(base), bits + 1, b""
-            continue
-        if code == end:
-            break
-        if code < len(table):
-            text = table[code]
-        elif code == len(table) and prev:
-            text = prev + prev[:1]
-        else:
-            raise ValueError("impossible code")
-        if prev and len(table) < 4096:
-            table.append(prev + text[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        out.append(text)
-        size += len(text)
-        prev = text
-    if size < count:
-        raise ValueError("the code stream ends early")
-    return np.frombuffer(b"".join(out), np.uint8)[:count]
-
-
 @dataclass
 class Frame:
     number: int

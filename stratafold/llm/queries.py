@@ -21,6 +21,11 @@ def op3_gif_media(spark, sf_dir):
     return gif_media.read_back(gif_media.store(_table(spark, sf_dir, "documents")))
 
 
+def gif_frames(spark, sf_dir):
+    """The timed frames of operator 3 with their colour histograms."""
+    return gif_media.decode_frames(gif_media.store(_table(spark, sf_dir, "documents"))).drop("pixels")
+
+
 def op4_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, pipeline, gif_frames)}
 
 
 def oracle_sql():
