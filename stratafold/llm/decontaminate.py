@@ -7,12 +7,16 @@ match fixes a diagonal (item, shift) along which the shared windows are then com
 by word. Items shorter than the window are one window each and are matched by the hash of
 their whole length, without winnowing. DataFrame functions only.
 
-Scale: documents are read twice and their text is shuffled once, by doc_id. Items are
-broadcast only when they are counted to be few; else the fingerprints are shuffled.
+Scale: documents are read twice, once more where there are short items, whose lengths share
+one pass; their text is shuffled once, by doc_id. Items are broadcast only when their words
+are counted to be few; else fingerprints and texts are merge-joined, and fingerprints that
+very many places share are joined by broadcast, so none ends in one task. A document's row
+carries the words of each item it may hold once, however many diagonals lead there.
 
 Defined results: null or empty text has no words and no hits; repeated items count once by
-item_id; repeated doc_ids share what is found in any of their rows that their own words
-confirm; an empty table gives no rows, an empty benchmark no hits; other columns are ignored.
+item_id, with the windows of all their texts; an item without item_id counts as one item
+without a name; every row is judged by its own text, repeated doc_ids and a null doc_id too;
+an empty table gives no rows, an empty benchmark no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm.text import words
+from stratafold.operators.skew import heavy_join
+from stratafold.scratch import materialize
 
 #: A fingerprint keeps its place in the lowest bits, the hash above them.
 PLACE_BITS = 30
@@ -59,43 +65,78 @@ def fingerprints(df: DataFrame, window: int, k: int) -> DataFrame:
     return df.withColumn("fp", F.shiftright("f", PLACE_BITS)).withColumn("place", F.col("f").bitwiseAND(F.lit(mask)).cast("int")).drop("f")
 
 
+def short_grams(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """The frame with w exploded to n, shift and fp, a hash of the n words at every place, for all lengths at once."""
+    df = df.withColumn("g1", F.transform("w", lambda x: F.xxhash64(x)))
+    for n in range(2, max(lengths) + 1):  # one word more each time: the hashes of all lengths differ
+        df = df.withColumn(f"g{n}", _roll_with(F.col(f"g{n - 1}"), F.col("g1"), n - 1))
+
+    def placed(n: int) -> Column:
+        return F.transform(f"g{n}", lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("shift"), x.alias("fp")))
+
+    every = F.concat(*map(placed, lengths))
+    return df.withColumn("x", F.explode(every)).select(*[c for c in df.columns if not c.startswith("g")], "x.*")
+
+
+def _roll_with(a: Column, one: Column, by: int) -> Column:
+    """Hashes of (a[i], one[i + by]) for every i for which both exist."""
+    n = F.greatest(F.size(one) - by, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(one, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def matched(ours: DataFrame, theirs: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """The places of documents and items with the same hashes."""
+    if few:
+        return ours.join(F.broadcast(theirs), on)
+    # One row per hash with all its places in items; how many documents hold it decides how it is joined.
+    theirs = theirs.groupBy(*on).agg(F.collect_list(F.struct("item", "at")).alias("places"))
+    ours = materialize(ours.join(theirs.select(*on).hint("merge"), on, "left_semi"), "places")
+    counted = ours.groupBy(*on).agg(F.count("*").alias("held")).join(theirs.hint("merge"), on)
+    found = heavy_join(ours, materialize(counted, "fingerprints"), on, "held", ours.count())
+    return found.withColumn("p", F.explode("places")).select("*", "p.*").drop("places", "p")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
-    """doc_id, diagonals: array of (item_id, shift, item words) to be compared, per document with any."""
-    items = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    few = (items.agg(F.sum(F.size("w"))).first()[0] or 0) <= BROADCAST_WINDOWS
-    side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-    short = [r[0] for r in items.filter(F.size("w") < window).select(F.size("w")).distinct().collect()]
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    theirs = fingerprints(items, window, k).select("fp", "item_id", F.col("place").alias("at"))
-    ours = fingerprints(texts, window, k).select("doc_id", "fp", "place")
-    found = ours.join(side(theirs), "fp").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"))
-    for n in sorted(short):
-        whole = _grams(items.filter(F.size("w") == n), n).select("item_id", F.get("g", F.lit(0)).alias("fp"))
-        spots = _grams(texts.filter(F.size("w") >= n), n).select("doc_id", F.posexplode("g").alias("shift", "fp"))
-        found = found.union(spots.join(side(whole), "fp").select("doc_id", "item_id", "shift"))
-    found = found.distinct().join(side(items.select("item_id", F.col("w").alias("iw")).distinct()), "item_id")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "iw")).alias("diagonals"))
-
-
-def spans(w: Column, diagonals: Column, window: int) -> Column:
+    """id, tie, near: array of (item_id, item words, shifts) to be compared, per text with any."""
+    items = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", F.array_join("w", " ")))
+    facts = items.agg(F.sum(F.size("w")), F.collect_set(F.when(F.size("w") < window, F.size("w")))).first()
+    few, short = (facts[0] or 0) <= BROADCAST_WINDOWS, sorted(facts[1] or [])
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), words(F.col("text")).alias("w"))
+    theirs = fingerprints(items, window, k).select("fp", "item", F.col("place").alias("at"))
+    ours = fingerprints(texts, window, k).select("id", "tie", "fp", "place")
+    found = matched(ours, theirs, ["fp"], few).select("id", "tie", "item", (F.col("place") - F.col("at")).alias("shift"))
+    if short:
+        theirs = short_grams(items.filter(F.size("w") < window), short).filter("n = size(w)").select("n", "fp", "item", F.lit(0).alias("at"))
+        ours = short_grams(texts, short).select("id", "tie", "n", "fp", F.col("shift").alias("place"))
+        found = found.union(matched(ours, theirs, ["n", "fp"], few).select("id", "tie", "item", F.col("place").alias("shift")))
+    found = found.groupBy("id", "tie", "item").agg(F.collect_set("shift").alias("shifts"))
+    items = items.select("item", "item_id", F.col("w").alias("iw"))
+    found = found.join(F.broadcast(items) if few else items.hint("merge"), "item")
+    return found.groupBy("id", "tie").agg(F.collect_list(F.struct("item_id", "iw", "shifts")).alias("near"))
+
+
+def spans(w: Column, near: Column, window: int) -> Column:
     """(item_id, start, length) of every window of the diagonals whose words are the document's."""
 
-    def along(d):
+    def along(d, shift):
         n = F.least(F.size(d["iw"]), F.lit(window))
-        lo = F.greatest(F.lit(0), -d["shift"])
-        hi = F.least(F.size(d["iw"]), F.size(w) - d["shift"]) - n
+        lo = F.greatest(F.lit(0), -shift)
+        hi = F.least(F.size(d["iw"]), F.size(w) - shift) - n
         starts = F.when(hi >= lo, F.sequence(lo, F.greatest(hi, lo))).otherwise(F.array().cast("array<int>"))
-        same = F.filter(starts, lambda j: F.slice(w, j + d["shift"] + 1, n) == F.slice(d["iw"], j + 1, n))
-        return F.transform(same, lambda j: F.struct(d["item_id"].alias("item_id"), (j + d["shift"]).alias("start"), n.alias("length")))
+        same = F.filter(starts, lambda j: F.slice(w, j + shift + 1, n) == F.slice(d["iw"], j + 1, n))
+        return F.transform(same, lambda j: F.struct(d["item_id"].alias("item_id"), (j + shift).alias("start"), n.alias("length")))
 
-    return F.flatten(F.transform(diagonals, along))
+    return F.flatten(F.transform(near, lambda d: F.flatten(F.transform(d["shifts"], lambda shift: along(d, shift)))))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
-    rows = docs.select("doc_id", "text").join(hits(docs, items, window, k), "doc_id", "left")
-    rows = rows.select("doc_id", words(F.col("text")).alias("w"), "diagonals")
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("diagonals").isNotNull(), spans(F.col("w"), F.col("diagonals"), window)).alias("spans"))
+    found = hits(docs, items, window, k).hint("merge")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["own"] == found["tie"]), "left")
+    rows = rows.select("doc_id", words(F.col("text")).alias("w"), "near")
+    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("near").isNotNull(), spans(F.col("w"), F.col("near"), window)).alias("spans"))
     none = F.array().cast("array<string>")
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))

@@ -87,7 +87,9 @@ def by_hand(docs, items, window=10):
     return out
 
 
-def test_decontaminate_random_small_alphabet(spark):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontaminate_random_small_alphabet(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
     rng = random.Random(2)
     say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     docs = [(i, say(rng.randint(0, 60))) for i in range(40)] + [(100, None), (101, "")]
@@ -97,9 +99,17 @@ def test_decontaminate_random_small_alphabet(spark):
     assert got == by_hand(docs, items)
 
 
+def test_decontaminate_repeated_and_null_ids(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, "clean text"), (None, item), (None, "clean"), (2, " ".join(["same"] * 400))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (8, " ".join(["same"] * 60)), (9, "same")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(docs, items).collect())
+    assert got == [(0, 1, 0, 0), (0, 14, 14, 1), (1, 2, 0, 0), (1, 16, 14, 1), (2, 400, 400, 2)]
+
+
 def test_decontaminate_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "word5 x5 word6 x6 word7 x7 word8 x8 word9 x9 word10 x10"), (None, "null id text"), (2, None)], "item_id long, text string")
     got = decontaminate.decontaminate(odd_docs, items).collect()
-    assert len(got) == odd_docs.count() and {r["doc_id"] for r in got if r["contaminated"]} == {6, 7}
+    assert len(got) == odd_docs.count() and {r["doc_id"] for r in got if r["contaminated"]} == {6, 7, None}
     assert decontaminate.decontaminate(no_docs, items).count() == 0
     assert not decontaminate.decontaminate(odd_docs, items.limit(0)).filter("contaminated").count()
