@@ -8,6 +8,10 @@ out in many ways, and decoded by Viterbi.
 
 Pages are handled row by row inside Arrow batches; nothing is shuffled.
 
+Formulas and the content of objects are read as markup, ``noscript`` as a notice. An element
+that is skipped whole (scripts, styles, drawings, choices of forms) ends at its closing tag;
+drawings and choices without one are read as markup, scripts and styles run to the end.
+
 Defined results: null, empty and text-free html gives ''; repeated rows are extracted
 alike; an empty table gives no rows; columns beside page_id, url and html are ignored.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -34,11 +39,14 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 # Elements by how they are read.
-RAW = frozenset("script style title textarea noscript iframe template svg math object select noframes".split())
+RAW = frozenset("script style title textarea iframe noframes".split())
+#: Skipped with all they hold where they are closed; left open they are read as markup.
+SKIPPED = frozenset("svg select template".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Open elements that a new one of the given kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -76,6 +84,8 @@ def _element_features(tag: str, attributes: str) -> tuple[str, ...]:
         value = (m[2] or m[3] or m[4] or "").replace("_", "-")
         value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
         out += sorted({f"cue:{_CUE[w]}" for w in _SPLIT.split(value) if w in _CUE})
+    if tag == "noscript":
+        out.append("cue:notice")
     if _HIDDEN.search(attributes):
         out.append("hidden")
     return tuple(out)
@@ -89,9 +99,12 @@ def _closing(tag: str) -> re.Pattern:
 def leaf_blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space folded."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements: tag, features of the ancestors and itself, nearest block-level tag.
+    stack: list[tuple[str, tuple[str, ...], str]] = [("", (), "")]
+    is_open: Counter = Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
-    links, linked, at, size = 0, 0, 0, len(html)
+    linked, at, size = 0, 0, len(html)
 
     def flush() -> None:
         nonlocal linked
@@ -100,15 +113,13 @@ def leaf_blocks(html: str) -> list[Block]:
             parts.clear()
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-                blocks.append(Block(text, stack[-1][1] if stack else (), tag, min(1.0, linked / max(1, len(raw)))))
+                blocks.append(Block(text, stack[-1][1], stack[-1][2], min(1.0, linked / max(1, len(raw)))))
         linked = 0
 
     def close(tag: str) -> None:
-        nonlocal links
-        while stack:
-            name, _ = stack.pop()
-            links -= name == "a"
+        while is_open[tag]:
+            name = stack.pop()[0]
+            is_open[name] -= 1
             if name == tag:
                 return
 
@@ -116,7 +127,7 @@ def leaf_blocks(html: str) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if links:
+            if is_open["a"]:
                 linked += len(text)
 
     while at < size:
@@ -133,20 +144,24 @@ def leaf_blocks(html: str) -> list[Block]:
         if m[1] or m[4]:
             if tag in BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack):
-                close(tag)
+            close(tag)
             continue
         attributes = m[3] or m[6] or ""
-        if tag in RAW:
-            end = _closing(tag).search(html, at)
-            at = end.end() if end else size
+        if tag in FOREIGN and attributes.endswith("/"):
             continue
+        if tag in RAW or tag in SKIPPED and tag not in unclosed:
+            end = _closing(tag).search(html, at)
+            if end:
+                at = end.end()
+                continue
+            if tag in RAW:
+                break
+            unclosed.add(tag)
         if tag in BLOCK:
             flush()
-            if any(t == "p" for t, _ in stack):
-                close("p")
-            if tag in ENDS:
-                for t, _ in reversed(stack):
+            close("p")
+            if tag in ENDS and any(is_open[t] for t in ENDS[tag]):
+                for t, _, _ in reversed(stack):
                     if t in ENDS[tag]:
                         close(t)
                         break
@@ -157,13 +172,13 @@ def leaf_blocks(html: str) -> list[Block]:
         if tag in VOID:
             continue
         own = _element_features(tag, attributes)
-        above = stack[-1][1] if stack else ()
+        _, above, block = stack[-1]
         if own:
             inner = next((f"inner:{f}" for f in reversed(own) if f in _PARTS), None)
             kept = tuple(f for f in above if not (inner and f.startswith("inner:")))
             above = kept + tuple(f for f in own if f not in kept) + ((inner,) if inner else ())
-        stack.append((tag, above))
-        links += tag == "a"
+        stack.append((tag, above, tag if tag in BLOCK else block))
+        is_open[tag] += 1
     flush()
     return blocks
 

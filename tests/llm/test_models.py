@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -192,8 +193,22 @@ def test_blocks_of_broken_html():
     assert text("<p>a<p>b &amp; c<br>d<!-- <p>x -->e</p><script>if(a<b)</script>f") == ["a", "b & c de", "f"]
     assert text("<ul><li>1<li>2<ul><li>3</ul></ul>") == ["1", "2", "3"] and text("a < b <i>c</i>") == ["a < b c"]
     assert text("<p title='x>y'>q</p><p class=\"open>r</p>") == ["q", "r"] and text("") == text("<style>x") == []
-    deep = "<div>" * 3000 + "t" + "</div>" * 3000
-    assert text(deep) == ["t"]
+    assert text("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><object data=a><p>fallback</p></object>") == ["let x=2 be", "fallback"]
+    assert text("<p>a<svg/>b</p><svg><text>no</text></svg>c<p>d<svg>e</p>f") == ["ab", "c", "de", "f"]
+    assert text("x<noscript>turn it on</noscript>y<script>z") == ["x", "turn it on", "y"]
+
+
+def test_very_deep_and_very_long_pages():
+    text = lambda h: [b.text for b in html_extract.leaf_blocks(h)]
+    began = time.time()
+    assert text("<div>" * 100_000 + "t" + "</div>" * 100_000) == ["t"]
+    assert text("<b>" * 50_000 + "<p>t</p>" * 50_000) == ["t"] * 50_000
+    assert text("<svg>" * 20_000 + "t") == ["t"] and len(text("<li>w " * 100_000)) == 100_000
+    assert time.time() - began < 60
+    field = html_extract.train(200, 2)
+    long = " ".join(f"word{i}" for i in range(200_000))
+    page = f"<html><body><nav><ul><li>Home</li></ul></nav><article><h1>Title</h1><p>{long}.</p></article></body></html>"
+    assert html_extract.main_text(page, field).endswith(long + ".")
 
 
 def test_extract_odd_pages(spark):
