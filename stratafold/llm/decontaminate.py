@@ -130,13 +130,24 @@ def spans(w: Column, near: Column, window: int) -> Column:
     return F.flatten(F.transform(near, lambda d: F.flatten(F.transform(d["shifts"], lambda shift: along(d, shift)))))
 
 
+def judged(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """row (all columns of the document), w (its words), spans (null where none was searched for)."""
+    found = hits(docs, items, window, k).hint("merge")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = rows["row.doc_id"].eqNullSafe(found["id"]) & (F.xxhash64(rows["row.text"]) == found["tie"])
+    rows = rows.join(found, same, "left").select("row", words(F.col("row.text")).alias("w"), "near")
+    return rows.select("row", "w", F.when(F.col("near").isNotNull(), spans(F.col("w"), F.col("near"), window)).alias("spans"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
+    """The rows of ``docs`` with all their columns that hold no window of an item."""
+    return judged(docs, items, window, k).filter(F.coalesce(F.size("spans"), F.lit(0)) <= 0).select("row.*")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
-    found = hits(docs, items, window, k).hint("merge")
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["own"] == found["tie"]), "left")
-    rows = rows.select("doc_id", words(F.col("text")).alias("w"), "near")
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("near").isNotNull(), spans(F.col("w"), F.col("near"), window)).alias("spans"))
+    rows = judged(docs, items, window, k)
+    rows = rows.select("row.doc_id", F.size("w").cast("long").alias("n_words"), "spans")
     none = F.array().cast("array<string>")
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))

@@ -25,7 +25,34 @@ def test_stages_do_what_their_operators_decide(spark, tmp_path):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs.select(*corpus_pipeline.COLUMNS), SF)
-            assert out.count() <= docs.count()
+    """Every stage by itself on nulls, empties, repeats and an empty table."""
+    docs = odd_docs.select(*corpus_pipeline.COLUMNS)
+    rows = lambda df: sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "", r["source"] or "") for r in df.collect())
+    whole = rows(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd_docs, SF)
+        assert out.columns == docs.columns and stage(spark, no_docs, SF).count() == 0
+        got = rows(out)
+        if name == "line dedup":  # 7 is a copy of 6; rows of one doc_id are not compared; line 5 has too few words
+            assert got == [r for r in whole if r[1] != 7]
+        elif name == "n-gram Jaccard join":  # 5 is 4 but for case and spaces
+            assert got == [r for r in whole if r[1] not in (5, 7)]
+        else:
+            assert got == whole
+    got = corpus_pipeline.STAGES[-1][1](spark, odd_docs, SF).collect()
+    assert len(got) == len(whole) and all(r["taken"] == 0 for r in got if r["size"] == 0)
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, SF).count() == 0
+
+
+def test_planted_cases(spark):
+    """Copies, benchmark passages and repeated passages planted among clean documents are found, the clean ones stay."""
+    base = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 1500").orderBy("doc_id").limit(12).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = [(10**6 + i, " ".join(f"{chr(97 + i)}{k}" for k in range(300))) for i in range(8)]
+    words = base[0].split()
+    rows = [(10**6 + 100, base[0]), (10**6 + 101, base[0]), (10**6 + 102, " ".join([*words[:-3], "end"])), (10**6 + 103, " ".join(f"z{k}" for k in range(40)) + " " + item)]
+    docs = spark.createDataFrame([(d, t, "en", "planted", len(t)) for d, t in clean + rows], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = lambda df: {r["doc_id"] - 10**6 for r in df.select("doc_id").collect()}
+    stages = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert ids(stages["n-gram Jaccard join"]) == {*range(8), 100, 103} and ids(stages["benchmark decontamination"]) == {*range(8), 100, 101, 102}
+    assert ids(stages["line dedup"]) >= {*range(8), 100} and 101 not in ids(stages["line dedup"])
