@@ -1,14 +1,22 @@
-"""The corpus pipeline: five stages over whole documents, each written before the next reads it."""
+"""The corpus pipeline: five stages over whole documents, each written before the next reads it.
+
+Defined results, of every stage that keeps documents: the columns of documents come back
+and no others; nulls in any column but doc_id and text are passed on. A null or empty text
+is never toxic by itself (it gets the score of the examples without words), loses no lines,
+is a copy of nothing and holds no benchmark item, so it stays and is taken 0 times by the
+mix. A row without doc_id is scored and searched for benchmark items like any other, loses
+no lines and is no copy. Rows that share a doc_id are one document: copies of an earlier
+document go together, none is a copy of the other. Ties between copies go to the smallest
+doc_id. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from stratafold.scratch import shared_dir
+from stratafold.scratch import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,14 +37,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
     gone = ngram_join.components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, items).filter("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents; every stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if number == len(STAGES) - 1:
-            return out
-        path = f"{shared_dir(spark)}/stratafold/pipeline-{number}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
