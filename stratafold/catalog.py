@@ -14,7 +14,7 @@ from stratafold.operators import clusters as C
 from stratafold.operators import duplicates, legacy, similarity, snapshot, tree, waste
 from stratafold.plans import proposals
 from stratafold.scratch import materialize
-from stratafold.sources.tables import cluttered_inventory, inventory, table
+from stratafold.sources.tables import cluttered_inventory, inventory, table, timed_folders
 
 CAP, SIMILAR, CLUSTER, MERGE = 100, 0.2, 0.70, 0.88
 ROOTS = ["D:/corpus", "E:/corpus", "F:/archive"]
@@ -114,7 +114,7 @@ def _clustered(spark, d):
 
 def _mastered(spark, d):
     members, pairs = _clustered(spark, d)
-    return materialize(C.masters(members, tree.folders(inventory(spark, d)), ROOTS), "masters"), members, pairs
+    return materialize(C.masters(members, timed_folders(inventory(spark, d)), ROOTS), "masters"), members, pairs
 
 
 def _hashed(files):
@@ -141,13 +141,13 @@ def query(sql: str | None = None):
 def active_files(spark, d):
     files = inventory(spark, d).withColumn("is_missing", F.length("filename") % 5 == 0)
     hashes = inventory(spark, d).filter("size >= 2000").select("path", F.col("h").alias("full_hash"))
-    dirs = tree.folders(inventory(spark, d)).withColumn("is_missing", F.lit(False))
+    dirs = timed_folders(inventory(spark, d)).withColumn("is_missing", F.lit(False))
     return tree.active_files(files, dirs, hashes, 500).select("folder", "path", "size", "full_hash").orderBy("path")
 
 
 @query(_with(f"{INV},\n{FOLD}", "select path, parent, drive, cast(depth as bigint) as depth, cast(file_count as bigint) as file_count, cast(total_bytes as bigint) as total_bytes from fo"))
 def active_folders(spark, d):
-    return tree.folders(inventory(spark, d)).withColumn("depth", F.col("depth").cast("long")).drop("mtime").orderBy("depth", "path")
+    return timed_folders(inventory(spark, d)).withColumn("depth", F.col("depth").cast("long")).drop("mtime").orderBy("depth", "path")
 
 
 @query(_with(INV, "select folder, count(*) as files, cast(sum(size) as bigint) as bytes from f group by folder"))
@@ -506,7 +506,7 @@ def tombstones(spark, d):
 @query(_with(f"{INV},\n{FOLD}", "select f.path, case when fo.mtime < 500 then 3 else 1 end as run_id from f join fo on fo.path = f.folder"))
 def promoted(spark, d):
     files = inventory(spark, d).withColumn("run_id", F.lit(1))
-    same = tree.folders(inventory(spark, d)).filter("mtime < 500").select(F.col("path").alias("folder"))
+    same = timed_folders(inventory(spark, d)).filter("mtime < 500").select(F.col("path").alias("folder"))
     return snapshot.promote(files, same, 3).select("path", "run_id")
 
 
@@ -527,7 +527,7 @@ def refreshed_subtrees(spark, d):
 
 @query(_with(f"{INV},\n{FOLD}", "select path from fo where depth % 2 = 1 or mtime > 400"))
 def delta_folders(spark, d):
-    dirs = tree.folders(inventory(spark, d))
+    dirs = timed_folders(inventory(spark, d))
     state = dirs.filter("depth % 2 = 0").select("path", F.lit(400.0).alias("last_scan"))
     return snapshot.to_scan(dirs, state).select("path")
 
@@ -579,14 +579,14 @@ TO_LEG = ",\n".join([INV, UP, FOLD, _LEG])
 
 def _legacy(spark, d):
     files = materialize(inventory(spark, d), "files")
-    dirs = tree.folders(files).select("path", F.lit(10.0).alias("analysed_at"), F.when(F.col("mtime") % 3 != 0, 11.0).otherwise(9.0).alias("scanned_at"))
+    dirs = timed_folders(files).select("path", F.lit(10.0).alias("analysed_at"), F.when(F.col("mtime") % 3 != 0, 11.0).otherwise(9.0).alias("scanned_at"))
     results = legacy.similar(materialize(legacy.signatures(files), "keys"), legacy.dirty(dirs), 0.5)
     return files, materialize(results, "results")
 
 
 @query(_with(f"{INV},\n{FOLD}", "select path from fo where mtime % 3 <> 0"))
 def legacy_dirty(spark, d):
-    dirs = tree.folders(inventory(spark, d)).select("path", F.lit(10.0).alias("analysed_at"), F.when(F.col("mtime") % 3 != 0, 11.0).otherwise(9.0).alias("scanned_at"))
+    dirs = timed_folders(inventory(spark, d)).select("path", F.lit(10.0).alias("analysed_at"), F.when(F.col("mtime") % 3 != 0, 11.0).otherwise(9.0).alias("scanned_at"))
     return legacy.dirty(dirs).select("path")
 
 

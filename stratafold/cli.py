@@ -22,34 +22,45 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(flag, action="store_true")
     p.add_argument("--plan", help="the plan to execute or review")
     p.add_argument("--cluster", help="merge-review: the cluster to change")
+    p.add_argument("--cycle", action="store_true", help="merge-review: make the cluster's next folder its master")
     p.add_argument("--status", choices=("pending", "approved", "rejected", "skipped"))
     return p
 
 
+def review(engine: Engine, args: argparse.Namespace) -> None:
+    """Changes one cluster of a plan, where one is named, and shows the clusters."""
+    path = args.plan or artifacts.latest(engine.config.home, "plan")
+    plan = artifacts.load(path)
+    if args.cluster and args.cycle:
+        at = next(i for i, c in enumerate(plan["clusters"]) if c["cluster_id"] == args.cluster)
+        members = [m["path"] for m in plan["clusters"][at]["members"]]
+        plan["clusters"][at] = artifacts.cycle_master(plan["clusters"][at], engine.member_hashes(members))
+    if args.cluster and args.status:
+        plan = artifacts.set_status(plan, args.cluster, args.status)
+    if args.cluster and (args.cycle or args.status):
+        with open(path, "w") as f:
+            json.dump(plan, f, indent=2)
+    for c in artifacts.visible(plan, args.show_suppressed):
+        print(c["cluster_id"], c["status"], artifacts.detail_text(c), sep="\n")
+    print(artifacts.status_counts(plan))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     config = load_config(args.config)
-    if args.command == "execute":
-        if not args.plan:
-            parser().error("execute needs --plan")
-        print(execution.run_plan(args.plan, config.home))
-        return 0
-    if args.command == "merge-review":
-        path = args.plan or artifacts.latest(config.home, "plan")
-        plan = artifacts.load(path)
-        if args.cluster and args.status:
-            plan = artifacts.set_status(plan, args.cluster, args.status)
-            with open(path, "w") as f:
-                json.dump(plan, f, indent=2)
-        for c in artifacts.visible(plan, args.show_suppressed):
-            print(c["cluster_id"], c["status"], artifacts.detail_text(c), sep="\n")
-        print(artifacts.status_counts(plan))
-        return 0
-    engine = Engine(spark or SparkSession.builder.appName("stratafold").getOrCreate(), config)
+    if args.command == "execute" and not args.plan:
+        parser().error("execute needs --plan")
+    engine = Engine(spark or SparkSession.builder.appName("stratafold").getOrCreate(), config, print)
     if args.command != "scan":
         for r in engine.stale_roots().collect():
             print(f"{r['root']}: " + ("never scanned" if r["age_days"] is None else f"last scanned {r['age_days']} days ago"))
-    if args.command == "run":
+    if args.command == "execute":
+        print(execution.run_plan(args.plan, config.home))
+    elif args.command == "merge-review":
+        review(engine, args)
+    elif args.command == "waste":
+        print(artifacts.waste_text([r.asDict() for r in engine.waste().collect()]))
+    elif args.command == "run":
         for k, v in engine.run(args.rescan, args.delta, args.replan).items():
             print(f"{k}: {v}")
     elif args.command == "scan":

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Callable
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +19,23 @@ from stratafold.functions.hashing import hash_files
 from stratafold.operators import clusters as C
 from stratafold.operators import duplicates, similarity, snapshot, tree, waste
 from stratafold.plans import artifacts, proposals, xlsx
+from stratafold.scratch import materialize
 from stratafold.sources import walk
 from stratafold.sources.config import ScanConfig
 
-FOLDERS = "path string, parent string, depth int, mtime double, file_count long, total_bytes long, run_id long, is_missing boolean"
+FOLDERS = "path string, parent string, depth int, mtime double, file_count long, total_bytes long, run_id long, is_missing boolean, scanned_at double"
 FILES = "folder string, filename string, path string, size long, mtime double, ctime double, run_id long, is_missing boolean"
 HASHES = "path string, quick_hash string, full_hash string, size long, mtime double"
 STATE = "stage string, run_id long"
+ROOTS = "root string, run_id long, total_folders long, total_files long, indexed_folders long, indexed_files long, last_scanned_at timestamp"
+ERRORS = "kind string, path string, message string"
 CANDIDATES = "folder_a string, folder_b string, score double, shared_duplicate_files long, shared_signatures long, name_bonus double, size_ratio double, file_count_ratio double, reason string"
 GROUPS = "full_hash string, size_bytes long, file_count long, total_bytes long"
 
 #: Fixed values of the space estimate: bytes of tables per file, mean file size, shares of free space.
 ROW_BYTES, MEAN_FILE, ABORT_SHARE, WARN_SHARE = 400, 50_000, 0.90, 0.50
+#: Fixed value: free bytes below which a scan ends early.
+LEAST_FREE = 500 * 1024 * 1024
 
 
 def space_check(used: list[int], free: int) -> tuple[str, int, int]:
@@ -39,13 +46,18 @@ def space_check(used: list[int], free: int) -> tuple[str, int, int]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: ScanConfig):
-        self.spark, self.config = spark, config
-        self.stores = {n: snapshot.SnapshotStore(spark, f"{config.database}/{n}") for n in ("folders", "files", "hashes", "groups", "candidates", "state", "roots")}
+    def __init__(self, spark: SparkSession, config: ScanConfig, notice: Callable[[str], None] = lambda text: None):
+        """``notice`` is told how far a scan is and what could not be read."""
+        self.spark, self.config, self.notice = spark, config, notice
+        self.stores = {n: snapshot.SnapshotStore(spark, f"{config.database}/{n}") for n in ("folders", "files", "hashes", "groups", "candidates", "state", "roots", "errors")}
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        """The newest snapshot, with the columns of the schema that an older one lacks; empty if there is none."""
         store = self.stores[name]
-        return store.read() if store.current() else self.spark.createDataFrame([], schema)
+        if not store.current():
+            return self.spark.createDataFrame([], schema)
+        wanted = {c.split()[0]: (c.split()[1], None) for c in schema.split(", ")}
+        return snapshot.with_columns(store.read(), wanted).select(*wanted)
 
     def _state(self) -> dict[str, int]:
         return {r["stage"]: r["run_id"] for r in self._read("state", STATE).collect()}
@@ -72,31 +84,67 @@ class Engine:
             raise RuntimeError(f"the tables may take {size} bytes, more than is free")
         return verdict
 
+    def _enough_space(self, level: int, folders: int) -> str | None:
+        """Says how far the scan is, and a reason to end it where space runs out."""
+        self.notice(f"level {level}: {folders:,} folders")
+        free = shutil.disk_usage(self.config.database).free
+        return f"the scan ended early, {free >> 20} MB are free; what was listed is kept" if free < LEAST_FREE else None
+
     def scan(self, rescan: bool = False, delta: bool = False) -> int:
-        """Lists the roots, replaces what changed and marks what is gone; returns the run."""
-        state = self._state()
-        known = {r["root"] for r in self._read("roots", "root string, last_scanned_at timestamp").collect()}
-        roots = [r for r in self.config.roots if rescan or delta or r not in known]
+        """Lists the roots, replaces what changed and marks what is gone; returns the run.
+
+        Roots listed before are left out unless asked for; a delta scan reads only folders
+        that changed since they were read. What could not be read is kept in the table of
+        errors and said once.
+        """
+        Path(self.config.database).mkdir(parents=True, exist_ok=True)
+        state, seen = self._state(), self._read("roots", ROOTS)
+        known = {r["root"] for r in seen.select("root").collect()}
+        roots = [r for r in self.config.roots if os.path.isdir(r) and (rescan or delta or r not in known)]
         if not roots:
             return state.get("scan", 0)
-        run = state.get("scan", 0) + 1
-        listing = walk.walk(self.spark, roots, self.config.exclude_folders)
+        run = max(snapshot.next_run(seen), state.get("scan", 0) + 1)
+        read_at = self.active_folders().select("path", F.col("scanned_at").alias("last_scan")) if delta and not rescan else None
+        stopped = None
+        try:
+            listing = walk.walk(self.spark, roots, self.config.exclude_folders, read_at=read_at, before_level=self._enough_space)
+        except walk.Stopped as e:
+            listing, stopped = e.listing, e
         dirs, files = walk.inventory(listing, self.config.exclude_extensions, self.config.min_file_size, self.config.max_file_size)
-        mark = lambda df: df.withColumn("run_id", F.lit(run).cast("long")).withColumn("is_missing", F.lit(False))
-        for name, rows, schema in (("folders", mark(dirs), FOLDERS), ("files", mark(files), FILES)):
-            whole = snapshot.upsert(self._read(name, schema), rows.select(*[x.split()[0] for x in schema.split(", ")]), "path")
-            for root in roots:
-                if os.path.isdir(root):
-                    whole = snapshot.tombstone(whole, root, run)
-            self.stores[name].write(whole)
-        seen = self.spark.createDataFrame([(r,) for r in roots], "root string").withColumn("last_scanned_at", F.current_timestamp())
-        self.stores["roots"].write(snapshot.upsert(self._read("roots", "root string, last_scanned_at timestamp"), seen, "root"))
+        self._keep(dirs, files, listing, run, [] if stopped else roots)
+        errors = tree.distinct_errors(listing.filter("kind = 'error'").select(F.col("what").alias("kind"), "path", "message", "code"))
+        self.stores["errors"].write(errors.select("kind", "path", "message"))
+        for r in self._read("errors", ERRORS).orderBy("path").toLocalIterator():
+            self.notice(f"{r['kind']} not read: {r['path']}: {r['message']}")
+        if stopped:
+            raise stopped
+        fresh = snapshot.root_stats(listing, files, run).withColumn("last_scanned_at", F.current_timestamp())
+        self.stores["roots"].write(snapshot.upsert(self._read("roots", ROOTS), fresh, "root"))
         self._set("scan", run)
         return run
 
+    def _keep(self, dirs: DataFrame, files: DataFrame, listing: DataFrame, run: int, whole_roots: list[str]) -> None:
+        """The next snapshots of folders and files; under ``whole_roots`` what this run did not meet is gone."""
+        mark = lambda df: df.withColumn("run_id", F.lit(run).cast("long")).withColumn("is_missing", F.lit(False))
+        dirs = mark(dirs).withColumn("scanned_at", F.unix_micros(F.current_timestamp()) / 1e6)
+        unchanged = listing.filter("kind = 'unchanged'").select(F.col("path").alias("folder"))
+        for name, rows, schema, folder in (("folders", dirs, FOLDERS, "path"), ("files", mark(files), FILES, "folder")):
+            old = snapshot.promote(self._read(name, schema), unchanged, run, folder)
+            columns = [x.split()[0] for x in schema.split(", ")]
+            kept = snapshot.upsert(old.select(*columns), rows.select(*columns), "path")
+            for root in whole_roots:
+                kept = snapshot.tombstone(kept, root, run)
+            self.stores[name].write(kept)
+        if not snapshot.reject_unknown(files, self._read("folders", FOLDERS)).isEmpty():
+            raise ValueError("files were listed in folders that are not known")
+
+    def scan_stats(self) -> DataFrame:
+        """What each root held when it was last scanned, in all and indexed."""
+        return self._read("roots", ROOTS).orderBy("root")
+
     def stale_roots(self) -> DataFrame:
         roots = self.spark.createDataFrame([(r,) for r in self.config.roots], "root string")
-        return snapshot.stale_roots(roots, self._read("roots", "root string, last_scanned_at timestamp"), F.current_timestamp(), self.config.scan_max_age_days)
+        return snapshot.stale_roots(roots, self._read("roots", ROOTS), F.current_timestamp(), self.config.scan_max_age_days)
 
     def duplicates(self, rescan: bool = False) -> DataFrame:
         state = self._state()
@@ -148,13 +196,22 @@ class Engine:
     def waste(self) -> DataFrame:
         """Waste folders that still exist, measured on files that still exist."""
         files = self.active_files()
-        found = waste.candidates(files)
-        live = walk.walk(self.spark, [r["path"] for r in found.select("path").collect()]).filter("kind = 'file'").select("path", "size")
-        top = [r["path"] for r in found.select("path").collect()]
-        kept = [p for p in top if os.path.isdir(p)]
-        rows = live.join(files.select("path", "folder"), "path")
-        totals = waste.candidates(rows, self.config.waste_file_size) if kept else found.limit(0)
-        return totals.orderBy(F.desc("size_bytes"), "path")
+        found = materialize(waste.candidates(files), "waste")
+        # The folders to look at again: as many as a person is shown.
+        kept = [r["path"] for r in found.select("path").toLocalIterator() if os.path.isdir(r["path"])]
+        if not kept:
+            return found.limit(0)
+        live = walk.walk(self.spark, kept).filter("kind = 'file'").select("path", "size")
+        return waste.candidates(live.join(files.select("path", "folder"), "path"), self.config.waste_file_size).orderBy(F.desc("size_bytes"), "path")
+
+    def member_hashes(self, members: list[str]) -> dict[str, dict[str, str | None]]:
+        """The files below each of a cluster's folders with their hashes."""
+        of = self.spark.createDataFrame([(m,) for m in members], "ancestor string")
+        rows = tree.with_ancestors(self._hashed_files()).join(F.broadcast(of), "ancestor").select("ancestor", "path", "full_hash")
+        out: dict[str, dict[str, str | None]] = {m: {} for m in members}
+        for r in rows.toLocalIterator():
+            out[r["ancestor"]][r["path"]] = r["full_hash"]
+        return out
 
     def largest(self) -> DataFrame:
         """Large files that still exist, by size; each root has its own threshold."""
@@ -166,7 +223,7 @@ class Engine:
     def report(self) -> Path:
         """The workbook: summary, duplicates, similarity, plans, execution."""
         state, groups, pairs = self._state(), self._read("groups", GROUPS), self._read("candidates", CANDIDATES)
-        sheet = lambda df: [df.columns, *map(tuple, df.collect())]
+        sheet = lambda df: chain([df.columns], map(tuple, df.toLocalIterator()))
         plan = artifacts.latest(self.config.home, "plan")
         done = artifacts.latest(self.config.home, "execution")
         plans = [("proposal_id", "action", "sources", "target", "state", "reason")] + [
@@ -183,7 +240,7 @@ class Engine:
         self.preflight()
         out = {"scan_run": self.scan(rescan, delta), "duplicate_groups": self.duplicates(rescan).count(), "similar_pairs": self.similarity(rescan).count()}
         out |= {"plan": str(self.plan(replan)), "report": str(self.report())}
-        found = [r.asDict() for r in self.waste().collect()]
+        found = [r.asDict() for r in materialize(self.waste(), "waste").collect()]
         out["waste_folders"] = artifacts.write_shortcuts(found, f"{self.config.home}/waste")
         return out | {"large_files": self.largest().count()}
 

@@ -10,14 +10,14 @@ from stratafold.functions import paths
 from stratafold.functions.sizes import fixed, human
 from stratafold.operators import tree
 from stratafold.operators.components import connected_components
+from stratafold.operators.ordering import with_running
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """(cluster_id, path) of the components of the pairs, numbered by their first path."""
     found = connected_components(pairs.select(F.col("folder_a").alias("a"), F.col("folder_b").alias("b")))
-    firsts = found.select("component").distinct().withColumn(
-        "cluster_id", F.format_string("cluster-%04d", F.row_number().over(W.orderBy("component")))
-    )
+    firsts = with_running(found.select("component").distinct(), ["component"])
+    firsts = firsts.withColumn("cluster_id", F.format_string("cluster-%04d", F.col("place") + 1))
     return found.join(firsts, "component").select("cluster_id", F.col("node").alias("path"))
 
 

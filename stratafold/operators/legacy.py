@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import chain
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.functions import scoring
 from stratafold.operators import tree
+from stratafold.plans import xlsx
+
+
+def allowed(files: DataFrame, suffixes_out=(), least: int = 0, most: int = 0) -> DataFrame:
+    """The older filters: suffixes as they are written, and no upper limit where it is 0."""
+    last = F.regexp_extract("filename", r"[^.](\.[^.]+)$", 1)
+    rows = files.filter((F.col("size") >= least) & ~last.isin(*suffixes_out)) if suffixes_out else files.filter(F.col("size") >= least)
+    return rows.filter(F.col("size") <= most) if most else rows
+
+
+def unchanged(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """Folders whose time is the one stored: they are not read again."""
+    return listing.join(state.select("path", F.col("mtime").alias("stored")), "path").filter("mtime = stored").drop("stored")
 
 
 def signatures(files: DataFrame) -> DataFrame:
@@ -87,3 +103,16 @@ def similar_folders(results: DataFrame, folder_rows: DataFrame, matches: DataFra
     met = matches.filter("full_match").groupBy("folder_a", "folder_b").agg(F.count("*").alias("confirmed_dups"), F.sum("size").alias("dup_bytes"))
     rows = results.join(side("a"), "folder_a").join(side("b"), "folder_b").join(met, ["folder_a", "folder_b"], "left")
     return rows.withColumn("confirmed_dups", F.coalesce("confirmed_dups", F.lit(0)))
+
+
+#: The headings of the older workbook.
+SUMMARY_HEADINGS = ("Folder", "Total Folders", "Total Files", "Similar Folder Pairs", "Duplicate Files", "Duplicate GB")
+
+
+def workbook(path: str, roots: DataFrame, pairs: DataFrame, folders: DataFrame) -> Path:
+    """The older report: a summary of the roots, duplicate files by size, similar folders by duplicate bytes."""
+    sheet = lambda df, head=None: chain([head or df.columns], map(tuple, df.toLocalIterator()))
+    return xlsx.write(path, {
+        "Summary": sheet(roots.orderBy("root"), SUMMARY_HEADINGS), "Duplicate Files": sheet(pairs.orderBy(F.desc("size"), "path_a", "path_b")),
+        "Similar Folders": sheet(folders.orderBy(F.col("dup_bytes").desc_nulls_last(), "folder_a", "folder_b")),
+    })

@@ -74,6 +74,17 @@ def scan_stats(files: DataFrame, folder_rows: DataFrame, depth: int = 2) -> Data
     return d.join(f, "root", "left").na.fill(0, ["files", "bytes"])
 
 
+def root_stats(listing: DataFrame, files: DataFrame, run_id: int) -> DataFrame:
+    """Per root of a listing: folders and files met, and of these those that are indexed (folders read, files that pass the filters)."""
+    met = listing.groupBy("root").agg(
+        *[F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).alias(name) for kind, name in (("folder", "total_folders"), ("file", "total_files"), ("read", "indexed_folders"))]
+    )
+    kept = listing.filter("kind = 'file'").join(files.select("path"), "path").groupBy("root").agg(F.count("*").alias("indexed_files"))
+    return met.join(kept, "root", "left").na.fill(0, ["indexed_files"]).select(
+        "root", F.lit(run_id).cast("long").alias("run_id"), "total_folders", "total_files", "indexed_folders", "indexed_files"
+    )
+
+
 def stale_roots(roots: DataFrame, stats: DataFrame, now: Column, max_age_days: int) -> DataFrame:
     """root, age_days of roots never scanned (null) or last scanned before now - max_age."""
     rows = roots.join(stats.select("root", "last_scanned_at"), "root", "left")

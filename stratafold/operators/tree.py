@@ -14,14 +14,14 @@ from stratafold.functions import paths
 
 
 def folders(files: DataFrame, least_parts: int = 2) -> DataFrame:
-    """path, parent, drive, depth, file_count, total_bytes (direct), mtime of all folders and their ancestors."""
+    """path, parent, drive, depth, file_count, total_bytes (direct) of all folders and their ancestors."""
     direct = files.groupBy("folder").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"))
     every = files.select("folder").distinct().select(F.explode(paths.ancestors(F.col("folder"), least_parts)).alias("path")).distinct()
     out = every.join(direct.withColumnRenamed("folder", "path"), "path", "left").na.fill(0, ["file_count", "total_bytes"])
     return out.select(
         "path", F.when(paths.n_parts(F.col("path")) > least_parts, paths.parent(F.col("path"))).alias("parent"),
         paths.drive(F.col("path")).alias("drive"), (paths.n_parts(F.col("path")) - least_parts).alias("depth"),
-        "file_count", "total_bytes", (F.col("total_bytes") % 1009).cast("double").alias("mtime"),
+        "file_count", "total_bytes",
     )
 
 

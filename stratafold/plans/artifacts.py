@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.functions.sizes import fixed
 from stratafold.plans.proposals import STATES
 
 
@@ -30,7 +31,7 @@ def cluster_rows(mastered: DataFrame, scores: DataFrame, hidden: DataFrame, uniq
     per = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(member)).alias("members"), F.min(F.size(F.split("path", "/"))).alias("top"))
     per = per.join(scores, "cluster_id").join(hidden.withColumn("is_suppressed", F.lit(True)), "cluster_id", "left")
     return per.orderBy("top", "cluster_id").select(
-        "cluster_id", F.round("min_score", 4).alias("min_score"), F.coalesce("is_suppressed", F.lit(False)).alias("is_suppressed"), F.lit("pending").alias("status"), "members"
+        "cluster_id", fixed(F.col("min_score"), 4).cast("double").alias("min_score"), F.coalesce("is_suppressed", F.lit(False)).alias("is_suppressed"), F.lit("pending").alias("status"), "members"
     )
 
 
@@ -102,6 +103,28 @@ def detail_text(cluster: dict, most: int = 15) -> str:
     return "\n".join(lines)
 
 
+def short_size(n: int) -> str:
+    for unit, size in (("GB", 1 << 30), ("MB", 1 << 20)):
+        if n >= size:
+            return f"{n / size:.1f} {unit}"
+    return f"{n / 1024:.1f} KB"
+
+
+def waste_text(candidates: list[dict]) -> str:
+    """The waste folders in two parts, those to be reviewed first, with the totals of each."""
+    if not candidates:
+        return "No waste folder was found."
+    parts = [("To be reviewed", [c for c in candidates if c["requires_review"]]), ("Safe to clear", [c for c in candidates if not c["requires_review"]])]
+    lines = []
+    for title, rows in parts:
+        lines += [title + ":"] * bool(rows)
+        for c in rows:
+            path = c["path"] if len(c["path"]) <= 68 else "..." + c["path"][-65:]
+            lines.append(f"  {c['category']:<16}  {path:<68}  {short_size(c['size_bytes']):>10}  {c['file_count']:>10,} files")
+    whole = lambda rows: short_size(sum(c["size_bytes"] for c in rows))
+    return "\n".join([*lines, f"Could be saved: {whole(candidates)}", *[f"  {title.lower()}: {whole(rows)}" for title, rows in parts]])
+
+
 def write_shortcuts(candidates: list[dict], folder: str | Path) -> int:
     """A ranked .url file per waste folder, largest first; earlier ones go."""
     folder = Path(folder)

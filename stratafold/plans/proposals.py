@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions import paths
 from stratafold.functions.scoring import BACKUP_TOKENS, looks_like_backup
+from stratafold.operators.ordering import with_running
 
 ACTIONS = ("keep", "mark_backup", "merge_folder", "move_folder", "needs_review")
 STATES = ("pending", "approved", "rejected", "skipped")
@@ -24,9 +24,10 @@ def _filled(rows: DataFrame, action: Column) -> DataFrame:
     rows = rows.withColumn("action", action).withColumn("keep", canonical(F.col("folder_a"), F.col("folder_b")))
     other = F.when(F.col("keep") == F.col("folder_a"), F.col("folder_b")).otherwise(F.col("folder_a"))
     review = F.col("action") == "needs_review"
-    order = W.orderBy(F.desc("score"), "folder_a", "folder_b")
+    rows = with_running(rows, [F.desc("score"), "folder_a", "folder_b"])
+    # The texts of the reasons are required output.
     return rows.select(
-        F.format_string("proposal-%04d", F.row_number().over(order)).alias("proposal_id"), "action",
+        F.format_string("proposal-%04d", F.col("place") + 1).alias("proposal_id"), "action",
         F.when(review, F.array_sort(F.array("folder_a", "folder_b"))).otherwise(F.array(other)).alias("source_paths"),
         F.when(~review, F.col("keep")).alias("target_path"),
         F.when(review, F.concat(F.lit("Folder pair needs review before any move because evidence is mixed: "), "reason", F.lit(".")))

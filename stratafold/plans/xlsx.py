@@ -1,61 +1,130 @@
-"""Workbooks as plain OOXML, with the standard library alone."""
+"""Workbooks as plain OOXML, with the standard library alone.
+
+Rows are written as they come, so a sheet never stands in memory; one that is longer than
+the format allows goes on in further sheets.
+"""
 
 from __future__ import annotations
 
+import io
 import zipfile
-from collections.abc import Iterable, Sequence
-from html import escape
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice
 from pathlib import Path
+from xml.sax.saxutils import XMLGenerator
 
+# Fixed values of the format.
+MOST_ROWS = 1_048_576
 _NS = "http://schemas.openxmlformats.org"
-_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_MAIN, _OFFICE = f"{_NS}/spreadsheetml/2006/main", f"{_NS}/officeDocument/2006/relationships"
+_PACKAGE, _SHEET = f"{_NS}/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+
+class _Xml:
+    """Elements written straight to a binary stream."""
+
+    def __init__(self, out):
+        self.text = io.TextIOWrapper(out, "utf-8", write_through=True)
+        self.sax = XMLGenerator(self.text, "utf-8", short_empty_elements=True)
+        self.sax.startDocument()
+
+    def open(self, tag: str, **attributes) -> None:
+        self.sax.startElement(tag, {k.replace("__", ":"): str(v) for k, v in attributes.items()})
+
+    def close(self, tag: str) -> None:
+        self.sax.endElement(tag)
+
+    def leaf(self, tag: str, text: str | None = None, **attributes) -> None:
+        self.open(tag, **attributes)
+        if text is not None:
+            self.sax.characters(text)
+        self.close(tag)
+
+    def end(self) -> None:
+        self.text.detach()
 
 
 def column_name(index: int) -> str:
-    """A, B, ..., Z, AA, ... from 0."""
-    name = ""
-    index += 1
-    while index:
-        index, rest = divmod(index - 1, 26)
-        name = chr(65 + rest) + name
-    return name
+    """The letters of column ``index``, counted from 0: base 26 with digits A to Z and no zero."""
+    return (column_name(index // 26 - 1) if index > 25 else "") + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[index % 26]
 
 
-def cell(reference: str, value) -> str:
+def _cell(xml: _Xml, place: str, value) -> None:
     if value is None:
-        return f'<c r="{reference}"/>'
-    if isinstance(value, bool):
-        return f'<c r="{reference}" t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, (int, float)):
-        return f'<c r="{reference}"><v>{value}</v></c>'
-    return f'<c r="{reference}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+        return xml.leaf("c", r=place)
+    kind = {bool: "b", int: "n", float: "n"}.get(type(value), "inlineStr")
+    xml.open("c", r=place, t=kind)
+    if kind == "inlineStr":
+        xml.open("is")
+        xml.leaf("t", str(value), xml__space="preserve")
+        xml.close("is")
+    else:
+        xml.leaf("v", str(int(value) if kind == "b" else value))
+    xml.close("c")
+
+
+def _sheet(out, rows: Iterable[Sequence]) -> None:
+    xml = _Xml(out)
+    xml.open("worksheet", xmlns=_MAIN)
+    xml.open("sheetData")
+    for number, row in enumerate(rows, 1):
+        xml.open("row", r=number)
+        for i, value in enumerate(row):
+            _cell(xml, f"{column_name(i)}{number}", value)
+        xml.close("row")
+    xml.close("sheetData")
+    xml.close("worksheet")
+    xml.end()
+
+
+def _links(out, links: list[tuple[str, str]]) -> None:
+    xml = _Xml(out)
+    xml.open("Relationships", xmlns=f"{_PACKAGE}/relationships")
+    for i, (kind, target) in enumerate(links, 1):
+        xml.leaf("Relationship", Id=f"rId{i}", Type=f"{_OFFICE}/{kind}", Target=target)
+    xml.close("Relationships")
+    xml.end()
 
 
-def sheet(rows: Iterable[Sequence]) -> str:
-    body = "".join(f'<row r="{r}">' + "".join(cell(f"{column_name(c)}{r}", v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
-    return f'{_HEAD}<worksheet xmlns="{_NS}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+def _parts(rows: Iterable[Sequence], most: int) -> Iterator[Iterable[Sequence]]:
+    """The rows in runs of at most ``most``, each with the first row, the headings, on top; one run at least."""
+    rows = iter(rows)
+    head = list(islice(rows, 1))
+    yield chain(head, islice(rows, most - 1))
+    while first := list(islice(rows, 1)):
+        yield chain(head, first, islice(rows, most - 2))
 
 
-def write(path: str | Path, sheets: dict[str, list[Sequence]]) -> Path:
-    """The workbook with one sheet per entry."""
+def write(path: str | Path, sheets: dict[str, Iterable[Sequence]], most_rows: int = MOST_ROWS) -> Path:
+    """The workbook with one sheet per entry, of which the first row holds the headings, or several where one is too short."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    numbered = list(enumerate(sheets.items(), 1))
-    part = '<Override PartName="/xl/{}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{}+xml"/>'
-    types = (
-        f'{_HEAD}<Types xmlns="{_NS}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        + part.format("workbook.xml", "sheet.main") + "".join(part.format(f"worksheets/sheet{i}.xml", "worksheet") for i, _ in numbered) + "</Types>"
-    )
-    link = '<Relationship Id="rId{}" Type="' + _NS + '/officeDocument/2006/relationships/{}" Target="{}"/>'
-    links = lambda items: f'{_HEAD}<Relationships xmlns="{_NS}/package/2006/relationships">{"".join(link.format(*x) for x in items)}</Relationships>'
-    book = f'{_HEAD}<workbook xmlns="{_NS}/spreadsheetml/2006/main" xmlns:r="{_NS}/officeDocument/2006/relationships"><sheets>' + "".join(
-        f'<sheet name="{escape(name)}" sheetId="{i}" r:id="rId{i}"/>' for i, (name, _) in numbered
-    ) + "</sheets></workbook>"
+    names: list[str] = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", types)
-        z.writestr("_rels/.rels", links([(1, "officeDocument", "xl/workbook.xml")]))
-        z.writestr("xl/workbook.xml", book)
-        z.writestr("xl/_rels/workbook.xml.rels", links([(i, "worksheet", f"worksheets/sheet{i}.xml") for i, _ in numbered]))
-        for i, (_, rows) in numbered:
-            z.writestr(f"xl/worksheets/sheet{i}.xml", sheet(rows))
+        for name, rows in sheets.items():
+            for i, part in enumerate(_parts(rows, most_rows), 1):
+                names.append(name if i == 1 else f"{name} {i}")
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
+                    _sheet(out, part)
+        with z.open("xl/workbook.xml", "w") as out:
+            xml = _Xml(out)
+            xml.open("workbook", xmlns=_MAIN, xmlns__r=_OFFICE)
+            xml.open("sheets")
+            for i, name in enumerate(names, 1):
+                xml.leaf("sheet", name=name, sheetId=i, r__id=f"rId{i}")
+            xml.close("sheets")
+            xml.close("workbook")
+            xml.end()
+        with z.open("xl/_rels/workbook.xml.rels", "w") as out:
+            _links(out, [("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(names) + 1)])
+        with z.open("_rels/.rels", "w") as out:
+            _links(out, [("officeDocument", "xl/workbook.xml")])
+        with z.open("[Content_Types].xml", "w") as out:
+            xml = _Xml(out)
+            xml.open("Types", xmlns=f"{_PACKAGE}/content-types")
+            xml.leaf("Default", Extension="rels", ContentType="application/vnd.openxmlformats-package.relationships+xml")
+            for target, kind in [("workbook", "sheet.main"), *[(f"worksheets/sheet{i}", "worksheet") for i in range(1, len(names) + 1)]]:
+                xml.leaf("Override", PartName=f"/xl/{target}.xml", ContentType=f"{_SHEET}.{kind}+xml")
+            xml.close("Types")
+            xml.end()
     return path

@@ -1,62 +1,107 @@
 """Folder trees on storage that every executor mounts, listed level by level.
 
 Each level's folders are listed in parallel; a level is written before the next is listed,
-so a lost executor costs part of one level. Excluded folders are not entered.
+so a lost executor costs part of one level. Excluded folders are not entered. In a delta
+scan a folder that has not changed since it was last read is only looked through for
+folders below it.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafold.operators import snapshot
 from stratafold.scratch import materialize
 
-LISTING = "kind string, path string, folder string, filename string, size long, mtime double, ctime double, depth int, message string"
+#: kind is folder, read or unchanged (a listed folder), file, or error with what could not be read and its code.
+LISTING = (
+    "kind string, path string, folder string, filename string, size long, mtime double, ctime double, depth int, "
+    "what string, code long, message string, root string"
+)
+
+
+FOLDERS_A_TASK = 100
+
+
+def _error(e: OSError, what: str, path: str, folder: str, depth: int, root: str) -> tuple:
+    return ("error", path, folder, None, None, None, None, depth, what, getattr(e, "winerror", None), e.strerror or str(e), root)
 
 
 def _list(batches: Iterator[pd.DataFrame], excluded: frozenset[str]) -> Iterator[pd.DataFrame]:
-    """Rows of kind file, folder (one that lies in the listed one) and error."""
+    """Rows of LISTING for every folder (path, depth, root, changed) and what lies in it."""
     names = [x.split()[0] for x in LISTING.split(", ")]
     for pdf in batches:
         rows = []
-        for folder, depth in zip(pdf["path"], pdf["depth"]):
+        for folder, depth, root, changed in zip(pdf["path"], pdf["depth"], pdf["root"], pdf["changed"]):
             try:
                 entries = sorted(os.scandir(folder), key=lambda e: e.name)
             except OSError as e:
-                rows.append(("error", folder, folder, None, None, None, None, depth, e.strerror or str(e)))
+                rows.append(_error(e, "folder", folder, folder, depth, root))
                 continue
+            rows.append(("read" if changed else "unchanged", folder, folder, None, None, None, None, depth, None, None, None, root))
             for e in entries:
+                what = "entry"
                 try:
                     if e.is_dir(follow_symlinks=False):
                         if e.name not in excluded:
-                            rows.append(("folder", e.path, folder, e.name, None, e.stat().st_mtime, None, depth + 1, None))
-                    elif e.is_file(follow_symlinks=False):
+                            rows.append(("folder", e.path, folder, e.name, None, e.stat().st_mtime, None, depth + 1, None, None, None, root))
+                    elif changed and e.is_file(follow_symlinks=False):
+                        what = "file"
                         s = e.stat()
-                        rows.append(("file", e.path, folder, e.name, s.st_size, s.st_mtime, s.st_ctime, depth, None))
+                        rows.append(("file", e.path, folder, e.name, s.st_size, s.st_mtime, s.st_ctime, depth, None, None, None, root))
                 except OSError as x:
-                    rows.append(("error", e.path, folder, e.name, None, None, None, depth, x.strerror or str(x)))
+                    rows.append(_error(x, what, e.path, folder, depth, root))
         yield pd.DataFrame(rows, columns=names)
 
 
-def walk(spark: SparkSession, roots: list[str], excluded=frozenset(), tasks: int = 64) -> DataFrame:
-    """The listing of all roots; a root below another is listed once, one that is no folder not at all."""
+class Stopped(RuntimeError):
+    """The walk was ended early; ``listing`` holds what was listed until then."""
+
+    def __init__(self, reason: str, listing: DataFrame):
+        super().__init__(reason)
+        self.listing = listing
+
+
+def walk(
+    spark: SparkSession, roots: list[str], excluded=frozenset(), tasks: int = 4096, read_at: DataFrame | None = None,
+    before_level: Callable[[int, int], str | None] = lambda level, folders: None,
+) -> DataFrame:
+    """The listing of all roots; a root below another is listed once, one that is no folder not at all.
+
+    ``read_at`` (path, last_scan as epoch seconds): folders not changed since then are not
+    read again. ``before_level`` gets each level's number and its folders' number, and ends
+    the walk by returning a reason.
+    """
     there = [(r, os.stat(r).st_mtime) for r in dict.fromkeys(roots) if os.path.isdir(r)]
-    start = [("folder", r, None, os.path.basename(r), None, m, None, 0, None) for r, m in there if not any(r.startswith(o + "/") for o, _ in there)]
-    level = spark.createDataFrame(start, LISTING)
+    start = [("folder", r, None, os.path.basename(r), None, m, None, 0, None, None, None, r) for r, m in there if not any(r.startswith(o + "/") for o, _ in there)]
+    level, number = spark.createDataFrame(start, LISTING), 0
     found = level
-    while not level.isEmpty():
+    while count := level.count():
+        if reason := before_level(number, count):
+            raise Stopped(reason, found)
         names = frozenset(excluded)
-        listed = level.filter("kind = 'folder'").select("path", "depth").repartition(tasks)
-        level = materialize(listed.mapInPandas(lambda it: _list(it, names), LISTING), "listing")
+        listed = level.select("path", "depth", "root", "mtime")
+        if read_at is None:
+            listed = listed.withColumn("changed", F.lit(True))
+        else:
+            changed = snapshot.to_scan(listed, read_at).select("path", F.lit(True).alias("changed"))
+            listed = listed.join(changed, "path", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+        level = materialize(listed.repartition(min(tasks, -(-count // FOLDERS_A_TASK))).mapInPandas(lambda it: _list(it, names), LISTING), "listing")
         found = found.unionByName(level)
-        level = level.filter("kind = 'folder'")
+        level, number = level.filter("kind = 'folder'"), number + 1
     return found
 
 
+def count_folders(spark: SparkSession, roots: list[str], excluded=frozenset()) -> int:
+    """How many folders a scan will enter, the roots included."""
+    return walk(spark, roots, excluded).filter("kind = 'folder'").count()
+
+
 def inventory(listing: DataFrame, suffixes_out=(), least: int = 0, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(folders, files) of a listing, with direct totals over the files that pass the filters."""
     from stratafold.operators import tree
@@ -64,6 +109,8 @@ def inventory(listing: DataFrame, suffixes_out=(), least: int = 0, most: int | N
     files = listing.filter("kind = 'file'").select("folder", "filename", "path", "size", "mtime", "ctime")
     files = tree.allowed(files, (), tuple(suffixes_out), least, most)
     direct = files.groupBy("folder").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"))
-    folders = listing.filter("kind = 'folder'").select("path", F.col("folder").alias("parent"), "depth", "mtime")
+    # A folder that could not be read, or need not be, keeps the row it has.
+    read = listing.filter("kind = 'read'").select("path")
+    folders = listing.filter("kind = 'folder'").select("path", F.col("folder").alias("parent"), "depth", "mtime").join(read, "path")
     folders = folders.join(direct.withColumnRenamed("folder", "path"), "path", "left").na.fill(0, ["file_count", "total_bytes"])
     return folders, files

@@ -1,11 +1,16 @@
 import json
+import os
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratafold import cli
+from stratafold import catalog, cli
 from stratafold.engine import Engine, space_check
+from stratafold.operators import legacy
 from stratafold.plans import artifacts, execution, xlsx
+from stratafold.sources import walk
 from stratafold.sources.config import load_config
 
 
@@ -100,6 +105,71 @@ def test_space_and_shortcuts(tmp_path):
     assert [p.name for p in tmp_path.glob("*.url")] == ["001 dev_cache C__a_b.url"]
 
 
-def test_columns():
+def test_workbook(tmp_path):
     assert [xlsx.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
-    assert "<v>1</v>" in xlsx.cell("A1", True) and "&lt;" in xlsx.cell("A1", "<") and xlsx.cell("A1", None) == '<c r="A1"/>'
+    path = xlsx.write(tmp_path / "w.xlsx", {"One": iter([("h",), (True,), ("<&",), (None,), (2.5,)]), "Two": []}, most_rows=3)
+    with zipfile.ZipFile(path) as z:
+        parts = [ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")) for i in (1, 2, 3)]
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if s.tag.endswith("}sheet")]
+    texts = [["".join(c.itertext()) for c in p.iter() if c.tag.endswith("}c")] for p in parts]
+    assert names == ["One", "One 2", "Two"] and texts == [["h", "1", "<&"], ["h", "", "2.5"], []]
+
+
+def test_delta_scan_errors_and_statistics(spark, setup):
+    root, config = setup
+    engine = Engine(spark, load_config(config), (said := []).append)
+    assert engine.scan() == 1 and walk.count_folders(spark, [str(root)], {"skip"}) == 6
+    stats = engine.scan_stats().first()
+    assert (stats["run_id"], stats["total_folders"], stats["total_files"], stats["indexed_folders"], stats["indexed_files"]) == (1, 6, 9, 6, 9)
+    # An edit inside an unchanged folder is not seen, a new file is; everything else moves to the run.
+    (root / "projectA/data.bin").write_bytes(b"other")
+    os.utime(root / "projectA", (1, 1))
+    (root / "misc/new.txt").write_bytes(b"new")
+    (root / "projectB/docs/readme.txt").unlink()
+    assert engine.scan(delta=True) == 2
+    files = {r["path"].removeprefix(f"{root}/"): r for r in engine.stores["files"].read().collect()}
+    assert files["misc/new.txt"]["run_id"] == 2 and files["projectA/data.bin"]["size"] == 31 and files["projectA/data.bin"]["run_id"] == 2
+    assert [p for p, r in files.items() if r["is_missing"]] == ["projectB/docs/readme.txt"]
+    assert engine.scan_stats().first()["indexed_folders"] < 6 and any(x.startswith("level 1:") for x in said)
+    listing = walk.walk(spark, [str(root)])
+    gone = listing.filter("kind = 'folder'").limit(1).withColumn("path", F.lit(str(root / "nowhere"))).withColumn("changed", F.lit(True))
+    errors = gone.select("path", "depth", "root", "changed").mapInPandas(lambda it: walk._list(it, frozenset()), walk.LISTING).collect()
+    assert [(r["kind"], r["what"]) for r in errors] == [("error", "folder")] and errors[0]["message"]
+
+
+def test_scan_ends_early_without_space(spark, setup, monkeypatch):
+    root, config = setup
+    engine = Engine(spark, load_config(config))
+    monkeypatch.setattr("stratafold.engine.LEAST_FREE", 1 << 60)
+    with pytest.raises(walk.Stopped):
+        engine.scan()
+    monkeypatch.undo()
+    assert engine.scan_stats().count() == 0 and engine.scan() == 1 and engine.active_files().count() == 9
+
+
+def test_review_and_waste_commands(spark, setup, tmp_path, capsys):
+    root, config = setup
+    lay_out(root, {"projectA/.tox/x.bin": b"y" * 2048, "Windows.old/z.bin": b"z" * 4096})
+    assert cli.main(["--config", str(config)], spark) == 0
+    plan = artifacts.load(artifacts.latest(tmp_path / "out", "plan"))
+    cluster = plan["clusters"][0]
+    old = [m["path"] for m in cluster["members"] if m["is_master"]]
+    assert cli.main(["--config", str(config), "merge-review", "--cluster", cluster["cluster_id"], "--cycle", "--status", "approved"], spark) == 0
+    now = artifacts.load(artifacts.latest(tmp_path / "out", "plan"))["clusters"][0]
+    assert [m["path"] for m in now["members"] if m["is_master"]] != old and now["status"] == "approved"
+    assert cli.main(["--config", str(config), "waste"], spark) == 0
+    said = capsys.readouterr().out
+    assert "Safe to clear:" in said and ".tox" in said and "Could be saved: 2.0 KB" in said
+
+
+def test_legacy_workbook_and_filters(spark, tmp_path):
+    files = spark.createDataFrame([("a", "x.TMP", 5), ("a", "y.tmp", 50), ("a", ".tmp", 9)], "folder string, filename string, size long")
+    assert {r["filename"] for r in legacy.allowed(files, (".tmp",)).collect()} == {"x.TMP", ".tmp"}
+    assert legacy.allowed(files, (), 6, 0).count() == 2 and legacy.allowed(files, (), 0, 10).count() == 2
+    state = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "path string, mtime double")
+    assert [r["path"] for r in legacy.unchanged(spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 1.0)], "path string, mtime double"), state).collect()] == ["a"]
+    queries = catalog.queries()
+    of = lambda name: queries[name](spark, "/root/testdata/sf0.001")
+    path = legacy.workbook(str(tmp_path / "old.xlsx"), of("legacy_summary"), of("legacy_duplicates"), of("legacy_similar_folders"))
+    with zipfile.ZipFile(path) as z:
+        assert [f'name="{n}"' in z.read("xl/workbook.xml").decode() for n in ("Summary", "Duplicate Files", "Similar Folders")] == [True] * 3
