@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratafold.functions import paths, sizes
+from stratafold.functions import hashing, paths, sizes
 from stratafold.operators import clusters as C
 from stratafold.operators import duplicates, legacy, similarity, snapshot, tree, waste
-from stratafold.plans import proposals
+from stratafold.operators.ordering import with_running
+from stratafold.plans import artifacts, matching, proposals
 from stratafold.scratch import materialize
 from stratafold.sources.tables import cluttered_inventory, inventory, table, timed_folders
 
@@ -371,9 +372,33 @@ def cluster_master(spark, d):
     return _mastered(spark, d)[0].filter("is_master").select("cluster_id", F.col("path").alias("master"))
 
 
-@query(_with(f"{TO_MASTERS},\n{UNIQ.format(m='ma')}", "select cluster_id, copy, path, size from uq", True))
+#: Hashes as the funnel leaves them: some files were never in doubt.
+_SOME = UNIQ.format(m="ma").replace("u.h", "(case when u.size % 3 <> 0 then u.h end)").replace("u2.h", "(case when u2.size % 3 <> 0 then u2.h end)")
+
+
+def _some_hashed(files):
+    return files.withColumn("full_hash", F.when(F.col("size") % 3 != 0, F.col("h")))
+
+
+@query(_with(f"{TO_MASTERS},\n{_SOME}", "select cluster_id, copy, path, size from uq", True))
 def unique_files(spark, d):
-    return C.unique_files(_mastered(spark, d)[0], _hashed(inventory(spark, d)))
+    return C.unique_files(_mastered(spark, d)[0], _some_hashed(inventory(spark, d)))
+
+
+@query(
+    _with(
+        f"{TO_MASTERS},\n{SUPP},\n{_SOME}",
+        """select cluster_id, path, is_master, round(min_score, 4) as min_score, cluster_id in (select cluster_id from su) as is_suppressed, 'pending' as status,
+  coalesce(n, 0) as unique_file_count from ma join ms using (cluster_id) left join (select cluster_id, copy as path, count(*) as n from uq group by all) using (cluster_id, path)""",
+        True,
+    )
+)
+def plan_members(spark, d):
+    """The clusters as a plan holds them, a row per member."""
+    mastered, members, pairs = _mastered(spark, d)
+    nested = artifacts.cluster_rows(mastered, C.least_scores(members, pairs), C.suppressed(members), C.unique_files(mastered, _some_hashed(inventory(spark, d))))
+    rows = nested.select("cluster_id", "min_score", "is_suppressed", "status", F.explode("members").alias("m"))
+    return rows.select("cluster_id", "m.path", "m.is_master", "min_score", "is_suppressed", "status", F.col("m.unique_file_count").cast("long").alias("unique_file_count"))
 
 
 @query(_with(f"{TO_CLUSTERS},\n{SUPP}", "select cluster_id from su", True))
@@ -456,8 +481,84 @@ def waste_totals(spark, d):
     return waste.totals(waste.candidates(cluttered_inventory(spark, d)))
 
 
+@query(_with(_CLUTTER, "select row_number() over (order by size_bytes desc, path) as rank, path, category, size_bytes from wc"))
+def waste_ranked(spark, d):
+    rows = with_running(waste.candidates(cluttered_inventory(spark, d)), [F.desc("size_bytes"), F.col("path")])
+    return rows.select((F.col("place") + 1).alias("rank"), "path", "category", "size_bytes").orderBy("rank")
+
+
+# ---------------------------------------------------------------- copying and checking
+
+_COPY = """src as (select substr(path, 16) as relative, size, case when size % 4 <> 0 then h end as h from f where starts_with(path, 'D:/corpus/src3/')),
+dst as (select substr(path, 17) as relative, case when size % 5 = 0 then size + 1 else size end as there, h as other from f where starts_with(path, 'F:/archive/src3/')),
+cp as (select src.relative, size, case when there is null then 'copy' when size = there and h = other then 'same' else 'conflict' end as action from src left join dst using (relative))"""
+
+
+def _copied(spark, d):
+    files = inventory(spark, d)
+    source = files.filter("path like 'D:/corpus/src3/%'").withColumn("full_hash", F.when(F.col("size") % 4 != 0, F.col("h")))
+    target = files.filter("path like 'F:/archive/src3/%'").withColumn("full_hash", F.col("h")).withColumn("size", F.when(F.col("size") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return matching.copy_plan(source.union(target), "D:/corpus/src3", "F:/archive/src3")
+
+
+@query(_with(f"{INV},\n{_COPY}", "select relative, size, action from cp"))
+def copy_plan(spark, d):
+    return _copied(spark, d)
+
+
+@query(
+    _with(
+        f"{INV},\n{_COPY}",
+        """select count(*) filter (action = 'copy') as files_copied, cast(coalesce(sum(size) filter (action = 'copy'), 0) as bigint) as bytes_copied,
+  count(*) filter (action = 'conflict') as conflicts, count(*) filter (action = 'conflict') = 0 as verification_passed from cp""",
+    )
+)
+def copy_totals(spark, d):
+    return matching.copy_totals(_copied(spark, d))
+
+
+@query(
+    """with t as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents)
+select doc_id, md5(unhex(substr(x, 1, 8192) || case when n > 4096 then substr(x, 2 * (n - 4096) + 1, 8192) else '' end || hex(encode(cast(n as varchar))))) as quick_hash,
+  md5(unhex(x)) as full_hash, n // 1048576 as mb from t"""
+)
+def content_hashes(spark, d):
+    """Quick and full hashes over a binary column."""
+    rows = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    size = F.octet_length("content")
+    return rows.select("doc_id", hashing.quick_md5(F.col("content"), size).alias("quick_hash"), F.md5("content").alias("full_hash"), sizes.whole_mb(size).alias("mb"))
+
+
 # ---------------------------------------------------------------- snapshots
 
+_LISTED = """ls as (select 'folder' as kind, path, case when starts_with(path, 'D:') then 'D:/corpus' when starts_with(path, 'E:') then 'E:/corpus' else 'F:/archive' end as root, mtime from fo)"""
+
+
+@query(
+    _with(
+        f"{INV},\n{FOLD},\n{_LISTED}",
+        """select root, cast(7 as bigint) as run_id, count(*) as total_folders, any_value(n) as total_files, count(*) filter (mtime >= 100) as indexed_folders, any_value(k) as indexed_files
+  from ls join (select case when starts_with(path, 'D:') then 'D:/corpus' when starts_with(path, 'E:') then 'E:/corpus' else 'F:/archive' end as root,
+    count(*) as n, count(*) filter (size >= 700) as k from f group by 1) using (root) group by root""",
+    )
+)
+def root_stats(spark, d):
+    """Counts per root of a listing in which some folders were not read."""
+    files = inventory(spark, d)
+    root = F.when(F.col("path").startswith("D:"), "D:/corpus").when(F.col("path").startswith("E:"), "E:/corpus").otherwise("F:/archive").alias("root")
+    dirs = timed_folders(files)
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), "path", root)
+    listing = row(dirs, "folder").union(row(dirs.filter("mtime >= 100"), "read")).union(row(files, "file"))
+    return snapshot.root_stats(listing, tree.allowed(files, least=700), 7)
+
+
+@query(_with(INV, "select path, 'moved' as folder, cast(size as bigint) as size, cast(null as varchar) as quick_hash, cast(0 as bigint) as run_id from f"))
+def migrated(spark, d):
+    """An older table with a column renamed and two added."""
+    old = inventory(spark, d).select("path", F.lit("moved").alias("dir"), F.col("size").cast("long").alias("size"))
+    return snapshot.with_columns(old, {"quick_hash": ("string", None), "run_id": ("long", "0")}, {"dir": "folder"})
+
+
 _DAYS = "ev as (select user_id, cast(epoch(date_trunc('day', ts)) / 86400 as bigint) as run_id, max(value) as value, count(*) as n from events group by all)"
 
 
@@ -637,6 +738,40 @@ def legacy_similar_folders(spark, d):
     return rows.withColumn("jaccard", F.round("jaccard", 6)).orderBy(F.col("dup_bytes").desc_nulls_last())
 
 
+@query(_with(f"{INV},\n{FOLD}", "select path, cast(case when mtime % 3 <> 0 then 12 else 10 end as double) as analysed_at from fo"))
+def legacy_marked(spark, d):
+    dirs = timed_folders(inventory(spark, d)).select("path", F.lit(10.0).alias("analysed_at"), F.when(F.col("mtime") % 3 != 0, 11.0).otherwise(9.0).alias("scanned_at"))
+    return legacy.mark_analysed(dirs, F.lit(12.0)).select("path", "analysed_at")
+
+
+@query(
+    _with(
+        TO_LEG,
+        """select folder_a, folder_b, cast(0.5 as double) as jaccard from (select parent as folder_a, path as folder_b from fo where parent is not null)
+  where folder_a not in (from dirt) and folder_b not in (from dirt) union all select folder_a, folder_b, round(jaccard, 6) from lr""",
+    )
+)
+def legacy_replaced(spark, d):
+    """Results of folders analysed again take the place of the old ones."""
+    files, new = _legacy(spark, d)
+    dirs = timed_folders(files)
+    old = dirs.filter("parent is not null").select(F.col("parent").alias("folder_a"), F.col("path").alias("folder_b"), F.lit(0.5).alias("jaccard"))
+    rows = legacy.replace_results(old, new.select("folder_a", "folder_b", "jaccard"), dirs.filter("mtime % 3 <> 0").select("path"))
+    return rows.withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(_with(f"{INV},\n{FOLD}", "select path from fo where depth % 2 = 0"))
+def legacy_unchanged(spark, d):
+    dirs = timed_folders(inventory(spark, d))
+    state = dirs.select("path", F.when(F.col("depth") % 2 == 0, F.col("mtime")).otherwise(F.col("mtime") + 1).alias("mtime"))
+    return legacy.unchanged(dirs, state).select("path")
+
+
+@query(_with(INV, "select path from f where size >= 500 and size <= 3000 and regexp_extract(filename, '[^.]([.][^.]+)$', 1) not in ('.de', '.EN')"))
+def legacy_allowed(spark, d):
+    return legacy.allowed(inventory(spark, d), (".de", ".EN"), 500, 3000).select("path")
+
+
 def queries():
     return {name: f for name, (f, _) in QUERIES.items()}
 
