@@ -28,21 +28,25 @@ def parse_days(value: int | str) -> int:
     return int(number * DAYS[unit or "d"])
 
 
+def _grammar(units) -> str:
+    """A decimal number and, after blanks or none, one of the units or nothing; the same in Python and in Spark."""
+    digits = "[0-9]+"
+    return f"({digits}(?:[.]{digits})?)[ ]*({'|'.join(sorted(units, key=len, reverse=True))}|)"
+
+
 def _parts(value, units, what: str) -> tuple[float, str]:
-    text = str(value).strip().lower()
-    unit = text.lstrip("0123456789.").strip()
-    number = text[: len(text) - len(text.lstrip("0123456789."))]
-    if not re.fullmatch(r"\d+(\.\d+)?", number) or unit and unit not in units:
+    found = re.fullmatch(_grammar(units), str(value).strip().lower())
+    if not found:
         raise ValueError(f"not a {what}: {value!r}")
-    return float(number), unit
+    return float(found[1]), found[2]
 
 
 def size_of(text: Column) -> Column:
     """Bytes of a size text; null where it is none."""
-    number = F.regexp_extract(F.lower(text), r"^\s*(\d+(?:\.\d+)?)\s*(b|kb|mb|gb)?\s*$", 1)
-    unit = F.regexp_extract(F.lower(text), r"^\s*(\d+(?:\.\d+)?)\s*(b|kb|mb|gb)?\s*$", 2)
-    factor = F.when(unit == "kb", 1024.0).when(unit == "mb", 1024.0**2).when(unit == "gb", 1024.0**3).otherwise(1.0)
-    return F.when(number != "", F.floor(number.try_cast("double") * factor))
+    folded, grammar = F.lower(F.trim(text)), F.lit(f"^{_grammar(UNITS)}$")
+    number, unit = (F.regexp_extract(folded, f"^{_grammar(UNITS)}$", i) for i in (1, 2))
+    factors = F.create_map(*[F.lit(x) for pair in (UNITS | {"": 1}).items() for x in (pair[0], float(pair[1]))])
+    return F.when(F.regexp_like(folded, grammar), F.floor(number.try_cast("double") * F.element_at(factors, unit)))
 
 
 def fixed(x: Column, digits: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions import paths
+from stratafold.scratch import delete
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -131,11 +132,13 @@ class SnapshotStore:
                 return 0
             raise
 
-    def write(self, rows: DataFrame) -> int:
-        """Writes the rows as the next snapshot, then moves the pointer."""
+    def write(self, rows: DataFrame, keep: int = 3) -> int:
+        """Writes the rows as the next snapshot, then moves the pointer; all but the newest ``keep`` snapshots go."""
         run = self.current() + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/run={run}")
         self.spark.range(1).select(F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/pointer")
+        if run > keep:
+            delete(self.spark, f"{self.path}/run={run - keep}")
         return run
 
     def read(self, run: int | None = None) -> DataFrame:

@@ -47,6 +47,12 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all it holds, where there is one."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def working_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/stratafold/{name}-{uuid.uuid4().hex}"
@@ -77,5 +83,4 @@ def discard(*tables: DataFrame) -> None:
     """
     for table in tables:
         if path := _PATHS.pop(id(table), None):
-            files, target = _file_system(table.sparkSession, path)
-            files.delete(target, True)
+            delete(table.sparkSession, path)

@@ -13,6 +13,8 @@ from stratafold.functions.sizes import parse_days, parse_size
 
 @dataclass(slots=True)
 class ScanConfig:
+    """The names of the settings and their defaults."""
+
     roots: list[str]
     home: str
     database: str
