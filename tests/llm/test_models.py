@@ -41,6 +41,27 @@ def test_folded_network_equals_direct_convolution():
     assert net.logits(raw) == pytest.approx(direct, abs=1e-4)
 
 
+def test_predictions_against_direct_convolution(spark):
+    """Every row of the query, from the fitted weights, window by window, without tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = langid.fit(docs)
+    rows = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(rows) == set(texts)
+    for doc, text in texts.items():
+        if not text or not any(c.isalpha() for c in text):
+            assert (rows[doc]["lang_pred"], rows[doc]["score"]) == ("und", 0.0)
+            continue
+        e = net.p["embed"][langid.windows(text.encode())]
+        pooled = []
+        for w in langid.WIDTHS:
+            columns = np.concatenate([e[:, o : o + langid.WINDOW] for o in range(w)], axis=2)
+            pooled.append((columns @ net.p[f"filter{w}"]).max(1) + net.p[f"shift{w}"])
+        z = (np.maximum(np.concatenate(pooled, 1), 0) @ net.p["out"] + net.p["bias"]).mean(0)
+        prob = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert rows[doc]["lang_pred"] == net.langs[int(prob.argmax())] and rows[doc]["score"] == pytest.approx(float(prob.max()), abs=1e-3)
+
+
 def test_gradients():
     net = langid.Network.fresh(["a", "b"], 5)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
