@@ -13,6 +13,10 @@ from stratafold.operators import tree
 from stratafold.plans import xlsx
 
 
+#: Roots that a summary takes.
+MOST_ROOTS = 10_000
+
+
 def allowed(files: DataFrame, suffixes_out=(), least: int = 0, most: int = 0) -> DataFrame:
     """The older filters: suffixes as they are written, and no upper limit where it is 0."""
     last = F.regexp_extract("filename", r"[^.](\.[^.]+)$", 1)
@@ -85,9 +89,11 @@ def confirm(pairs: DataFrame, quick=lambda c: F.substring(c, 1, 8)) -> DataFrame
 def summary(stats: DataFrame, results: DataFrame, matches: DataFrame) -> DataFrame:
     """root, folders, files, similar_pairs, duplicate_files, duplicate_gb; roots match as bare prefixes.
 
-    Roots are few and each side is matched against all of them at once, not per row.
+    Roots are settings: each side is matched against all of them at once, so they must be few.
     """
     of = stats.select("root")
+    if (count := of.count()) > MOST_ROOTS:
+        raise ValueError(f"{count} roots are more than {MOST_ROOTS}")
     pairs = results.join(F.broadcast(of), F.col("folder_a").startswith(F.col("root"))).groupBy("root").agg(F.count("*").alias("similar_pairs"))
     dups = matches.filter("full_match").join(F.broadcast(of), F.col("folder_a").startswith(F.col("root"))).groupBy("root").agg(
         F.count("*").alias("duplicate_files"), (F.sum("size") / 1e9).alias("duplicate_gb")
