@@ -53,23 +53,17 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
-def working_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/stratafold/{name}-{uuid.uuid4().hex}"
-    files, target = _file_system(spark, path)
-    files.deleteOnExit(target)
-    return path
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
-    path = working_path(spark, name)
+    path = f"{shared_dir(spark)}/stratafold/{name}-{uuid.uuid4().hex}"
     with _shuffles_end_with_it(spark):
         df.write.parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)  # what nobody discards goes when the session's JVM ends
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(table)] = path
     weakref.finalize(table, _PATHS.pop, id(table), None)
