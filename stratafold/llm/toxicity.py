@@ -89,7 +89,11 @@ class Index:
         terms, weights, place = terms[~dense], weights[~dense], place[~dense]
         by_term = np.lexsort((place, terms))
         self.ends = np.searchsorted(terms[by_term], np.arange(self.width + 1))
-        self.places, self.weights = place[by_term], weights[by_term]
+        self.places, self.weights = place[by_term].astype(np.int32), weights[by_term]
+
+    def __getstate__(self):
+        # The examples' own vectors serve the calibration only.
+        return self.__dict__ | {"vectors": []}
 
     def nearest(self, queries: list[Vector], k: int, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each query the k largest (cosine, -place) above 0, ties to the earlier place; ``leave`` names a place to leave out."""
@@ -237,11 +241,11 @@ class Model:
             mass[1] += s * self.weights[y]
         return mass[0] / mass[1]
 
-    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        """Score and evidence (cosine, doc_id) of whole texts."""
+    def scores(self, texts: pa.Array) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Score and evidence (cosine, doc_id) of whole texts in UTF-8; few of them are Python objects at a time."""
         out = []
         for at in range(0, len(texts), BATCH):
-            part = texts[at : at + BATCH]
+            part = texts.slice(at, BATCH).to_pylist()
             if self.index is None:
                 out += [(self.bare, [])] * len(part)
                 continue
@@ -380,17 +384,18 @@ def document_frequencies(docs: DataFrame, model: Model) -> tuple[int, np.ndarray
         model, n = shared.value, 0
         held = np.zeros(len(model.vocabulary) + len(AMOUNTS), np.int64)
         for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for text in batch.column(0):
-                words = Counter(text_words(text.as_py()))
-                codes = model.coded(words)
-                found.append(codes)
-                told = np.flatnonzero(model.tells[codes])
-                if len(told):
-                    every = list(words.items())
-                    found.append(np.array(list(model.features([every[i] for i in told])), np.int64))
-            found = np.concatenate(found)
-            held += np.bincount(found[found >= 0], minlength=len(held))
+            for at in range(0, batch.num_rows, BATCH):
+                found = []
+                for text in batch.column(0).slice(at, BATCH):
+                    words = Counter(text_words(text.as_py()))
+                    codes = model.coded(words)
+                    found.append(codes)
+                    told = np.flatnonzero(model.tells[codes])
+                    if len(told):
+                        every = list(words.items())
+                        found.append(np.array(list(model.features([every[i] for i in told])), np.int64))
+                found = np.concatenate(found)
+                np.add.at(held, found[found >= 0], 1)
             n += batch.num_rows
         if n:
             f = np.flatnonzero(held)
@@ -409,7 +414,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = shared.value.scores(batch.column(1).to_pylist())
+            out = shared.value.scores(batch.column(1))
             evidence = [",".join(f"{i}:{s:.4f}" for s, i in near) for _, near in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"]
@@ -433,8 +438,8 @@ def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = [s < threshold for s, _ in shared.value.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts])]
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+            keep = [s < threshold for s, _ in shared.value.scores(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
