@@ -388,7 +388,7 @@ def unique_files(spark, d):
 @query(
     _with(
         f"{TO_MASTERS},\n{SUPP},\n{_SOME}",
-        """select cluster_id, path, is_master, round(min_score, 4) as min_score, cluster_id in (select cluster_id from su) as is_suppressed, 'pending' as status,
+        """select cluster_id, path, is_master, cast(printf('%.4f', min_score) as double) as min_score, cluster_id in (select cluster_id from su) as is_suppressed, 'pending' as status,
   coalesce(n, 0) as unique_file_count from ma join ms using (cluster_id) left join (select cluster_id, copy as path, count(*) as n from uq group by all) using (cluster_id, path)""",
         True,
     )
