@@ -191,7 +191,13 @@ def large_files(spark, d):
 
 @query(_with(INV, f"select count(*) as files, cast(coalesce(sum(size), 0) as bigint) as bytes from ({_LARGE})"))
 def large_totals(spark, d):
-    return large_files(spark, d).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return tree.marked_totals(large_files(spark, d))
+
+
+@query(_with(INV, f"select count(*) as files, cast(coalesce(sum(size), 0) as bigint) as bytes from ({_LARGE}) where size % 2 = 0 and path like 'D:%'"))
+def large_marked(spark, d):
+    """What the files marked in a review of the largest come to."""
+    return tree.marked_totals(large_files(spark, d), inventory(spark, d).filter("size % 2 = 0 and path like 'D:%'"))
 
 
 @query(_with(f"{INV},\n{GROUPS},\n{FOLD}", "select (select count(*) from fo) as folders, (select count(*) from f) as files, (select count(*) from g) as groups"))

@@ -74,6 +74,12 @@ def large_files(files: DataFrame, thresholds: DataFrame) -> DataFrame:
     return least.join(thresholds, "root").filter("size >= threshold").select("path", "size").distinct()
 
 
+def marked_totals(large: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """files, bytes of the large files, or of those whose path is among the marks of a review."""
+    rows = large if marks is None else large.join(marks.select("path").distinct(), "path", "left_semi")
+    return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def distinct_errors(errors: DataFrame) -> DataFrame:
     """kind, path, message once each, without the codes that mean access was refused or a path is gone."""
     return errors.filter("code is null or code not in (2, 3, 5)").dropDuplicates(["kind", "path", "message"]).drop("code")
