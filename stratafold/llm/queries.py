@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratafold.llm import decontaminate, gif_media, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, toxicity, warc
+from stratafold.llm import decontaminate, exact_dedup, gif_media, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, toxicity, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -54,6 +54,10 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -61,8 +65,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, pipeline, gif_frames)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, op13_exact_dedup, pipeline, gif_frames)}
 
 
 def oracle_sql():
-    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_warc": warc.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_warc": warc.oracle(), "op13_exact_dedup": exact_dedup.oracle()}
