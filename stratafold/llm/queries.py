@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratafold.llm import decontaminate, exact_dedup, gif_media, html_extract, langid, lexical, license_scan, line_dedup, mixing, ngram_join, toxicity, warc
+from stratafold.llm import decontaminate, exact_dedup, gif_media, html_extract, langid, lexical, license_scan, line_dedup, mixing, ngram_join, prefix_trie, toxicity, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -54,6 +54,11 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """The nodes without their internal names."""
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 def op12_lexical_search(spark, sf_dir):
     return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,8 +74,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, op12_lexical_search, op13_exact_dedup, pipeline, gif_frames)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_gif_media, op4_language_id, op5_ngram_join, op6_toxicity, op7_warc, op8_line_dedup, op9_html_extract, op10_mix_sources, op11_prefix_trie, op12_lexical_search, op13_exact_dedup, pipeline, gif_frames)}
 
 
 def oracle_sql():
-    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_warc": warc.oracle(), "op12_lexical_search": lexical.oracle(), "op13_exact_dedup": exact_dedup.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_warc": warc.oracle(), "op11_prefix_trie": prefix_trie.oracle(), "op12_lexical_search": lexical.oracle(), "op13_exact_dedup": exact_dedup.oracle()}
