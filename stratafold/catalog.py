@@ -29,20 +29,20 @@ fs as (select 'D:/corpus/' || source || '/' || lang as folder, filename, size, h
   union all select 'E:/corpus/' || source || case when sn % 2 = 0 then '_backup' else '' end || '/' || lang, filename, size, h from base
     where doc_id % (2 + sn) <> 0 and sn % 5 <> 4
   union all select 'F:/archive/' || source || '/' || lang, filename, size, h from base where sn % 3 = 0 and doc_id % (5 + sn) <> 0),
-f as (select folder, filename, folder || '/' || filename as path, size, h from fs)"""
+f as materialized (select folder, filename, folder || '/' || filename as path, size, h from fs)"""
 PREFIX = "array_to_string(list_slice(string_split({p}, '/'), 1, i), '/')"
-UP = f"""up as (select *, {PREFIX.format(p="folder")} as anc from (select *, unnest(range(2, len(string_split(folder, '/')) + 1)) as i from f))"""
+UP = f"""up as materialized (select *, {PREFIX.format(p="folder")} as anc from (select *, unnest(range(2, len(string_split(folder, '/')) + 1)) as i from f))"""
 FOLD = f"""fd as (select distinct {PREFIX.format(p="folder")} as path from (select distinct folder, unnest(range(2, len(string_split(folder, '/')) + 1)) as i from f)),
-fo as (select path, case when len(string_split(path, '/')) > 2 then regexp_replace(path, '/[^/]*$', '') end as parent,
+fo as materialized (select path, case when len(string_split(path, '/')) > 2 then regexp_replace(path, '/[^/]*$', '') end as parent,
   upper(substr(path, 1, 2)) as drive, len(string_split(path, '/')) - 2 as depth, coalesce(n, 0) as file_count, coalesce(b, 0) as total_bytes,
   cast(coalesce(b, 0) % 1009 as double) as mtime
   from fd left join (select folder, count(*) as n, sum(size) as b from f group by folder) on folder = path)"""
 GROUPS = "g as (select h as full_hash, size as size_bytes, count(*) as file_count, count(*) * size as total_bytes from f group by h, size having count(*) > 1)"
-KEYS = """k as (select distinct anc as folder, 's' as kind, lower(filename) || '|' || size as key from up
+KEYS = """k as materialized (select distinct anc as folder, 's' as kind, lower(filename) || '|' || size as key from up
   union all select distinct anc, 'h', h from up join g on h = full_hash and size = size_bytes)"""
 PAIRS = f"""useful as (select kind, key from k group by kind, key having count(*) between 2 and {CAP}),
-held as (select k.* from k join useful using (kind, key)),
-p as (select distinct a.folder as folder_a, b.folder as folder_b from held a join held b using (kind, key)
+held as materialized (select k.* from k join useful using (kind, key)),
+p as materialized (select distinct a.folder as folder_a, b.folder as folder_b from held a join held b using (kind, key)
   where a.folder < b.folder and not starts_with(b.folder, a.folder || '/'))"""
 _LAST = "lower(list_extract(string_split({}, '/'), -1))"
 _BACK = "({0} like '%backup%' or {0} like '%copy%' or {0} like '%old%' or {0} like '%temp%')"
@@ -59,17 +59,17 @@ sc0 as (select folder_a, folder_b, file_count_ratio, size_ratio, sh.s as shared_
   case when x.h + y.h - sh.h > 0 then sh.h / (x.h + y.h - sh.h) else 0.0 end as jh,
   case when x.s + y.s - sh.s > 0 then sh.s / (x.s + y.s - sh.s) else 0.0 end as js
   from pr join sh using (folder_a, folder_b) join cnt x on x.folder = folder_a join cnt y on y.folder = folder_b),
-sc as (select *, 0.55::double * jh + 0.35::double * js + 0.10::double * name_bonus as score,
+sc as materialized (select *, 0.55::double * jh + 0.35::double * js + 0.10::double * name_bonus as score,
   'shared_duplicate_files=' || shared_duplicate_files || ', shared_signatures=' || shared_signatures || ', name_bonus=' || case when name_bonus > 0 then '0.20' else '0.00' end as reason
   from sc0 where 0.55::double * jh + 0.35::double * js + 0.10::double * name_bonus >= {SIMILAR}),
-tr as (select *, case when score >= {MERGE} and name_bonus > 0 then 'backup' when score >= {CLUSTER} then 'cluster' else 'review' end as track from sc)"""
-CLUST = """e as (select folder_a as a, folder_b as b from tr where track = 'cluster' union select folder_b, folder_a from tr where track = 'cluster'),
+tr as materialized (select *, case when score >= {MERGE} and name_bonus > 0 then 'backup' when score >= {CLUSTER} then 'cluster' else 'review' end as track from sc)"""
+CLUST = """e as materialized (select folder_a as a, folder_b as b from tr where track = 'cluster' union select folder_b, folder_a from tr where track = 'cluster'),
 reach as (select a as node, a as other from e union select node, e.b from reach join e on reach.other = e.a),
 comp as (select node, min(other) as component from reach group by node),
 num as (select component, printf('cluster-%04d', row_number() over (order by component)) as cluster_id from (select distinct component from comp)),
-cm as (select cluster_id, node as path from comp join num using (component)),
-ms as (select cluster_id, min(score) as min_score from tr join cm on cm.path = folder_a where track = 'cluster' group by cluster_id)"""
-MASTER = """ma as (select cluster_id, path, coalesce(file_count, 0) as file_count, coalesce(total_bytes, 0) as total_bytes,
+cm as materialized (select cluster_id, node as path from comp join num using (component)),
+ms as materialized (select cluster_id, min(score) as min_score from tr join cm on cm.path = folder_a where track = 'cluster' group by cluster_id)"""
+MASTER = """ma as materialized (select cluster_id, path, coalesce(file_count, 0) as file_count, coalesce(total_bytes, 0) as total_bytes,
   row_number() over (partition by cluster_id order by case when starts_with(path, 'D:/corpus/') or path = 'D:/corpus' then 0
     when starts_with(path, 'E:/corpus/') or path = 'E:/corpus' then 1 when starts_with(path, 'F:/archive/') or path = 'F:/archive' then 2 else 3 end,
     coalesce(file_count, 0) desc, coalesce(depth, 9999), coalesce(mtime, 0.0) desc, path) = 1 as is_master
@@ -77,10 +77,10 @@ MASTER = """ma as (select cluster_id, path, coalesce(file_count, 0) as file_coun
 SUPP = """ab as (select cluster_id, path, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') as anc
   from (select *, unnest(range(1, len(string_split(path, '/')))) as i from cm)),
 met as (select ab.cluster_id, c.cluster_id as by_id, count(distinct ab.path) as n from ab join cm c on c.path = anc where c.cluster_id <> ab.cluster_id group by all),
-su as (select distinct met.cluster_id from met join (select cluster_id, count(*) as size from cm group by cluster_id) z using (cluster_id) where n = size)"""
-UNIQ = """uq as (select m.cluster_id, m.path as copy, u.path, u.size, u.h from {m} m join up u on u.anc = m.path
-  where not m.is_master and (u.h is null or not exists (select 1 from {m} m2 join up u2 on u2.anc = m2.path
-    where m2.is_master and m2.cluster_id = m.cluster_id and u2.h = u.h)))"""
+su as materialized (select distinct met.cluster_id from met join (select cluster_id, count(*) as size from cm group by cluster_id) z using (cluster_id) where n = size)"""
+UNIQ = """mf as materialized (select m.cluster_id, m.path as copy, m.is_master, u.path, u.size, {h} as h from {m} m join up u on u.anc = m.path),
+mh as materialized (select distinct cluster_id, h as known from mf where is_master and h is not null),
+uq as materialized (select mf.cluster_id, copy, path, size, h from mf left join mh on mh.cluster_id = mf.cluster_id and known = h where not is_master and known is null)"""
 TO_SCORES = ",\n".join([INV, UP, GROUPS, KEYS, PAIRS, SCORES])
 TO_CLUSTERS = ",\n".join([TO_SCORES, FOLD, CLUST])
 TO_MASTERS = ",\n".join([TO_CLUSTERS, MASTER])
@@ -379,7 +379,7 @@ def cluster_master(spark, d):
 
 
 #: Hashes as the funnel leaves them: some files were never in doubt.
-_SOME = UNIQ.format(m="ma").replace("u.h", "(case when u.size % 3 <> 0 then u.h end)").replace("u2.h", "(case when u2.size % 3 <> 0 then u2.h end)")
+_SOME = UNIQ.format(m="ma", h="case when u.size % 3 <> 0 then u.h end")
 
 
 def _some_hashed(files):
@@ -418,11 +418,11 @@ def visible_clusters(spark, d):
     return members.join(C.suppressed(members), "cluster_id", "left_anti")
 
 
-_NEXT = """nx as (select cluster_id, path, (row_number() over w - 1) = (max(case when is_master then rn end) over (partition by cluster_id) + 1) % count(*) over (partition by cluster_id) as is_master
+_NEXT = """nx as materialized (select cluster_id, path, (row_number() over w - 1) = (max(case when is_master then rn end) over (partition by cluster_id) + 1) % count(*) over (partition by cluster_id) as is_master
   from (select *, row_number() over (partition by cluster_id order by path) - 1 as rn from ma) window w as (partition by cluster_id order by path))"""
 
 
-@query(_with(f"{TO_MASTERS},\n{_NEXT},\n{UNIQ.format(m='nx')}", "select cluster_id, copy, count(*) as unique_files from uq group by all", True))
+@query(_with(f"{TO_MASTERS},\n{_NEXT},\n{UNIQ.format(m='nx', h='u.h')}", "select cluster_id, copy, count(*) as unique_files from uq group by all", True))
 def cycled_master(spark, d):
     moved = C.next_master(_mastered(spark, d)[0])
     return C.unique_files(moved, _hashed(inventory(spark, d))).groupBy("cluster_id", "copy").agg(F.count("*").alias("unique_files"))

@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafold.functions import paths
 from stratafold.functions.hashing import hash_files
 from stratafold.operators import clusters as C
 from stratafold.operators import duplicates, similarity, snapshot, tree, waste
@@ -49,7 +50,10 @@ class Engine:
     def __init__(self, spark: SparkSession, config: ScanConfig, notice: Callable[[str], None] = lambda text: None):
         """``notice`` is told how far a scan is and what could not be read."""
         self.spark, self.config, self.notice = spark, config, notice
-        self.stores = {n: snapshot.SnapshotStore(spark, f"{config.database}/{n}") for n in ("folders", "files", "hashes", "groups", "candidates", "state", "roots", "errors")}
+        store = lambda name, **more: snapshot.SnapshotStore(spark, f"{config.database}/{name}", **more)
+        # Files, folders and hashes are joined by path again and again.
+        self.stores = {n: store(n, buckets=config.table_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))) for n in ("folders", "files", "hashes")}
+        self.stores |= {n: store(n) for n in ("groups", "candidates", "errors")} | {"state": store("state", key="stage"), "roots": store("roots", key="root")}
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """The newest snapshot, with the columns of the schema that an older one lacks; empty if there is none."""
@@ -63,8 +67,7 @@ class Engine:
         return {r["stage"]: r["run_id"] for r in self._read("state", STATE).collect()}
 
     def _set(self, stage: str, run: int) -> None:
-        state = self._state() | {stage: run}
-        self.stores["state"].write(self.spark.createDataFrame(sorted(state.items()), STATE))
+        self.stores["state"].upsert(self.spark.createDataFrame([(stage, run)], STATE))
 
     def active_files(self) -> DataFrame:
         return self._read("files", FILES).filter("not is_missing")
@@ -119,24 +122,37 @@ class Engine:
         if stopped:
             raise stopped
         fresh = snapshot.root_stats(listing, files, run).withColumn("last_scanned_at", F.current_timestamp())
-        self.stores["roots"].write(snapshot.upsert(self._read("roots", ROOTS), fresh, "root"))
+        self.stores["roots"].upsert(fresh)
         self._set("scan", run)
         return run
 
     def _keep(self, dirs: DataFrame, files: DataFrame, listing: DataFrame, run: int, whole_roots: list[str]) -> None:
-        """The next snapshots of folders and files; under ``whole_roots`` what this run did not meet is gone."""
+        """The next versions of folders and files; under ``whole_roots`` what this run did not meet is gone.
+
+        Only rows that changed are written. That all others were met is one entry per whole
+        root (``seen``); after a walk that was ended early the rows it met carry the run.
+        """
+        known = self._read("folders", FOLDERS).select("path").unionByName(dirs.select("path"))
+        if not snapshot.reject_unknown(files, known).isEmpty():
+            raise ValueError("files were listed in folders that are not known")
         mark = lambda df: df.withColumn("run_id", F.lit(run).cast("long")).withColumn("is_missing", F.lit(False))
         dirs = mark(dirs).withColumn("scanned_at", F.unix_micros(F.current_timestamp()) / 1e6)
         unchanged = listing.filter("kind = 'unchanged'").select(F.col("path").alias("folder"))
+        seen = {root: run for root in whole_roots}
         for name, rows, schema, folder in (("folders", dirs, FOLDERS, "path"), ("files", mark(files), FILES, "folder")):
-            old = snapshot.promote(self._read(name, schema), unchanged, run, folder)
             columns = [x.split()[0] for x in schema.split(", ")]
-            kept = snapshot.upsert(old.select(*columns), rows.select(*columns), "path")
-            for root in whole_roots:
-                kept = snapshot.tombstone(kept, root, run)
-            self.stores[name].write(kept)
-        if not snapshot.reject_unknown(files, self._read("folders", FOLDERS)).isEmpty():
-            raise ValueError("files were listed in folders that are not known")
+            old, rows = self._read(name, schema).select(*columns), rows.select(*columns)
+            met = rows.select("path")
+            fresh = snapshot.changed(rows, old, "path", ("run_id",)) if whole_roots else rows
+            active = old.filter("not is_missing").join(met, "path", "left_anti")
+            if whole_roots:
+                below = F.lit(False)
+                for root in whole_roots:
+                    below = below | paths.under(F.col("path"), F.lit(root))
+                rest = active.filter(below).join(unchanged.select(F.col("folder").alias(folder)), folder, "left_anti").withColumn("is_missing", F.lit(True))
+            else:
+                rest = active.join(unchanged.select(F.col("folder").alias(folder)), folder, "left_semi").withColumn("run_id", F.lit(run).cast("long"))
+            self.stores[name].upsert(fresh.unionByName(rest.select(*columns)), seen)
 
     def scan_stats(self) -> DataFrame:
         """What each root held when it was last scanned, in all and indexed."""

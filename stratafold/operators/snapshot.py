@@ -1,13 +1,15 @@
-"""Versioned inventory tables without an in-place MERGE: each change gives a new snapshot."""
+"""Versioned inventory tables without an in-place MERGE: each change gives a new version."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions import paths
-from stratafold.scratch import delete
+from stratafold.scratch import delete, size_of
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -118,28 +120,128 @@ def latest_rows(versions: DataFrame, key: str, run: str = "run_id") -> DataFrame
     return versions.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(run)))).filter("__n = 1").drop("__n")
 
 
+def merged(base: DataFrame, deltas: list[DataFrame], key: str) -> DataFrame:
+    """The base with its deltas laid over it, the oldest first: the newest row of every key."""
+    if not deltas:
+        return base
+    versions = [d.withColumn("__version", F.lit(i)) for i, d in enumerate(deltas)]
+    newest = versions[0]
+    for v in versions[1:]:
+        newest = newest.unionByName(v, allowMissingColumns=True)
+    newest = latest_rows(newest, key, "__version").drop("__version")
+    return base.join(newest.select(key), key, "left_anti").unionByName(newest, allowMissingColumns=True)
+
+
+def seen_since(rows: DataFrame, seen: dict[str, int]) -> DataFrame:
+    """Rows that are not missing belong to the newest run that saw the whole tree (root to run) they lie in."""
+    run = F.col("run_id")
+    for root, number in sorted(seen.items()):
+        run = F.when(paths.under(F.col("path"), F.lit(root)) & ~F.col("is_missing"), F.greatest(run, F.lit(number))).otherwise(run)
+    return rows.withColumn("run_id", run)
+
+
+def changed(rows: DataFrame, old: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that differ from the old row of their key in any column but the ignored ones, or have none."""
+    columns = [c for c in rows.columns if c not in ignore]
+    was = old.select(F.col(key).alias("__key"), F.struct(*columns).alias("__was"))
+    return rows.join(was, rows[key] == was["__key"], "left").filter(~F.struct(*columns).eqNullSafe(F.col("__was"))).drop("__key", "__was")
+
+
+#: One row per version: whether it is a base (then base = run), its buckets, and the trees that a run saw whole.
+POINTER = "run long, base long, buckets int, seen map<string, long>"
+
+
 class SnapshotStore:
-    """Snapshots as ``run=N`` folders under a path, and a pointer to the newest complete one."""
+    """A table in versions, merge-on-read: bases hold all rows, deltas only the rows that changed since.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Versions are ``run=N`` folders under a path; a pointer row makes one visible once it is
+    complete. ``read`` lays the deltas of the newest base over it. A delta that would make
+    them more than MOST_DELTAS, or larger than COMPACT times the base (and LEAST bytes), is written as a new
+    base instead, so what is written grows with the change and what is read stays near the
+    table. With ``buckets`` the bases are bucketed and sorted by the key: tables bucketed
+    alike join on it without a shuffle.
+    """
 
-    def current(self) -> int:
+    MOST_DELTAS, COMPACT, LEAST = 8, 0.5, 1 << 20
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "path", buckets: int = 0):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    def _versions(self) -> list:
+        """The pointer's rows by run: as many as there were versions, whatever the table holds."""
         try:
-            return self.spark.read.parquet(f"{self.path}/pointer").agg(F.max("run")).first()[0] or 0
+            rows = self.spark.read.schema(POINTER).parquet(f"{self.path}/pointer").collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return 0
+                return []
             raise
+        return sorted({r["run"]: r for r in rows}.values(), key=lambda r: r["run"])
+
+    def current(self) -> int:
+        return max((r["run"] for r in self._versions()), default=0)
+
+    def _point(self, run: int, base: int, seen: dict[str, int]) -> None:
+        self.spark.createDataFrame([(run, base, self.buckets, seen)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+
+    def _table(self, run: int) -> str:
+        """The name under which the session's catalog knows a bucketed base."""
+        return f"stratafold_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{run}"
 
     def write(self, rows: DataFrame, keep: int = 3) -> int:
-        """Writes the rows as the next snapshot, then moves the pointer; all but the newest ``keep`` snapshots go."""
-        run = self.current() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/run={run}")
-        self.spark.range(1).select(F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/pointer")
-        if run > keep:
-            delete(self.spark, f"{self.path}/run={run - keep}")
+        """Writes all rows as the next version, a base; all but the newest ``keep`` bases, and deltas older than them, go."""
+        versions = self._versions()
+        run = max((r["run"] for r in versions), default=0) + 1
+        place = f"{self.path}/run={run}"
+        if self.buckets:
+            self.spark.sql(f"drop table if exists {self._table(run)}")
+            delete(self.spark, place)
+            dealt = rows.repartition(self.buckets, self.key).write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key)
+            dealt.option("path", place).saveAsTable(self._table(run))
+        else:
+            rows.write.mode("overwrite").parquet(place)
+        self._point(run, run, {})
+        bases = [r["run"] for r in versions if r["base"] in (None, r["run"])] + [run]
+        if len(bases) > keep:
+            for r in versions:
+                if bases[-keep - 1] <= r["run"] < bases[-keep]:
+                    delete(self.spark, f"{self.path}/run={r['run']}")
         return run
 
+    def upsert(self, rows: DataFrame, seen: dict[str, int] | None = None) -> int:
+        """The next version: ``rows`` (one per key) replace or extend the newest ones; ``seen`` names the trees a run saw whole."""
+        versions = self._versions()
+        if not versions:
+            return self.write(rows)
+        base = versions[-1]["base"] or versions[-1]["run"]
+        run, deltas = versions[-1]["run"] + 1, [r["run"] for r in versions if r["base"] == base and r["run"] > base]
+        place = f"{self.path}/run={run}"
+        rows.write.mode("overwrite").parquet(place)
+        size = sum(size_of(self.spark, f"{self.path}/run={r}") for r in [*deltas, run])
+        self._point(run, base, seen or {})
+        if len(deltas) < self.MOST_DELTAS and size <= max(self.LEAST, self.COMPACT * size_of(self.spark, f"{self.path}/run={base}")):
+            return run
+        return self.write(self.read(run))
+
+    def _base(self, run: int, buckets: int) -> DataFrame:
+        if not buckets:
+            return self.spark.read.parquet(f"{self.path}/run={run}")
+        if not self.spark.catalog.tableExists(self._table(run)):  # written by another session
+            columns = self.spark.read.parquet(f"{self.path}/run={run}").schema
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+            self.spark.sql(
+                f"create table {self._table(run)} ({ddl}) using parquet clustered by (`{self.key}`) sorted by (`{self.key}`) into {buckets} buckets location '{self.path}/run={run}'"
+            )
+        return self.spark.table(self._table(run))
+
     def read(self, run: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/run={run or self.current()}")
+        """The rows of a version, the newest one unless named."""
+        versions = {r["run"]: r for r in self._versions()}
+        run = run or max(versions)
+        base = versions[run]["base"] or run
+        deltas = [r for n, r in sorted(versions.items()) if base < n <= run and r["base"] == base]
+        rows = merged(self._base(base, versions[base]["buckets"] or 0), [self.spark.read.parquet(f"{self.path}/run={r['run']}") for r in deltas], self.key)
+        seen: dict[str, int] = {}
+        for r in deltas:
+            for root, number in (r["seen"] or {}).items():
+                seen[root] = max(number, seen.get(root, 0))
+        return seen_since(rows, seen) if seen else rows

@@ -53,6 +53,12 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files of a folder."""
+    files, target = _file_system(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 

@@ -32,6 +32,8 @@ class ScanConfig:
     large_file_thresholds: dict[str, int] = field(default_factory=dict)
     scan_max_age_days: int = 30
     waste_file_size: int = 0
+    #: Buckets of the tables that are joined by path; 0 takes the session's number of shuffle partitions.
+    table_buckets: int = 0
 
     def large_file_size_for(self, root: str) -> int:
         return self.large_file_thresholds.get(root, self.large_file_size)
@@ -84,4 +86,5 @@ def load_config(path: str | Path) -> ScanConfig:
         merge_threshold=float(data.get("merge_threshold", 0.93)),
         large_file_size=parse_size(data.get("large_file_size", 500_000_000)), large_file_thresholds=thresholds,
         scan_max_age_days=parse_days(data.get("scan_max_age", 30)), waste_file_size=parse_size(data.get("waste_file_size", 0)),
+        table_buckets=int(data.get("table_buckets", 0)),
     )

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from stratafold.operators import snapshot
 
 
-def start(spark: SparkSession, source: str, schema, store: snapshot.SnapshotStore, checkpoint: str, key: str = "path"):
+def start(spark: SparkSession, source: str, schema, store: snapshot.SnapshotStore, checkpoint: str):
     """A query that upserts each batch into the store; run with what is there, then stop.
 
-    A batch that is repeated after a failure gives the same snapshot again.
+    Each batch is a delta, so what is written grows with the batch. One that is repeated
+    after a failure gives the same rows again. The store's key tells the rows apart.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        rows = snapshot.latest_rows(batch.withColumn("run_id", F.lit(epoch)), key).drop("run_id")
-        store.write(snapshot.upsert(store.read(), rows, key) if store.current() else rows)
+        store.upsert(snapshot.latest_rows(batch.withColumn("__epoch", F.lit(epoch)), store.key, "__epoch").drop("__epoch"))
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
