@@ -402,9 +402,9 @@ def unique_files(spark, d):
 def plan_members(spark, d):
     """The clusters as a plan holds them, a row per member."""
     mastered, members, pairs = _mastered(spark, d)
-    nested = artifacts.cluster_rows(mastered, C.least_scores(members, pairs), C.suppressed(members), C.unique_files(mastered, _some_hashed(inventory(spark, d))))
-    rows = nested.select("cluster_id", "min_score", "is_suppressed", "status", F.explode("members").alias("m"))
-    return rows.select("cluster_id", "m.path", "m.is_master", "min_score", "is_suppressed", "status", F.col("m.unique_file_count").cast("long").alias("unique_file_count"))
+    tables = artifacts.plan_tables(mastered, C.least_scores(members, pairs), C.suppressed(members), C.unique_files(mastered, _some_hashed(inventory(spark, d))))
+    rows = tables["members"].join(tables["clusters"], "cluster_id")
+    return rows.select("cluster_id", "path", "is_master", "min_score", "is_suppressed", "status", F.col("unique_file_count").cast("long").alias("unique_file_count"))
 
 
 @query(_with(f"{TO_CLUSTERS},\n{SUPP}", "select cluster_id from su", True))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,19 +30,16 @@ def parser() -> argparse.ArgumentParser:
 def review(engine: Engine, args: argparse.Namespace) -> None:
     """Changes one cluster of a plan, where one is named, and shows the clusters."""
     path = args.plan or artifacts.latest(engine.config.home, "plan")
-    plan = artifacts.load(path)
+    plan = artifacts.Plan.of(engine.spark, path)
     if args.cluster and args.cycle:
-        at = next(i for i, c in enumerate(plan["clusters"]) if c["cluster_id"] == args.cluster)
-        members = [m["path"] for m in plan["clusters"][at]["members"]]
-        plan["clusters"][at] = artifacts.cycle_master(plan["clusters"][at], engine.member_hashes(members))
+        plan.cycle_master(args.cluster, engine.hashed_files())
     if args.cluster and args.status:
-        plan = artifacts.set_status(plan, args.cluster, args.status)
-    if args.cluster and (args.cycle or args.status):
-        with open(path, "w") as f:
-            json.dump(plan, f, indent=2)
-    for c in artifacts.visible(plan, args.show_suppressed):
-        print(c["cluster_id"], c["status"], artifacts.detail_text(c), sep="\n")
-    print(artifacts.status_counts(plan))
+        plan.set_status(args.cluster, args.status)
+    if args.cluster and (args.cycle or args.status) and Path(path).is_file():
+        plan.export(Path(path), artifacts.header(path))
+    for cluster, members in plan.nested(args.show_suppressed, most_files=15):
+        print(artifacts.detail_text(cluster, members))
+    print(plan.status_counts())
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -55,7 +52,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in engine.stale_roots().collect():
             print(f"{r['root']}: " + ("never scanned" if r["age_days"] is None else f"last scanned {r['age_days']} days ago"))
     if args.command == "execute":
-        print(execution.run_plan(args.plan, config.home))
+        print(execution.run_plan(engine.spark, args.plan, config.home))
     elif args.command == "merge-review":
         review(engine, args)
     elif args.command == "waste":
@@ -72,10 +69,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(engine.plan(args.replan))
     elif args.command == "report":
         print(engine.report())
+    elif args.command == "clusters":
+        shown = engine.clusters()
+        rows = shown["members"].drop("turn", "key").join(shown["clusters"].drop("turn"), "cluster_id")
+        for line in (rows if args.show_suppressed else rows.filter("not is_suppressed")).orderBy("top", "cluster_id", "path").toJSON().toLocalIterator():
+            print(line)
     else:
-        rows = getattr(engine, args.command)()
-        rows = rows if args.command != "clusters" or args.show_suppressed else rows.filter("not is_suppressed")
-        for line in rows.toJSON().toLocalIterator():
+        for line in engine.largest().toJSON().toLocalIterator():
             print(line)
     return 0
 

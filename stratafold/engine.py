@@ -12,11 +12,12 @@ from collections.abc import Callable
 from itertools import chain
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions import paths
-from stratafold.functions.hashing import hash_files
+from stratafold.functions.hashing import hash_files, is_current
 from stratafold.operators import clusters as C
 from stratafold.operators import duplicates, similarity, snapshot, tree, waste
 from stratafold.plans import artifacts, proposals, xlsx
@@ -57,11 +58,11 @@ class Engine:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """The newest snapshot, with the columns of the schema that an older one lacks; empty if there is none."""
-        store = self.stores[name]
-        if not store.current():
+        rows = self.stores[name].get()
+        if rows is None:
             return self.spark.createDataFrame([], schema)
         wanted = {c.split()[0]: (c.split()[1], None) for c in schema.split(", ")}
-        return snapshot.with_columns(store.read(), wanted).select(*wanted)
+        return snapshot.with_columns(rows, wanted).select(*wanted)
 
     def _state(self) -> dict[str, int]:
         return {r["stage"]: r["run_id"] for r in self._read("state", STATE).collect()}
@@ -87,9 +88,9 @@ class Engine:
             raise RuntimeError(f"the tables may take {size} bytes, more than is free")
         return verdict
 
-    def _enough_space(self, level: int, folders: int) -> str | None:
+    def _enough_space(self, level: int, done: int, folders: int) -> str | None:
         """Says how far the scan is, and a reason to end it where space runs out."""
-        self.notice(f"level {level}: {folders:,} folders")
+        self.notice(f"level {level}: {done:,} of {folders:,} folders")
         free = shutil.disk_usage(self.config.database).free
         return f"the scan ended early, {free >> 20} MB are free; what was listed is kept" if free < LEAST_FREE else None
 
@@ -110,7 +111,7 @@ class Engine:
         read_at = self.active_folders().select("path", F.col("scanned_at").alias("last_scan")) if delta and not rescan else None
         stopped = None
         try:
-            listing = walk.walk(self.spark, roots, self.config.exclude_folders, read_at=read_at, before_level=self._enough_space)
+            listing = walk.walk(self.spark, roots, self.config.exclude_folders, read_at=read_at, before_batch=self._enough_space)
         except walk.Stopped as e:
             listing, stopped = e.listing, e
         dirs, files = walk.inventory(listing, self.config.exclude_extensions, self.config.min_file_size, self.config.max_file_size)
@@ -167,7 +168,7 @@ class Engine:
         if rescan or not state.get("duplicates", 0) >= state.get("scan", 0) > 0:
             files = self.active_files()
             # A hash is known only for the size and time it was made at.
-            known = self._read("hashes", HASHES).join(files.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_semi")
+            known = self._read("hashes", HASHES).filter(is_current(F.col("size"), F.col("full_hash"))).join(files.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_semi")
             hashed = duplicates.funnel(files, lambda f: hash_files(f, "quick"), lambda f: hash_files(f, "full"), self.config.duplicate_size_threshold, known)
             self.stores["hashes"].write(hashed.join(files.select("path", "size", "mtime"), "path"))
             rows = files.join(self._read("hashes", HASHES).select("path", "full_hash"), "path")
@@ -175,13 +176,14 @@ class Engine:
             self._set("duplicates", state.get("scan", 0))
         return self._read("groups", GROUPS)
 
-    def _hashed_files(self) -> DataFrame:
+    def hashed_files(self) -> DataFrame:
+        """The active files with their full hashes, where known."""
         return self.active_files().join(self._read("hashes", HASHES).select("path", "full_hash"), "path", "left")
 
     def similarity(self, rescan: bool = False) -> DataFrame:
         state = self._state()
         if rescan or min(state.get("duplicates", 0), state.get("similarity", 0)) < state.get("scan", 0):
-            files = self._hashed_files().withColumnRenamed("full_hash", "h")
+            files = self.hashed_files().withColumnRenamed("full_hash", "h")
             keys = similarity.folder_keys(files, self.config.duplicate_size_threshold).join(self.active_folders().select(F.col("path").alias("folder")), "folder", "left_semi")
             scored = similarity.scores(
                 similarity.candidate_pairs(keys), keys, tree.subtree_totals(files), self.config.similarity_threshold, tokens=self.config.backup_name_tokens
@@ -190,12 +192,12 @@ class Engine:
             self._set("similarity", state.get("scan", 0))
         return self._read("candidates", CANDIDATES)
 
-    def clusters(self) -> DataFrame:
-        """The clusters with their members nested, as in the plan."""
+    def clusters(self) -> dict[str, DataFrame]:
+        """The clusters with their members and unique files, as the tables of a plan."""
         pairs = self._tracked().filter("track = 'cluster'")
         members = C.clusters(pairs)
         mastered = C.masters(members, self.active_folders(), self.config.roots)
-        return artifacts.cluster_rows(mastered, C.least_scores(members, pairs), C.suppressed(members), C.unique_files(mastered, self._hashed_files()))
+        return artifacts.plan_tables(mastered, C.least_scores(members, pairs), C.suppressed(members), C.unique_files(mastered, self.hashed_files()))
 
     def _tracked(self) -> DataFrame:
         return similarity.tracks(self._read("candidates", CANDIDATES), self.config.merge_threshold, self.config.similarity_cluster_threshold)
@@ -203,38 +205,36 @@ class Engine:
     def plan(self, replan: bool = False) -> Path:
         state = self._state()
         last = artifacts.latest(self.config.home, "plan")
-        if last and not replan and artifacts.is_current(artifacts.load(last), state.get("scan", 0), state.get("similarity", 0)):
+        if last and not replan and artifacts.is_current(artifacts.header(last), state.get("scan", 0), state.get("similarity", 0)):
             return last
         path = artifacts.write_plan(self.config.home, proposals.outside_clusters(self._tracked()), self.clusters(), state.get("scan", 0), state.get("similarity", 0))
         self._set("plan", state.get("scan", 0))
         return path
 
     def waste(self) -> DataFrame:
-        """Waste folders that still exist, measured on files that still exist."""
-        files = self.active_files()
-        found = materialize(waste.candidates(files), "waste")
-        # The folders to look at again: as many as a person is shown.
-        kept = [r["path"] for r in found.select("path").toLocalIterator() if os.path.isdir(r["path"])]
-        if not kept:
-            return found.limit(0)
-        live = walk.walk(self.spark, kept).filter("kind = 'file'").select("path", "size")
-        return waste.candidates(live.join(files.select("path", "folder"), "path"), self.config.waste_file_size).orderBy(F.desc("size_bytes"), "path")
-
-    def member_hashes(self, members: list[str]) -> dict[str, dict[str, str | None]]:
-        """The files below each of a cluster's folders with their hashes."""
-        of = self.spark.createDataFrame([(m,) for m in members], "ancestor string")
-        rows = tree.with_ancestors(self._hashed_files()).join(F.broadcast(of), "ancestor").select("ancestor", "path", "full_hash")
-        out: dict[str, dict[str, str | None]] = {m: {} for m in members}
-        for r in rows.toLocalIterator():
-            out[r["ancestor"]][r["path"]] = r["full_hash"]
-        return out
+        """Waste folders that still exist, measured on files that still exist; what has changed below them is written back."""
+        found = materialize(waste.candidates(self.active_files()).select("path"), "waste")
+        roots = materialize(found.mapInPandas(_there, "root string, exists boolean"), "roots")
+        live = walk.below(roots.filter("exists").select(F.col("root").alias("path"))).filter("kind = 'file'").select("path", "size", "mtime")
+        old = self._read("files", FILES)
+        self._write_back(snapshot.refresh_subtrees(old.filter("not is_missing"), roots, live), old)
+        return waste.candidates(self.active_files(), self.config.waste_file_size).join(found, "path", "left_semi").orderBy(F.desc("size_bytes"), "path")
 
     def largest(self) -> DataFrame:
-        """Large files that still exist, by size; each root has its own threshold."""
+        """Large files that still exist, by size; each root has its own threshold. What has changed of them is written back."""
         limits = self.spark.createDataFrame([(r, self.config.large_file_size_for(r)) for r in self.config.roots], "root string, threshold long")
-        found = tree.large_files(self.active_files(), limits)
-        live = found.select("path").mapInPandas(_sizes, "path string, size long")
-        return tree.large_files(self.active_files().drop("size").join(live, "path"), limits).orderBy(F.desc("size"), "path")
+        found = materialize(tree.large_files(self.active_files(), limits).select("path"), "large")
+        live = found.mapInPandas(_stats, "path string, size long, mtime double")
+        old = self._read("files", FILES)
+        self._write_back(snapshot.refresh(old.join(found, "path", "left_semi"), live), old)
+        return tree.large_files(self.active_files().join(found, "path", "left_semi"), limits).orderBy(F.desc("size"), "path")
+
+    def _write_back(self, refreshed: DataFrame, old: DataFrame) -> None:
+        """The refreshed rows of files that differ from what is stored become a delta."""
+        columns = [x.split()[0] for x in FILES.split(", ")]
+        rows = materialize(snapshot.changed(refreshed.select(*columns), old.select(*columns), "path"), "refreshed")
+        if not rows.isEmpty():
+            self.stores["files"].upsert(rows)
 
     def report(self) -> Path:
         """The workbook: summary, duplicates, similarity, plans, execution."""
@@ -242,9 +242,10 @@ class Engine:
         sheet = lambda df: chain([df.columns], map(tuple, df.toLocalIterator()))
         plan = artifacts.latest(self.config.home, "plan")
         done = artifacts.latest(self.config.home, "execution")
-        plans = [("proposal_id", "action", "sources", "target", "state", "reason")] + [
-            (p["proposal_id"], p["action"], "; ".join(p["source_paths"]), p.get("target_path"), p["approval_state"], p["reason"]) for p in (artifacts.load(plan)["proposals"] if plan else [])
-        ]
+        plans = [("proposal_id", "action", "sources", "target", "state", "reason")]
+        if plan:
+            rows = artifacts.Plan.of(self.spark, plan).read("proposals").orderBy("proposal_id")
+            plans = chain(plans, map(tuple, rows.select("proposal_id", "action", F.array_join("source_paths", "; "), "target_path", "approval_state", "reason").toLocalIterator()))
         runs = [("proposal_id", "status", "files", "bytes", "verified", "errors")] + [
             (r["proposal_id"], r["status"], r["files_copied"], r["bytes_copied"], r["verification_passed"], "; ".join(r["errors"])) for r in (artifacts.load(done)["proposal_results"] if done else [])
         ]
@@ -261,14 +262,20 @@ class Engine:
         return out | {"large_files": self.largest().count()}
 
 
-def _sizes(batches):
-    import pandas as pd
+def _there(batches):
+    """root, exists of every path: whether it is still a folder."""
+    for pdf in batches:
+        yield pd.DataFrame({"root": pdf["path"], "exists": [os.path.isdir(p) for p in pdf["path"]]})
+
 
+def _stats(batches):
+    """path, size, mtime of the files that still exist."""
     for pdf in batches:
         rows = []
         for path in pdf["path"]:
             try:
-                rows.append((path, os.stat(path).st_size))
+                s = os.stat(path)
+                rows.append((path, s.st_size, s.st_mtime))
             except OSError:
                 continue
-        yield pd.DataFrame(rows, columns=["path", "size"])
+        yield pd.DataFrame(rows, columns=["path", "size", "mtime"])

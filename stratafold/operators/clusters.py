@@ -52,9 +52,10 @@ def unique_files(mastered: DataFrame, files: DataFrame, hash_column: str = "full
     below = tree.with_ancestors(files).select("ancestor", "path", "size", F.col(hash_column).alias("h"))
     of = mastered.select("cluster_id", "is_master", F.col("path").alias("ancestor")).join(below, "ancestor")
     held = of.filter("is_master and h is not null").select("cluster_id", "h").distinct()
-    return of.filter("not is_master").join(held, ["cluster_id", "h"], "left_anti").select(
-        "cluster_id", F.col("ancestor").alias("copy"), "path", "size"
-    )
+    copies = of.filter("not is_master")
+    # A hash is null for every file the funnel settled early: such rows match nothing and need no shuffle.
+    rest = copies.filter("h is not null").join(held, ["cluster_id", "h"], "left_anti")
+    return rest.unionByName(copies.filter("h is null")).select("cluster_id", F.col("ancestor").alias("copy"), "path", "size")
 
 
 def suppressed(members: DataFrame) -> DataFrame:

@@ -30,3 +30,15 @@ def with_running(df: DataFrame, order: list[Column | str], sums: dict[str, str]
     for new, c in sums.items():
         table = table.withColumn(new, F.col(f"__{new}") + F.coalesce(F.sum(c).over(before), F.lit(0)))
     return table.drop("__part", "__n", *[f"__{new}" for new in sums])
+
+
+def by_weight(df: DataFrame, order: list[Column | str], weight: str, per_task: int) -> DataFrame:
+    """``df`` dealt to partitions of about ``per_task`` of a weight column, in runs of the order.
+
+    No partition holds more than that and the weight of one row. ``order`` must tell all
+    rows apart.
+    """
+    rows = with_running(df, order, {"__before": weight}).drop("place")
+    rows = rows.withColumn("__task", F.floor(F.col("__before") / F.lit(per_task)).cast("int"))
+    tasks = (rows.agg(F.max("__task")).first()[0] or 0) + 1
+    return rows.repartitionById(tasks, F.col("__task")).drop("__before", "__task")

@@ -235,7 +235,16 @@ class SnapshotStore:
 
     def read(self, run: int | None = None) -> DataFrame:
         """The rows of a version, the newest one unless named."""
+        rows = self.get(run)
+        if rows is None:
+            raise ValueError(f"no version was written to {self.path}")
+        return rows
+
+    def get(self, run: int | None = None) -> DataFrame | None:
+        """As ``read``; None where nothing was written yet."""
         versions = {r["run"]: r for r in self._versions()}
+        if not versions:
+            return None
         run = run or max(versions)
         base = versions[run]["base"] or run
         deltas = [r for n, r in sorted(versions.items()) if base < n <= run and r["base"] == base]

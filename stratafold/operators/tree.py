@@ -70,6 +70,8 @@ def large_files(files: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     ``thresholds`` (root, threshold) has a row per configured root and joins on the ancestor.
     """
+    smallest = thresholds.agg(F.min("threshold").alias("__smallest"))  # one row
+    files = files.crossJoin(F.broadcast(smallest)).filter("size >= __smallest")
     least = files.select("path", "size", F.explode(paths.ancestors(F.col("folder"), 1)).alias("root"))
     return least.join(thresholds, "root").filter("size >= threshold").select("path", "size").distinct()
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from stratafold import catalog, cli
 from stratafold.engine import Engine, space_check
+from stratafold.functions import hashing
 from stratafold.operators import legacy
-from stratafold.plans import artifacts, execution, xlsx
+from stratafold.operators.ordering import by_weight
+from stratafold.plans import artifacts, xlsx
 from stratafold.sources import walk
 from stratafold.sources.config import load_config
 
@@ -54,39 +56,6 @@ def test_whole_run(spark, setup, tmp_path, capsys):
     assert str(engine.plan()) == str(artifacts.latest(tmp_path / "out", "plan"))
 
 
-def test_execution(tmp_path):
-    lay_out(tmp_path, {"a/n/f.txt": b"new", "a/g.txt": b"same", "m/g.txt": b"same", "b/g.txt": b"other"})
-    member = lambda n, master, files: {"path": str(tmp_path / n), "is_master": master, "unique_files": [str(tmp_path / n / f) for f in files]}
-    plan = tmp_path / "plan-x.json"
-    plan.write_text(json.dumps({"plan_id": "x", "proposals": [
-        {"proposal_id": "p1", "action": "merge_folder", "source_paths": [str(tmp_path / "a")], "target_path": str(tmp_path / "t"), "approval_state": "approved"},
-        {"proposal_id": "p2", "action": "mark_backup", "source_paths": [], "target_path": "z", "approval_state": "approved"},
-        {"proposal_id": "p3", "action": "merge_folder", "source_paths": [str(tmp_path / "a")], "target_path": str(tmp_path / "u"), "approval_state": "pending"},
-    ], "clusters": [
-        {"cluster_id": "c1", "status": "approved", "members": [member("m", True, []), member("a", False, ["n/f.txt"])]},
-        {"cluster_id": "c2", "status": "approved", "members": [member("m", True, []), member("b", False, ["g.txt"])]},
-        {"cluster_id": "c3", "status": "approved", "members": [member("a", False, [])]},
-    ]}))
-    results = {r["proposal_id"]: r for r in artifacts.load(execution.run_plan(plan, tmp_path))["proposal_results"]}
-    assert {k: r["status"] for k, r in results.items()} == {"p1": "completed", "p2": "skipped", "c1": "completed", "c2": "failed", "c3": "failed"}
-    assert results["p2"]["verification_passed"] and results["c2"]["errors"] and (tmp_path / "m/n/f.txt").read_bytes() == b"new"
-    assert (tmp_path / "a" / execution.MARKER).exists() and not (tmp_path / "b" / execution.MARKER).exists() and not (tmp_path / "u").exists()
-
-
-def test_review():
-    cluster = {"cluster_id": "c", "status": "pending", "is_suppressed": False, "min_score": 0.8, "members": [
-        {"path": p, "is_master": p == "A", "file_count": 1, "total_bytes": 1, "unique_file_count": 0, "unique_files": []} for p in "AB"]}
-    hashes = {"A": {"A/x": "1"}, "B": {"B/x": "1", "B/y": None, "B/z": "2"}}
-    moved = artifacts.cycle_master(cluster, hashes)
-    assert [m["is_master"] for m in moved["members"]] == [False, True] and moved["members"][0]["unique_files"] == []
-    back = artifacts.cycle_master(moved, hashes)
-    assert back["members"][1]["unique_files"] == ["B/y", "B/z"]
-    plan = artifacts.set_status({"clusters": [cluster]}, "c", "approved")
-    assert artifacts.status_counts(plan) == {"approved": 1} and "MASTER A" in artifacts.detail_text(cluster)
-    with pytest.raises(ValueError):
-        artifacts.set_status(plan, "c", "maybe")
-
-
 def test_config_errors_and_older_keys(tmp_path):
     path = tmp_path / "c.yml"
     for text in ("[]", "roots: [x]", "roots: [{size: 1}]", "database_path: /d", f"folders: [{tmp_path}]"):
@@ -100,9 +69,9 @@ def test_config_errors_and_older_keys(tmp_path):
 
 def test_space_and_shortcuts(tmp_path):
     assert space_check([50_000 * 10], 4000)[0] == "abort" and space_check([50_000 * 10], 8000)[0] == "warn" and space_check([10], 100) == ("ok", 0, 0)
-    rows = [{"path": "C:/a:b", "category": "dev_cache", "size_bytes": 1}, {"path": "C:/x", "category": "user_temp", "size_bytes": 9}]
+    rows = [{"path": "C:/u/v/a:b", "category": "dev_cache", "size_bytes": 2048, "requires_review": True}, {"path": "C:/x", "category": "user_temp", "size_bytes": 9000, "requires_review": False}]
     assert artifacts.write_shortcuts(rows, tmp_path) == 2 and artifacts.write_shortcuts(rows[:1], tmp_path) == 1
-    assert [p.name for p in tmp_path.glob("*.url")] == ["001 dev_cache C__a_b.url"]
+    assert [p.name for p in tmp_path.glob("*.url")] == ["001 2.0 KB (review) dev_cache u v a_b.url"]
 
 
 def test_workbook(tmp_path):
@@ -130,7 +99,7 @@ def test_delta_scan_errors_and_statistics(spark, setup):
     files = {r["path"].removeprefix(f"{root}/"): r for r in engine.stores["files"].read().collect()}
     assert files["misc/new.txt"]["run_id"] == 2 and files["projectA/data.bin"]["size"] == 31 and files["projectA/data.bin"]["run_id"] == 2
     assert [p for p, r in files.items() if r["is_missing"]] == ["projectB/docs/readme.txt"]
-    assert engine.scan_stats().first()["indexed_folders"] < 6 and any(x.startswith("level 1:") for x in said)
+    assert engine.scan_stats().first()["indexed_folders"] < 6 and any(x.startswith("level 1: 0 of ") for x in said)
     listing = walk.walk(spark, [str(root)])
     gone = listing.filter("kind = 'folder'").limit(1).withColumn("path", F.lit(str(root / "nowhere"))).withColumn("changed", F.lit(True))
     errors = gone.select("path", "depth", "root", "changed").mapInPandas(lambda it: walk._list(it, frozenset()), walk.LISTING).collect()
@@ -147,6 +116,71 @@ def test_scan_ends_early_without_space(spark, setup, monkeypatch):
     assert engine.scan_stats().count() == 0 and engine.scan() == 1 and engine.active_files().count() == 9
 
 
+def test_walk_stops_inside_a_level(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "FOLDERS_A_TASK", 2)
+    lay_out(tmp_path, {f"{i:02d}/f{k}": b"x" for i in range(24) for k in range(2)})
+    said = []
+
+    def stop(level, done, folders):
+        said.append((level, done, folders))
+        return "enough" if level == 1 and done >= 8 else None
+
+    with pytest.raises(walk.Stopped) as stopped:
+        walk.walk(spark, [str(tmp_path)], tasks=2, before_batch=stop)
+    done = said[-1][1]
+    assert said[0] == (0, 0, 1) and 8 <= done < 24 and len({d for level, d, _ in said if level == 1}) >= 2
+    listing = stopped.value.listing
+    assert listing.filter("kind = 'read'").count() == 1 + done and listing.filter("kind = 'file'").count() == 2 * done
+    assert walk.walk(spark, [str(tmp_path)], tasks=2).filter("kind = 'file'").count() == 48
+
+
+def test_a_large_folder_is_passed_on_in_pieces(tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "ROWS_A_BATCH", 10)
+    lay_out(tmp_path, {f"f{k}": b"" for k in range(95)} | {"d/x": b""})
+    folders = walk.pd.DataFrame([(str(tmp_path), 0, "r", True), (str(tmp_path / "no"), 0, "r", True), (str(tmp_path / "d"), 1, "r", False)], columns=["path", "depth", "root", "changed"])
+    frames = list(walk._list(iter([folders]), frozenset()))
+    assert max(map(len, frames)) <= 10 and len(frames) >= 10
+    kinds = walk.pd.concat(frames)["kind"].value_counts().to_dict()
+    assert kinds == {"file": 95, "folder": 1, "read": 1, "error": 1, "unchanged": 1}
+
+
+def test_files_are_hashed_by_bytes_and_large_ones_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hashing, "TASK_BYTES", 100_000)
+    monkeypatch.setattr(hashing, "FILE_COST", 1000)
+    monkeypatch.setattr(hashing, "PART_BYTES", 1000)
+    monkeypatch.setattr(hashing, "WHOLE_BYTES", 50_000)
+    tree = {f"s{i}": bytes([i % 5]) * (i % 5 * 100) for i in range(40)} | {"b1": b"z" * 90_000, "b2": b"z" * 90_000, "b3": b"z" * 89_999 + b"y"}
+    lay_out(tmp_path, tree)
+    files = spark.createDataFrame([(str(tmp_path / n), len(c)) for n, c in tree.items()] + [(str(tmp_path / "gone"), 5), (str(tmp_path / "gone2"), 60_000)], "path string, size long")
+    rows = {r["path"].removeprefix(f"{tmp_path}/"): r for r in hashing.hash_files(files, "full").collect()}
+    assert len(rows) == len(tree) + 2 and rows["gone"]["error"] and rows["gone2"]["digest"] is None and rows["gone2"]["error"]
+    groups = {}
+    for n in tree:
+        groups.setdefault(rows[n]["digest"], set()).add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(n for n in tree if tree[n] == c) for c in set(tree.values()))
+    assert rows["b1"]["digest"].startswith(hashing.IN_PARTS) and rows["s1"]["digest"] == hashing.full_hash(str(tmp_path / "s1"))
+    dealt = by_weight(files.withColumn("cost", F.col("size") + 1000), ["path"], "cost", 100_000).groupBy(F.spark_partition_id()).agg(F.sum("cost").alias("cost"))
+    assert 2 <= dealt.count() <= 6 and dealt.agg(F.max("cost")).first()[0] <= 100_000 + 91_000
+    stored = spark.createDataFrame([(10, "aa"), (60_000, "aa"), (60_000, "parts-aa"), (60_000, None)], "size long, h string")
+    assert [r[0] for r in stored.select(hashing.is_current(F.col("size"), F.col("h"))).collect()] == [True, False, True, True]
+
+
+def test_what_waste_and_largest_see_is_written_back(spark, setup):
+    root, config = setup
+    lay_out(root, {"projectA/.tox/x.bin": b"y" * 2048, "projectA/.tox/gone.bin": b"y" * 10})
+    engine = Engine(spark, load_config(config))
+    engine.scan()
+    (root / "misc/other.txt").write_bytes(b"x" * 60)
+    (root / "projectA/.tox/gone.bin").unlink()
+    assert {os.path.basename(r["path"]): r["size"] for r in engine.largest().collect()} == {"other.txt": 60, "x.bin": 2048}
+    assert [(r["size_bytes"], r["file_count"]) for r in engine.waste().collect()] == [(2048, 1)]
+    stored = {os.path.basename(r["path"]): r for r in engine.stores["files"].read().collect()}
+    assert stored["other.txt"]["size"] == 60 and stored["gone.bin"]["is_missing"] and not stored["x.bin"]["is_missing"]
+    runs = engine.stores["files"].current()
+    engine.largest().count()
+    assert engine.stores["files"].current() == runs  # nothing has changed, nothing is written
+
+
 def test_review_and_waste_commands(spark, setup, tmp_path, capsys):
     root, config = setup
     lay_out(root, {"projectA/.tox/x.bin": b"y" * 2048, "Windows.old/z.bin": b"z" * 4096})
@@ -159,7 +193,7 @@ def test_review_and_waste_commands(spark, setup, tmp_path, capsys):
     assert [m["path"] for m in now["members"] if m["is_master"]] != old and now["status"] == "approved"
     assert cli.main(["--config", str(config), "waste"], spark) == 0
     said = capsys.readouterr().out
-    assert "Safe to clear:" in said and ".tox" in said and "Could be saved: 2.0 KB" in said
+    assert "Can go: 2.0 KB in 1 folders" in said and ".tox" in said and "Together: 2.0 KB" in said
 
 
 def test_legacy_workbook_and_filters(spark, tmp_path):
