@@ -113,3 +113,25 @@ def test_decontaminate_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and {r["doc_id"] for r in got if r["contaminated"]} == {6, 7, None}
     assert decontaminate.decontaminate(no_docs, items).count() == 0
     assert not decontaminate.decontaminate(odd_docs, items.limit(0)).filter("contaminated").count()
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontaminate_repetitive_texts(spark, monkeypatch, limit):
+    """One word over and over on both sides: one fingerprint, one window, one pair, however long the texts are."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    long = " ".join(f"u{i % 3000}" for i in range(9000))
+    docs = spark.createDataFrame([(1, "the " * 200_000), (2, "the " * 9), (3, f"start {long} end"), (4, "b " + "the " * 30 + "a b a b a b a b a b a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the " * 20_000), (2, "a b " * 2000), (3, long), (4, "the the")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(docs, items).collect())
+    assert got == [(1, 200_000, 200_000, 2), (2, 9, 9, 1), (3, 9002, 9000, 1), (4, 43, 42, 3)]
+
+
+def test_decontaminate_windows_in_every_document(spark):
+    """A benchmark of several thousand windows, one of which every document holds."""
+    rng = random.Random(4)
+    common = " ".join(f"c{i}" for i in range(10))
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + (f" {common}" if i % 2 else "")) for i in range(100)]
+    docs = [(i, f"d{i} e{i} {common} f{i}") for i in range(300)] + [(900, items[6][1]), (901, "nothing " * 12)]
+    frame = lambda rows, a: spark.createDataFrame(rows, f"{a} long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {i: (13, 10, 50) for i in range(300)} | {900: (60, 60, 1), 901: (12, 0, 0)}
