@@ -1,19 +1,23 @@
 """Mixing sources to target weights.
 
-The tokens of a source are packed into fixed-length blocks, numbered through all sources.
-A source fills as many slots as its target has blocks. Each slot draws its output shard
-from all shards alike, so the counts of a source over the shards are a multinomial draw
-whose total is held: without that a source would miss its target, and one at its cap would
-exceed it. The number of a slot within its source goes through a keyed permutation of the
-source's block indexes (a four-round Feistel walk), and blocks join by index. ``mixed``
+The tokens of a source are packed into fixed-length blocks, one stream per source, so that
+only its last block is short. A source fills slots until their tokens are its target: whole
+passes over its blocks as often as its size goes into the target, then blocks until the rest
+is reached, the last of them in part. Each slot draws its output shard from all shards
+alike, so the counts of a source over the shards are a multinomial draw whose total is held:
+without that a source would miss its target, and one at its cap would exceed it. The number
+of a slot within its pass goes through a keyed permutation of the source's full blocks (a
+four-round Feistel walk), the short block comes last, and blocks join by index. ``mixed``
 gives the tokens of every slot of every shard; ``mix`` counts per document what the same
 join takes. DataFrame functions only.
 
-Scale: sizes are counted once and written without the text. Documents are packed within
-chunks of a few thousand documents of one source, so no source, however hot, is ordered in
-one task; sources and chunks are numbered range by range. The table of sources is broadcast
-only when it is counted to be small, else the joins with it are salted; all sides that grow
-with the documents are merge-joined. ``mixed`` shuffles the texts, ``mix`` does not.
+Scale: sizes are counted once and written without the text; rows that are alike are one row
+with a count until they are cut. Documents are packed within chunks of a few thousand
+documents of one source, so neither a hot source nor a hot or missing doc_id is ordered in
+one task; sources and chunks are numbered range by range, and a block may begin in one chunk
+and end in the next. The table of sources is broadcast only when it is counted to be small,
+else the joins with it are salted; all sides that grow with the documents are merge-joined.
+``mixed`` shuffles the texts, ``mix`` does not.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of
 its own and ranks last; repeated rows are rows of their own; an empty table gives no rows.
@@ -35,6 +39,8 @@ SALTS = 64
 FEW_SOURCES, FEW_BYTES = 100_000, 8 << 20
 #: Slots that one task makes: the chunks they are made from are a far smaller table, of few tasks.
 SLOTS_A_TASK = 50_000
+#: Copies of a row that one chunk packs together.
+COPIES = 64
 ROUNDS = 4
 #: Steps of a walk. Fewer than one step in sqrt(n) leaves the n indexes, so none needs as many.
 WALK = 24
@@ -103,67 +109,75 @@ class Plan:
         targets = materialize(source_targets(sizes, weights, cap), "targets")
         n, width = targets.agg(F.count("*"), F.sum(F.octet_length("skey"))).first()
         self.few = n <= FEW_SOURCES and (width or 0) <= FEW_BYTES
-        rows = with_source(sizes, targets, self.few, ["doc_id"])
-        self.rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("n_docs") / F.lit(chunk_docs))))
-        chunks = self.rows.groupBy("skey", "chunk").agg(F.sum("size").alias("in_chunk"))
-        chunks = chunks.withColumn("blocks", F.ceil(F.col("in_chunk") / F.lit(block_tokens)))
-        self.chunks = materialize(with_running(chunks, ["skey", "chunk"], {"base": "blocks"}).drop("place"), "chunks")
-        sources = self.chunks.groupBy("skey").agg(F.min("base").alias("start"), F.sum("blocks").alias("n"))
-        sources = sources.join(targets, "skey").filter("source_size > 0").withColumn("x", F.col("target") * F.col("n") / F.col("source_size"))
-        self.sources = sources.select("skey", "start", "n", "x", F.ceil(F.col("x") - F.lit(1e-9)).alias("m"))
-        slots = int(self.sources.agg(F.sum("m")).first()[0] or 0)
+        alike = sizes.groupBy("doc_id", "source", "skey", "size", "tie").agg(F.count("*").alias("rows"))
+        alike = alike.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {COPIES}"))))
+        alike = alike.withColumn("copies", F.least(F.col("rows") - F.col("lot") * COPIES, F.lit(COPIES))).drop("rows")
+        rows = with_source(alike, targets, self.few, ["doc_id", "tie", "lot"])
+        self.rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie", "size", "lot", F.lit(17)), F.ceil(F.col("n_docs") / F.lit(chunk_docs))))
+        chunks = self.rows.groupBy("skey", "chunk").agg(F.sum(F.col("size") * F.col("copies")).alias("in_chunk"))
+        chunks = with_running(chunks, ["skey", "chunk"], {"before": "in_chunk"}).drop("place")
+        self.chunks = materialize(chunks, "chunks")
+        # Of each source: where its stream starts, its blocks, the full ones, whole passes and the tokens of the last one.
+        size, tokens = F.col("source_size"), F.floor(F.col("target") + F.lit(1e-6)).cast("long")
+        sources = self.chunks.groupBy("skey").agg(F.min("before").alias("start")).join(targets, "skey").filter("source_size > 0")
+        self.sources = sources.select(
+            "skey", "start", "source_size", F.expr(f"(source_size + {block_tokens - 1}) div {block_tokens}").alias("n"), F.expr(f"source_size div {block_tokens}").alias("full"),
+            F.floor(tokens / size).cast("long").alias("passes"), F.pmod(tokens, size).alias("rest"),
+        )
+        slots = int(self.sources.agg(F.sum(F.col("n") * F.col("passes") + F.ceil(F.col("rest") / F.lit(block_tokens)))).first()[0] or 0)
         self.shards, self.slot_tasks = max(1, -(-slots // shard_slots)), max(1, -(-slots // SLOTS_A_TASK))
 
     def slots(self) -> DataFrame:
-        """One row per slot: block, source, number k within the source, shard, share of the block taken."""
-        rows = with_source(self.chunks.filter("blocks > 0"), self.sources, self.few, ["chunk"]).repartition(self.slot_tasks, "skey", "chunk")
-        first = F.col("base") - F.col("start")
-        rows = rows.withColumn("j", F.explode(F.sequence(first, first + F.col("blocks") - 1)))
-        rows = rows.withColumn("times", F.floor(F.col("m") / F.col("n")) + (F.col("j") < F.col("m") % F.col("n")).cast("long")).filter("times > 0")
-        rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("k", F.col("pass") * F.col("n") + F.col("j"))
+        """One row per slot: source and block, number k within the source, shard, and how many tokens of the block it takes."""
+        rows = with_source(self.chunks.filter("in_chunk > 0"), self.sources, self.few, ["chunk"]).repartition(self.slot_tasks, "skey", "chunk")
+        size, low = F.lit(self.block_tokens).cast("long"), F.col("before") - F.col("start")
+        # The blocks that begin in the chunk, each of them the number of a slot in every pass.
+        first, last = F.ceil(low / size).cast("long"), F.ceil((low + F.col("in_chunk")) / size).cast("long") - 1
+        rows = rows.withColumn("j", F.explode(F.when(last >= first, F.sequence(first, F.greatest(first, last)))))
+        length = F.when(F.col("j") < F.col("full"), size).otherwise(F.col("source_size") - F.col("full") * size)
+        over = F.greatest(F.least(F.col("rest") - F.col("j") * size, length), F.lit(0))
+        takes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.struct(p.alias("pass"), F.when(p < F.col("passes"), length).otherwise(over).alias("take")))
+        rows = rows.withColumn("t", F.explode(F.filter(takes, lambda t: t["take"] > 0))).withColumn("k", F.col("t.pass") * F.col("n") + F.col("j"))
         key = [F.lit(self.seed), F.col("skey")]
-        share = F.when(F.col("k") == F.col("m") - 1, F.col("x") - F.col("k")).otherwise(F.lit(1.0))
-        return rows.select(
-            (F.col("start") + permuted(F.col("j"), F.col("n"), key)).alias("block"), F.col("skey").alias("slot_source"), "k",
-            F.pmod(F.xxhash64(*key, F.col("k")), F.lit(self.shards)).alias("shard"), share.alias("share"),
-        )
+        block = F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.greatest(F.col("full"), F.lit(1)), key)).otherwise(F.col("full"))
+        return rows.select("skey", block.alias("block"), "k", F.pmod(F.xxhash64(*key, F.col("k")), F.lit(self.shards)).alias("shard"), F.col("t.take").alias("take"))
 
     def pieces(self) -> DataFrame:
-        """The documents' tokens cut at block ends, joined to the slots by block index.
+        """The documents' tokens cut at block ends, joined to the slots by source and block index.
 
         One row per piece and slot: ``n`` tokens from place ``lo`` of the document stand at
         ``at`` in the slot's block. A piece without a slot, and a document without tokens,
         has one row without shard and n = 0.
         """
-        inside = W.partitionBy("skey", "chunk").orderBy("doc_id", "size", "tie")
-        rows = self.rows.withColumn("rn", F.row_number().over(inside)).withColumn(
-            "off", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-        )
-        rows = rows.join(self.chunks.select("skey", "chunk", "base", "in_chunk").hint("merge"), ["skey", "chunk"])
-        size = F.lit(self.block_tokens)
+        inside = W.partitionBy("skey", "chunk").orderBy("doc_id", "size", "tie", "lot")
+        before = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows = self.rows.withColumn("rn", F.row_number().over(inside)).withColumn("off", before)
+        starts = self.chunks.groupBy("skey").agg(F.min("before").alias("start"))
+        rows = rows.join(self.chunks.select("skey", "chunk", "before").hint("merge"), ["skey", "chunk"])
+        rows = with_source(rows, starts, self.few, ["chunk", "rn"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        rows = rows.withColumn("off", F.col("before") - F.col("start") + F.col("off") + F.col("copy") * F.col("size"))
+        size = F.lit(self.block_tokens).cast("long")
 
         def piece(block):
             lo = F.greatest(F.col("off"), block * size)
             return F.struct(
-                (F.col("base") + block).alias("block"), F.least(F.col("in_chunk") - block * size, size).alias("length"),
-                (lo - block * size).alias("at"), (lo - F.col("off")).alias("lo"), (F.least(F.col("off") + F.col("size"), (block + 1) * size) - lo).alias("n"),
+                block.alias("block"), (lo - block * size).alias("at"), (lo - F.col("off")).alias("lo"), (F.least(F.col("off") + F.col("size"), (block + 1) * size) - lo).alias("n"),
             )
 
         blocks = F.sequence(F.expr(f"off div {self.block_tokens}"), F.expr(f"(off + size - 1) div {self.block_tokens}"))
         rows = rows.withColumn("piece", F.explode_outer(F.when(F.col("size") > 0, F.transform(blocks, piece))))
-        rows = rows.select("skey", "source", "chunk", "rn", "doc_id", "tie", "size", "source_size", "target", "piece.*")
+        rows = rows.select("skey", "source", "chunk", "rn", "copy", "doc_id", "tie", "size", "source_size", "target", "piece.*")
         # Slots are many times more than their estimate: they must not be broadcast.
-        out = rows.join(self.slots().hint("merge"), "block", "left")
-        part = F.floor(F.col("share") * F.col("length")) - F.col("at")
-        n = F.when(F.col("share") >= 1 - 1e-9, F.col("n")).when(F.col("share").isNotNull(), F.greatest(F.least(part, F.col("n")), F.lit(0)))
-        return out.withColumn("n", F.coalesce(n, F.lit(0)).cast("long"))
+        out = rows.join(self.slots().hint("merge"), ["skey", "block"], "left")
+        n = F.greatest(F.least(F.col("take") - F.col("at"), F.col("n")), F.lit(0))
+        return out.withColumn("n", F.when(F.col("take").isNotNull(), n).otherwise(0).cast("long"))
 
 
 def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
     """shard, source, slot (its number within the source), block, n_tokens, tokens (parted by spaces) of the mix."""
     plan = Plan(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed)
     row = ["doc_id", "skey", "tie"]
-    took = plan.pieces().filter("n > 0").groupBy(*row, "chunk", "rn", "source").agg(F.collect_list(F.struct("shard", "k", "block", "at", "lo", "n")).alias("parts"))
+    took = plan.pieces().filter("n > 0").groupBy(*row, "chunk", "rn", "copy", "source").agg(F.collect_list(F.struct("shard", "k", "block", "at", "lo", "n")).alias("parts"))
     texts = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.xxhash64("text").alias("tie"), "text")
     # Rows that agree in all three hold the same text: one of them serves all.
     texts = texts.groupBy(*row).agg(F.first("text").alias("text"))
@@ -183,6 +197,6 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: in
 def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, block_tokens: int = 128, shard_slots: int = 8192, chunk_docs: int = 2048, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of each document, repeats counted)."""
     pieces = Plan(docs, weights, cap, block_tokens, shard_slots, chunk_docs, seed).pieces()
-    return pieces.groupBy("skey", "chunk", "rn", "doc_id", "size", "source_size", "target").agg(F.sum("n").alias("taken")).select(
+    return pieces.groupBy("skey", "chunk", "rn", "copy", "doc_id", "size", "source_size", "target").agg(F.sum("n").alias("taken")).select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken"
     )
