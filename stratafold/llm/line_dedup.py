@@ -7,17 +7,19 @@ many words is made of units. Every unit names its first holder, the smallest doc
 later document is paired with the first holders of its units. Most units are rare; one held
 by n documents gives n - 1 pairs, not all of them, so none is too common to be followed.
 
-Each pair is aligned with patience diff over the lines of the units it shares: lines that
-are unique in both are matched in a longest increasing order, matches grow over equal
-neighbours, and the gaps between are aligned in the same way (where no line is unique, by
-the longest common run). Every aligned block leaves the later document, and so do further
+Each pair is aligned with patience diff over the lines of the units it shares, at all their
+places in both: lines that are unique in both are matched in a longest increasing order,
+matches grow over equal neighbours, and the gaps between are aligned in the same way (where
+no line is unique, by the longest common run, which a suffix automaton finds in linear
+time). Every aligned block leaves the later document, and so do further
 copies of an aligned line in it. Shared lines out of that order are moved text: a run of them
 leaves if it has at least ``moved_words`` words and stays otherwise. First holders keep
 theirs. Runs of fewer than ``min_words`` words never pair documents. Scripts written without
 spaces count a word for two (Han, kana) or four (Thai, Lao, Burmese, Khmer) characters.
 
-Scale: units are written once. A pair is made of the places of its units only: neither the
-lines of a popular first holder nor any text goes to its pairs. The join on units broadcasts
+Scale: units are written once, a unit that repeats in a document as one row. A pair is made
+of the hashes and places of its units' lines only: neither the other lines of a popular first
+holder nor any text goes to its pairs. The join on units broadcasts
 the few that hold more than a thousandth of all places. A document's own lines are the
 largest thing a task holds. The text is shuffled once, in the last join, whatever its size.
 
@@ -33,6 +35,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -44,7 +47,8 @@ from stratafold.scratch import discard, materialize
 
 _HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _THAI = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
-UNITS = "doc_id long, tie long, rank int, r1 long, r2 long, pos array<int>, words array<int>"
+#: One row per document and unit: the ranks at which it starts, the places of its lines there one after the other, and of each line words and hash.
+UNITS = "doc_id long, tie long, ranks array<int>, r1 long, r2 long, pos array<int>, words array<int>, lines array<long>"
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
@@ -61,7 +65,7 @@ def n_words(line: str) -> int:
 
 
 def units_of(text: str | None, min_words: int) -> list[tuple]:
-    """(rank, r1, r2, pos, words) of every unit: rank counts the lines with words, pos all lines."""
+    """(ranks, r1, r2, pos, words, lines) of every unit: ranks count the lines with words, pos all lines."""
     lines = [(pos, words, line) for pos, line in enumerate((text or "").split("\n")) if (words := n_words(line))]
     digests = [hashlib.md5(line.strip().encode("utf-8", "surrogatepass")).digest() for _, _, line in lines]
     spans, end, total = set(), 0, 0
@@ -81,17 +85,19 @@ def units_of(text: str | None, min_words: int) -> list[tuple]:
             start += 1
         if total >= min_words:
             spans.add((start, end))
-    out = []
+    out: dict[bytes, tuple] = {}
     for a, b in sorted(spans):
         digest = digests[a] if b == a + 1 else hashlib.md5(b"".join(digests[a:b])).digest()
-        out.append((a, *_halves(digest), [x[0] for x in lines[a:b]], [x[1] for x in lines[a:b]]))
-    return out
+        unit = out.setdefault(digest, ([], *_halves(digest), [], [x[1] for x in lines[a:b]], [_halves(d)[0] for d in digests[a:b]]))
+        unit[0].append(a)
+        unit[3].extend(x[0] for x in lines[a:b])
+    return list(out.values())
 
 
 def unit_table(docs: DataFrame, min_words: int) -> DataFrame:
     """The rows of UNITS of all documents; ``tie`` tells texts of one doc_id apart."""
-    names = [x.split()[0] for x in UNITS.split(", ")]
-    types = [pa.list_(pa.int32()) if "array" in x else pa.int64() if "long" in x else pa.int32() for x in UNITS.split(", ")]
+    fields = [x.split() for x in UNITS.split(", ")]
+    schema = pa.schema([(n, {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}[t]) for n, t in fields])
 
     def run(batches):
         for batch in batches:
@@ -99,10 +105,10 @@ def unit_table(docs: DataFrame, min_words: int) -> DataFrame:
             for doc, tie, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 held += [(doc.as_py(), tie.as_py(), *row) for row in units_of(text.as_py(), min_words)]
                 if len(held) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
                     held = []
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
     rows = docs.filter("doc_id is not null and text is not null")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, UNITS)
@@ -126,63 +132,115 @@ def _increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _run_from(x: tuple[int, int], pairs: set[tuple[int, int]]) -> int:
-    n = 1
-    while (x[0] + n, x[1] + n) in pairs:
-        n += 1
-    return n
-
-
-def align(pairs: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Blocks (i, j, length) of a patience diff; pairs are the places (i, j) at which the two documents hold the same line."""
-    blocks, todo = [], [sorted(pairs)] if pairs else []
+class _Runs:
+    """A suffix automaton over numbered lines: the runs of neighbours in it, found in linear time."""
+
+    def __init__(self, numbers: list[int], ids: list[int]):
+        self.step, self.link, self.length, self.end = [{}], [-1], [0], [-1]
+        last, before = 0, None
+        for number, line in zip(numbers, ids):
+            if before is not None and number != before + 1:  # a gap: nothing runs over it
+                last = self._add(last, ("gap", number), -1)
+            last, before = self._add(last, line, number), number
+
+    def _state(self, step: dict, link: int, length: int, end: int) -> int:
+        self.step.append(step)
+        self.link.append(link)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.step) - 1
+
+    def _add(self, last: int, line, number: int) -> int:
+        new, at = self._state({}, 0, self.length[last] + 1, number), last
+        while at >= 0 and line not in self.step[at]:
+            self.step[at][line] = new
+            at = self.link[at]
+        if at >= 0:
+            old = self.step[at][line]
+            if self.length[old] > self.length[at] + 1:
+                twin = self._state(dict(self.step[old]), self.link[old], self.length[at] + 1, self.end[old])
+                while at >= 0 and self.step[at].get(line) == old:
+                    self.step[at][line] = twin
+                    at = self.link[at]
+                self.link[old] = twin
+                old = twin
+            self.link[new] = old
+        return new
+
+    def along(self, numbers: list[int], ids: list[int]):
+        """For every line of another document: the length of the longest run that ends there and stands here, and where it first ends here."""
+        state, length, before = 0, 0, None
+        for number, line in zip(numbers, ids):
+            if before is None or number != before + 1:
+                state, length = 0, 0
+            while state and line not in self.step[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if line in self.step[state]:
+                state, length = self.step[state][line], length + 1
+            before = number
+            yield length, self.end[state]
+
+
+def align(mine: dict[int, int], theirs: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Blocks (i, j, length) of a patience diff of two documents, given by the places and hashes of lines."""
+    blocks, todo = [], [(sorted(mine), sorted(theirs))]
     while todo:
-        part = todo.pop()
-        held = set(part)
-        mine, theirs = Counter(i for i, _ in part), Counter(j for _, j in part)
-        anchors = [(i, j) for i, j in part if mine[i] == theirs[j] == 1]
+        own, other = todo.pop()
+        here, there = Counter(mine[i] for i in own), Counter(theirs[j] for j in other)
+        own = [i for i in own if mine[i] in there]
+        other = [j for j in other if theirs[j] in here]
+        if not own:
+            continue
+        once = {theirs[j]: j for j in other if there[theirs[j]] == 1}
+        anchors = [(i, once[mine[i]]) for i in own if here[mine[i]] == 1 and mine[i] in once]
         if anchors:
             anchors = [anchors[k] for k in _increasing([j for _, j in anchors])]
         else:
-            heads = [x for x in part if (x[0] - 1, x[1] - 1) not in held]
-            anchors = [min(heads, key=lambda x: (-_run_from(x, held), x))]
+            runs = _Runs(other, [theirs[j] for j in other])
+            ended = [(-n, i - n + 1, j - n + 1) for i, (n, j) in zip(own, runs.along(own, [mine[i] for i in own]))]
+            anchors = [min(ended)[1:]]
+        ours, others = set(own), set(other)
+        same = lambda i, j: i in ours and j in others and mine[i] == theirs[j]
         found: list[tuple[int, int, int]] = []
         for i, j in anchors:
-            end_i, end_j = (found[-1][0] + found[-1][2], found[-1][1] + found[-1][2]) if found else (0, 0)
+            end_i, end_j = (found[-1][0] + found[-1][2], found[-1][1] + found[-1][2]) if found else (-1, -1)
             if i < end_i or j < end_j:
                 continue
-            n = _run_from((i, j), held)
-            while i > end_i and j > end_j and (i - 1, j - 1) in held:
+            n = 1
+            while same(i + n, j + n):
+                n += 1
+            while i > end_i and j > end_j and same(i - 1, j - 1):
                 i, j, n = i - 1, j - 1, n + 1
             found.append((i, j, n))
         blocks += found
         # The gaps before, between and after the blocks; what lies out of order is left.
-        starts = [0] + [i + n for i, _, n in found]
-        gaps: list[list[tuple[int, int]]] = [[] for _ in starts]
-        bounds = [(-1, -1, 0), *found, (1 << 60, 1 << 60, 0)]
-        k = 0
-        for i, j in part:
-            while k + 1 < len(starts) and i >= starts[k + 1]:
-                k += 1
-            if bounds[k][1] + bounds[k][2] <= j < bounds[k + 1][1] and i < bounds[k + 1][0]:
-                gaps[k].append((i, j))
-        todo += [g for g in gaps if g]
+        edges = [(-1, -1, 0), *found, (1 << 60, 1 << 60, 0)]
+        a = b = 0
+        for (i, j, n), (next_i, next_j, _) in zip(edges, edges[1:]):
+            a, b = bisect_left(own, i + n, a), bisect_left(other, j + n, b)
+            gap = own[a : bisect_left(own, next_i, a)], other[b : bisect_left(other, next_j, b)]
+            if gap[0] and gap[1]:
+                todo.append(gap)
     return sorted(blocks)
 
 
-def leaving(pairs: set[tuple[int, int]], words: dict[int, int], moved_words: int) -> set[int]:
-    """The lines i of the later document that leave it, of those it shares with the first holder."""
-    blocks = align(pairs)
-    gone = {i + k for i, _, n in blocks for k in range(n)}
-    kept = {j + k for _, j, n in blocks for k in range(n)}
-    rest = {(i, j) for i, j in pairs if i not in gone}
-    for i, j in rest:
-        if j in kept:
-            gone.add(i)  # another copy of an aligned line
-        if (i - 1, j - 1) not in rest:
-            run = range(i, i + _run_from((i, j), rest))
-            if sum(words[k] for k in run) >= moved_words:
-                gone.update(run)
+def leaving(mine: dict[int, int], theirs: dict[int, int], words: dict[int, int], moved_words: int) -> set[int]:
+    """The places of the later document (place to line hash) whose lines leave it, of those it shares with the first holder."""
+    blocks = align(mine, theirs)
+    aligned = {i + k for i, _, n in blocks for k in range(n)}
+    copied = {mine[i] for i in aligned}
+    gone = aligned | {i for i, line in mine.items() if line in copied}
+    rest = [i for i in sorted(mine) if i not in aligned]
+    if rest and sum(words[i] for i in rest) >= moved_words:
+        other = sorted(theirs)
+        runs = _Runs(other, [theirs[j] for j in other])
+        before = dict(zip(rest, accumulate((words[i] for i in rest), initial=0)))
+        done = -1
+        for i, (n, _) in zip(rest, runs.along(rest, [mine[i] for i in rest])):
+            if n and before[i] + words[i] - before[i - n + 1] >= moved_words:
+                gone.update(range(max(done + 1, i - n + 1), i + 1))
+                done = i
     return gone
 
 
@@ -190,23 +248,25 @@ def deletions(docs: DataFrame, min_words: int = 5, moved_words: int = 20) -> Dat
     """doc_id, tie (hash of the text), gone: the places of the lines that leave each later document, where there are any."""
     units = materialize(unit_table(docs, min_words), "units")
     firsts = units.groupBy("r1", "r2").agg(
-        F.min(F.struct("doc_id", "tie", "rank")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("held")
+        F.min(F.struct("doc_id", "tie", "ranks")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("held")
     ).filter("f.doc_id < last")
-    shared = materialize(firsts.select("r1", "r2", "held", F.col("f.doc_id").alias("first"), F.col("f.tie").alias("first_tie"), F.col("f.rank").alias("place")), "shared")
+    shared = materialize(firsts.select("r1", "r2", "held", F.col("f.doc_id").alias("first"), F.col("f.tie").alias("first_tie"), F.col("f.ranks").alias("places")), "shared")
     later = heavy_join(units, shared, ["r1", "r2"], "held", units.count()).filter("doc_id > first")
-    pairs = later.groupBy("doc_id", "tie", "first", "first_tie").agg(F.collect_set(F.struct("rank", "place", "pos", "words")).alias("units"))
+    pairs = later.groupBy("doc_id", "tie", "first", "first_tie").agg(F.collect_list(F.struct("ranks", "places", "pos", "words", "lines")).alias("units"))
 
     def work(batches):
         for pdf in batches:
             out = []
             for doc, tie, units in zip(pdf["doc_id"], pdf["tie"], pdf["units"]):
-                places, words, same = {}, {}, set()
+                places, words, mine, theirs = {}, {}, {}, {}
                 for u in units:
-                    for k, (p, w) in enumerate(zip(u["pos"], u["words"])):
-                        i = int(u["rank"]) + k
-                        places[i], words[i] = int(p), int(w)
-                        same.add((i, int(u["place"]) + k))
-                out.append((doc, tie, sorted(places[i] for i in leaving(same, words, moved_words))))
+                    lines, weights, pos = (u[n].tolist() for n in ("lines", "words", "pos"))
+                    for at, start in enumerate(u["ranks"].tolist()):
+                        for k, line in enumerate(lines):
+                            mine[start + k], words[start + k], places[start + k] = line, weights[k], pos[at * len(lines) + k]
+                    for start in u["places"].tolist():
+                        theirs.update((start + k, line) for k, line in enumerate(lines))
+                out.append((doc, tie, sorted(places[i] for i in leaving(mine, theirs, words, moved_words))))
             yield pd.DataFrame(out, columns=["doc_id", "tie", "gone"])
 
     found = pairs.select("doc_id", "tie", "units").mapInPandas(work, "doc_id long, tie long, gone array<int>")
@@ -222,7 +282,10 @@ def dedup(docs: DataFrame, min_words: int = 5, moved_words: int = 20) -> DataFra
     rows = docs.select(F.struct("*").alias("row"))
     same = (rows["row.doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(rows["row.text"]) == gone["tie"])
     rows = rows.join(gone, same, "left")
-    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    # The lines between one place that leaves and the next: linear in the lines.
+    lines = F.split("row.text", "\n")
+    ends = F.concat("gone", F.array(F.size(lines)))
+    kept = F.flatten(F.transform(ends, lambda end, i: F.slice(lines, F.when(i == 0, 1).otherwise(F.get("gone", i - 1) + 2), end - F.when(i == 0, 0).otherwise(F.get("gone", i - 1) + 1))))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text")
     columns = [text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_deleted"]
     return rows.select(*columns, F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_deleted"))

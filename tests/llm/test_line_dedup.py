@@ -64,18 +64,21 @@ def patience(pairs, lo=(0, 0), hi=(10**9, 10**9)):
 
 
 def by_brute_force(texts):
-    """The places of the lines that leave each document, pair by pair."""
+    """The places of the lines that leave each document, pair by pair: all places of the shared lines in both texts."""
     first = {}
     for doc in sorted(texts):
-        for a, run in units(texts[doc]):
-            first.setdefault(run, (doc, a))
+        for _, run in units(texts[doc]):
+            first.setdefault(run, doc)
     out = {}
     for doc in texts:
-        rows, pairs = lines(texts[doc]), {}
-        for a, run in units(texts[doc]):
-            holder, place = first[run]
-            if holder < doc:
-                pairs.setdefault(holder, set()).update((a + k, place + k) for k in range(len(run)))
+        rows, shared, pairs = lines(texts[doc]), {}, {}
+        for _, run in units(texts[doc]):
+            if first[run] < doc:
+                shared.setdefault(first[run], set()).add(run)
+        for holder, runs in shared.items():
+            covered = lambda text: {(a + k, run[k]) for a, run in units(text) if run in runs for k in range(len(run))}  # noqa: E731, B023
+            theirs = covered(texts[holder])
+            pairs[holder] = {(i, j) for i, x in covered(texts[doc]) for j, y in theirs if x == y}
         for same in pairs.values():
             matched = patience(same)
             mine, theirs = {i for i, _ in matched}, {j for _, j in matched}
@@ -156,16 +159,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_alignment():
-    same = lambda a, b: {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y}
-    assert align(same("abcxy", "abc-xy")) == [(0, 0, 3), (3, 4, 2)]
-    assert align(same("pqrxy", "xy-pqr")) == [(0, 3, 3)] and align(set()) == []
-    assert leaving(same("pqrxy", "xy-pqr"), dict.fromkeys(range(5), 3), 20) == {0, 1, 2}  # a short moved block stays
-    assert leaving(same("pqrxy", "xy-pqr"), dict.fromkeys(range(5), 10), 20) == {0, 1, 2, 3, 4}
-    assert leaving(same("a-a", "a"), dict.fromkeys(range(3), 5), 20) == {0, 2}  # a copy of an aligned line goes with it
+    put = lambda text: {i: x for i, x in enumerate(text) if x != "-"}
+    assert align(put("abcxy"), put("abc-xy")) == [(0, 0, 3), (3, 4, 2)]
+    assert align(put("pqrxy"), put("xy-pqr")) == [(0, 3, 3)] and align({}, {}) == []
+    assert align(put("faz"), put("afaz")) == [(0, 1, 3)] and align(put("aaaa"), put("aa-aaa")) == [(0, 3, 3)]
+    assert leaving(put("pqrxy"), put("xy-pqr"), dict.fromkeys(range(5), 3), 20) == {0, 1, 2}  # a short moved block stays
+    assert leaving(put("pqrxy"), put("xy-pqr"), dict.fromkeys(range(5), 10), 20) == {0, 1, 2, 3, 4}
+    assert leaving(put("a-a"), put("a"), dict.fromkeys(range(3), 5), 20) == {0, 2}  # a copy of an aligned line goes with it
+    # Texts of one line over and over stay linear.
+    assert align(dict.fromkeys(range(30_000), 7), dict.fromkeys(range(20_000), 7)) == [(0, 0, 20_000)]
+
+
+def test_a_repeated_line_does_not_break_its_block(spark):
+    say = lambda x: " ".join(f"{x}{i}" for i in range(8))
+    f, a, z, own = map(say, "fazo")
+    docs = spark.createDataFrame([(1, "\n".join([a, f, a, z])), (2, "\n".join([f, a, z, own])), (3, "\n".join([a, f, a, z, f]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in line_dedup.dedup(docs).collect()}
+    assert got == {1: (0, "\n".join([a, f, a, z])), 2: (3, own), 3: (5, "")}
 
 
 def test_units_and_scripts_without_spaces(spark):
-    assert [(a, pos) for a, _, _, pos, _ in units_of("a b\n\nc d\ne f g\nh", 5)] == [(0, [0, 2, 3]), (1, [2, 3]), (1, [2, 3, 4])]
+    assert [(ranks, pos) for ranks, _, _, pos, _, _ in units_of("a b\n\nc d\ne f g\nh", 5)] == [([0], [0, 2, 3]), ([1], [2, 3]), ([1], [2, 3, 4])]
+    assert [(ranks, pos, len(x)) for ranks, _, _, pos, _, x in units_of("a b c d e\nx\na b c d e", 5)][0] == ([0, 2], [0, 2], 1)
     passage, own = " ".join(f"a{i}" for i in range(30)), [" ".join(f"{x}{i}" for i in range(25)) for x in "bcde"]
     han, thai = "".join(chr(0x4E00 + i) for i in range(60)), "".join(chr(0x0E01 + i % 40) for i in range(90))
     rows = [(1, f"{passage}\n{own[0]}\nshared line of five words\n{own[1]}"), (2, f"{passage}\n{own[2]}\nshared line of five words\n{own[3]}")]
