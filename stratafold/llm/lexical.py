@@ -53,7 +53,7 @@ from stratafold.scratch import discard, materialize
 
 BLOCK = 128
 #: Bytes of text, and documents, from which a shard is built.
-SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 #: Bytes of query terms that one job broadcasts.
 QUERY_BYTES = 4 << 20
 #: Documents in the ranges that the first visit of a search opens.
