@@ -13,10 +13,6 @@ from stratafold.operators import tree
 from stratafold.plans import xlsx
 
 
-#: Roots that a summary takes.
-MOST_ROOTS = 10_000
-
-
 def allowed(files: DataFrame, suffixes_out=(), least: int = 0, most: int = 0) -> DataFrame:
     """The older filters: suffixes as they are written, and no upper limit where it is 0."""
     last = F.regexp_extract("filename", r"[^.](\.[^.]+)$", 1)
@@ -89,13 +85,11 @@ def confirm(pairs: DataFrame, quick=lambda c: F.substring(c, 1, 8)) -> DataFrame
 def summary(stats: DataFrame, results: DataFrame, matches: DataFrame) -> DataFrame:
     """root, folders, files, similar_pairs, duplicate_files, duplicate_gb; roots match as bare prefixes.
 
-    Roots are settings: each side is matched against all of them at once, so they must be few.
+    A folder is cut to the length of every root, whatever their number, and joined on what is left.
     """
     of = stats.select("root")
-    if (count := of.count()) > MOST_ROOTS:
-        raise ValueError(f"{count} roots are more than {MOST_ROOTS}")
-    pairs = results.join(F.broadcast(of), F.col("folder_a").startswith(F.col("root"))).groupBy("root").agg(F.count("*").alias("similar_pairs"))
-    dups = matches.filter("full_match").join(F.broadcast(of), F.col("folder_a").startswith(F.col("root"))).groupBy("root").agg(
+    pairs = _of_roots(results, of).groupBy("root").agg(F.count("*").alias("similar_pairs"))
+    dups = _of_roots(matches.filter("full_match"), of).groupBy("root").agg(
         F.count("*").alias("duplicate_files"), (F.sum("size") / 1e9).alias("duplicate_gb")
     )
     return stats.join(pairs, "root", "left").join(dups, "root", "left").na.fill(0, ["similar_pairs", "duplicate_files"]).na.fill(0.0, ["duplicate_gb"]).select(
@@ -103,6 +97,16 @@ def summary(stats: DataFrame, results: DataFrame, matches: DataFrame) -> DataFra
     )
 
 
+def _of_roots(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows once for every root that folder_a begins with."""
+    # As many as roots have different lengths: no more than a path can be long.
+    lengths = [r[0] for r in of.select(F.length("root")).distinct().collect()]
+    if not lengths:
+        return rows.withColumn("root", F.lit("")).limit(0)
+    cut = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substr("folder_a", F.lit(1), n)))
+    return rows.withColumn("root", F.explode(cut)).join(of, "root")
+
+
 def similar_folders(results: DataFrame, folder_rows: DataFrame, matches: DataFrame) -> DataFrame:
     """The similar pairs with both folders' direct figures and what is confirmed between them."""
     side = lambda s: folder_rows.select(F.col("path").alias(f"folder_{s}"), F.col("file_count").alias(f"files_{s}"), F.col("total_bytes").alias(f"bytes_{s}"))

@@ -65,15 +65,27 @@ def top_suffixes(files: DataFrame, k: int = 5) -> DataFrame:
     return counts.withColumn("place", place).filter(F.col("place") <= k)
 
 
+#: Roots up to which each file is tested against all of them where it stands.
+FEW_ROOTS = 64
+
+
 def large_files(files: DataFrame, thresholds: DataFrame) -> DataFrame:
     """path, size of the files that reach the threshold of some root above them, each once.
 
-    ``thresholds`` (root, threshold) has a row per configured root and joins on the ancestor.
+    ``thresholds`` (root, threshold) has a row per configured root. Few of them, as is usual,
+    become one expression over the path; more are joined on the folders above each file
+    that reaches the smallest threshold.
     """
+    few = thresholds.limit(FEW_ROOTS + 1).collect()
+    if len(few) <= FEW_ROOTS:
+        over = F.lit(False)
+        for r in few:
+            over = over | (paths.under(F.col("folder"), F.lit(r["root"])) & (F.col("size") >= r["threshold"]))
+        return files.filter(over).select("path", "size").distinct()
     smallest = thresholds.agg(F.min("threshold").alias("__smallest"))  # one row
     files = files.crossJoin(F.broadcast(smallest)).filter("size >= __smallest")
-    least = files.select("path", "size", F.explode(paths.ancestors(F.col("folder"), 1)).alias("root"))
-    return least.join(thresholds, "root").filter("size >= threshold").select("path", "size").distinct()
+    above = files.select("path", "size", F.explode(paths.ancestors(F.col("folder"), 1)).alias("root"))
+    return above.join(thresholds, "root").filter("size >= threshold").select("path", "size").distinct()
 
 
 def marked_totals(large: DataFrame, marks: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from stratafold.operators import clusters as C
-from stratafold.operators import duplicates, similarity, snapshot, tree, waste
+from stratafold.operators import duplicates, legacy, similarity, snapshot, tree, waste
 
 FILES = "folder string, filename string, path string, size long, h string"
 
@@ -115,3 +115,21 @@ def test_stale_at_the_cutoff_is_fresh(spark):
     stats = spark.sql("select 'a' as root, timestamp'2024-01-01' as last_scanned_at union all select 'b', timestamp'2023-12-30'")
     got = {r["root"]: r["age_days"] for r in snapshot.stale_roots(roots, stats, F.expr("timestamp'2024-01-31'"), 30).collect()}
     assert got == {"b": 32, "c": None}
+
+
+def test_large_files_of_few_and_of_many_roots(spark, monkeypatch):
+    files = spark.createDataFrame([("a/b", f"a/b/{i}", i) for i in range(20)] + [("ab", "ab/x", 50), ("a", "a/y", 6), ("c", "c/z", 99)], "folder string, path string, size long")
+    limits = spark.createDataFrame([("a", 15), ("a/b", 10), ("ab", 51)], "root string, threshold long")
+    few = tree.large_files(files, limits)
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tree, "FEW_ROOTS", 1)
+    many = tree.large_files(files, limits)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted((f"a/b/{i}", i) for i in range(10, 20))
+
+
+def test_summary_of_any_number_of_roots(spark):
+    stats = spark.createDataFrame([(f"r{i}", 1, 1) for i in range(12_000)] + [("r", 2, 2)], "root string, folders long, files long")
+    results = spark.createDataFrame([("r1/a", "x"), ("r17", "x"), ("q", "x")], "folder_a string, folder_b string")
+    matches = spark.createDataFrame([("r1/a", "x", 10**9, True), ("r17", "x", 5, False)], "folder_a string, folder_b string, size long, full_match boolean")
+    got = {r["root"]: (r["similar_pairs"], r["duplicate_files"], r["duplicate_gb"]) for r in legacy.summary(stats, results, matches).collect()}
+    assert len(got) == 12_001 and {k: v for k, v in got.items() if v[0]} == {"r": (2, 1, 1.0), "r1": (2, 1, 1.0), "r17": (1, 0, 0.0)}
