@@ -11,7 +11,7 @@ from stratafold.engine import Engine
 from stratafold.plans import artifacts, execution
 from stratafold.sources.config import load_config
 
-COMMANDS = ("run", "scan", "duplicates", "similarity", "plan", "execute", "report", "waste", "largest", "clusters", "merge-review")
+COMMANDS = ("run", "scan", "duplicates", "similarity", "plan", "execute", "report", "waste", "largest", "clusters", "merge-review", "older")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -69,6 +69,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(engine.plan(args.replan))
     elif args.command == "report":
         print(engine.report())
+    elif args.command == "older":
+        print(engine.older())
     elif args.command == "clusters":
         shown = engine.clusters()
         rows = shown["members"].drop("turn", "key").join(shown["clusters"].drop("turn"), "cluster_id")

@@ -13,13 +13,13 @@ from itertools import chain
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions import paths
 from stratafold.functions.hashing import hash_files, is_current
 from stratafold.operators import clusters as C
-from stratafold.operators import duplicates, similarity, snapshot, tree, waste
+from stratafold.operators import duplicates, legacy, similarity, snapshot, tree, waste
 from stratafold.plans import artifacts, proposals, xlsx
 from stratafold.scratch import materialize
 from stratafold.sources import walk
@@ -32,6 +32,9 @@ STATE = "stage string, run_id long"
 ROOTS = "root string, run_id long, total_folders long, total_files long, indexed_folders long, indexed_files long, last_scanned_at timestamp"
 ERRORS = "kind string, path string, message string"
 CANDIDATES = "folder_a string, folder_b string, score double, shared_duplicate_files long, shared_signatures long, name_bonus double, size_ratio double, file_count_ratio double, reason string"
+ANALYSED = "path string, analysed_at double"
+RESULTS = "folder_a string, folder_b string, jaccard double, shared long"
+MATCHES = "folder_a string, folder_b string, filename string, size long, jaccard double, path_a string, path_b string, quick_match boolean, full_match boolean"
 GROUPS = "full_hash string, size_bytes long, file_count long, total_bytes long"
 
 #: Fixed values of the space estimate: bytes of tables per file, mean file size, shares of free space.
@@ -54,7 +57,7 @@ class Engine:
         store = lambda name, **more: snapshot.SnapshotStore(spark, f"{config.database}/{name}", **more)
         # Files, folders and hashes are joined by path again and again.
         self.stores = {n: store(n, buckets=config.table_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))) for n in ("folders", "files", "hashes")}
-        self.stores |= {n: store(n) for n in ("groups", "candidates", "errors")} | {"state": store("state", key="stage"), "roots": store("roots", key="root")}
+        self.stores |= {n: store(n) for n in ("groups", "candidates", "errors", "older_analysed", "older_results", "older_matches")} | {"state": store("state", key="stage"), "roots": store("roots", key="root")}
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """The newest snapshot, with the columns of the schema that an older one lacks; empty if there is none."""
@@ -252,6 +255,39 @@ class Engine:
         summary = [("figure", "value"), ("scan run", state.get("scan", 0)), ("folders", self.active_folders().count()), ("files", self.active_files().count()), ("duplicate groups", groups.count()), ("similar pairs", pairs.count())]
         return xlsx.write(self.config.report, {"Summary": summary, "Duplicates": sheet(groups.orderBy(F.desc("total_bytes"))), "Similarity": sheet(pairs.orderBy(F.desc("score"), "folder_a", "folder_b")), "Plans": plans, "Execution": runs})
 
+    def older(self, path: str | None = None) -> Path:
+        """The older analysis: similar folders of which one was scanned since it was last analysed, the files they share by name and size confirmed by hashes, and its workbook."""
+        folders, files = self.active_folders(), self.active_files().withColumn("h", F.lit(None).cast("string"))
+        analysed = folders.join(self._read("older_analysed", ANALYSED), "path", "left")
+        dirty = materialize(legacy.dirty(analysed).select("path"), "dirty")
+        keys = legacy.signatures(files).join(folders.select(F.col("path").alias("folder")), "folder", "left_semi")
+        new = legacy.similar(materialize(keys, "keys"), dirty, self.config.similarity_threshold)
+        self.stores["older_results"].write(legacy.replace_results(self._read("older_results", RESULTS), new, dirty))
+        results = self._read("older_results", RESULTS)
+        # Pairs of files are confirmed once, until one of their folders is scanned again.
+        old = self._read("older_matches", MATCHES).join(results.select("folder_a", "folder_b"), ["folder_a", "folder_b"], "left_semi")
+        for side in ("folder_a", "folder_b"):
+            old = old.join(dirty.withColumnRenamed("path", side), side, "left_anti")
+        pairs = materialize(legacy.file_pairs(results, files, old).drop("h_a", "h_b"), "pairs")
+        pairs = self._alike(self._alike(pairs, files, "quick", "quick_match", F.lit(True)), files, "full", "full_match", F.col("quick_match"))
+        columns = [x.split()[0] for x in MATCHES.split(", ")]
+        self.stores["older_matches"].write(materialize(old.select(*columns).unionByName(pairs.select(*columns)), "matches"))
+        matches = self._read("older_matches", MATCHES)
+        self.stores["older_analysed"].upsert(materialize(legacy.mark_analysed(analysed.join(dirty, "path", "left_semi"), F.unix_micros(F.current_timestamp()) / 1e6).select("path", "analysed_at"), "analysed"))
+        stats = self._read("roots", ROOTS).select(
+            "root", F.col("total_folders").alias("folders"), F.col("total_files").alias("files"), F.col("indexed_folders").alias("scanned_folders"), F.col("indexed_files").alias("scanned_files")
+        )
+        found = matches.filter("full_match").select("path_a", "path_b", "filename", "size", "folder_a", "folder_b", "jaccard")
+        return legacy.workbook(path or f"{self.config.home}/older.xlsx", legacy.summary(stats, results, matches), found, legacy.similar_folders(results, folders, matches))
+
+    def _alike(self, pairs: DataFrame, files: DataFrame, kind: str, name: str, asked: Column) -> DataFrame:
+        """The pairs (path_a, path_b) with the column ``name``: whether the hashes of a kind agree, null where it was not asked."""
+        paths_of = pairs.filter(asked).select(F.explode(F.array("path_a", "path_b")).alias("path")).distinct()
+        hashed = materialize(hash_files(paths_of.join(files.select("path", "size"), "path"), kind).select("path", "digest"), "hashes")
+        side = lambda s: hashed.select(F.col("path").alias(f"path_{s}"), F.col("digest").alias(f"__{s}"))
+        rows = pairs.join(side("a"), "path_a", "left").join(side("b"), "path_b", "left")
+        return materialize(rows.withColumn(name, F.when(asked, F.coalesce(F.col("__a") == F.col("__b"), F.lit(False)))).drop("__a", "__b"), "alike")
+
     def run(self, rescan: bool = False, delta: bool = False, replan: bool = False) -> dict:
         """All stages in order; nothing is executed."""
         self.preflight()

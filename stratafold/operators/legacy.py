@@ -83,7 +83,7 @@ def confirm(pairs: DataFrame, quick=lambda c: F.substring(c, 1, 8)) -> DataFrame
 
 
 def summary(stats: DataFrame, results: DataFrame, matches: DataFrame) -> DataFrame:
-    """root, folders, files, similar_pairs, duplicate_files, duplicate_gb; roots match as bare prefixes.
+    """root, folders, files, similar_pairs, duplicate_files, duplicate_gb, and scanned_folders, scanned_files where ``stats`` has them; roots match as bare prefixes.
 
     A folder is cut to the length of every root, whatever their number, and joined on what is left.
     """
@@ -92,8 +92,9 @@ def summary(stats: DataFrame, results: DataFrame, matches: DataFrame) -> DataFra
     dups = _of_roots(matches.filter("full_match"), of).groupBy("root").agg(
         F.count("*").alias("duplicate_files"), (F.sum("size") / 1e9).alias("duplicate_gb")
     )
+    scanned = [c for c in ("scanned_folders", "scanned_files") if c in stats.columns]
     return stats.join(pairs, "root", "left").join(dups, "root", "left").na.fill(0, ["similar_pairs", "duplicate_files"]).na.fill(0.0, ["duplicate_gb"]).select(
-        "root", "folders", "files", "similar_pairs", "duplicate_files", "duplicate_gb"
+        "root", "folders", "files", *scanned, "similar_pairs", "duplicate_files", "duplicate_gb"
     )
 
 
@@ -116,13 +117,16 @@ def similar_folders(results: DataFrame, folder_rows: DataFrame, matches: DataFra
 
 
 #: The headings of the older workbook.
-SUMMARY_HEADINGS = ("Folder", "Total Folders", "Total Files", "Similar Folder Pairs", "Duplicate Files", "Duplicate GB")
+SUMMARY_HEADINGS = {
+    "root": "Folder", "folders": "Total Folders", "files": "Total Files", "scanned_folders": "Scanned Folders", "scanned_files": "Scanned Files",
+    "similar_pairs": "Similar Folder Pairs", "duplicate_files": "Duplicate Files", "duplicate_gb": "Duplicate GB",
+}
 
 
 def workbook(path: str, roots: DataFrame, pairs: DataFrame, folders: DataFrame) -> Path:
-    """The older report: a summary of the roots, duplicate files by size, similar folders by duplicate bytes."""
+    """The older report: a summary of the roots, duplicate files by size, similar folders by duplicate bytes. Other sheets of an existing workbook stay."""
     sheet = lambda df, head=None: chain([head or df.columns], map(tuple, df.toLocalIterator()))
-    return xlsx.write(path, {
-        "Summary": sheet(roots.orderBy("root"), SUMMARY_HEADINGS), "Duplicate Files": sheet(pairs.orderBy(F.desc("size"), "path_a", "path_b")),
+    return xlsx.update(path, {
+        "Summary": sheet(roots.orderBy("root"), [SUMMARY_HEADINGS[c] for c in roots.columns]), "Duplicate Files": sheet(pairs.orderBy(F.desc("size"), "path_a", "path_b")),
         "Similar Folders": sheet(folders.orderBy(F.col("dup_bytes").desc_nulls_last(), "folder_a", "folder_b")),
     })

@@ -7,11 +7,13 @@ the format allows goes on in further sheets.
 from __future__ import annotations
 
 import io
+import re
+import shutil
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
 from pathlib import Path
-from xml.sax.saxutils import XMLGenerator
+from xml.sax.saxutils import XMLGenerator, quoteattr, unescape
 
 # Fixed values of the format.
 MOST_ROWS = 1_048_576
@@ -128,3 +130,62 @@ def write(path: str | Path, sheets: dict[str, Iterable[Sequence]], most_rows: in
             xml.close("Types")
             xml.end()
     return path
+
+
+_TAG_SHEET, _TAG_LINK = re.compile(r"<sheet\b[^>]*?/>"), re.compile(r"<Relationship\b[^>]*?/>")
+
+
+def _attribute(tag: str, name: str) -> str:
+    found = re.search(rf'\b{name}\s*=\s*("[^"]*"|\'[^\']*\')', tag)
+    return unescape(found.group(1)[1:-1], {"&quot;": '"', "&apos;": "'"}) if found else ""
+
+
+def update(path: str | Path, sheets: dict[str, Iterable[Sequence]], most_rows: int = MOST_ROWS) -> Path:
+    """Puts the sheets into a workbook: new ones are added, those of the same name replaced, all else stays byte for byte.
+
+    Of the package only the list of sheets, its links and the list of types are edited. A
+    workbook that does not exist is written. Sheets go on in further ones as in ``write``.
+    """
+    path = Path(path)
+    if not path.exists():
+        return write(path, sheets, most_rows)
+    part = path.with_suffix(".part")
+    with zipfile.ZipFile(path) as old, zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+        read = lambda name: old.read(name).decode("utf-8")
+        book, links, types = read("xl/workbook.xml"), read("xl/_rels/workbook.xml.rels"), read("[Content_Types].xml")
+        targets = {_attribute(t, "Id"): _attribute(t, "Target") for t in _TAG_LINK.findall(links)}
+        gone = set()
+        ours = re.compile("|".join(f"{re.escape(n)}( [0-9]+)?" for n in sheets)) if sheets else re.compile(r"(?!)")
+        for tag in _TAG_SHEET.findall(book):
+            if ours.fullmatch(_attribute(tag, "name")):
+                link = _attribute(tag, "id")
+                target = targets.get(link, "")
+                member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+                gone |= {member, f"xl/worksheets/_rels/{member.rsplit('/', 1)[-1]}.rels"}
+                book = book.replace(tag, "")
+                links = "".join("" if t.startswith("<Relationship") and _attribute(t, "Id") == link else t for t in re.split(r"(<Relationship\b[^>]*?/>)", links))
+                types = "".join("" if t.startswith("<Override") and _attribute(t, "PartName") == f"/{member}" else t for t in re.split(r"(<Override\b[^>]*?/>)", types))
+        edited = {"xl/workbook.xml", "xl/_rels/workbook.xml.rels", "[Content_Types].xml"}
+        kept = [m for m in old.infolist() if m.filename not in gone | edited]
+        for m in kept:
+            with old.open(m) as source, z.open(m.filename, "w", force_zip64=True) as out:
+                shutil.copyfileobj(source, out)
+        taken, ids = {m.filename for m in kept}, [int(x) for x in re.findall(r'sheetId="(\d+)"', book)]
+        used, tags = set(re.findall(r'\bId="([^"]*)"', links)), {"book": "", "links": "", "types": ""}
+        number = 0
+        for name, rows in sheets.items():
+            for i, piece in enumerate(_parts(rows, most_rows), 1):
+                number += 1
+                while f"xl/worksheets/sheet{number}.xml" in taken or f"rIdS{number}" in used:
+                    number += 1
+                ids.append(max(ids, default=0) + 1)
+                title = name if i == 1 else f"{name} {i}"
+                tags["book"] += f'<sheet xmlns:r="{_OFFICE}" name={quoteattr(title)} sheetId="{ids[-1]}" r:id="rIdS{number}"/>'
+                tags["links"] += f'<Relationship Id="rIdS{number}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{number}.xml"/>'
+                tags["types"] += f'<Override PartName="/xl/worksheets/sheet{number}.xml" ContentType="{_SHEET}.worksheet+xml"/>'
+                with z.open(f"xl/worksheets/sheet{number}.xml", "w", force_zip64=True) as out:
+                    _sheet(out, piece)
+        z.writestr("xl/workbook.xml", book.replace("</sheets>", tags["book"] + "</sheets>"))
+        z.writestr("xl/_rels/workbook.xml.rels", links.replace("</Relationships>", tags["links"] + "</Relationships>"))
+        z.writestr("[Content_Types].xml", types.replace("</Types>", tags["types"] + "</Types>"))
+    return part.replace(path)

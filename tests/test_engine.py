@@ -207,3 +207,51 @@ def test_legacy_workbook_and_filters(spark, tmp_path):
     path = legacy.workbook(str(tmp_path / "old.xlsx"), of("legacy_summary"), of("legacy_duplicates"), of("legacy_similar_folders"))
     with zipfile.ZipFile(path) as z:
         assert [f'name="{n}"' in z.read("xl/workbook.xml").decode() for n in ("Summary", "Duplicate Files", "Similar Folders")] == [True] * 3
+
+
+def sheets_of(path):
+    """Of every sheet by name the texts of its cells, row by row."""
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and len(z.namelist()) == len(set(z.namelist()))
+        main, out = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", {}
+        links = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        types = {e.get("PartName") for e in ElementTree.fromstring(z.read("[Content_Types].xml"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet"):
+            target = links[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+            assert f"/xl/{target}" in types
+            rows = ElementTree.fromstring(z.read(f"xl/{target}")).iter(f"{main}row")
+            out[sheet.get("name")] = [["".join(c.itertext()) for c in r] for r in rows]
+        return out
+
+
+def test_workbook_is_updated_in_place(tmp_path):
+    path = tmp_path / "w.xlsx"
+    xlsx.update(path, {"Mine & own": [("h",), (1,)], "Foreign": [("note",), ("kept",)]})
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("xl/theme/theme1.xml", "<t/>")
+    xlsx.update(path, {"Mine & own": [("h",), (1,), (2,), (3,)], "Added": [("x",)]}, most_rows=3)
+    assert sheets_of(path) == {"Foreign": [["note"], ["kept"]], "Mine & own": [["h"], ["1"], ["2"]], "Mine & own 2": [["h"], ["3"]], "Added": [["x"]]}
+    xlsx.update(path, {"Mine & own": [("h",)]})
+    assert sheets_of(path) == {"Foreign": [["note"], ["kept"]], "Added": [["x"]], "Mine & own": [["h"]]}
+    with zipfile.ZipFile(path) as z:
+        assert z.read("xl/theme/theme1.xml") == b"<t/>"
+
+
+def test_older_analysis(spark, setup, tmp_path, capsys):
+    root, config = setup
+    engine = Engine(spark, load_config(config))
+    engine.scan()
+    assert cli.main(["--config", str(config), "older"], spark) == 0
+    path = tmp_path / "out/older.xlsx"
+    book = sheets_of(path)
+    assert book["Summary"][0] == ["Folder", "Total Folders", "Total Files", "Scanned Folders", "Scanned Files", "Similar Folder Pairs", "Duplicate Files", "Duplicate GB"]
+    similar = {tuple(x.removeprefix(f"{root}/") for x in r[:2]) for r in book["Similar Folders"][1:]}
+    assert ("projectA", "projectB") in similar and book["Summary"][1][1:5] == ["6", "9", "6", "9"]
+    assert len(book["Duplicate Files"]) > 1 and all(r[2] in ("readme.txt", "data.bin") for r in book["Duplicate Files"][1:])
+    xlsx.update(path, {"Notes": [("mine",)]})
+    # Only what was scanned since is analysed again; here a copy that now differs.
+    (root / "projectB/data.bin").write_bytes(b"9" * 31)
+    engine.scan(rescan=True)
+    engine.older()
+    again = sheets_of(path)
+    assert again["Notes"] == [["mine"]] and len(again["Duplicate Files"]) < len(book["Duplicate Files"])
