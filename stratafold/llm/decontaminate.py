@@ -163,20 +163,32 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add, lambda acc: acc["n"])
 
 
+def verdicts(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """id, tie (hash of the text), n_words, n_hit, ids (item_ids as strings) of every row, as a table.
+
+    It is written before anybody filters it: the optimiser would push a filter on the spans
+    through the steps that find them and repeat these inside each other's loops.
+    """
+    ids = F.array_sort(F.array_distinct(F.transform("ids", lambda i: i.cast("string"))))
+    rows = judged(docs, items, window, k).select(
+        F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("tie"), F.size("w").cast("long").alias("n_words"),
+        F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"),
+    )
+    return materialize(rows, "verdicts")
+
+
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
     """The rows of ``docs`` with all their columns that hold no window of an item."""
-    return judged(docs, items, window, k).filter(F.coalesce(F.size("spans"), F.lit(0)) <= 0).select("row.*")
+    bad = verdicts(docs, items, window, k).filter("n_hit > 0").select("id", "tie").distinct()
+    every = docs.select(F.struct("*").alias("row"))
+    same = every["row.doc_id"].eqNullSafe(bad["id"]) & (F.xxhash64(every["row.text"]) == bad["tie"])
+    return every.join(bad, same, "left_anti").select("row.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document."""
-    none = F.array().cast("array<string>")
-    ids = F.array_sort(F.array_distinct(F.transform("ids", lambda i: i.cast("string"))))
-    rows = judged(docs, items, window, k).select(
-        "row.doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, none).alias("ids")
-    )
-    return rows.select(
-        "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
+    return verdicts(docs, items, window, k).select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
