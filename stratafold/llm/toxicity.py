@@ -12,9 +12,11 @@ Distance-weighted votes, corrected for the share of each class in the sample, pa
 an isotonic calibration that was fitted leaving each example out. The nearest examples, all
 k of them, are the evidence.
 
-Bound: at most ``per_class`` examples of each label are fitted, taken by hash of doc_id;
-the labels' prior and the document frequencies cover everything. The driver gets the words
-of the examples with their counts, the tasks the fitted model as one broadcast variable.
+Bound: at most ``per_class`` examples of each label are fitted, taken by hash of doc_id, and
+of these as many in that order as hold ``most_bytes`` of text together (one that does not
+fit is passed over); the labels' prior and the document frequencies cover everything. Of
+rows that share a doc_id one is an example. The driver gets the words of the examples with
+their counts, the tasks the fitted model as one broadcast variable.
 
 Defined results: null or empty text, and text that shares no word with an example, get the
 share of toxic examples among those without words; conflicting labels of one doc_id count as toxic;
@@ -34,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.scratch import discard, materialize
+
 #: Lower-cases A-Z; a byte that no word holds becomes a space.
 _TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 STARTS = range(4, 10)
@@ -63,10 +67,13 @@ Vector = tuple[np.ndarray, np.ndarray]  # terms and their weights
 class Index:
     """Unit vectors of examples by block, for exact nearest neighbours by cosine.
 
-    Terms have inverted lists, but for the ``HEAD`` commonest, which are dense rows. The
-    bound of a block is the largest sum of the lists in it plus, for the dense terms, the
-    sum of their largest weights in the block; only blocks whose bound reaches the k-th best
-    cosine known have their dense part computed.
+    Terms have inverted lists, but for the ``HEAD`` commonest, which are dense rows. A list
+    is cut where its examples pass into another block, and each piece states its largest
+    weight. The bound of a block is the sum of these maxima plus, for the dense terms, that
+    of their largest weights in the block. Blocks whose bound falls short of the k-th best
+    cosine known stay unread; of the others the pieces are read, and where these with the
+    dense maxima still reach it, the dense part is computed. ``pieces`` counts the pieces
+    met and read.
     """
 
     def __init__(self, vectors: list[Vector], ids: list[int]):
@@ -88,8 +95,14 @@ class Index:
         self.most = self.dense.reshape(len(head), self.blocks, BLOCK).max(2) if ids else np.zeros((0, 0))
         terms, weights, place = terms[~dense], weights[~dense], place[~dense]
         by_term = np.lexsort((place, terms))
-        self.ends = np.searchsorted(terms[by_term], np.arange(self.width + 1))
-        self.places, self.weights = place[by_term].astype(np.int32), weights[by_term]
+        terms, self.places, self.weights = terms[by_term], place[by_term].astype(np.int32), weights[by_term]
+        block = self.places // BLOCK
+        starts = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(block) != 0)][: len(terms)])
+        self.piece_at = np.append(starts, len(terms))
+        self.piece_block = block[starts]
+        self.piece_most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        self.ends = np.searchsorted(terms[starts], np.arange(self.width + 1))
+        self.pieces = [0, 0]
 
     def __getstate__(self):
         # The examples' own vectors serve the calibration only.
@@ -111,12 +124,26 @@ class Index:
         owner, terms, weights = owner[~dense], terms[~dense], weights[~dense]
         n = self.ends[terms + 1] - self.ends[terms]
         at = np.arange(n.sum()) + np.repeat(self.ends[terms] - np.cumsum(n) + n, n)
-        key = np.repeat(owner * (blocks * BLOCK), n) + self.places[at]
-        sums = np.bincount(key, np.repeat(weights, n) * self.weights[at], count * blocks * BLOCK).astype(float).reshape(count, blocks, BLOCK)
-        bound = query @ self.most + sums.max(2)
+        owner, weights = np.repeat(owner, n), np.repeat(weights, n)
+        pair = owner * blocks + self.piece_block[at]
+        rest = query @ self.most
+        bound = rest + np.bincount(pair, weights * self.piece_most[at], count * blocks).reshape(count, blocks)
+        sums = np.zeros((count, blocks, BLOCK))
         seen = np.zeros((count, blocks), bool)
+        self.pieces[0] += len(at)
+
+        def read(wanted: np.ndarray) -> None:
+            """Adds the pieces of lists that lie in the blocks wanted."""
+            mine = wanted.ravel()[pair]
+            piece = at[mine]
+            self.pieces[1] += len(piece)
+            m = self.piece_at[piece + 1] - self.piece_at[piece]
+            held = np.arange(m.sum()) + np.repeat(self.piece_at[piece] - np.cumsum(m) + m, m)
+            key = np.repeat(owner[mine] * (blocks * BLOCK), m) + self.places[held]
+            np.add(sums, np.bincount(key, np.repeat(weights[mine], m) * self.weights[held], sums.size).reshape(sums.shape), out=sums)
 
         def visit(wanted: np.ndarray) -> None:
+            """Adds the dense part in the blocks wanted."""
             for b in np.flatnonzero(wanted.any(0)):
                 rows = np.flatnonzero(wanted[:, b])
                 sums[rows, b] += query[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
@@ -125,14 +152,18 @@ class Index:
         first = np.argsort(-bound, axis=1, kind="stable")[:, : -(-(k + 1) // BLOCK) + 1]
         wanted = seen.copy()
         np.put_along_axis(wanted, first, True, 1)
-        visit(wanted & (bound > 0))
+        wanted &= bound > 0
+        read(wanted)
+        visit(wanted)
         known = np.where(seen[:, :, None], sums, 0.0)
         if leave is not None:
             known.reshape(count, -1)[np.arange(count), leave] = 0.0
         known = np.take_along_axis(known, first[:, :, None], 1).reshape(count, -1)
         least = np.partition(known, -k, 1)[:, -k] - 1e-11 if known.shape[1] >= k else np.zeros(count)
         # No other block whose bound is lower can hold a nearer example.
-        visit(~seen & (bound > 0) & (bound >= least[:, None]))
+        wanted = ~seen & (bound > 0) & (bound >= least[:, None])
+        read(wanted)
+        visit(wanted & (rest + sums.max(2) >= least[:, None]))
         out = []
         for i in range(count):
             row = np.round(np.where(seen[i][:, None], sums[i], 0.0).ravel(), 12)
@@ -299,11 +330,11 @@ def choose_vocabulary(examples: Examples, least: int, most: int) -> tuple[dict[b
     return vocabulary, frozenset(range(len(telling)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int) -> tuple[Examples, dict[int, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int, most_bytes: int) -> tuple[Examples, dict[int, int]]:
     """A sample of the labelled documents and the number of training labels by class, over all labels.
 
     Texts are counted where they lie; the driver gets the distinct words of at most
-    2 * per_class examples.
+    2 * per_class examples with at most 2 * most_bytes of text.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).filter("toxic in (0, 1)")
@@ -314,6 +345,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int)
         pick = part if pick is None else pick.union(part)
     # At most 2 * per_class rows: a broadcast of proven size.
     rows = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).join(F.broadcast(pick), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    rows = stored = materialize(rows.groupBy("doc_id", "toxic").agg(one.alias("text")), "examples")
+    fitting, held = [], {0: 0, 1: 0}
+    for doc, y, n in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0))).collect():
+        if held[y] + n <= most_bytes:
+            held[y] += n
+            fitting.append((doc,))
+    chosen = docs.sparkSession.createDataFrame(fitting, docs.select("doc_id").schema)
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
     def count(batches):
         for batch in batches:
@@ -323,6 +363,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, per_class: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), spaced, counts, batch.column(2)], names=["doc_id", "words", "counts", "toxic"])
 
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(count, "doc_id long, words binary, counts array<long>, toxic int").toArrow()
+    discard(stored)
     numbers: dict[bytes, int] = {}
     out = Examples([], [], [], [], [])
     # Rows of one doc_id come in the order of their words, so that reruns agree.
@@ -339,8 +380,8 @@ def held_out_fifth(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class: int = 2000, k: int = 15, least: int = 4, most: int = 4000) -> Model:
-    examples, totals = training_rows(docs, labels, held_out, per_class)
+def fit(docs: DataFrame, labels: DataFrame, held_out=held_out_fifth, per_class: int = 2000, k: int = 15, least: int = 4, most: int = 4000, most_bytes: int = 128 << 20) -> Model:
+    examples, totals = training_rows(docs, labels, held_out, per_class, most_bytes)
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     model = Model(*choose_vocabulary(examples, least, most), k, prior, bare=prior)
     if not model.vocabulary or len(set(examples.labels)) < 2:

@@ -146,6 +146,41 @@ def test_scores_against_brute_force(spark):
             assert got[d]["score"] == pytest.approx(float(np.interp(vote, *model.knots)), abs=1e-6)
 
 
+def test_blocks_below_the_best_stay_unread():
+    rng = np.random.default_rng(5)
+    # Forty topics of a hundred terms; every text has common terms of all topics too.
+    def unit():
+        topic = rng.integers(40)
+        terms = np.unique(np.r_[rng.integers(0, 300, 6), 300 + 100 * topic + rng.integers(0, 100, 25)])
+        w = rng.random(len(terms)) + 0.2
+        return terms, w / np.linalg.norm(w)
+
+    vectors = [unit() for _ in range(2000)]
+    index = toxicity.Index(vectors, list(range(2000)))
+    index.pieces = [0, 0]
+    got = index.nearest(vectors[:64], 5)
+    met, read = index.pieces
+    assert 0 < read < met
+    full = np.zeros((2000, 4300))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    cosine = full[:64] @ full.T
+    for i, near in enumerate(got):
+        assert [s for s, _ in near] == pytest.approx(sorted(cosine[i], reverse=True)[:5], abs=1e-9)
+
+
+def test_examples_are_bounded_by_rows_and_bytes(spark):
+    rows = [(i, ("vile " if i % 2 else "kind ") + f"word{i} " * 20) for i in range(40)] + [(1, f"vile repeat{k}") for k in range(50)] + [(2, "kind " + "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    take = lambda **limit: toxicity.fit(docs, labels, held_out=lambda c: c < 0, least=1, **limit)
+    every = take().index.ids
+    assert sorted(every) == list(range(40))  # repeated doc_ids are one example
+    assert len(take(per_class=5).index.ids) == 10
+    few = take(most_bytes=500).index.ids
+    assert 2 <= len(few) < 20 and set(few) < set(every)
+
+
 def test_isotonic_is_monotone_and_pools():
     x, y = toxicity.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]), np.ones(4))
     assert list(y) == sorted(y) and np.interp(2.5, x, y) == 0.5
