@@ -10,6 +10,10 @@ Jaccard distance is a metric, and two documents link when it is at most r = 1 -
    a region. Whole documents would not do as pivots here: nearly all distances to them are
    exactly 1. Rarity is counted over all documents on a fixed third of the hash space,
    which is enough to rank; the few documents with too few shingles there fill up by hash.
+   That leaves short documents that share a common line in its regions. So the documents in
+   regions, a small part of all, are ranked once more by all their shingles, counted among
+   themselves: whoever has enough shingles of its own drops out, and cells do not grow with
+   the number of documents that hold a common passage.
 2. Regions that share documents form cells. A cell too large for one task is split around
    document pivots of its own. Each document goes to the Voronoi region of the nearest pivot
    if that is within ``NEAR``, and is replicated into region j when the triangle inequality
@@ -22,15 +26,17 @@ Jaccard distance is a metric, and two documents link when it is at most r = 1 -
    document outside its largest linked part. Inside a block the join goes on recursively by
    pivots: the distances of one document to all others decide all its pairs, documents
    already linked are skipped, and a pair is skipped when its distances to some earlier
-   pivot differ by more than r.
+   pivot differ by more than r, or when the shingles that each has in common with any
+   document of the block are too few for a link.
 
 Shingles are 64-bit hashes; candidates are compared by their full sets of these, sets are
 told apart by 128 bits.
 
 Scale: one shuffle of a third of the shingles as (hash, document), which is counted with
-map-side partial aggregation and joined back; hashes, sets and nodes that hold more than a
-thousandth of the rows are joined by broadcast, so none ends in one task. The text is
-shuffled once, for the documents that share rare shingles, by a merge join at every size.
+map-side partial aggregation and joined back, and one of all shingles of the documents that
+then stand in regions; hashes, sets and nodes that hold more than a thousandth of the rows
+are joined by broadcast, so none ends in one task. The text is shuffled once, for the
+documents that share rare shingles, by a merge join at every size.
 Equal sets are joined once. Pivot texts are broadcast only when their bytes are few.
 
 Defined results: null, empty and blank text has 0 shingles and is its own component; fewer
@@ -119,6 +125,8 @@ def quota(n: int, percent: int) -> int:
 
 def pivot_shingles(shingles: np.ndarray, percent: int, sample: float = SAMPLE) -> np.ndarray:
     """The shingles in the counted part of the hash space, and further ones up to the quota."""
+    if sample >= 1:
+        return shingles
     n = int(np.searchsorted(shingles, np.uint64(int(sample * 2.0**64))))
     return shingles[: max(n, quota(len(shingles), percent))]
 
@@ -148,12 +156,12 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def profiles(docs: DataFrame, size: int, percent: int, sample: float = SAMPLE) -> DataFrame:
     """doc_id, n, a 128-bit signature of the set, and the pivot shingles hs, in one pass over the texts."""
 
     def row(doc, text):
         s = shingle_set(text, size)
-        return doc, len(s), *signature(s), pivot_shingles(s, percent).view(np.int64)
+        return doc, len(s), *signature(s), pivot_shingles(s, percent, sample).view(np.int64)
 
     names = ["doc_id", "n", "s1", "s2", "hs"]
     return _over_texts(docs, row, "doc_id long, n long, s1 long, s2 long, hs array<long>", names, [pa.int64()] * 4 + [pa.list_(pa.int64())])
@@ -214,6 +222,8 @@ def block_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     group = np.empty(len(values), np.int64)
     group[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(ordered))))
     bounds = np.append(new, len(ordered))
+    # How many shingles of each document some other document of the block holds.
+    common_at_most = np.bincount(owner, weights=(np.diff(bounds) > 1)[group], minlength=count)
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     used = np.zeros(count, bool)
     distances: list[np.ndarray] = []
@@ -221,6 +231,7 @@ def block_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
 
     def compare(x: int) -> None:
         may = ~used & (forest.label != forest.label[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        may &= (100 + percent) * np.minimum(common_at_most, common_at_most[x]) >= percent * (sizes + sizes[x])
         if side is not None:
             may &= side != side[x]
         for d in distances:
@@ -239,13 +250,15 @@ def block_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
             if forest.merge(x, int(y)):
                 links.append((x, int(y)))
 
+    # Once every document outside the largest component has been a pivot, all pairs are decided.
+    rest, known = iter(()), -1
     while True:
-        # Once every document outside the largest component has been a pivot, all pairs are decided.
-        largest = np.argmax(np.bincount(forest.label, minlength=count))
-        rest = np.flatnonzero(~used & (forest.label != largest))
-        if not len(rest):
+        if known != len(links):
+            largest, known = np.argmax(np.bincount(forest.label, minlength=count)), len(links)
+            rest = iter(np.flatnonzero(~used & (forest.label != largest)).tolist())
+        if (x := next(rest, None)) is None:
             break
-        compare(int(rest[0]))
+        compare(x)
     return links
 
 
@@ -409,14 +422,21 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     none = raw.filter("n = 0").select("doc_id", "n", "s1", F.lit(0).alias("m"), F.col("doc_id").alias("rep"))
     profile = materialize(profile.union(none), "profiles")
     own = profile.filter("doc_id = rep and n > 0").select("doc_id", "s1", "n", "m").distinct()
-    regions = rare_regions(raw, own, percent)
+    rough = rare_regions(raw, own, percent)
     discard(raw, reps)
+    own = materialize(own.drop("m").join(rough.select("doc_id", "s1").distinct().hint("merge"), ["doc_id", "s1"]), "chosen")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(own.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    docs = materialize(docs, "texts")
+    discard(rough)
+    full = materialize(profiles(docs, size, percent, 1.0), "sets")
+    regions = rare_regions(full, own.withColumn("m", F.col("n")), percent)
+    discard(full)
     cells = connected_components(regions.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     members = materialize(
-        cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")).join(own.drop("m").hint("merge"), "doc_id"), "members"
+        cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")).join(own.hint("merge"), "doc_id"), "members"
     )
     links = materialize(cell_links(members, regions, docs, size, percent), "links")
-    discard(regions, members)
+    discard(regions, members, own, docs)
     # All sets of one doc_id belong together.
     several = profile.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b < hi").drop("hi")
     same = profile.select("doc_id", F.col("rep").alias("a")).join(several.hint("merge"), "doc_id").select("a", "b")

@@ -73,6 +73,28 @@ def test_cells_strung_together_by_chance(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
 
 
+def test_documents_with_a_common_line_are_no_cell(spark, monkeypatch):
+    """Short documents of own words and a line that many hold: only near copies meet, however many hold the line."""
+    rng, rows = random.Random(3), []
+    lines = [" ".join(f"line{k}x{i}" for i in range(14)) for k in range(3)]
+    for i in range(300):
+        rows.append((len(rows), " ".join([*(f"u{i}y{j}" for j in range(12)), rng.choice(lines)])))
+        if i % 15 == 0:
+            rows.append((len(rows), rows[-1][1] + " more"))
+    cells, cell_links = [], ngram_join.cell_links
+    monkeypatch.setattr(ngram_join, "cell_links", lambda members, *more: cells.extend(r["cell"] for r in members.collect()) or cell_links(members, *more))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+    assert len(cells) == 40 and set(Counter(cells).values()) == {2}
+
+
+def test_block_of_unlinked_documents_counts_no_intersections(monkeypatch):
+    """Documents that hold too few shingles of others are not compared, whatever they have in common."""
+    sets = [np.unique(np.append(np.arange(30, dtype=np.uint64), np.arange(1000 * i + 1000, 1000 * i + 1012, dtype=np.uint64))) for i in range(200)]
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(ngram_join.np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    assert ngram_join.block_links(sets, 80) == [] and len(calls) < 5
+
+
 def test_voronoi_regions_hold_every_link(spark):
     """Any two documents within the radius meet in a region or are both left, with fewer copies than documents times pivots."""
     rng = random.Random(1)
