@@ -188,6 +188,7 @@ class Engine:
         if rescan or min(state.get("duplicates", 0), state.get("similarity", 0)) < state.get("scan", 0):
             files = self.hashed_files().withColumnRenamed("full_hash", "h")
             keys = similarity.folder_keys(files, self.config.duplicate_size_threshold).join(self.active_folders().select(F.col("path").alias("folder")), "folder", "left_semi")
+            keys = materialize(similarity.merged_keys(materialize(keys, "keys")), "merged")
             scored = similarity.scores(
                 similarity.candidate_pairs(keys), keys, tree.subtree_totals(files), self.config.similarity_threshold, tokens=self.config.backup_name_tokens
             )

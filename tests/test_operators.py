@@ -37,6 +37,28 @@ def test_ratio_and_cap_edges(spark):
     assert similarity.candidate_pairs(keys, 6).count() > 0 and similarity.candidate_pairs(keys, 5).count() == 0
 
 
+def test_keys_of_the_same_folders_are_merged(spark):
+    """More files in the same folders make no more merged keys, and pairs and scores are those of all keys."""
+    rng = random.Random(2)
+
+    def table(n):
+        rows = [(f"D:/c/{'ab'[i % 2]}", f"f{i}", 5, f"h{i}") for i in range(n)] + [(f"E:/c/{'ab'[i % 2]}", f"f{i}", 5, f"h{i}") for i in range(n) if i % 7]
+        return files(spark, rows + [(f"F:/d{rng.randrange(4)}", f"g{rng.randrange(9)}", 3, f"k{rng.randrange(5)}") for _ in range(40)])
+
+    def scored(keys, rows):
+        kept = similarity.scores(similarity.candidate_pairs(keys, 6), keys, tree.subtree_totals(rows), 0.0)
+        return sorted(map(str, kept.collect()))
+
+    small, large = table(40), table(400)
+    for rows in (small, large):
+        keys = similarity.folder_keys(rows)
+        merged = similarity.merged_keys(keys)
+        assert scored(merged, rows) == scored(keys, rows) != []
+        assert sorted(map(str, similarity.key_counts(merged).collect())) == sorted(map(str, similarity.key_counts(keys).collect()))
+    own = lambda rows: similarity.merged_keys(similarity.folder_keys(rows.filter("filename like 'f%'"))).count()
+    assert own(small) == own(large) < 40
+
+
 def test_zero_bytes_do_not_pair(spark):
     table = files(spark, [("D:/a/x", "f", 0, "h"), ("D:/a/y", "f", 0, "h")])
     keys = similarity.folder_keys(table)
