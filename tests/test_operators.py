@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratafold.operators import clusters as C
@@ -59,6 +60,35 @@ def test_keys_of_the_same_folders_are_merged(spark):
     assert own(small) == own(large) < 40
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_close_pairs_are_all_pairs_of_a_high_score(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        kind, folder = i % 6, f"{'DEF'[i % 3]}:/{rng.choice(['c', 'old'])}{rng.randrange(4)}/d{i}{rng.choice(['', '/e', ' copy'])}"
+        own = [(f"x{i // 12}_{j}", j) for j in range(rng.randrange(4, 9))]
+        rows += [(folder, f"f{name}", n + 1, f"h{name}") for name, n in own if rng.random() < 0.9]
+        rows += [(folder, "license", 7, "l"), (folder, "notice", 7, "l")] * (kind > 1)
+        rows += [(folder, f"own{i}", 2, None)] * (kind == 3) + [(folder, f"own{i}", 1, "one")] * (kind == 4)
+    rows += [(f"G:/all/{i}{end}", "license", 7, "l") for i in range(40) for end in ("", "/sub")][::3]
+    table = files(spark, rows)
+    keys = similarity.folder_keys(table)
+    scored = lambda pairs, keys, least: sorted(map(str, similarity.scores(pairs, keys, tree.subtree_totals(table), least).drop("reason").collect()))
+    every = similarity.candidate_pairs(keys, 10**9)
+    for least in (0.6, 0.7, 0.9):
+        expected = scored(every, keys, least)
+        assert scored(similarity.close_pairs(keys, least), keys, least) == expected != []
+        merged = similarity.merged_keys(keys)
+        assert scored(similarity.close_pairs(merged, least), merged, least) == expected
+    assert 0 < similarity.close_pairs(keys, 0.7).count() < every.count() / 2
+
+
+def test_close_pairs_need_a_threshold_that_takes_signatures(spark):
+    with pytest.raises(ValueError):
+        similarity.close_pairs(similarity.folder_keys(files(spark, [("D:/a", "f", 1, "h")])), 0.57)
+
+
 def test_zero_bytes_do_not_pair(spark):
     table = files(spark, [("D:/a/x", "f", 0, "h"), ("D:/a/y", "f", 0, "h")])
     keys = similarity.folder_keys(table)
