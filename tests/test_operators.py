@@ -84,6 +84,31 @@ def test_close_pairs_are_all_pairs_of_a_high_score(spark, monkeypatch, block):
     assert 0 < similarity.close_pairs(keys, 0.7).count() < every.count() / 2
 
 
+def test_pairs_of_pivots_link_what_all_pairs_link(spark):
+    """Many alike folders, in chains and below folders that hold several of them."""
+    rng = random.Random(5)
+    sets = {"p": "abcd", "q": "abcde", "r": "abcf", "s": "xy"}
+    rows, folders = [], 0
+    for i in range(90):
+        kind = rng.choice("pppqqrs")
+        top = f"{'DE'[i % 2]}:/{rng.choice(['m', 'n'])}{i}"
+        for j in range(rng.choice([1, 1, 1, 2, 3, 5, 6])):
+            folder = top + f"/{j}" * (j > 0 or rng.random() < 0.5) + "".join(f"/{rng.choice(['in', 'old', 'z'])}" for _ in range(rng.randrange(4)))
+            rows += [(folder, n, 10, f"h{n}") for n in sets[kind]]
+    table = files(spark, rows).distinct()
+    keys, totals = similarity.merged_keys(similarity.folder_keys(table)), tree.subtree_totals(table)
+
+    def found(pairs):
+        rows = similarity.tracks(similarity.scores(pairs, keys, totals, 0.7), 0.88, 0.7).filter("track = 'cluster'")
+        members = C.clusters(rows)
+        return sorted(map(tuple, members.collect())), sorted(map(str, C.least_scores(members, rows).collect())), rows.count()
+
+    few = found(similarity.close_pairs(keys, 0.7, similarity.pivots(keys, totals)))
+    every = found(similarity.candidate_pairs(keys, 10**9))
+    assert few[:2] == every[:2] and len(few[1]) > 1
+    assert few[2] < every[2]
+
+
 def test_close_pairs_need_a_threshold_that_takes_signatures(spark):
     with pytest.raises(ValueError):
         similarity.close_pairs(similarity.folder_keys(files(spark, [("D:/a", "f", 1, "h")])), 0.57)
